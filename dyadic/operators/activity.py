@@ -31,9 +31,9 @@ def ulm_activity(features: DataFrame, network: DataFrame, minimum: int = 5) -> D
     cross = features.join(
         small_side(edges.withColumnRenamed("target", "feature_id")), "feature_id"
     ).groupBy("sample_id", "source").agg(F.sum(F.col("weight") * F.col("value")).alias("_wx"))
-    # A sample without any of the source's genes still has a score (its products are all zero).
-    pairs = totals.withColumn("_j", F.lit(1)).join(small_side(sources.withColumn("_j", F.lit(1))), "_j").drop("_j")
-    full = pairs.join(cross, ["sample_id", "source"], "left")
+    # Every (sample, source) pair has a score, also where a sample holds none of the source's genes.
+    listed = sources.agg(F.collect_list(F.struct("source", "_w", "_ww"))).scalar()
+    full = totals.select("*", F.inline(listed)).join(cross, ["sample_id", "source"], "left")
     share = F.col("_k") / F.lit(float(n))
     mean = F.col("_m") * share
     sxx = F.col("_k") * F.col("_v") + F.col("_k") * F.col("_m") * F.col("_m") * (1.0 - share)

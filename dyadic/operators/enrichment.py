@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dyadic.functions.tails import clean_nan, hypergeom_upper_udf
-from dyadic.operators.ranking import bh_fdr, ordered_prefix, top_n
+from dyadic.operators.ranking import bh_fdr, largest_group, ordered_prefix, top_n
 from dyadic.session import TASK_ROWS, materialize, small_side
 
 # Keyword lists per theme, matched inside lower-cased terms.
@@ -34,24 +34,22 @@ def ids_to_intervals(ids: DataFrame, manifest: DataFrame) -> DataFrame:
     )
 
 
-def merge_intervals(intervals: DataFrame, closed: bool = False, task_rows: int = TASK_ROWS) -> DataFrame:
+def merge_intervals(intervals: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
     """Disjoint cover of the intervals of each (set_name, chrom); touching ones are joined."""
     keys = ["set_name", "chrom"]
     longest = materialize(
         intervals.filter(F.col("end") >= F.col("start")).groupBy(*keys, "start").agg(F.max("end").alias("end"))
     )
-    reach = materialize(ordered_prefix(longest, keys, "start", {"_reach": ("max", "end")}, task_rows=task_rows))
-    # The largest end before a start is the running maximum of the previous start.
-    opened = ordered_prefix(
-        reach.withColumn("_one", F.lit(1)), keys, "start", {"_at": ("count", "_one")}, task_rows=task_rows
-    )
-    ahead = opened.select(*keys, (F.col("_at") + 1).alias("_at"), F.col("_reach").alias("_before"))
-    flagged = opened.join(ahead, [*keys, "_at"], "left").withColumn(
+    how = {"task_rows": task_rows, "largest": largest_group(longest, keys)}
+    placed = materialize(ordered_prefix(
+        longest.withColumn("_one", F.lit(1)), keys, "start", {"_reach": ("max", "end"), "_at": ("count", "_one")}, **how
+    ))
+    # The largest end before a start is the running maximum one place earlier.
+    ahead = placed.select(*keys, (F.col("_at") + 1).alias("_at"), F.col("_reach").alias("_before"))
+    flagged = placed.join(ahead, [*keys, "_at"], "left").withColumn(
         "_opens", F.when(F.col("_before") >= F.col("start"), 0).otherwise(1)
     )
-    islands = ordered_prefix(
-        materialize(flagged), keys, "start", {"_island": ("count", "_opens")}, task_rows=task_rows
-    )
+    islands = ordered_prefix(flagged, keys, "start", {"_island": ("count", "_opens")}, **how)
     return islands.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
@@ -67,7 +65,7 @@ def overlap_members(
     shared end points as overlap; the default is half-open.
     """
     spots = queries.select("chrom", "start", "end").distinct()
-    cover = merge_intervals(targets.select("set_name", "chrom", "start", "end"), closed, task_rows)
+    cover = merge_intervals(targets.select("set_name", "chrom", "start", "end"), task_rows)
 
     def binned(df: DataFrame, last: Column) -> DataFrame:
         low, high = F.floor(F.col("start") / bin_width), F.floor(last / bin_width)
@@ -116,8 +114,9 @@ def regulatory_enrichment(
     n_sig = hits.groupBy("cell_type").agg(F.count(F.lit(1)).alias("n_sig"))
     seen = hits.join(hit_members, "feature_id").groupBy("cell_type", "set_name").agg(F.count(F.lit(1)).alias("observed"))
     sets = targets.select("set_name").distinct().join(sizes, "set_name", "left").na.fill(0, subset=["n_feature"])
-    # Every (cell type, set) pair is a result row; both lists are small by design and counted.
-    grid = n_sig.withColumn("_k", F.lit(1)).join(small_side(sets.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    # Every (cell type, set) pair is a result row.
+    listed = sets.agg(F.collect_list(F.struct("set_name", "n_feature"))).scalar()
+    grid = n_sig.select("*", F.inline(listed))
     counts = grid.join(seen, ["cell_type", "set_name"], "left").na.fill(0, subset=["observed"])
     return hypergeom_table(counts.withColumn("n_background", n_background)).select(
         "cell_type", "set_name", "n_sig", "n_background", "n_feature", "observed", "expected", "enrichment", "p_val", "q_val"
@@ -131,10 +130,11 @@ def annotate_explode(features: DataFrame, annotation: DataFrame, first: str = "g
         text = F.trim(F.col(name).cast("string"))
         return F.when(text.isin("", "NA", "nan", "None"), F.lit(None)).otherwise(text)
 
-    genes = F.explode(F.split(F.coalesce(present(first), present(second)), sep))
+    genes = F.split(F.coalesce(present(first), present(second)), sep)
     return (
         features.join(annotation, "feature_id")
-        .select(*[c for c in features.columns if c != "feature_id"], F.trim(genes).alias("gene_id"))
+        .select(*[c for c in features.columns if c != "feature_id"], F.explode(genes).alias("gene_id"))
+        .withColumn("gene_id", F.trim("gene_id"))
         .filter(F.col("gene_id") != "")
         .distinct()
     )
@@ -166,12 +166,13 @@ def over_representation(
 
 
 def keyword_hits(terms: DataFrame, by: list[str], term: str = "term", adj_p: str = "q_val", cut: float = 0.05,
-                 order: list[Column] | None = None, shown: int = 3, keywords: dict = KEYWORDS) -> DataFrame:
-    """First matching significant terms per group and theme."""
+                 order: list[Column] | None = None, shown: int = 3, keywords: dict = KEYWORDS,
+                 extra: list[str] | None = None) -> DataFrame:
+    """First matching significant terms per group and theme; `extra` columns are carried along."""
     text = F.lower(F.col(term))
     themes = F.array(*[F.when(contains_any(text, words), F.lit(name)) for name, words in keywords.items()])
     tagged = terms.filter(F.coalesce(F.col(adj_p), F.lit(1.0)) < cut).select(
-        *by, text.alias(term), *([adj_p] if adj_p != term else []), F.explode(F.filter(themes, lambda x: x.isNotNull())).alias("theme")
+        *by, text.alias(term), adj_p, *(extra or []), F.explode(F.filter(themes, lambda x: x.isNotNull())).alias("theme")
     )
     return top_n(tagged, [*by, "theme"], order or [F.col(adj_p), F.col(term)], shown)
 

@@ -37,7 +37,7 @@ def pair_subjects(samples: DataFrame, rule: str = "any", order: str = "sample_id
     response comes from the PRE row.
     """
     def side(visit: str, pick) -> Column:
-        return pick(F.when(F.col("visit") == visit, F.struct(F.col(order), "sample_id", "response")))
+        return pick(F.when(F.col("visit") == visit, F.struct(F.col(order).alias("_order"), "sample_id", "response")))
 
     pick = F.max if rule == "last" else F.min
     pairs = samples.groupBy("subject_id").agg(

@@ -275,8 +275,8 @@ def proximity_test(termini: DataFrame, reference: DataFrame, bootstrap: int = 20
     if _width(reference, vector) != d:
         raise ValueError("termini and reference live in different dimensions")
     centre = vector_mean(reference, [], vector, d=d).select("centroid").scalar()
-    dist = termini.filter(F.col(label).isNotNull()).select(
-        subject, F.col(label).cast("int").alias(label), C.distance(F.col(vector), centre).alias("value")
+    dist = termini.filter(F.col(label).isNotNull()).withColumn("_centre", centre).select(
+        subject, F.col(label).cast("int").alias(label), C.distance(F.col(vector), F.col("_centre")).alias("value")
     )
     sizes = {r[0]: r[1] for r in dist.groupBy(label).count().collect()}
     if min(sizes.get(0, 0), sizes.get(1, 0)) < 2:

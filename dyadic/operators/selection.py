@@ -179,9 +179,10 @@ def loo_topk_variance(features: DataFrame, top: int, subject: str = "subject_id"
         F.count("_c").alias("n"), F.coalesce(F.sum("_c"), F.lit(0.0)).alias("s"),
         F.coalesce(F.sum(F.col("_c") * F.col("_c")), F.lit(0.0)).alias("ss"),
     )
-    total = own.groupBy("feature_id").agg(F.sum("n").alias("N"), F.sum("s").alias("S"), F.sum("ss").alias("SS"))
-    n, s, ss = F.col("N") - F.col("n"), F.col("S") - F.col("s"), F.col("SS") - F.col("ss")
-    variance = F.when(n > 1, (ss - s * s / F.nullif(n, F.lit(0).cast("bigint"))) / F.nullif(n - 1, F.lit(0).cast("bigint")))
+    total = own.groupBy("feature_id").agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"), F.sum("ss").alias("all_ss"))
+    n, s, ss = F.col("all_n") - F.col("n"), F.col("all_s") - F.col("s"), F.col("all_ss") - F.col("ss")
+    zero = F.lit(0).cast("bigint")
+    variance = F.when(n > 1, (ss - s * s / F.nullif(n, zero)) / F.nullif(n - 1, zero))
     left_out = own.join(total, "feature_id").select(
         subject, "feature_id", F.coalesce(variance, F.lit(0.0)).alias("variance")
     )
