@@ -17,6 +17,9 @@ BASE = f"f AS ({R.SQL_MATRIX}), d0 AS ({R.SQL_DESIGN}), d AS (SELECT *, response
 FIT_OUT = "CAST(n AS BIGINT) AS n, CAST(df AS BIGINT) AS df"
 
 
+RAGGED_BASE = f"f AS ({R.SQL_RAGGED}), d AS ({R.SQL_DESIGN})"
+
+
 def _fits(parts: list[tuple[str, list[str], str, str]], zero: bool) -> str:
     return ", ".join(sql_fit("f", "d", cols, name, zero=True) if zero else sql_fit_own("f", "d", cols, name) for name, cols, _, _ in parts)
 
@@ -99,7 +102,7 @@ def simple_regression(spark, d):
     return rounded(regression.simple_regression(R.matrix(spark, d), R.design(spark, d), ["age"], absent="zero"))
 
 
-SQL_REF = f"ref AS (SELECT feature_id, avg(coef) AS reference_coef FROM ({R.sql_results('a')}) GROUP BY 1)"
+SQL_REF = "ref AS (SELECT DISTINCT feature_id, sin(ascii(right(feature_id, 1)) + length(feature_id)) AS reference_coef FROM f)"
 
 
 def _replication_sql() -> str:
@@ -111,21 +114,17 @@ def _replication_sql() -> str:
     union = " UNION ALL ".join(
         f"SELECT '{part}' AS part, '{s}' AS stratum, feature_id, n, CASE WHEN n >= {k} THEN coef END AS coef, CASE WHEN n >= {k} THEN se END AS se FROM {name}_fit"
         for part, s, name, k in (("overall", "", "o", 5), ("within", "CPT", "wCPT", 5), ("within", "PE", "wPE", 5), ("interaction", "", "x", 7)))
-    return f"""WITH {BASE}, {SQL_REF}, {', '.join(pieces)}, u AS ({union})
+    return f"""WITH {RAGGED_BASE}, {SQL_REF}, {', '.join(pieces)}, u AS ({union})
 SELECT part, stratum, feature_id, CAST(n AS BIGINT) AS n, {sr6('coef')} AS coef, {sr6('se')} AS se,
  part <> 'interaction' AND coalesce(sign(coef) = sign(reference_coef), false) AS same_direction FROM u LEFT JOIN ref USING (feature_id)"""
 
 
-def _has_reference(spark, d):
-    """Second-cohort results over the dense design, judged against hashed reference effects."""
-    ref = regression.mean_effect(R.results(spark, d, "a"))
-    samples = R.design(spark, d)
-    return regression.stratified_replication(R.matrix(spark, d), samples, ref, "therapy", "cpt", ["age"], absent="check")
-
-
 @query("stratified_replication", _replication_sql())
 def stratified_replication(spark, d):
-    out = _has_reference(spark, d)
+    features = R.ragged(spark, d)
+    ref = features.select("feature_id").distinct().withColumn(
+        "reference_coef", F.sin(F.ascii(F.substring("feature_id", -1, 1)) + F.length("feature_id")))
+    out = regression.stratified_replication(features, R.design(spark, d), ref, "therapy", "cpt", ["age"])
     empty = F.lit("").alias("stratum")
     same = F.col("same_direction")
     parts = [
@@ -206,10 +205,10 @@ def residualise(spark, d):
 
 
 @query("residualise_missing", f"""
-WITH {BASE}, b AS (SELECT feature_id, count(*) AS n, regr_slope(value, age) AS s, regr_intercept(value, age) AS i FROM f JOIN d USING (sample_id) GROUP BY 1)
-SELECT sample_id, feature_id, {sr6('CASE WHEN n >= 4 THEN value - i - s * age END', 8)} AS value FROM f JOIN d USING (sample_id) JOIN b USING (feature_id)""")
+WITH {RAGGED_BASE}, b AS (SELECT feature_id, count(*) AS n, regr_slope(value, age) AS s, regr_intercept(value, age) AS i FROM f JOIN d USING (sample_id) GROUP BY 1)
+SELECT sample_id, feature_id, {sr6('CASE WHEN n >= 4 THEN value - i - s * age END')} AS value FROM f JOIN d USING (sample_id) JOIN b USING (feature_id)""")
 def residualise_missing(spark, d):
-    return rounded(regression.residualise(R.matrix(spark, d), R.design(spark, d), ["age"]), 8)
+    return rounded(regression.residualise(R.ragged(spark, d), R.design(spark, d), ["age"]))
 
 
 # --- tests -----------------------------------------------------------------------------------

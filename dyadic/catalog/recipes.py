@@ -63,6 +63,18 @@ def matrix(spark: SparkSession, d: str) -> DataFrame:
 SQL_MATRIX = "SELECT l_suppkey AS sample_id, l_partkey AS feature_id, sum(l_quantity) AS value FROM lineitem GROUP BY ALL"
 
 
+def ragged(spark: SparkSession, d: str) -> DataFrame:
+    """Panel with a few missing cells: suppliers as samples, brand and line number as features, mean price."""
+    part = table(spark, d, "part").select("p_partkey", "p_brand")
+    return table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(
+        F.col("l_suppkey").alias("sample_id"), F.concat_ws("|", "p_brand", "l_linenumber").alias("feature_id")
+    ).agg((F.avg("l_extendedprice") / 1000).alias("value"))
+
+
+SQL_RAGGED = """SELECT l_suppkey AS sample_id, concat_ws('|', p_brand, l_linenumber) AS feature_id, avg(l_extendedprice) / 1000 AS value
+ FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL"""
+
+
 def design(spark: SparkSession, d: str) -> DataFrame:
     """Supplier design: binary response, two fractions, one covariate, one stratum."""
     s = table(spark, d, "supplier")

@@ -7,6 +7,7 @@ only matrices whose side is a component count or a sample count reach the driver
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
@@ -79,7 +80,7 @@ def _explained(spark, values, total: float) -> DataFrame:
 
 def pca_long(features: DataFrame, k: int, sample: str = "subject_id", feature: str = "feature_id",
              iterations: int = 30) -> dict[str, DataFrame]:
-    """Components of a complete long table with few samples and many features.
+    """Components of a long table with few samples and many features; absent cells count as the feature's mean.
 
     The samples x samples cross-product of the centred data is summed over
     features; loadings follow from one join. With more than `GRAM_SIDE` samples
@@ -94,7 +95,10 @@ def pca_long(features: DataFrame, k: int, sample: str = "subject_id", feature: s
         return _pca_power(centred, k, sample, feature, iterations)
     # Each feature becomes one vector over the samples, whose number was just bounded.
     packed = centred.groupBy(feature).agg(F.sort_array(F.collect_list(F.struct(sample, "value"))).alias("_p"))
-    rows = packed.select(F.transform("_p", lambda p: p["value"]).alias("z"))
+    whole = F.transform("_p", lambda p: p["value"])
+    order = F.array(*[F.lit(i) for i in ids])
+    filled = F.transform(order, lambda i: F.coalesce(F.element_at(F.map_from_entries("_p"), i), F.lit(0.0)))
+    rows = packed.select(F.when(F.size("_p") == len(ids), whole).otherwise(filled).alias("z"))
     gram = cross_product(rows)
     p = features.select(feature).distinct().count() if k >= len(ids) else k
     k = min(k, len(ids) - 1, p)
@@ -198,8 +202,6 @@ def project(features: DataFrame, loadings: DataFrame, sample: str = "sample_id")
 
 def encode_with(vectors: DataFrame, encoder, vector: str = "z", out: str = "z") -> DataFrame:
     """Hook for a user-supplied encoder: a function from an (n x p) to an (n x d) numpy array, run per Arrow batch."""
-    import pandas as pd
-
     def run(batch: pd.Series) -> pd.Series:
         return pd.Series(list(np.asarray(encoder(np.stack(batch.to_numpy())), dtype=float)))
 
@@ -339,37 +341,43 @@ def cca_max(blocks: DataFrame, a: list[str], b: list[str], bootstrap: int = 500,
             subject: str = "subject_id") -> DataFrame:
     """Largest canonical correlation of column blocks a and b with a subject-bootstrap interval, as one row.
 
-    0 when a block is empty or there are fewer than three subjects. Every
-    replicate is reduced to its joint covariance by one grouped aggregate.
+    0 when a block is empty or there are fewer than three subjects. A subject is
+    one row with its copy count in every replicate; each task turns its rows into
+    one joint moment matrix per replicate, and only those are shuffled.
     """
-    import pandas as pd
-
     spark = blocks.sparkSession
     cols = [*a, *b]
     n = blocks.count()
     if not a or not b or n < 3:
         return spark.range(1).select(*[F.lit(0.0).alias(c) for c in ("rho", "rho_ci_low", "rho_ci_high")])
     centre = blocks.agg(*[F.avg(c).alias(c) for c in cols]).first()
-    x = [F.col(c) - F.lit(float(centre[c])) for c in cols]
-    observed = blocks.select(F.lit(0).alias("rep"), subject, F.lit(1).cast("bigint").alias("copies"))
-    draws = observed.unionByName(bootstrap_counts(blocks.select(subject), bootstrap, seed, subject))
-    w = F.col("copies")
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    moments = draws.join(small_side(blocks.select(subject, *cols)), subject).groupBy("rep").agg(
-        F.array(*[F.sum(w * v) / F.sum(w) for v in x], *[F.sum(w * x[i] * x[j]) / F.sum(w) for i, j in pairs]).alias("_mom")
-    )
+    x = F.array(*[(F.col(c) - F.lit(float(centre[c]))).cast("double") for c in cols])
+    copies = bootstrap_counts(blocks.select(subject), bootstrap, seed, subject)
+    counted = copies.groupBy(subject).agg(F.collect_list(F.struct("rep", "copies")).alias("c"))
+    rows = blocks.select(subject, x.alias("x")).join(counted, subject, "left").select("x", "c.rep", "c.copies")
     k, ka = len(cols), len(a)
 
-    def solve(packed: pd.Series) -> pd.Series:
-        out = []
-        for row in packed:
-            mean, cov = np.asarray(row[:k]), np.zeros((k, k))
-            for value, (i, j) in zip(row[k:], pairs):
-                cov[i, j] = cov[j, i] = value - mean[i] * mean[j]
-            out.append(_cca_from(cov, ka))
-        return pd.Series(out)
-
-    rho = moments.select("rep", F.pandas_udf(solve, "double")("_mom").alias("rho"))
+    def partial(batches):
+        total = np.zeros((bootstrap + 1, 1 + k + k * k))
+        for pdf in batches:
+            v = np.stack(pdf["x"].to_numpy())
+            weight = np.zeros((bootstrap + 1, len(v)))
+            weight[0] = 1.0
+            for i, (reps, count) in enumerate(zip(pdf["rep"], pdf["copies"])):
+                if reps is not None and len(reps):
+                    weight[np.asarray(reps, dtype=int), i] = count
+            outer = (v[:, :, None] * v[:, None, :]).reshape(len(v), k * k)
+            total += weight @ np.concatenate([np.ones((len(v), 1)), v, outer], axis=1)
+        yield pd.DataFrame({"rep": np.arange(bootstrap + 1, dtype=np.int32), "m": list(total)})
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.sum(np.stack(pdf["m"].to_numpy()), axis=0)
+        mean = m[1 : 1 + k] / m[0]
+        cov = m[1 + k :].reshape(k, k) / m[0] - np.outer(mean, mean)
+        return pd.DataFrame({"rep": [pdf["rep"].iloc[0]], "rho": [_cca_from(cov, ka)]})
+
+    moments = rows.mapInPandas(partial, "rep int, m array<double>")
+    rho = moments.groupBy("rep").applyInPandas(solve, "rep int, rho double")
     return rho.agg(
         F.max(F.when(F.col("rep") == 0, F.col("rho"))).alias("rho"),
         F.percentile(F.when(F.col("rep") > 0, F.col("rho")), 0.025).alias("rho_ci_low"),
@@ -429,8 +437,6 @@ def loo_probe_with_selection(
     of panel features, refitted independently. Folds are the parallel unit: a fold
     holds (subjects x 2) rows of `top` values, which is counted before running.
     """
-    import pandas as pd
-
     ranked = features.filter(~F.col("feature_id").isin(*always)) if always else features
     panel = loo_topk_variance(ranked.select(subject, "feature_id", "value"), top, subject).select(
         F.col(subject).alias("held"), "feature_id")

@@ -58,7 +58,7 @@ class _Fit:
     model: Model
     slots: list[int]  # positions of this model's basis functions
     loads: np.ndarray  # (1 + q) x len(slots): coefficients (intercept first) from the sums
-    centred: bool  # the sums describe the centred response
+    from_mean: np.ndarray  # (1 + q): coefficients from the mean response
     rank: int
 
 
@@ -79,36 +79,40 @@ def _design_moments(design: DataFrame, columns: list[str]) -> tuple[int, np.ndar
     return row["n"], np.array([row[f"m{i}"] or 0.0 for i in range(q)]), cov, holes
 
 
+def _row_space(null: np.ndarray, scale: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Projection that turns any least-squares solution into the one of least norm.
+
+    `null` holds directions of the centred, scaled columns that vanish on the samples.
+    """
+    slopes = null / scale[:, None]
+    directions = np.vstack([-(mean @ slopes), slopes])
+    return np.eye(len(mean) + 1) - directions @ np.linalg.pinv(directions)
+
+
 def _factorise(model: Model, columns: list[str], n: int, mean: np.ndarray, cov: np.ndarray, basis: _Basis) -> _Fit:
-    at = [columns.index(c) for c in model.columns]
-    c, m = cov[np.ix_(at, at)], mean[at]
-    sd = np.sqrt(np.diag(c))
-    q = len(at)
-    full = q == 0 or (sd.min() > 0 and np.linalg.eigvalsh(c / np.outer(sd, sd)).min() > RANK_TOLERANCE)
-    if full:
-        # Gram-Schmidt in column order: Z = U L^T with Z the standardised columns.
-        low = np.linalg.cholesky(c / np.outer(sd, sd)) if q else np.zeros((0, 0))
-        inverse = np.linalg.inv(low) if q else low
-        slots = []
-        for j in range(q):
-            row = np.zeros(1 + len(columns))
-            row[1 + np.array(at)] = inverse[j] / sd / math.sqrt(n)
-            row[0] = -(row[1:][at] @ m)
-            slots.append(basis.add((model.columns[: j + 1],), row))
-        slopes = inverse.T / sd[:, None] / math.sqrt(n) if q else np.zeros((0, 0))
-        return _Fit(model, slots, np.vstack([-(m @ slopes) if q else np.zeros((1, 0)), slopes]), True, q + 1)
-    # Rank deficient: minimum-norm solution through the eigenvectors of the raw cross-product.
-    raw = np.zeros((q + 1, q + 1))
-    raw[0, 0], raw[0, 1:], raw[1:, 0], raw[1:, 1:] = 1.0, m, m, c + np.outer(m, m)
-    values, vectors = np.linalg.eigh(n * raw)
-    kept = values > RANK_TOLERANCE * values.max()
-    loads = vectors[:, kept] / np.sqrt(values[kept])
+    at = np.array([columns.index(c) for c in model.columns], dtype=int)
+    q, m = len(at), mean[at]
+    sd = np.sqrt(np.maximum(np.diag(cov)[at], 0.0))
+    scale = np.where(sd > 0, sd, 1.0)
+    corr = cov[np.ix_(at, at)] / np.outer(scale, scale)
+    values, vectors = np.linalg.eigh(corr) if q else (np.ones(0), np.zeros((0, 0)))
+    kept = values > RANK_TOLERANCE
+    if kept.all():
+        # Gram-Schmidt in column order, so that models with equal leading columns share their functions.
+        inverse = np.linalg.inv(np.linalg.cholesky(corr)) if q else np.zeros((0, 0))
+        weights, keys = inverse.T, [model.columns[: j + 1] for j in range(q)]
+        shape = np.eye(q + 1)
+    else:
+        weights = vectors[:, kept] / np.sqrt(values[kept])
+        keys = [(model.name, model.columns, j) for j in range(weights.shape[1])]
+        shape = _row_space(vectors[:, ~kept], scale, m)
+    slopes = weights / scale[:, None] / math.sqrt(n)
     slots = []
-    for j in range(loads.shape[1]):
+    for j, key in enumerate(keys):
         row = np.zeros(1 + len(columns))
-        row[0], row[1 + np.array(at)] = loads[0, j], loads[1:, j]
-        slots.append(basis.add((model.name, model.columns, j), row))
-    return _Fit(model, slots, loads, False, int(kept.sum()))
+        row[1 + at], row[0] = slopes[:, j], -(m @ slopes[:, j])
+        slots.append(basis.add(key, row))
+    return _Fit(model, slots, shape @ np.vstack([-(m @ slopes), slopes]), shape[:, 0], 1 + int(kept.sum()))
 
 
 def _combine(weights: np.ndarray, parts: list[Column]) -> Column:
@@ -136,25 +140,20 @@ def _term_rows(fits: list[_Fit], sums: list[Column], n: Column, mean: Column, m2
         explained = F.lit(0.0)
         for part in g:
             explained = explained + part * part
-        total = m2 if fit.centred else m2 + n * mean * mean
-        rss = F.greatest(F.lit(0.0), total - explained)
         df = n - F.lit(fit.rank)
         enough = n >= len(fit.model.columns) + 3
-        variance = rss / F.nullif(df, F.lit(0).cast("bigint"))
+        variance = F.greatest(F.lit(0.0), m2 - explained) / F.nullif(df, F.lit(0).cast("bigint"))
         for term in fit.model.terms:
             at = 0 if term == INTERCEPT else 1 + fit.model.columns.index(term)
-            coef = _combine(fit.loads[at], g)
-            unit = float(fit.loads[at] @ fit.loads[at])
-            if at == 0 and fit.centred:
-                coef = coef + mean
-                se = F.sqrt(variance * (F.lit(unit) + 1.0 / n))
-            else:
-                se = F.sqrt(variance * F.lit(unit))
+            coef, unit = _combine(fit.loads[at], g), F.lit(float(fit.loads[at] @ fit.loads[at]))
+            if abs(fit.from_mean[at]) > 1e-14:
+                weight = float(fit.from_mean[at])
+                coef, unit = coef + F.lit(weight) * mean, unit + F.lit(weight * weight) / n
             out.append(
                 F.struct(
                     F.lit(fit.model.name).alias("model"), F.lit(term).alias("term"), n.cast("bigint").alias("n"),
                     F.when(enough, df).cast("bigint").alias("df"),
-                    F.when(enough, coef).alias("coef"), F.when(enough, se).alias("se"),
+                    F.when(enough, coef).alias("coef"), F.when(enough, F.sqrt(variance * unit)).alias("se"),
                 )
             )
     return F.array(*out)
@@ -279,32 +278,33 @@ def _fit_own_design(
             gram[:, i, j] = gram[:, j, i] = mom[:, 2 + 2 * q + k]
         out = []
         for _, at, terms in layout:
+            k = len(at)
             g, c = gram[:, at][:, :, at], zy[:, at]
             sd = np.sqrt(np.maximum(np.diagonal(g, axis1=1, axis2=2), 0.0))
-            safe = np.where(sd > 0, sd, 1.0)
+            safe = np.where(sd > 1e-12, sd, 1.0)
             values, vectors = np.linalg.eigh(g / (safe[:, :, None] * safe[:, None, :]))
             kept = values > RANK_TOLERANCE
             inv = np.where(kept, 1.0 / np.where(kept, values, 1.0), 0.0)
             pinv = np.einsum("bik,bk,bjk->bij", vectors, inv, vectors) / (safe[:, :, None] * safe[:, None, :])
             beta = np.einsum("bij,bj->bi", pinv, c)
-            rank = 1 + kept.sum(axis=1)
+            df = n - 1 - kept.sum(axis=1)
             rss = np.maximum(n * (yvar - np.einsum("bi,bi->b", beta, c)), 0.0)
-            df = n - rank
-            ok = (n >= len(at) + 3) & (df > 0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                sigma2 = rss / df
-            slope = beta / scale[at]
+            # Back to the columns as given, intercept first.
             centre = mean[at] + zbar[:, at] * scale[at]
+            slope, cov = beta / scale[at], pinv / np.outer(scale[at], scale[at])
+            full = np.concatenate([(ybar - np.einsum("bi,bi->b", slope, centre))[:, None], slope], axis=1)
+            spread = np.zeros((len(mom), k + 1, k + 1))
+            tilt = np.einsum("bij,bj->bi", cov, centre)
+            spread[:, 1:, 1:], spread[:, 0, 1:], spread[:, 1:, 0] = cov, -tilt, -tilt
+            spread[:, 0, 0] = 1.0 + np.einsum("bi,bi->b", centre, tilt)
+            for b in np.flatnonzero(~kept.all(axis=1)):
+                shape = _row_space(vectors[b][:, ~kept[b]], safe[b] * scale[at], centre[b])
+                full[b], spread[b] = shape @ full[b], shape @ spread[b] @ shape.T
+            ok = (n >= k + 3) & (df > 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                se = np.sqrt((rss / df / n)[:, None] * np.diagonal(spread, axis1=1, axis2=2))
             for t in terms:
-                if t == 0:
-                    coef = ybar - np.einsum("bi,bi->b", slope, centre)
-                    u = centre / scale[at]
-                    unit = (1.0 + np.einsum("bi,bij,bj->b", u, pinv, u)) / n
-                else:
-                    coef, unit = slope[:, t - 1], pinv[:, t - 1, t - 1] / scale[at][t - 1] ** 2 / n
-                with np.errstate(invalid="ignore"):
-                    se = np.sqrt(sigma2 * unit)
-                out += [np.where(ok, df, np.nan), np.where(ok, coef, np.nan), np.where(ok, se, np.nan)]
+                out += [np.where(ok, df, np.nan), np.where(ok, full[:, t], np.nan), np.where(ok, se[:, t], np.nan)]
         return pd.Series(list(np.stack(out, axis=1)))
 
     solved = stats.withColumn("_fit", F.pandas_udf(solve, "array<double>")("_n", "_mom"))
@@ -358,7 +358,7 @@ def joint_interaction_regression(
     """
     known = samples.filter(F.col(response).isNotNull())
     terms = tuple(f"{response}:{c}" for c in cell_types)
-    # Fractions add to one, so the intercept is spanned by them; the solver keeps the minimum-norm fit.
+    # Fractions adding to one span the intercept; the fit of least norm is reported then.
     model = Model("joint", (*covariates, *cell_types, *terms), terms)
     fitted = fit_models(features, interaction_design(known, cell_types, response), [model], absent=absent)
     named = fitted.withColumn("cell_type", F.substring_index("term", ":", -1)).drop("model", "term")
@@ -429,17 +429,13 @@ def stratified_replication(
     def judged(df: DataFrame) -> DataFrame:
         return df.join(reference, "feature_id", "left").withColumn("same_direction", agree)
 
-    overall = judged(bh_fdr(fit_models(features, known, [model], absent=absent).drop("model", "term"), []))
     token = F.upper(F.trim(F.col(stratum).cast("string")))
-    within = judged(fit_by_stratum(features, known.withColumn(stratum, token), model, stratum).drop("model", "term"))
-    marked = known.withColumn("marked", (token == indicator.upper()).cast("double")).withColumn(
-        "marked", F.coalesce("marked", F.lit(0.0))
-    )
+    marked = known.withColumn("marked", F.coalesce((token == indicator.upper()).cast("double"), F.lit(0.0)))
     crossed = Model("crossed", (response, *covariates, "marked", f"{response}:marked"), (f"{response}:marked",))
-    interaction = bh_fdr(
-        fit_models(features, interaction_design(marked, ["marked"], response), [crossed], absent=absent)
-        .drop("model", "term"), []
-    )
+    both = materialize(fit_models(features, interaction_design(marked, ["marked"], response), [model, crossed], absent=absent))
+    overall = judged(bh_fdr(both.filter("model = 'simple'").drop("model", "term"), []))
+    interaction = bh_fdr(both.filter("model = 'crossed'").drop("model", "term"), [])
+    within = judged(fit_by_stratum(features, known.withColumn(stratum, token), model, stratum).drop("model", "term"))
     return {"overall": overall, "within": within, "interaction": interaction}
 
 

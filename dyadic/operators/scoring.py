@@ -55,6 +55,7 @@ def biological_coherence(enrichment: DataFrame | None, fdr: float = 0.10) -> Dat
 def score_arm(
     arm: str, deltas: DataFrame, runs: DataFrame, scores: DataFrame, coverage: DataFrame | None = None,
     enrichment: DataFrame | None = None, bootstrap: int = 2000, seed: int = 42, k_grid=(2, 3, 4, 5),
+    archetype_bootstrap: int = 10,
 ) -> DataFrame:
     """(metric, arm, cell) rows of the six metrics.
 
@@ -64,7 +65,7 @@ def score_arm(
     i = M.across_seed_consistency(runs)
     ii = trait_state(scores, bootstrap, seed)
     iii = M.loo_linear_probe(deltas)
-    vi = clustering.cluster_archetypes(deltas, k_grid=k_grid, seed=seed)["summary"]
+    vi = clustering.cluster_archetypes(deltas, k_grid=k_grid, bootstrap=archetype_bootstrap, seed=seed)["summary"]
     flag = lambda c: F.when(F.col(c), " | PASS").otherwise(" | FAIL")
     cells = [
         i.select(cell_text(F.lit("across-seed med"), F.col("median"), F.col("passed")).alias("cell")),
