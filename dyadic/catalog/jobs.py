@@ -67,8 +67,10 @@ def job_fraction_gate(spark, d):
 
 @query("job_shift_gate")
 def job_shift_gate(spark, d):
-    a, b = _betas(spark, d), R.cells(spark, d, "P", "F")
-    out = jobs.shift_gate(a, b, top=5, minimum=3, trees=10, bootstrap=100)
+    flags = _embedding_subjects(spark, d)
+    rows = _embedding_observations(spark, d, "dnam").unionByName(_embedding_observations(spark, d, "rna"))
+    a, b = (rows.join(flags.filter(F.col("label") == i), "subject_id", "left_semi") for i in (0, 1))
+    out = jobs.shift_gate(a, b, top=40, minimum=5, trees=10, bootstrap=100)
     return rounded(out["summary"].withColumn("verdict", out["verdict"].select("verdict").scalar()))
 
 

@@ -53,14 +53,13 @@ def merge_intervals(intervals: DataFrame, task_rows: int = TASK_ROWS) -> DataFra
     return islands.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
-def overlap_members(
-    queries: DataFrame, targets: DataFrame, query_id: str = "feature_id", closed: bool = False, bin_width: int = 10_000,
-    task_rows: int = TASK_ROWS,
+def overlap_spots(
+    queries: DataFrame, targets: DataFrame, closed: bool = False, bin_width: int = 10_000, task_rows: int = TASK_ROWS
 ) -> DataFrame:
-    """(query_id, set_name) for every query interval that meets a target interval of the set.
+    """(chrom, start, end, set_name) of every distinct query place that meets a target interval of the set.
 
     Both sides are cut to fixed-width bins and joined on (chrom, bin). Equal query
-    positions are joined once and targets are merged first, so the work per bin is
+    places are joined once and targets are merged first, so the work per bin is
     bounded by the bin width however many copies a place holds. `closed` counts
     shared end points as overlap; the default is half-open.
     """
@@ -76,7 +75,15 @@ def overlap_members(
     t = binned(cover, reach).select("set_name", "chrom", F.col("start").alias("_ts"), F.col("end").alias("_te"), "_bin")
     meets = ((F.col("_ts") <= F.col("end")) & (F.col("_te") >= F.col("start"))) if closed else (
         (F.col("_ts") < F.col("end")) & (F.col("_te") > F.col("start")))
-    hit = q.join(t, ["chrom", "_bin"]).filter(meets).select("chrom", "start", "end", "set_name").distinct()
+    return q.join(t, ["chrom", "_bin"]).filter(meets).select("chrom", "start", "end", "set_name").distinct()
+
+
+def overlap_members(
+    queries: DataFrame, targets: DataFrame, query_id: str = "feature_id", closed: bool = False, bin_width: int = 10_000,
+    task_rows: int = TASK_ROWS,
+) -> DataFrame:
+    """(query_id, set_name) for every query interval that meets a target interval of the set."""
+    hit = overlap_spots(queries, targets, closed, bin_width, task_rows)
     return queries.select(query_id, "chrom", "start", "end").join(hit, ["chrom", "start", "end"]).select(query_id, "set_name")
 
 
@@ -101,18 +108,19 @@ def regulatory_enrichment(
 ) -> DataFrame:
     """Hypergeometric enrichment of each cell type's significant features in each interval set.
 
-    Set membership of the background is computed once and shared by all cell types.
+    Places are matched with the sets once, for the background and all cell types together.
     """
-    members = materialize(overlap_members(background, targets, closed=closed, bin_width=bin_width).distinct())
+    place = ["chrom", "start", "end"]
+    places = positions.select(*place).unionByName(background.select(*place))
+    spots = materialize(overlap_spots(places, targets, closed, bin_width))
     n_background = background.agg(F.count(F.lit(1))).scalar()
-    sizes = members.groupBy("set_name").agg(F.count(F.lit(1)).alias("n_feature"))
-    hits = results.filter(F.col("q_val") < fdr).select("cell_type", "feature_id")
-    hits = hits.join(positions.select("feature_id"), "feature_id", "left_semi")
-    hit_members = overlap_members(
-        positions.join(hits.select("feature_id"), "feature_id", "left_semi"), targets, closed=closed, bin_width=bin_width
-    ).distinct()
+    sizes = background.groupBy(*place).agg(F.count(F.lit(1)).alias("_n")).join(spots, place).groupBy("set_name").agg(
+        F.sum("_n").alias("n_feature"))
+    hits = results.filter(F.col("q_val") < fdr).select("cell_type", "feature_id").join(
+        positions.select("feature_id", *place), "feature_id")
     n_sig = hits.groupBy("cell_type").agg(F.count(F.lit(1)).alias("n_sig"))
-    seen = hits.join(hit_members, "feature_id").groupBy("cell_type", "set_name").agg(F.count(F.lit(1)).alias("observed"))
+    seen = hits.groupBy("cell_type", *place).agg(F.count(F.lit(1)).alias("_n")).join(spots, place).groupBy(
+        "cell_type", "set_name").agg(F.sum("_n").alias("observed"))
     sets = targets.select("set_name").distinct().join(sizes, "set_name", "left").na.fill(0, subset=["n_feature"])
     # Every (cell type, set) pair is a result row.
     listed = sets.agg(F.collect_list(F.struct("set_name", "n_feature"))).scalar()

@@ -80,54 +80,57 @@ def _explained(spark, values, total: float) -> DataFrame:
 
 def pca_long(features: DataFrame, k: int, sample: str = "subject_id", feature: str = "feature_id",
              iterations: int = 30) -> dict[str, DataFrame]:
-    """Components of a long table with few samples and many features; absent cells count as the feature's mean.
+    """Components of a long table; absent cells count as the feature's mean.
 
-    The samples x samples cross-product of the centred data is summed over
-    features; loadings follow from one join. With more than `GRAM_SIDE` samples
-    the leading subspace is found by power iteration on the long table instead,
-    so neither side of the matrix has to fit anywhere.
+    The cross-product of the centred data is summed over its longer side and
+    factorised on the shorter one; the other side's coordinates follow from one
+    join. If both sides exceed `GRAM_SIDE`, the leading subspace is found by power
+    iteration on the long table, so neither side of the matrix has to fit anywhere.
     """
     means = features.groupBy(feature).agg(F.avg("value").alias("_m"))
-    centred = features.join(means, feature).select(sample, feature, (F.col("value") - F.col("_m")).alias("value"))
-    ids = [r[0] for r in features.select(sample).distinct().orderBy(sample).limit(GRAM_SIDE + 1).collect()]
-    spark = features.sparkSession
-    if len(ids) > GRAM_SIDE:
+    centred = materialize(features.join(means, feature).select(sample, feature, (F.col("value") - F.col("_m")).alias("value")))
+    sizes = centred.agg(F.countDistinct(sample).alias("n"), F.countDistinct(feature).alias("p")).first()
+    n, p = sizes["n"], sizes["p"]
+    if min(n, p) > GRAM_SIDE:
         return _pca_power(centred, k, sample, feature, iterations)
-    # Each feature becomes one vector over the samples, whose number was just bounded.
-    packed = centred.groupBy(feature).agg(F.sort_array(F.collect_list(F.struct(sample, "value"))).alias("_p"))
-    whole = F.transform("_p", lambda p: p["value"])
-    order = F.array(*[F.lit(i) for i in ids])
-    filled = F.transform(order, lambda i: F.coalesce(F.element_at(F.map_from_entries("_p"), i), F.lit(0.0)))
-    rows = packed.select(F.when(F.size("_p") == len(ids), whole).otherwise(filled).alias("z"))
-    gram = cross_product(rows)
-    p = features.select(feature).distinct().count() if k >= len(ids) else k
-    k = min(k, len(ids) - 1, p)
-    values, axes = np.linalg.eigh(gram)
+    k = min(k, n - 1, p)
+    spark = features.sparkSession
+    short, long = (feature, sample) if p <= n else (sample, feature)
+    values, axes = np.linalg.eigh(_short_gram(centred, short, long))
     values, axes = np.maximum(values[::-1], 0.0), axes[:, ::-1][:, :k]
     size = np.sqrt(values[:k])
-    schema = T.StructType([features.schema[sample], T.StructField("u", T.ArrayType(T.DoubleType()))])
-    unit = spark.createDataFrame([(ids[i], [float(x) for x in axes[i]]) for i in range(len(ids))], schema)
-    inverse = [1.0 / s if s > 0 else 0.0 for s in size]
-    loadings = centred.join(F.broadcast(unit), sample).groupBy(feature).agg(
-        *[(F.sum(F.col("value") * F.col("u")[j]) * F.lit(float(inverse[j]))).alias(f"l{j}") for j in range(k)]
-    )
-    loadings = materialize(loadings)
-    # Sign: the loading of largest size (first by id among equals) is positive.
-    top = loadings.agg(*[F.max_by(F.signum(f"l{j}"), F.struct(F.round(F.abs(f"l{j}"), 12), F.hash(feature))).alias(f"s{j}")
-                         for j in range(k)]).first()
+    ids = [r[0] for r in centred.select(short).distinct().orderBy(short).collect()]
+    unit = spark.createDataFrame(
+        [(i, [float(x) for x in row]) for i, row in zip(ids, axes)],
+        T.StructType([centred.schema[short], T.StructField("u", T.ArrayType(T.DoubleType()))]))
+    inverse = [float(1.0 / s) if s > 0 else 0.0 for s in size]
+    other = materialize(centred.join(F.broadcast(unit), short).groupBy(long).agg(
+        F.array(*[F.sum(F.col("value") * F.col("u")[j]) * F.lit(inverse[j]) for j in range(k)]).alias("u")))
+    loads, coords = (unit, other) if short == feature else (other, unit)
+    # Sign: the loading of largest size is positive.
+    top = loads.agg(*[F.max_by(F.signum(F.col("u")[j]), F.struct(F.round(F.abs(F.col("u")[j]), 12), F.hash(feature))).alias(f"s{j}")
+                      for j in range(k)]).first()
     sign = [top[f"s{j}"] or 1.0 for j in range(k)]
-    long = loadings.select(feature, F.inline(F.array(*[
-        F.struct(F.lit(j + 1).alias("component"), (F.col(f"l{j}") * F.lit(float(sign[j]))).alias("loading")) for j in range(k)
-    ])))
-    scores = unit.select(sample, F.array(*[F.col("u")[j] * F.lit(float(size[j] * sign[j])) for j in range(k)]).alias("scores"))
-    n = len(ids)
-    return {"scores": scores, "loadings": long,
-            "explained": _explained(spark, values[:k] / max(n - 1, 1), float(values.sum()) / max(n - 1, 1))}
+    return {
+        "scores": coords.select(sample, F.array(*[F.col("u")[j] * F.lit(float(size[j] * sign[j])) for j in range(k)]).alias("scores")),
+        "loadings": loads.select(feature, F.posexplode("u").alias("_j", "_l")).select(
+            feature, (F.col("_j") + 1).alias("component"),
+            (F.col("_l") * F.element_at(F.array(*[F.lit(float(v)) for v in sign]), F.col("_j") + 1)).alias("loading")),
+        "explained": _explained(spark, values[:k] / max(n - 1, 1), float(values.sum()) / max(n - 1, 1)),
+    }
+
+
+def _short_gram(centred: DataFrame, short: str, long: str) -> np.ndarray:
+    """Cross-product over the short side's ids, in id order; each long-side id becomes one vector."""
+    ids = centred.agg(F.sort_array(F.collect_set(short)).alias("ids"))
+    packed = centred.groupBy(long).agg(F.sort_array(F.collect_list(F.struct(short, "value"))).alias("_p")).withColumn("_ids", ids.scalar())
+    filled = F.transform("_ids", lambda i: F.coalesce(F.element_at(F.map_from_entries("_p"), i), F.lit(0.0)))
+    whole = F.transform("_p", lambda p: p["value"])
+    return cross_product(packed.select(F.when(F.size("_p") == F.size("_ids"), whole).otherwise(filled).alias("z")))
 
 
 def _pca_power(centred: DataFrame, k: int, sample: str, feature: str, iterations: int) -> dict[str, DataFrame]:
     """Block power iteration: two grouped sums per round, a k x k factorisation on the driver."""
-    centred = materialize(centred)
     start = centred.select(sample).distinct().select(
         sample, *[(F.conv(F.substring(draw(j, F.col(sample)), 1, 8), 16, 10).cast("double") / 4294967296.0 - 0.5).alias(f"u{j}")
                   for j in range(k)]
@@ -385,46 +388,26 @@ def cca_max(blocks: DataFrame, a: list[str], b: list[str], bootstrap: int = 500,
     )
 
 
-def _normal_inverse(rows: DataFrame, parts: list[Column], y: Column) -> tuple[int, np.ndarray, np.ndarray, float, np.ndarray]:
-    """n, predictor means, slopes, response mean and inverse centred cross-product of a linear fit."""
-    d = len(parts)
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    row = rows.agg(
-        F.count(F.lit(1)).alias("n"), F.avg(y).alias("ym"), F.array(*[F.avg(p) for p in parts]).alias("m"),
-        F.array(*[F.covar_pop(p, y) for p in parts]).alias("xy"),
-        F.array(*[F.covar_pop(parts[i], parts[j]) for i, j in pairs]).alias("xx"),
-    ).first()
-    cov = np.zeros((d, d))
-    for value, (i, j) in zip(row["xx"], pairs):
-        cov[i, j] = cov[j, i] = value or 0.0
-    inverse = np.linalg.pinv(cov, rcond=1e-10)
-    return row["n"], np.array(row["m"], dtype=float), inverse @ np.array(row["xy"], dtype=float), row["ym"], inverse
-
-
 def loo_linear_probe(points: DataFrame, target: str = "target", vector: str = "z") -> DataFrame:
     """Leave-one-out mean absolute error of a linear probe, from one fit: error = residual / (1 - leverage).
 
     Rows without a target are dropped; fewer than three rows give NULL.
     """
-    used = points.filter(F.col(target).isNotNull() & ~F.isnan(target))
-    d = _width(used, vector)
-    n = used.count()
-    if n < 3:
-        return points.sparkSession.range(1).select(
-            F.lit(None).cast("double").alias("loso_mae"), F.lit(n).cast("bigint").alias("n_subjects"))
-    parts = [F.col(vector)[i].cast("double") for i in range(d)]
-    n, mean, slope, ym, inverse = _normal_inverse(used, parts, F.col(target))
-    gap = [p - F.lit(float(m)) for p, m in zip(parts, mean)]
-    fitted = F.lit(float(ym))
-    leverage = F.lit(1.0 / n)
-    for i in range(d):
-        fitted = fitted + F.lit(float(slope[i])) * gap[i]
-        inner = F.lit(0.0)
-        for j in range(d):
-            inner = inner + F.lit(float(inverse[i, j] / n)) * gap[j]
-        leverage = leverage + gap[i] * inner
-    error = F.abs((F.col(target) - fitted) / F.nullif(1.0 - leverage, F.lit(0.0)))
-    return used.agg(F.avg(error).alias("loso_mae"), F.count(F.lit(1)).alias("n_subjects"))
+    used = points.filter(F.col(target).isNotNull() & ~F.isnan(target)).select(
+        F.transform(vector, lambda v: v.cast("double")).alias("z"), F.col(target).cast("double").alias("t"))
+    if used.limit(3).count() < 3:
+        return used.agg(F.lit(None).cast("double").alias("loso_mae"), F.count(F.lit(1)).alias("n_subjects"))
+    n, mean, cov = covariance(used.select(F.concat("z", F.array("t")).alias("z")))
+    inverse = np.linalg.pinv(cov[:-1, :-1], rcond=1e-10)
+    slope = inverse @ cov[:-1, -1]
+
+    def error(z: pd.Series, t: pd.Series) -> pd.Series:
+        gap = np.stack(z.to_numpy()) - mean[:-1]
+        leverage = (1.0 + np.einsum("bi,ij,bj->b", gap, inverse, gap)) / n
+        return pd.Series(np.abs((t.to_numpy() - mean[-1] - gap @ slope) / (1.0 - leverage)))
+
+    errors = used.select(F.pandas_udf(error, "double")("z", "t").alias("e"))
+    return errors.agg(F.avg("e").alias("loso_mae"), F.count(F.lit(1)).alias("n_subjects"))
 
 
 def loo_probe_with_selection(

@@ -77,15 +77,20 @@ def ordered_prefix(
     )
 
 
+def _rank_table(stored: DataFrame, keys: list[str], value: str, out: str, descending: bool, task_rows: int) -> DataFrame:
+    """Mean rank of every distinct value of a group."""
+    counts = stored.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = ordered_prefix(counts, keys, value, {"_upto": ("count", "_n")}, descending, task_rows)
+    return ranked.select(*keys, value, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(out))
+
+
 def average_rank(
     df: DataFrame, by: list[str], value: str, out: str = "rank", descending: bool = False, task_rows: int = TASK_ROWS
 ) -> DataFrame:
     """Add the 1-based rank of `value` in its group, ties sharing their mean rank."""
     keyed, keys = _keyed(df, by)
     stored = materialize(keyed)
-    counts = stored.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = ordered_prefix(counts, keys, value, {"_upto": ("count", "_n")}, descending, task_rows)
-    ranks = ranked.select(*keys, value, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(out))
+    ranks = _rank_table(stored, keys, value, out, descending, task_rows)
     return stored.join(ranks, [*keys, value]).select(*df.columns, out)
 
 
@@ -165,14 +170,27 @@ def mondrian_conformal(
     )
 
 
-def spearman(df: DataFrame, by: list[str], x: str, y: str, min_rows: int = 5) -> DataFrame:
-    """Rank correlation per group over rows where both sides are present; NULL below `min_rows`."""
-    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
-    ranked = average_rank(average_rank(both, by, x, "_rx"), by, y, "_ry")
-    return ranked.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.when(F.count(F.lit(1)) >= min_rows, F.corr("_rx", "_ry")).alias("rho"),
-    )
+def spearman(df: DataFrame, by: list[str], x: str, y: str, min_rows: int = 5, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Rank correlation per group over rows where both sides are present; NULL below `min_rows`.
+
+    Equal (x, y) pairs are counted once and weighted, so the joins see distinct pairs only.
+    """
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    keyed, keys = _keyed(both, by)
+    stored = materialize(keyed.groupBy(*keys, "_x", "_y").agg(F.count(F.lit(1)).alias("_k")))
+    rows = stored.select(*keys, "_x", "_y", "_k")
+    out = rows
+    for value, rank in (("_x", "_rx"), ("_y", "_ry")):
+        counts = rows.groupBy(*keys, value).agg(F.sum("_k").alias("_n"))
+        ranked = ordered_prefix(counts, keys, value, {"_upto": ("count", "_n")}, task_rows=task_rows)
+        out = out.join(ranked.select(*keys, value, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(rank)), [*keys, value])
+    # Mean ranks sum to n (n + 1) / 2, so both sides are centred exactly before the weighted moments.
+    sizes = rows.groupBy(*keys).agg(F.sum("_k").alias("n"))
+    dx, dy, k = F.col("_rx") - (F.col("n") + 1) / 2.0, F.col("_ry") - (F.col("n") + 1) / 2.0, F.col("_k")
+    spread = F.sqrt(F.sum(k * dx * dx) * F.sum(k * dy * dy))
+    rho = F.sum(k * dx * dy) / F.nullif(spread, F.lit(0.0))
+    return out.join(sizes, keys).groupBy(*keys).agg(
+        F.max("n").alias("n"), F.when(F.max("n") >= min_rows, rho).alias("rho")).select(*by, "n", "rho")
 
 
 def pi1(df: DataFrame, by: list[str], p: str = "p_val", cut: float = 0.5) -> DataFrame:
