@@ -68,6 +68,19 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def literal_vector(values) -> Column:
+    """Constant array<double>, parsed in one step (a literal per entry is slow to build)."""
+    def text(v: float) -> str:
+        return f"{v!r}D" if v == v and abs(v) != float("inf") else f"CAST('{v}' AS DOUBLE)"
+
+    return F.expr("array(" + ", ".join(text(float(v)) for v in values) + ")")
+
+
+def vector_aggregate(function: str, vector: str, d: int) -> Column:
+    """Array of one aggregate per component of an array column of known width."""
+    return F.expr("array(" + ", ".join(f"{function}(`{vector}`[{i}])" for i in range(d)) + ")")
+
+
 def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 

@@ -94,16 +94,19 @@ def _nonnegative(gram: np.ndarray, rhs: np.ndarray) -> np.ndarray:
 def deconvolve(betas: DataFrame, panel: DataFrame, cell_types: list[str], check: bool = True) -> DataFrame:
     """Non-negative cell fractions per sample, adding to one, from a reference panel.
 
-    `panel(feature_id, *cell_types)`. Values outside [-0.01, 1.01] are refused.
+    `panel(feature_id, *cell_types)`. Values outside [-0.01, 1.01] make the job fail.
     Each sample is reduced to its K x K normal equations by one aggregate.
     """
-    if check and not betas.filter((F.col("value") < -0.01) | (F.col("value") > 1.01)).isEmpty():
-        raise ValueError("values outside [-0.01, 1.01]: these are no beta values")
+    value = F.col("value")
+    if check:
+        outside = (value < -0.01) | (value > 1.01)
+        value = F.when(outside, F.raise_error(F.lit("values outside [-0.01, 1.01] are no beta values")).cast("double")).otherwise(value)
     k = len(cell_types)
     pairs = [(i, i) for i in range(k)] + list(combinations(range(k), 2))
     c = [F.col(name).cast("double") for name in cell_types]
     moments = (
-        betas.filter(F.col("value").isNotNull())
+        betas.select("sample_id", "feature_id", value.alias("value"))
+        .filter(F.col("value").isNotNull())
         .join(small_side(panel.select("feature_id", *cell_types)), "feature_id")
         .groupBy("sample_id")
         .agg(

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,9 +36,9 @@ def cross_product(vectors: DataFrame, vector: str = "z") -> np.ndarray:
 def covariance(vectors: DataFrame, vector: str = "z") -> tuple[int, np.ndarray, np.ndarray]:
     """Row count, mean and population covariance of the vectors."""
     d = _width(vectors, vector)
-    row = vectors.agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(F.col(vector)[i]) for i in range(d)]).alias("m")).first()
+    row = vector_mean(vectors, [], vector, "m", d).first()
     mean = np.array(row["m"])
-    centred = vectors.select(F.zip_with(vector, F.array(*[F.lit(float(v)) for v in mean]), lambda a, b: a - b).alias("c"))
+    centred = vectors.select(F.zip_with(vector, C.literal_vector(mean), lambda a, b: a - b).alias("c"))
     return row["n"], mean, cross_product(centred, "c") / max(row["n"], 1)
 
 
@@ -49,20 +49,15 @@ def _oriented(vectors: np.ndarray) -> np.ndarray:
     return vectors * np.where(sign == 0, 1.0, sign)
 
 
-def _literal_array(values) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
-
-
 def pca_vectors(vectors: DataFrame, k: int, keep: list[str], vector: str = "z") -> dict[str, DataFrame]:
     """Components of row vectors of modest width: scores, loadings and explained shares."""
     n, mean, cov = covariance(vectors, vector)
     values, axes = np.linalg.eigh(cov)
     k = min(k, n - 1, len(mean))
     axes = _oriented(axes[:, ::-1][:, :k])
-    shift = _literal_array(mean)
-    centred = F.zip_with(vector, shift, lambda a, b: a - b)
+    centred = F.zip_with(vector, C.literal_vector(mean), lambda a, b: a - b)
     spark = vectors.sparkSession
-    scores = vectors.select(*keep, F.array(*[C.dot(centred, _literal_array(axes[:, j])) for j in range(k)]).alias("scores"))
+    scores = vectors.select(*keep, F.array(*[C.dot(centred, C.literal_vector(axes[:, j])) for j in range(k)]).alias("scores"))
     loadings = spark.createDataFrame(
         [(i, j + 1, float(axes[i, j])) for i in range(len(mean)) for j in range(k)],
         "feature_id int, component int, loading double",
@@ -471,7 +466,7 @@ def recovery_axis(deltas: DataFrame, flag: str = "responder", vector: str = "z")
     _, mean, cov = covariance(rows, vector)
     axis = np.linalg.eigh(cov)[1][:, -1]
     axis = -axis if axis @ mean < 0 else axis
-    return deltas.sparkSession.range(1).select(_literal_array(axis / (np.linalg.norm(axis) + 1e-12)).alias("axis"))
+    return deltas.sparkSession.range(1).select(C.literal_vector(axis / (np.linalg.norm(axis) + 1e-12)).alias("axis"))
 
 
 def two_anchor_axis(clouds: DataFrame, toward: str, away: str, min_toward: int = 10, min_away: int = 5,
@@ -489,7 +484,7 @@ def two_anchor_axis(clouds: DataFrame, toward: str, away: str, min_toward: int =
     length = float(np.linalg.norm(gap))
     if length < 1e-12:
         raise ValueError("the two centroids coincide")
-    return clouds.sparkSession.range(1).select(_literal_array(gap / length).alias("axis"))
+    return clouds.sparkSession.range(1).select(C.literal_vector(gap / length).alias("axis"))
 
 
 def axis_projection(termini: DataFrame, axis: DataFrame, vector: str = "z", out: str = "recovery_score") -> DataFrame:

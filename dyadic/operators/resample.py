@@ -7,6 +7,8 @@ are rows; a statistic over B replicates is one grouped aggregate.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,10 +32,10 @@ def draw_integer(seed: int, *parts: Column) -> Column:
 
 
 def hash_position(df: DataFrame, by: list[str], key: Column, out: str, tiebreak: str, rows: int | None = None) -> DataFrame:
-    """1-based place of each row when its group is sorted by hash.
+    """1-based place of each row when its group is sorted by a text key, usually a hash.
 
-    Groups beyond one task's worth are sorted per leading-digit range: hashes are
-    uniform, so the ranges are even, and their counts give the offsets.
+    Groups beyond one task's worth are sorted per range of leading characters, and
+    the counts of the ranges give the offsets; for hashes the ranges are even.
     """
     hashed = df.withColumn("_hash", key)
     rows = hashed.groupBy(*by).count().agg(F.max("count")).first()[0] if rows is None and by else rows
@@ -124,8 +126,7 @@ def _width(df: DataFrame, vector: str) -> int:
 def vector_mean(df: DataFrame, by: list[str], vector: str = "z", out: str = "centroid", d: int | None = None) -> DataFrame:
     """Mean vector per group, one partially aggregated average per component."""
     d = _width(df, vector) if d is None else d
-    return df.groupBy(*by).agg(F.array(*[F.avg(F.col(vector)[i]) for i in range(d)]).alias(out),
-                               F.count(F.lit(1)).alias("n"))
+    return df.groupBy(*by).agg(C.vector_aggregate("avg", vector, d).alias(out), F.count(F.lit(1)).alias("n"))
 
 
 def permanova(scores: DataFrame, replicates: int = 2000, seed: int = 42, subject: str = "subject_id",
@@ -137,20 +138,16 @@ def permanova(scores: DataFrame, replicates: int = 2000, seed: int = 42, subject
     """
     labelled = scores.filter(F.col(label).isNotNull())
     d = _width(labelled, vector)
-    row = labelled.agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col(vector)[i]).alias(f"m{i}") for i in range(d)]).first()
+    row = vector_mean(labelled, [], vector, "m", d).first()
     n = row["n"]
     centred = labelled.select(
-        subject, label, *[(F.col(vector)[i] - F.lit(row[f"m{i}"])).alias(f"c{i}") for i in range(d)]
-    )
-    total = centred.agg(F.sum(sum((F.col(f"c{i}") * F.col(f"c{i}") for i in range(d)), F.lit(0.0)))).scalar()
+        subject, label, F.zip_with(vector, C.literal_vector(row["m"]), lambda a, b: a - b).alias("_c"))
+    total = centred.agg(F.sum(C.dot(F.col("_c"), F.col("_c")))).scalar()
     grid = permutation_grid(labelled.select(subject, label), replicates, seed, subject, label)
     groups = grid.join(small_side(centred.drop(label)), subject).groupBy("rep", label).agg(
-        F.count(F.lit(1)).alias("k"), *[F.sum(f"c{i}").alias(f"s{i}") for i in range(d)]
-    )
+        F.count(F.lit(1)).alias("k"), C.vector_aggregate("sum", "_c", d).alias("_s"))
     between = groups.groupBy("rep").agg(
-        F.sum(sum((F.col(f"s{i}") * F.col(f"s{i}") for i in range(d)), F.lit(0.0)) / F.col("k")).alias("ssb"),
-        F.count(F.lit(1)).alias("g"),
-    )
+        F.sum(C.dot(F.col("_s"), F.col("_s")) / F.col("k")).alias("ssb"), F.count(F.lit(1)).alias("g"))
     within = F.col("sst") - F.col("ssb")
     df1, df2 = F.col("g") - 1, F.lit(n) - F.col("g")
     f = F.when((within <= 1e-12) | (df2 == 0) | (df1 == 0), F.lit(0.0)).otherwise(
@@ -208,15 +205,12 @@ def hotelling_t2(scores: DataFrame, label: str = "label", vector: str = "z") ->
 
     Only the group sizes, means and the pooled d x d covariance reach the driver.
     """
-    import numpy as np
-
     d = _width(scores, vector)
-    parts = [F.col(vector)[i] for i in range(d)]
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    cov = F.expr("array(" + ", ".join(f"covar_pop(`{vector}`[{i}], `{vector}`[{j}])" for i, j in pairs) + ")")
     rows = collect_bounded(
         scores.filter(F.col(label).isNotNull()).groupBy(label).agg(
-            F.count(F.lit(1)).alias("n"), F.array(*[F.avg(p) for p in parts]).alias("m"),
-            F.array(*[F.covar_pop(parts[i], parts[j]) for i, j in pairs]).alias("c"),
+            F.count(F.lit(1)).alias("n"), C.vector_aggregate("avg", vector, d).alias("m"), cov.alias("c"),
         ), 2, "groups of a two-sample test",
     )
     by = {r[label]: r for r in rows}
@@ -234,25 +228,34 @@ def hotelling_t2(scores: DataFrame, label: str = "label", vector: str = "z") ->
     return out.withColumn("p_val", f_upper_udf("f", "df1", "df2"))
 
 
+# Samples up to which a permutation test works on the samples x samples cross-product (8 MB).
+_CROSS_SAMPLES = 1024
+
+
 def centroid_permutation(features: DataFrame, subjects: DataFrame, anchor: DataFrame, replicates: int = 2000,
                          seed: int = 42, subject: str = "sample_id", label: str = "label") -> DataFrame:
     """d(label 0 centroid, anchor) - d(label 1 centroid, anchor) and its lower-tail permutation p.
 
     `features(sample, feature_id, value)`, `subjects(sample, label 0/1)`,
     `anchor(feature_id, value)`. Values are taken relative to the anchor, so a
-    replicate needs only per-feature group means. Each feature's values are read
-    once and all replicates of a task's rows are summed before the shuffle.
+    group's squared distance is the sum of its block of the samples x samples
+    cross-product over n squared: the features are read once, whatever the number
+    of replicates. Tables with missing cells or very many samples take per-feature
+    group means per replicate instead.
     """
-    known = subjects.filter(F.col(label).isNotNull()).select(subject, label)
-    shifted = features.join(anchor.withColumnRenamed("value", "_anchor"), "feature_id").select(
-        subject, "feature_id", (F.col("value") - F.col("_anchor")).alias("_v")
-    )
+    known = subjects.filter(F.col(label).isNotNull()).select(subject, F.col(label).cast("int").alias(label))
+    shifted = features.join(anchor.withColumnRenamed("value", "_anchor"), "feature_id").join(
+        small_side(known.select(subject)), subject, "left_semi").select(
+        subject, "feature_id", (F.col("value") - F.col("_anchor")).alias("_v"))
     grid = permutation_grid(known, replicates, seed, subject, label)
-    # One row per subject holding its labels over all replicates, in replicate order.
-    labels = grid.groupBy(subject).agg(F.sort_array(F.collect_list(F.struct("rep", label))).alias("_labels"))
-    per_rep = shifted.join(small_side(labels), subject).select("feature_id", "_v", F.inline("_labels"))
-    means = per_rep.groupBy("rep", "feature_id", label).agg(F.avg("_v").alias("_m"))
-    distance = means.groupBy("rep", label).agg(F.sqrt(F.sum(F.col("_m") * F.col("_m"))).alias("_d"))
+    sizes = shifted.agg(F.countDistinct(subject).alias("n"), F.countDistinct("feature_id").alias("p"), F.count("_v").alias("k")).first()
+    if sizes["n"] <= _CROSS_SAMPLES and sizes["k"] == sizes["n"] * sizes["p"]:
+        distance = _group_norms(shifted, grid, subject, label)
+    else:
+        labels = grid.groupBy(subject).agg(F.collect_list(F.struct("rep", label)).alias("_labels"))  # one per replicate
+        per_rep = shifted.join(small_side(labels), subject).select("feature_id", "_v", F.inline("_labels"))
+        means = per_rep.groupBy("rep", "feature_id", label).agg(F.avg("_v").alias("_m"))
+        distance = means.groupBy("rep", label).agg(F.sqrt(F.sum(F.col("_m") * F.col("_m"))).alias("_d"))
     gap = distance.groupBy("rep").agg(
         F.max(F.when(F.col(label) == 0, F.col("_d"))).alias("d_zero"),
         F.max(F.when(F.col(label) == 1, F.col("_d"))).alias("d_one"),
@@ -264,6 +267,22 @@ def centroid_permutation(features: DataFrame, subjects: DataFrame, anchor: DataF
     )
 
 
+def _group_norms(shifted: DataFrame, grid: DataFrame, subject: str, label: str) -> DataFrame:
+    """Norm of each group's mean vector per (rep, label), from the cross-product of the samples."""
+    from dyadic.operators.multivariate import cross_product
+
+    per_feature = shifted.groupBy("feature_id").agg(F.sort_array(F.collect_list(F.struct(subject, "_v"))).alias("_p"))
+    gram = cross_product(per_feature.select(F.transform("_p", lambda p: p["_v"]).alias("z")))
+    ids = {r[0]: i for i, r in enumerate(shifted.select(subject).distinct().orderBy(subject).collect())}  # n is bounded above
+    order = shifted.sparkSession.createDataFrame(list(ids.items()), f"{subject} {shifted.schema[subject].dataType.simpleString()}, _i int")
+    members = grid.join(F.broadcast(order), subject).groupBy("rep", label).agg(F.collect_list("_i").alias("_m"))
+
+    def norm(groups: pd.Series) -> pd.Series:
+        return pd.Series([np.sqrt(max(gram[np.ix_(m, m)].sum(), 0.0)) / len(m) for m in map(np.asarray, groups)])
+
+    return members.select("rep", label, F.pandas_udf(norm, "double")("_m").alias("_d"))
+
+
 def proximity_test(termini: DataFrame, reference: DataFrame, bootstrap: int = 2000, permutations: int = 2000,
                    seed: int = 42, subject: str = "subject_id", label: str = "label", vector: str = "z") -> DataFrame:
     """Are label-0 termini closer to the reference centroid? One row with effect, signed d, CIs and p.

@@ -8,11 +8,11 @@ then split over tasks, and the statistics can be reused on held-out rows.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dyadic.operators.ranking import top_n
-from dyadic.session import small_side
+from dyadic.operators.resample import hash_position
+from dyadic.session import materialize, small_side
 
 
 def impute_mean(features: DataFrame, by: tuple[str, ...] = ("feature_id",), value: str = "value") -> DataFrame:
@@ -207,10 +207,9 @@ def encode_covariates(samples: DataFrame, columns: list[str], fill: str = "mean"
     out = samples
     for name in columns:
         if dict(out.dtypes)[name] in ("string", "boolean"):
-            # One row per distinct level of a categorical covariate.
-            levels = out.filter(F.col(name).isNotNull()).select(name).distinct().withColumn(
-                "_code", (F.row_number().over(W.orderBy(F.col(name).cast("string"))) - 1).cast("double")
-            )
+            levels = materialize(out.filter(F.col(name).isNotNull()).select(name).distinct())
+            placed = hash_position(levels, [], F.col(name).cast("string"), "_at", name, rows=levels.count())
+            levels = placed.select(name, (F.col("_at") - 1).cast("double").alias("_code"))
             out = out.join(levels, name, "left").drop(name).withColumnRenamed("_code", name)
         else:
             out = out.withColumn(name, F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double")))

@@ -39,7 +39,7 @@ def unpivot_matrix(wide: DataFrame, key: str, orientation: str = "features", col
     names = [c for c in wide.columns if c != key] if columns is None else list(columns)
     typed = wide.select(F.col(key).cast("string").alias("_key"), *[F.col(f"`{c}`").try_cast("double").alias(c) for c in names])
     row, col = ("feature_id", "sample_id") if orientation == "features" else ("sample_id", "feature_id")
-    return typed.unpivot("_key", names, col, "value").select(
+    return typed.unpivot("_key", [F.col(f"`{c}`") for c in names], col, "value").select(
         F.col("_key").alias(row), col, finite_or_null(F.col("value")).alias("value")
     ).select("feature_id", "sample_id", "value")
 
