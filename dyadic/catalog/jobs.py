@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dyadic.catalog import recipes as R
-from dyadic.catalog.registry import query, r6, rounded, sr6, table
+from dyadic.catalog.models import SQL_ENRICH, SQL_RANKS
+from dyadic.catalog.registry import query, r6, rounded, sql_bh, sql_fit_own, sql_t_tail, sr6, table
 from dyadic.operators import ranking, scoring
 from dyadic.plans import jobs
 from dyadic.session import scratch_path
@@ -145,7 +146,7 @@ def job_regulator_activity(spark, d):
     return jobs.regulator_report(_activity(spark, d, "ulm"), {"NFAT": ("PROMO", "SMALL"), "WNT": ("LARGE",)}, 0.5, 5)
 
 
-@query("job_regulatory_enrichment")
+@query("job_regulatory_enrichment", SQL_ENRICH)
 def job_regulatory_enrichment(spark, d):
     from dyadic.operators import enrichment
 
@@ -158,7 +159,20 @@ def job_regulatory_enrichment(spark, d):
     return rounded(enrichment.regulatory_enrichment(results, sites, sites, targets, fdr=0.3, bin_width=3600))
 
 
-@query("job_replication")
+# Subjects with a PRE visit: response, covariate and PRE fractions; deltas as `f(sample_id, feature_id, value)`.
+_SQL_SUBJECTS = """d AS (SELECT c_custkey AS sample_id, CAST(c_mktsegment IN ('BUILDING', 'MACHINERY') AS DOUBLE) AS response, c_acctbal / 1000 AS age,
+ avg(o_orderkey % 101) / 101 AS frac_a, avg(o_orderkey % 37) / 37 AS frac_b, any_value(CAST(c_mktsegment IN ('BUILDING', 'MACHINERY') AS DOUBLE)) * avg(o_orderkey % 101) / 101 AS inter_a,
+ any_value(CAST(c_mktsegment IN ('BUILDING', 'MACHINERY') AS DOUBLE)) * avg(o_orderkey % 37) / 37 AS inter_b
+ FROM customer JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'O' GROUP BY ALL)"""
+
+
+@query("job_replication", f"""
+WITH cells AS ({R.sql_cells()}), f AS (SELECT subject_id AS sample_id, feature_id, delta AS value FROM ({R.sql_delta()})), {_SQL_SUBJECTS},
+ {sql_fit_own('f', 'd', ['age', 'response'], 'o')}, ref AS (SELECT feature_id, avg(value) AS reference_coef FROM ({R.sql_cells('P', 'F')}) GROUP BY 1),
+ j AS (SELECT coef, reference_coef, {sql_t_tail('t_stat', 'df')} AS p_val, sign(coef) = sign(reference_coef) AS same FROM o_fit JOIN ref USING (feature_id)),
+ k AS (SELECT *, {SQL_RANKS.format('coef')} AS x, {SQL_RANKS.format('reference_coef')} AS y FROM j)
+SELECT count(p_val) AS n_tested, count(*) FILTER (same AND p_val < 0.1) AS n_replicated, round(count(*) FILTER (same AND p_val < 0.1) / CAST(count(p_val) AS DOUBLE) * 100, 2) AS pct_replicated,
+ CASE WHEN count(*) FILTER (same AND p_val < 0.1) / CAST(count(p_val) AS DOUBLE) * 100 >= 40 THEN 'PASS' ELSE 'FAIL' END AS verdict, {sr6('corr(x, y)')} AS spearman_rho FROM k""")
 def job_replication(spark, d):
     samples = _paired_samples(spark, d).filter("visit = 'PRE'").withColumn("sample_id", F.col("subject_id"))
     reference = R.cells(spark, d, "P", "F").groupBy("feature_id").agg(F.avg("value").alias("coef"))
@@ -176,7 +190,16 @@ def job_set_enrichment(spark, d):
     return rounded(out["terms"].select("cell_type", "library", "term", "observed", "p_val", "q_val").join(out["coherence"], "cell_type", "left"))
 
 
-@query("job_second_cohort")
+@query("job_second_cohort", f"""
+WITH cells AS ({R.sql_cells('P', 'F')}), f AS (SELECT subject_id AS sample_id, feature_id, delta AS value FROM ({R.sql_delta()})), {_SQL_SUBJECTS},
+ {sql_fit_own('f', 'd', ['response', 'age', 'frac_a', 'inter_a'], 'a')}, {sql_fit_own('f', 'd', ['response', 'age', 'frac_b', 'inter_b'], 'b')},
+ u AS (SELECT 'frac_a' AS cell_type, feature_id, coef, t_stat, df FROM a_fit UNION ALL SELECT 'frac_b', feature_id, coef, t_stat, df FROM b_fit),
+ p AS (SELECT *, {sql_t_tail('t_stat', 'df')} AS p_val FROM u), q AS ({sql_bh('p', 'cell_type')}), m AS (SELECT *, sin(length(feature_id)) AS c1 FROM q),
+ k AS (SELECT *, {SQL_RANKS.format('c1')} AS x, {SQL_RANKS.format('coef')} AS y FROM m),
+ s AS (SELECT count(*) AS n, avg(CASE WHEN sign(c1) = sign(coef) THEN 1.0::DOUBLE ELSE 0 END) AS sc, corr(x, y) AS rho, round(1 - least(1, count(*) FILTER (p_val > 0.5) / (count(*) * 0.5::DOUBLE)), 4) AS pi1,
+  count(*) FILTER (q_val < 0.05) AS nf, count(*) FILTER (p_val < 0.05) AS np FROM k)
+SELECT n AS n_hits, n AS n_matched, round(sc, 4) AS sign_concordance, round(rho, 4) + 0.0 AS spearman_rho, pi1, nf AS n_sig_fdr, np AS n_sig_p,
+ CASE WHEN sc >= 0.55 AND pi1 >= 0.3 AND rho >= 0.15 THEN 'REPLICATES' WHEN sc >= 0.5 AND pi1 >= 0.2 THEN 'MARGINAL' ELSE 'DOES_NOT_REPLICATE' END AS verdict FROM s""")
 def job_second_cohort(spark, d):
     samples = _paired_samples(spark, d).filter("visit = 'PRE'").withColumn("sample_id", F.col("subject_id"))
     first = jobs.second_cohort(
@@ -186,7 +209,9 @@ def job_second_cohort(spark, d):
     return rounded(first["summary"])
 
 
-@query("job_feature_tables")
+@query("job_feature_tables", f"""
+SELECT l_partkey AS feature_id, count(*) AS n, {sr6('sum(l_discount)')} AS total FROM lineitem
+WHERE l_partkey IN (SELECT feature_id FROM ({R.sql_results()}) WHERE q_val < 0.1) GROUP BY 1""")
 def job_feature_tables(spark, d):
     li = table(spark, d, "lineitem")
     dnam = li.select(F.col("l_partkey").alias("feature_id"), F.col("l_suppkey").alias("sample_id"), F.col("l_discount").alias("value"))
@@ -225,7 +250,12 @@ def job_leaderboard(spark, d):
     return ranking.leaderboard(arms, ["A", "B", "C"], list(scoring.METRICS))
 
 
-@query("job_projection")
+@query("job_projection", f"""
+WITH f AS (SELECT x.*, e.label FROM ({R.SQL_DENSE}) x JOIN embeddings e ON vec_id = sample_id),
+ c AS (SELECT sample_id, label, comp, sum(value * cos(feature_id * comp)) AS z FROM f, (SELECT unnest([1, 2, 3, 4]) AS comp) GROUP BY ALL),
+ a AS (SELECT comp, avg(z) FILTER (label = 9) - avg(z) FILTER (label = 8) AS g FROM c GROUP BY comp), u AS (SELECT comp, g / sqrt(sum(g * g) OVER ()) AS w FROM a)
+SELECT sample_id AS subject_id, CASE WHEN label < 4 THEN 'R' ELSE 'NR' END AS response, 'first' AS cohort, {sr6('sum(z * w)')} AS recovery_score
+FROM c JOIN u USING (comp) WHERE label < 8 GROUP BY sample_id, label""")
 def job_projection(spark, d):
     labels = R.points(spark, d).select(F.col("subject_id").alias("sample_id"), "class")
     rows = R.dense(spark, d).join(labels, "sample_id")
