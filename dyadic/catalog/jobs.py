@@ -42,6 +42,50 @@ def _embedding_subjects(spark, d):
     return R.deltas(spark, d).select("subject_id", F.col("responder").cast("int").alias("label"))
 
 
+# Subjects with a PRE visit: response, covariate and PRE fractions; deltas as `f(sample_id, feature_id, value)`.
+_SQL_SUBJECTS = """d AS (SELECT c_custkey AS sample_id, CAST(c_mktsegment IN ('BUILDING', 'MACHINERY') AS DOUBLE) AS response, c_acctbal / 1000 AS age,
+ avg(o_orderkey % 101) / 101 AS frac_a, avg(o_orderkey % 37) / 37 AS frac_b, any_value(CAST(c_mktsegment IN ('BUILDING', 'MACHINERY') AS DOUBLE)) * avg(o_orderkey % 101) / 101 AS inter_a,
+ any_value(CAST(c_mktsegment IN ('BUILDING', 'MACHINERY') AS DOUBLE)) * avg(o_orderkey % 37) / 37 AS inter_b
+ FROM customer JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'O' GROUP BY ALL)"""
+
+
+def _sql_side(name: str, status: str) -> str:
+    """Design of one visit: response, covariate, fractions and their products with response."""
+    r = "CAST(c_mktsegment IN ('BUILDING', 'MACHINERY') AS DOUBLE)"
+    return f"""{name} AS (SELECT *, response * frac_a AS inter_a, response * frac_b AS inter_b FROM (SELECT c_custkey AS sample_id, {r} AS response, c_acctbal / 1000 AS age,
+ avg(o_orderkey % 101) / 101 AS frac_a, avg(o_orderkey % 37) / 37 AS frac_b FROM customer JOIN orders ON o_custkey = c_custkey AND o_orderstatus = '{status}' GROUP BY ALL))"""
+
+
+_SQL_DELTA_DESIGN = f"""{_sql_side('dpre', 'O')}, {_sql_side('dpost', 'F')},
+ ddelta AS (SELECT *, response * frac_a AS inter_a, response * frac_b AS inter_b FROM (SELECT sample_id, a.response, a.age, b.frac_a - a.frac_a AS frac_a, b.frac_b - a.frac_b AS frac_b FROM dpre a JOIN dpost b USING (sample_id)))"""
+
+
+def _sql_contrasts() -> str:
+    parts, tags = [], []
+    for contrast in ("pre", "post", "delta"):
+        for c in ("a", "b"):
+            name = f"{contrast}_{c}"
+            parts.append(sql_fit_own(f"f{contrast}", f"d{contrast}", ["response", "age", f"frac_{c}", f"inter_{c}"], name))
+            tags.append(f"SELECT '{contrast}' AS contrast, 'frac_{c}' AS cell_type, feature_id, coef, t_stat, df FROM {name}_fit")
+    beta = "greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, value / (top * CAST(1.01 AS DOUBLE))))"
+    return f"""WITH raw AS ({R.sql_cells()}), cells AS (SELECT subject_id, visit, feature_id, greatest(-8, least(8, log2({beta} / (1 - {beta})))) AS value FROM raw, (SELECT max(value) AS top FROM raw)),
+ fpre AS (SELECT subject_id AS sample_id, feature_id, value FROM cells WHERE visit = 'PRE'), fpost AS (SELECT subject_id AS sample_id, feature_id, value FROM cells WHERE visit = 'POST'),
+ fdelta AS (SELECT subject_id AS sample_id, feature_id, delta AS value FROM ({R.sql_delta()})), {_SQL_DELTA_DESIGN}, {', '.join(parts)}, u AS ({' UNION ALL '.join(tags)}),
+ p AS (SELECT *, {sql_t_tail('t_stat', 'df')} AS p_val FROM u), q AS ({sql_bh('p', 'contrast, cell_type')}),
+ w AS (SELECT feature_id, cell_type, bool_or(q_val < 0.5) FILTER (contrast = 'delta') AS d, bool_or(q_val < 0.5) FILTER (contrast <> 'delta') AS e FROM q GROUP BY ALL)
+SELECT feature_id, cell_type, {sr6('coef')} AS coef, {sr6('p_val')} AS p_val, {sr6('q_val')} AS q_val,
+ CASE WHEN d AND NOT e THEN 'state_of_recovery' WHEN d THEN 'baseline_and_recovery' WHEN e THEN 'trait_stable' ELSE 'other' END AS cross_contrast_class
+FROM q JOIN w USING (feature_id, cell_type) WHERE contrast = 'delta'"""
+
+
+_SQL_PC1_DELTA = f"""WITH cells AS ({R.sql_cells()}), f AS (SELECT subject_id AS sample_id, feature_id, delta AS value FROM ({R.sql_delta()})), {_SQL_DELTA_DESIGN},
+ s AS (SELECT *, (frac_a - avg(frac_a) OVER ()) / stddev_pop(frac_a) OVER () AS za, (frac_b - avg(frac_b) OVER ()) / stddev_pop(frac_b) OVER () AS zb, corr(frac_a, frac_b) OVER () AS r FROM ddelta),
+ d AS (SELECT *, response * pc1 AS inter FROM (SELECT *, (CASE WHEN r >= 0 THEN za + zb ELSE za - zb END) / sqrt(2) AS pc1 FROM s)),
+ {sql_fit_own('f', 'd', ['response', 'age', 'pc1', 'inter'], 'i')}, {sql_fit_own('f', 'd', ['age', 'pc1', 'inter', 'response'], 'r')},
+ u AS (SELECT 'interaction' AS term, * FROM i_fit UNION ALL SELECT 'response', * FROM r_fit), p AS (SELECT *, {sql_t_tail('t_stat', 'df')} AS p_val FROM u)
+SELECT feature_id, term, n, {sr6('abs(coef)', 4)} AS size, {sr6('se', 4)} AS se, {sr6('p_val')} AS p_val, {sr6('q_val')} AS q_val FROM ({sql_bh('p', 'term')})"""
+
+
 @query("job_load_check", f"""
 WITH v AS ({R.SQL_VISITS}), o AS (SELECT l_orderkey FROM lineitem GROUP BY 1)
 SELECT visit, response, count(*) AS n, (SELECT count(*) FROM o) AS n_samples, (SELECT count(*) FROM o WHERE l_orderkey NOT IN (SELECT sample_id FROM v)) AS n_unmatched FROM v GROUP BY ALL""")
@@ -113,17 +157,19 @@ def job_cell_fractions(spark, d):
     return rounded(jobs.cell_fractions(betas, panel, ["a", "b", "c"], samples)["samples"])
 
 
-@query("job_interaction_contrasts")
+@query("job_interaction_contrasts", _sql_contrasts())
 def job_interaction_contrasts(spark, d):
     out = jobs.interaction_contrasts(_betas(spark, d), _paired_samples(spark, d), ["frac_a", "frac_b"], ["age"], fdr=0.5)
     tested = out["delta"].filter("term = 'interaction'").select("feature_id", "cell_type", "coef", "p_val", "q_val")
     return rounded(tested.join(out["classes"], ["feature_id", "cell_type"]))
 
 
-@query("job_differential_expression")
+@query("job_differential_expression", _SQL_PC1_DELTA)
 def job_differential_expression(spark, d):
     out = jobs.differential_expression(R.cells(spark, d), _paired_samples(spark, d), ["frac_a", "frac_b"], ["age"])
-    return rounded(out["delta"].select("feature_id", "term", "n", "coef", "se", "p_val", "q_val"))
+    # The sign of a component is a convention, so sizes are compared.
+    return out["delta"].select("feature_id", "term", "n", r6(F.abs("coef"), 4).alias("size"), r6("se", 4).alias("se"),
+                               r6("p_val").alias("p_val"), r6("q_val").alias("q_val"))
 
 
 def _activity(spark, d, method: str):
@@ -159,13 +205,6 @@ def job_regulatory_enrichment(spark, d):
     return rounded(enrichment.regulatory_enrichment(results, sites, sites, targets, fdr=0.3, bin_width=3600))
 
 
-# Subjects with a PRE visit: response, covariate and PRE fractions; deltas as `f(sample_id, feature_id, value)`.
-_SQL_SUBJECTS = """d AS (SELECT c_custkey AS sample_id, CAST(c_mktsegment IN ('BUILDING', 'MACHINERY') AS DOUBLE) AS response, c_acctbal / 1000 AS age,
- avg(o_orderkey % 101) / 101 AS frac_a, avg(o_orderkey % 37) / 37 AS frac_b, any_value(CAST(c_mktsegment IN ('BUILDING', 'MACHINERY') AS DOUBLE)) * avg(o_orderkey % 101) / 101 AS inter_a,
- any_value(CAST(c_mktsegment IN ('BUILDING', 'MACHINERY') AS DOUBLE)) * avg(o_orderkey % 37) / 37 AS inter_b
- FROM customer JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'O' GROUP BY ALL)"""
-
-
 @query("job_replication", f"""
 WITH cells AS ({R.sql_cells()}), f AS (SELECT subject_id AS sample_id, feature_id, delta AS value FROM ({R.sql_delta()})), {_SQL_SUBJECTS},
  {sql_fit_own('f', 'd', ['age', 'response'], 'o')}, ref AS (SELECT feature_id, avg(value) AS reference_coef FROM ({R.sql_cells('P', 'F')}) GROUP BY 1),

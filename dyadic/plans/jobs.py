@@ -172,12 +172,14 @@ def interaction_contrasts(
 
 
 def _delta_design(samples: DataFrame, changing: Sequence[str], fixed: Sequence[str]) -> DataFrame:
-    """Per subject: POST - PRE of the changing columns; response and fixed columns from PRE."""
+    """Per paired subject: POST - PRE of the changing columns; response and fixed columns from PRE."""
     def at(visit: str, c: str) -> Column:
         return F.max(F.when(F.col("visit") == visit, F.col(c)))
 
     return samples.groupBy(F.col("subject_id").alias("sample_id")).agg(
-        *[(at("POST", c) - at("PRE", c)).alias(c) for c in changing], *[at("PRE", c).alias(c) for c in ("response", *fixed)])
+        F.countDistinct("visit").alias("_visits"),
+        *[(at("POST", c) - at("PRE", c)).alias(c) for c in changing], *[at("PRE", c).alias(c) for c in ("response", *fixed)],
+    ).filter(F.col("_visits") == 2).drop("_visits")
 
 
 def differential_expression(observations: DataFrame, samples: DataFrame, cell_types: Sequence[str],
