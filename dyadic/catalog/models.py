@@ -112,7 +112,8 @@ def _replication_sql() -> str:
     pieces += ["dm AS (SELECT *, CAST(therapy = 'CPT' AS DOUBLE) AS marked, response * CAST(therapy = 'CPT' AS DOUBLE) AS crossed FROM d)",
                sql_fit_own("f", "dm", ["response", "age", "marked", "crossed"], "x")]
     union = " UNION ALL ".join(
-        f"SELECT '{part}' AS part, '{s}' AS stratum, feature_id, n, CASE WHEN n >= {k} THEN coef END AS coef, CASE WHEN n >= {k} THEN se END AS se FROM {name}_fit"
+        f"SELECT '{part}' AS part, '{s}' AS stratum, feature_id, n, CASE WHEN n >= {k} THEN coef END AS coef, CASE WHEN n >= {k} THEN se END AS se FROM {name}_fit "
+        + (f"WHERE (SELECT count(*) FROM d_{s}) >= 5" if part == "within" else "")
         for part, s, name, k in (("overall", "", "o", 5), ("within", "CPT", "wCPT", 5), ("within", "PE", "wPE", 5), ("interaction", "", "x", 7)))
     return f"""WITH {RAGGED_BASE}, {SQL_REF}, {', '.join(pieces)}, u AS ({union})
 SELECT part, stratum, feature_id, CAST(n AS BIGINT) AS n, {sr6('coef')} AS coef, {sr6('se')} AS se,
@@ -344,11 +345,11 @@ def sql_hyper(k: str, total: str, marked: str, drawn: str) -> str:
 SQL_ENRICH = f"""
 WITH q AS ({R.SQL_SPOTS}), t AS ({R.SQL_REGIONS}), r AS (SELECT event_id AS feature_id, user_id % 4 AS cell_type, {R.sql_hashed_p("'sig'", 'event_id')} AS q_val FROM events),
  m AS (SELECT DISTINCT feature_id, set_name FROM q JOIN t ON q.chrom = t.chrom AND t.start < q."end" AND t."end" > q.start),
- h AS (SELECT cell_type, feature_id FROM r WHERE q_val < 0.3), s AS (SELECT cell_type, count(*) AS n_sig FROM h GROUP BY 1), k AS (SELECT set_name, count(*) AS n_feature FROM m GROUP BY 1),
+ h AS (SELECT cell_type, feature_id FROM r WHERE q_val < 0.3), s AS (SELECT cell_type, count(*) AS n_sig FROM h GROUP BY 1), k AS (SELECT set_name, count(feature_id) AS n_feature FROM (SELECT DISTINCT set_name FROM t) LEFT JOIN m USING (set_name) GROUP BY 1),
  o AS (SELECT cell_type, set_name, count(*) AS observed FROM h JOIN m USING (feature_id) GROUP BY ALL),
  j AS (SELECT s.cell_type, k.set_name, n_sig, (SELECT count(*) FROM q) AS n_background, n_feature, coalesce(observed, 0) AS observed FROM s CROSS JOIN k LEFT JOIN o ON o.cell_type = s.cell_type AND o.set_name = k.set_name),
- p AS (SELECT *, n_sig * (n_feature / CAST(n_background AS DOUBLE)) AS expected, {sql_hyper('observed', 'n_background', 'n_feature', 'n_sig')} AS p_val FROM j)
-SELECT cell_type, set_name, n_sig, n_background, n_feature, observed, {sr6('expected')} AS expected, {sr6('observed / expected')} AS enrichment, {sr6('p_val')} AS p_val, {sr6('q_val')} AS q_val
+ p AS (SELECT *, n_sig * (n_feature / CAST(n_background AS DOUBLE)) AS expected, CASE WHEN n_feature > 0 THEN {sql_hyper('observed', 'n_background', 'n_feature', 'n_sig')} END AS p_val FROM j)
+SELECT cell_type, set_name, n_sig, n_background, n_feature, observed, {sr6('expected')} AS expected, {sr6('observed / nullif(expected, 0)')} AS enrichment, {sr6('p_val')} AS p_val, {sr6('q_val')} AS q_val
 FROM ({sql_bh('p', '', tie='set_name')})"""
 
 
