@@ -19,6 +19,7 @@ METRICS = (
     "v_biological_coherence",
     "vi_archetype_clusterability",
 )
+# Fixed value: the cell shown while there is no enrichment table.
 PENDING = "pending Phase 1 re-run"
 
 
