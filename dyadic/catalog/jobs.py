@@ -280,10 +280,10 @@ def job_factor_run(spark, d):
 def job_leaderboard(spark, d):
     arms = None
     for arm in ("A", "B"):
-        rows = R.deltas(spark, d).withColumn("z", F.slice("z", 1, 4) if arm == "A" else F.slice("z", 5, 4))
+        rows = R.deltas(spark, d).withColumn("z", F.slice("z", 1, 32) if arm == "A" else F.slice("z", 33, 32))
         runs = R.points(spark, d).select(
-            F.floor(F.col("subject_id") / 4).alias("subject_id"), (F.col("subject_id") % 4).alias("run"), F.slice("z", 1 if arm == "A" else 5, 4).alias("z"))
-        scores = R.factor_scores(spark, d).filter(F.col("factor").between(0, 3) if arm == "A" else F.col("factor").between(4, 7))
+            F.floor(F.col("subject_id") / 4).alias("subject_id"), (F.col("subject_id") % 4).alias("run"), F.slice("z", 1 if arm == "A" else 33, 32).alias("z"))
+        scores = R.factor_scores(spark, d).filter(F.col("factor") < 32 if arm == "A" else F.col("factor") >= 32)
         cells = scoring.score_arm(arm, rows, runs, scores, bootstrap=20, k_grid=(2, 3), archetype_bootstrap=2)
         arms = cells if arms is None else arms.unionByName(cells)
     return ranking.leaderboard(arms, ["A", "B", "C"], list(scoring.METRICS))
