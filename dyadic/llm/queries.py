@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dyadic.llm import linededup, mixing, simhash
+from dyadic.llm import decontaminate, linededup, mixing, simhash
 from dyadic.llm.common import table
 
 
@@ -20,13 +20,19 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_line_dedup": op2_line_dedup,
     "op5_simhash": op5_simhash,
+    "op8_decontaminate": op8_decontaminate,
 }
 
 SQL = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op2_line_dedup": linededup.OP2_SQL,
+    "op8_decontaminate": decontaminate.OP8_SQL,
 }
