@@ -10,6 +10,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dyadic.llm.graph import connected_components
 from dyadic.session import materialize, small_side
@@ -44,7 +45,7 @@ def simhash(text: str | None) -> int:
     return int(np.packbits(ones * 2 > len(bits)).view(">i8")[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield pd.Series([simhash(t) for t in texts], dtype="int64")
@@ -64,7 +65,7 @@ def covering_masks(level: int = 1, radius: int = RADIUS, bits: int = BITS) -> li
     return [m - (1 << bits) if m >= 1 << (bits - 1) else m for m in masks]
 
 
-@F.pandas_udf("array<struct<a:long,b:long>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])))
 def _bucket_links(buckets: pd.Series) -> pd.Series:
     """Links that join the fingerprints of one bucket as far as pairs within the radius join them."""
     out = []
