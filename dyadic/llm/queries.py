@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadic.llm import decontaminate, licenses, linededup, mixing, quality, simhash, topk, urls, warc
+from dyadic.llm import decontaminate, licenses, linededup, mixing, quality, simhash, topk, toxicity, urls, warc
 from dyadic.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).drop("group")
 
@@ -60,6 +64,7 @@ QUERIES = {
     "op6_license_scan": op6_license_scan,
     "op7_quality": op7_quality,
     "op8_decontaminate": op8_decontaminate,
+    "op9_toxicity": op9_toxicity,
     "op10_url_verdicts": op10_url_verdicts,
 }
 
