@@ -20,6 +20,8 @@ EDITS = 2
 MASKS = ((0, 1, 2, 4, 10, 11), (0, 1, 3, 4, 5, 6))
 # Seeds of the benchmark side that are broadcast; each holds a context of up to 2 * OVERLAP token hashes.
 SEED_ROWS = 100_000
+# Token positions of a document that are hashed at a time.
+STRETCH = 2048
 KEY = ["doc_id", "text_hash"]
 
 
@@ -66,18 +68,31 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: Sequence[Sequence[int
     """
     seeds = materialize(benchmark_seeds(benchmark, masks, overlap))
     side = F.broadcast(seeds) if fits(seeds, SEED_ROWS) else seeds
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _hashed(F.col("text")).alias("toks")).filter(F.size("toks") >= overlap)
-    at = base.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("toks") - 1)))
-    rows = at.withColumn("key", F.explode(_seeds("toks", F.col("i"), masks)))
-    hits = rows.join(side, "key")
-    # The document's tokens beside the context; those beyond its ends are null and agree with nothing.
-    first = F.col("i") - F.col("off")
-    same = F.transform("context", lambda x, p: F.when(F.get("toks", first + p) == x, 1).otherwise(0))
-    hits = hits.select(*KEY, "item_id", first.alias("first"), same.alias("same")).distinct()
+    around = 2 * overlap
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _hashed(F.col("text")).alias("all")).withColumn("n", F.size("all"))
+    # Stretches of a document's tokens, each with the tokens that a context may need around it. Only these short arrays
+    # stand beside the exploded positions, so the longest document takes no more memory than its own tokens.
+    pick = lambda c: F.struct(
+        F.greatest(F.lit(0), c * STRETCH - around).alias("at"),
+        F.slice("all", F.greatest(F.lit(0), c * STRETCH - around) + 1, F.lit(STRETCH + 2 * around)).alias("toks"), (c * STRETCH).alias("lo"))
+    # Outer generators keep Spark from deriving a filter that would cut every text into tokens a second time.
+    cuts = F.transform(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / STRETCH).cast("int")), pick)
+    parts = base.select(*KEY, "n", F.explode_outer(F.when(F.col("n") >= overlap, cuts)).alias("c")).filter("c is not null").select(*KEY, "n", "c.at", "c.toks", "c.lo")
+    upto = F.least(F.lit(STRETCH), F.col("n") - F.col("lo")) - 1
+    rows = parts.withColumn("i", F.explode_outer(F.sequence(F.col("lo") - F.col("at"), F.col("lo") - F.col("at") + upto)))
+    rows = rows.withColumn("key", F.explode_outer(_seeds("toks", F.col("i"), masks)))
+    # The tokens beside the context, cut out before anything else is done with a hit.
+    place = F.col("i") - F.col("off")
+    hits = rows.join(side, "key").select(
+        *KEY, "n", "item_id", "context", (F.col("at") + place).alias("first"), F.greatest(F.lit(0), -place).alias("skip"),
+        F.slice("toks", F.greatest(F.lit(0), place) + 1, F.lit(around)).alias("part"))
+    agrees = F.transform("context", lambda x, p: F.when(F.get("part", p - F.col("skip")) == x, 1).otherwise(0))
+    same = hits.select(*KEY, "n", "item_id", "first", F.when(F.size("part") > 0, agrees).alias("same"))
+    inside = lambda s: (F.col("first") + s >= 0) & (F.col("first") + s + overlap <= F.col("n"))
     starts = F.filter(
         F.sequence(F.lit(0), F.size("same") - overlap),
-        lambda s: F.aggregate(F.slice("same", s + 1, overlap), F.lit(0), lambda a, x: a + x) >= overlap - edits)
-    found = hits.filter(F.size("same") >= overlap).select(*KEY, "item_id", F.explode(starts).alias("s"), "first")
+        lambda s: inside(s) & (F.aggregate(F.slice("same", s + 1, overlap), F.lit(0), lambda a, x: a + x) >= overlap - edits))
+    found = same.select(*KEY, "item_id", F.explode_outer(starts).alias("s"), "first").filter("s is not null")
     return found.groupBy(*KEY, (F.col("first") + F.col("s")).alias("start")).agg(F.min("item_id").alias("item_id"))
 
 
