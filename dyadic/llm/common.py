@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dyadic.session import small_side
+
 # A word is a run of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,6 +22,28 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of `df` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def matches(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of `docs` (doc_id, text) with `keys` (doc_id, text_hash); null ids match null ids.
+
+    The keys are broadcast while they are counted to be few; otherwise both sides are shuffled.
+    """
+    doc, text = fresh(docs, "_id", "_hash")
+    keys = keys.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text))
+    return docs.join(small_side(keys), F.col("doc_id").eqNullSafe(F.col(doc)) & F.xxhash64("text").eqNullSafe(F.col(text)), how)
+
+
 def running_total(df: DataFrame, by: Sequence[str], bucket: str, order: Sequence, value: Column, name: str) -> DataFrame:
     """Add `name`, the sum of `value` over the earlier rows of a group, in the order (bucket, *order).
 

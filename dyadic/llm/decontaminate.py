@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dyadic.session import fits, materialize, small_side
+from dyadic.llm.common import matches
+from dyadic.session import fits, materialize
 
 # 11 of 13 tokens are a similarity above 0.8.
 OVERLAP = 13
@@ -115,9 +116,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: Sequence[Sequence
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` without the documents that hold a benchmark passage."""
-    found = materialize(contaminated(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    return docs.join(small_side(found), same, "left_anti")
+    return matches(docs, materialize(contaminated(docs, benchmark).select(*KEY)), "left_anti")
 
 
 OP8_SQL = rf"""

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dyadic.llm.common import fresh
+
 # Phrases and their labels.
 PHRASES = {
     "gnu general public license": "gpl",
@@ -116,10 +118,11 @@ def license_scan(docs: DataFrame) -> DataFrame:
     """`docs` (doc_id, text) with `n_words` and `spans`, the notices in the whole text by place.
 
     A null or empty text has no words and no spans. Every row is scanned by itself, repeated ones too; other columns pass
-    through. A base phrase counts at every place, also where places share words.
+    through, but for ones named like the two new columns, which are replaced. A base phrase counts at every place, also where places share words.
     """
-    return docs.withColumn("_found", _scan("text")).withColumns(
-        {"n_words": F.col("_found.n_words"), "spans": F.col("_found.spans")}).drop("_found")
+    (found,) = fresh(docs, "_found")
+    out = docs.withColumn(found, _scan("text"))
+    return out.withColumns({"n_words": F.col(found)["n_words"], "spans": F.col(found)["spans"]}).drop(found)
 
 
 def license_report(docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dyadic.llm.common import word_count
+from dyadic.llm.common import fresh, word_count
 from dyadic.session import BROADCAST_ROWS, materialize
 
 # A run is deleted from RUN_LINES lines or RUN_WORDS words on.
@@ -66,28 +66,29 @@ def drop_repeated_lines(docs: DataFrame, run_lines: int = RUN_LINES, run_words:
 
     The first occurrence of a run in the order (doc_id, text, line) stays, a null doc_id being last. Null texts stay null
     and empty ones empty, with no lines. Rows equal in doc_id and text are one document: they get the same result. Other
-    columns pass through unchanged. An empty table gives an empty result.
+    columns pass through unchanged, but for ones named like the two new columns, which are replaced. An empty table gives an empty result.
     """
     runs = repeated_runs(docs, run_lines, run_words)
     runs = materialize(runs.groupBy(*KEY).agg(
         F.sort_array(F.collect_list(F.struct("start", "lines"))).alias("_runs"), F.sum("lines").alias("_removed")))
     size = runs.agg(F.coalesce(F.sum(F.size("_runs")), F.lit(0))).first()[0]
-    side = runs.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_runs", "_removed")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    joined = docs.join(F.broadcast(side) if size <= BROADCAST_ROWS else side, same, "left").withColumn("_lines", F.split("text", "\n"))
+    doc, text, cut, gone, lines = fresh(docs, "_id", "_hash", "_runs", "_removed", "_lines")
+    side = runs.toDF(doc, text, cut, gone)
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(text))
+    joined = docs.join(F.broadcast(side) if size <= BROADCAST_ROWS else side, same, "left").withColumn(lines, F.split("text", "\n"))
 
     def kept(i: Column) -> Column:
-        before, after = F.get("_runs", i - 1), F.get("_runs", i)
+        before, after = F.get(cut, i - 1), F.get(cut, i)
         start = F.coalesce(before["start"] + before["lines"], F.lit(0))
-        return F.slice("_lines", start + 1, F.coalesce(after["start"], F.size("_lines")) - start)
+        return F.slice(lines, start + 1, F.coalesce(after["start"], F.size(lines)) - start)
 
-    text = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("_runs")), kept)), "\n")
-    count = F.size(F.filter("_lines", lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
+    rest = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(cut)), kept)), "\n")
+    count = F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
     return joined.withColumns({
-        "text": F.when(F.col("_runs").isNull(), F.col("text")).otherwise(text),
+        "text": F.when(F.col(cut).isNull(), F.col("text")).otherwise(rest),
         "n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(count).cast("long"),
-        "n_removed": F.coalesce("_removed", F.lit(0)).cast("long"),
-    }).drop("_id", "_hash", "_runs", "_removed", "_lines")
+        "n_removed": F.coalesce(gone, F.lit(0)).cast("long"),
+    }).drop(doc, text, cut, gone, lines)
 
 
 _TRIMMED = "trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12))"

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dyadic.session import materialize, small_side
+from dyadic.llm.common import matches
+from dyadic.session import materialize
 
 # Share of the pooled covariance, and of its mean variance on the diagonal, in each class covariance.
 POOLED = 0.1
@@ -133,7 +134,5 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that the discriminant does not reject. Equal rows have equal scores."""
-    stats_and_score = score_quality(docs, labels).filter("predicted = 0")
-    bad = materialize(stats_and_score.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    return docs.join(small_side(bad), same, "left_anti")
+    bad = score_quality(docs, labels).filter("predicted = 0").select("doc_id", "text_hash").distinct()
+    return matches(docs, materialize(bad), "left_anti")

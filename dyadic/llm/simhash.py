@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dyadic.llm.common import matches
 from dyadic.llm.graph import connected_components
-from dyadic.session import materialize, small_side
+from dyadic.session import materialize
 
 BITS = 64
 RADIUS = 3
@@ -140,9 +141,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     # A component with a null id consists of rows without ids; their fingerprint stands for it.
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp"), F.col("fp")))
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("best")
-    winners = found.groupBy(group.alias("g")).agg(best, F.count("*").alias("n"))
-    winners = materialize(winners.select(F.col("best.doc_id").alias("_id"), F.col("best.text_hash").alias("_hash")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    kept = docs.join(small_side(winners), same, "left_semi")
+    winners = found.groupBy(group.alias("g")).agg(best)
+    winners = materialize(winners.select(F.col("best.doc_id"), F.col("best.text_hash")).distinct())
+    kept = matches(docs, winners, "left_semi")
     repeated = found.groupBy("doc_id", "text_hash").count().filter("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])

@@ -34,7 +34,7 @@ SIMILAR = 0.3
 # Words whose weight a worker remembers.
 REMEMBERED = 500_000
 _SENTENCE = re.compile(r"[.!?\n]+")
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+_SPACED = re.compile(r"(?<!\w)\w(?:[ \t]\w){2,}(?!\w)")
 _OTHER = re.compile(r"[\W_]+")
 
 

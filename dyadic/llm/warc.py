@@ -44,7 +44,7 @@ def record_id(*parts: str) -> str:
 
 def plain_text(markup: str) -> str:
     """Visible text of a whole page: hidden elements and tags go, block elements end lines, entities are resolved."""
-    text = _TAGS.sub("", _BREAKS.sub("\n", _HIDDEN.sub(" ", markup)))
+    text = _TAGS.sub("", _BREAKS.sub("\n", _HIDDEN.sub("", markup)))
     return _LINES.sub("\n", _SPACES.sub(" ", html.unescape(text).replace("\r", "\n"))).strip(" \n")
 
 
@@ -142,7 +142,7 @@ def derivatives(records: DataFrame) -> DataFrame:
     Records of other types give nothing. A response without text gives only metadata. Null headers and blocks are empty.
     Repeated responses give repeated records; an empty table gives none. Responses are taken one by one, whole.
     """
-    beside = [f for f in records.schema.fields if f.name not in RECORD.names]
+    beside = [f for f in records.schema.fields if f.name not in (*RECORD.names, "refers_to")]
     out = T.StructType([*beside, T.StructField("refers_to", T.StringType()), *RECORD.fields])
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
