@@ -392,8 +392,9 @@ def ulm_activity(spark, d):
 @query("ssgsea", f"""
 WITH f AS ({R.SQL_MATRIX}), k AS (SELECT *, rank() OVER (PARTITION BY sample_id ORDER BY value) + (count(*) OVER (PARTITION BY sample_id, value) - 1) / CAST(2 AS DOUBLE) AS r, count(*) OVER (PARTITION BY sample_id) AS n FROM f),
  g AS (SELECT p_type AS source, p_partkey AS feature_id FROM part WHERE p_partkey IN (SELECT feature_id FROM f)),
- i AS (SELECT sample_id, source, max(n) AS n, count(*) AS m, sum(pow(r, 0.25) * r) AS wr, sum(pow(r, 0.25)) AS w, sum(r) AS rs FROM k JOIN g USING (feature_id) GROUP BY ALL)
-SELECT sample_id, source, {sr6('wr / w - (n * (n + 1) / CAST(2 AS DOUBLE) - rs) / (n - m)')} AS score FROM i""")
+ i AS (SELECT sample_id, source, max(n) AS n, count(*) AS m, sum(pow(r, 0.25) * r) AS wr, sum(pow(r, 0.25)) AS w, sum(r) AS rs FROM k JOIN g USING (feature_id) GROUP BY ALL),
+ e AS (SELECT * FROM (SELECT DISTINCT sample_id FROM f), (SELECT DISTINCT source FROM g))
+SELECT e.sample_id, e.source, {sr6('wr / w - (n * (n + 1) / CAST(2 AS DOUBLE) - rs) / (n - m)')} AS score FROM e LEFT JOIN i ON e.sample_id = i.sample_id AND e.source = i.source""")
 def ssgsea(spark, d):
     sets = R.network(spark, d).select("source", "target")
     return rounded(activity.ssgsea(R.matrix(spark, d), sets))

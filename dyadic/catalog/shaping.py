@@ -17,16 +17,58 @@ MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 @query("read_matrix_long", f"""
 WITH long AS (UNPIVOT (SELECT l_orderkey, l_linenumber, {', '.join(MEASURES)} FROM lineitem) ON {', '.join(MEASURES)} INTO NAME feature_id VALUE value)
-SELECT feature_id, count(*) AS n_rows, count(DISTINCT l_orderkey) AS n_samples, {sr6('avg(value)')} AS mean_value,
+SELECT feature_id, count(*) AS n_rows, count(DISTINCT l_orderkey) AS n_samples, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents,
  min(value) AS low, max(value) AS high FROM long GROUP BY feature_id""")
 def read_matrix_long(spark, d):
-    wide = table(spark, d, "lineitem").select("l_orderkey", *MEASURES)
-    long = tables.unpivot_matrix(wide, "l_orderkey", orientation="samples")
+    return _matrix_summary(tables.read_matrix_long(spark, f"{d}/lineitem.parquet", "samples", "l_orderkey", MEASURES))
+
+
+def _matrix_summary(long):
+    """Counts and exact sums in hundredths; a rounded mean of two-decimal values can sit on a tie."""
     return long.groupBy("feature_id").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("sample_id").alias("n_samples"), r6(F.avg("value")).alias("mean_value"),
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("sample_id").alias("n_samples"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("cents"),
         F.min("value").alias("low"), F.max("value").alias("high"))
 
 
+_SQL_FILE = f"""
+WITH wide AS (SELECT p_partkey, sum(l_quantity) FILTER (l_linestatus = 'O') AS open, sum(l_quantity) FILTER (l_linestatus = 'F') AS closed FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1),
+ long AS (SELECT p_partkey, 'open' AS s, open AS v FROM wide UNION ALL SELECT p_partkey, 'closed', closed FROM wide)
+SELECT s AS sample_id, count(*) AS n_rows, count(v) AS n_values, count(DISTINCT p_partkey) AS n_features, CAST(sum(v) AS BIGINT) AS total FROM long GROUP BY 1"""
+
+
+def _file_summary(spark, d, ending: str, sep: str):
+    """A matrix of parts by line status written as text and read back."""
+    status = F.col("l_linestatus")
+    wide = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).groupBy("p_partkey").agg(
+        F.sum(F.when(status == "O", F.col("l_quantity"))).alias("open"), F.sum(F.when(status == "F", F.col("l_quantity"))).alias("closed"))
+    path = scratch_path(spark, "matrix") + ending
+    wide.write.option("header", True).option("sep", sep).csv(path)
+    long = tables.read_matrix_long(spark, path)
+    return long.groupBy("sample_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("value").alias("n_values"), F.countDistinct("feature_id").alias("n_features"),
+        F.sum(F.col("value").cast("bigint")).alias("total"))
+
+
+@query("read_matrix_csv", _SQL_FILE)
+def read_matrix_csv(spark, d):
+    return _file_summary(spark, d, ".csv", ",")
+
+
+@query("read_matrix_tsv", _SQL_FILE)
+def read_matrix_tsv(spark, d):
+    return _file_summary(spark, d, ".tsv", "\t")
+
+
+@query("read_samples_file", f"""
+WITH v AS ({R.SQL_VISITS}) SELECT CAST(subject_id AS VARCHAR) AS subject_id, visit,
+ concat(subject_id, '-', trim(raw)) AS subject_visit, count(*) AS n FROM v GROUP BY ALL""")
+def read_samples_file(spark, d):
+    path = scratch_path(spark, "samples") + ".tsv"
+    R.visits(spark, d).withColumn("Visit", F.trim("Visit")).write.option("header", True).option("sep", "\t").csv(path)
+    rows = tables.read_samples(spark, path)
+    return rows.groupBy("subject_id", "visit", "subject_visit").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("read_samples", f"""
 WITH v AS ({R.SQL_VISITS}) SELECT CAST(subject_id AS VARCHAR) AS subject_id, visit,
  concat(subject_id, '-', raw) AS subject_visit, count(*) AS n FROM v GROUP BY ALL""")

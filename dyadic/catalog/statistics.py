@@ -120,6 +120,10 @@ def variance_components(spark, d):
     return rounded(multivariate.variance_components(R.factor_scores(spark, d)))
 
 
+# Maximum-likelihood ICC of a balanced design from its sums of squares.
+SQL_ML_ICC = """CASE WHEN ssb / a > ssw / (n - a) THEN (ssb / a - ssw / (n - a)) * a / n / ((ssb / a - ssw / (n - a)) * a / n + ssw / (n - a)) ELSE 0 END"""
+
+
 @query("classify_icc", f"""
 WITH f AS ({R.SQL_FACTORS}), {SQL_COMPONENTS},
  s AS (SELECT DISTINCT subject_id FROM f), nb AS (SELECT subject_id, row_number() OVER (ORDER BY {sql_draw(42, 'subject_id')}, subject_id) AS pos, count(*) OVER () AS n FROM s),
@@ -130,9 +134,9 @@ WITH f AS ({R.SQL_FACTORS}), {SQL_COMPONENTS},
  bc AS (SELECT rep, factor, sum(w) AS a, sum(w * k) AS n, sum(w * k * k) AS kk, sum(w * k * gap * gap) AS ssb, sum(w * ssw0) AS ssw FROM bu GROUP BY ALL),
  be AS (SELECT rep, factor, greatest(0, (ssb / (a - 1) - ssw / (n - a)) / ((n - kk / CAST(n AS DOUBLE)) / (a - 1))) AS sb, greatest(ssw / (n - a), 1e-12::DOUBLE) AS sw FROM bc),
  ci AS (SELECT factor, quantile_cont(sb / (sb + sw), 0.025) AS lo, quantile_cont(sb / (sb + sw), 0.975) AS hi FROM be GROUP BY 1)
-SELECT factor, {sr6('sb / (sb + sw)')} AS icc, {sr6('lo')} AS icc_ci_low, {sr6('hi')} AS icc_ci_high,
+SELECT factor, {sr6(SQL_ML_ICC)} AS icc, {sr6('lo')} AS icc_ci_low, {sr6('hi')} AS icc_ci_high,
  {sr6('CASE WHEN ssb / a > ssw / (n - a) THEN n * ln((ssb + ssw) / n) - (n - a) * ln(ssw / (n - a)) - a * ln(ssb / a) ELSE 0 END')} AS lrt_stat,
- CASE WHEN sb / (sb + sw) > 0.85 THEN 'trait' WHEN sb / (sb + sw) < 0.65 THEN 'state' ELSE 'mixed' END AS classification
+ CASE WHEN {SQL_ML_ICC} > 0.85 THEN 'trait' WHEN {SQL_ML_ICC} < 0.65 THEN 'state' ELSE 'mixed' END AS classification
 FROM e JOIN ci USING (factor)""")
 def classify_icc(spark, d):
     out = multivariate.classify_icc(R.factor_scores(spark, d), bootstrap=50)

@@ -34,8 +34,8 @@ def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             change = d * c
             out = out * change
         if np.all(np.abs(change - 1.0) < 1e-15):
-            break
-    return out
+            return out
+    raise ArithmeticError("the incomplete beta function did not converge")
 
 
 def beta_cdf(a, b, x) -> np.ndarray:

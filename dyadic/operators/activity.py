@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dyadic.operators.ranking import average_rank
+from dyadic.operators.ranking import rank_table
 from dyadic.operators.selection import min_targets
-from dyadic.session import TASK_ROWS, small_side
+from dyadic.session import TASK_ROWS, materialize, small_side
 
 
 def ulm_activity(features: DataFrame, network: DataFrame, minimum: int = 5) -> DataFrame:
@@ -32,8 +32,7 @@ def ulm_activity(features: DataFrame, network: DataFrame, minimum: int = 5) -> D
         small_side(edges.withColumnRenamed("target", "feature_id")), "feature_id"
     ).groupBy("sample_id", "source").agg(F.sum(F.col("weight") * F.col("value")).alias("_wx"))
     # Every (sample, source) pair has a score, also where a sample holds none of the source's genes.
-    listed = sources.agg(F.collect_list(F.struct("source", "_w", "_ww"))).scalar()
-    full = totals.select("*", F.inline(listed)).join(cross, ["sample_id", "source"], "left")
+    full = totals.crossJoin(small_side(sources)).join(cross, ["sample_id", "source"], "left")
     share = F.col("_k") / F.lit(float(n))
     mean = F.col("_m") * share
     sxx = F.col("_k") * F.col("_v") + F.col("_k") * F.col("_m") * F.col("_m") * (1.0 - share)
@@ -50,13 +49,18 @@ def ssgsea(features: DataFrame, sets: DataFrame, minimum: int = 5, alpha: float
     """Summed difference of the in-set and off-set rank distributions, per sample and set.
 
     Ranks run from the lowest value of a sample; ties share their mean rank. The
-    running sums have a closed form in the in-set rows, so nothing is walked.
+    running sums have a closed form in the in-set rows, so nothing is walked, and
+    only the rows of some set look up their rank. A sample without any gene of a
+    set has a row with a NULL score.
     """
-    members = min_targets(sets, minimum, features.select("feature_id").distinct()).select(
+    members = materialize(min_targets(sets, minimum, features.select("feature_id").distinct()).select(
         "source", F.col("target").alias("feature_id")
-    ).distinct()
-    ranked = average_rank(features.select("sample_id", "feature_id", "value"), ["sample_id"], "value", "_r", task_rows=task_rows)
-    sizes = features.groupBy("sample_id").agg(F.count("value").alias("_n"))
+    ).distinct())
+    stored = materialize(features.select("sample_id", "feature_id", "value"))
+    ranks = rank_table(stored, ["sample_id"], "value", "_r", False, task_rows)
+    listed = stored.join(small_side(members.select("feature_id").distinct()), "feature_id", "left_semi")
+    ranked = listed.join(ranks, ["sample_id", "value"])
+    sizes = stored.groupBy("sample_id").agg(F.count("value").alias("_n"))
     weight = F.pow(F.col("_r"), F.lit(alpha))
     inside = ranked.join(small_side(members), "feature_id").groupBy("sample_id", "source").agg(
         F.count(F.lit(1)).alias("_m"), F.sum(weight * F.col("_r")).alias("_wr"), F.sum(weight).alias("_w"),
@@ -64,7 +68,9 @@ def ssgsea(features: DataFrame, sets: DataFrame, minimum: int = 5, alpha: float
     )
     n, m = F.col("_n"), F.col("_m")
     outside = (n * (n + 1) / 2.0 - F.col("_rs")) / F.nullif(n - m, F.lit(0).cast("bigint"))
-    return inside.join(sizes, "sample_id").select("sample_id", "source", (F.col("_wr") / F.col("_w") - outside).alias("score"))
+    pairs = sizes.crossJoin(small_side(members.select("source").distinct()))
+    return pairs.join(inside, ["sample_id", "source"], "left").select(
+        "sample_id", "source", (F.col("_wr") / F.col("_w") - outside).alias("score"))
 
 
 def _nonnegative(gram: np.ndarray, rhs: np.ndarray) -> np.ndarray:

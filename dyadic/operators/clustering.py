@@ -10,10 +10,11 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dyadic.operators.multivariate import _width, adjusted_rand
+from dyadic.operators.moments import vector_width
+from dyadic.operators.multivariate import adjusted_rand
 from dyadic.operators.resample import bootstrap_counts, draw
 from dyadic.operators.ranking import top_n
-from dyadic.session import collect_bounded
+from dyadic.session import collect_bounded, materialize
 
 VARIANCE_FLOOR = 1e-6
 
@@ -80,13 +81,14 @@ def _update(mix: Mixture, weight: np.ndarray, first: np.ndarray, second: np.ndar
 
 
 def fit_mixtures(points: DataFrame, ks: list[int], seed: int = 42, id_col: str = "subject_id", lloyd: int = 8,
-                 iterations: int = 100, tolerance: float = 1e-3) -> tuple[Mixture, np.ndarray]:
-    """EM for model i with ks[i] components on rows weighted by w[i]; returns parameters and log-likelihoods.
+                 iterations: int = 100, tolerance: float = 1e-3) -> tuple[Mixture, np.ndarray, bool]:
+    """EM for model i with ks[i] components on rows weighted by w[i]; returns parameters, log-likelihoods and whether
+    every model's gain per row fell below `tolerance` within `iterations` rounds.
 
     All models advance in the same pass over the data. Starts are rows picked by
     hash, refined by hard assignments.
     """
-    m, k, d = len(ks), max(ks), _width(points, "z")
+    m, k, d = len(ks), max(ks), vector_width(points, "z")
     stats = points.agg(*[F.var_pop(F.col("z")[i]).alias(f"v{i}") for i in range(d)]).first()
     spread = np.maximum(np.array([stats[f"v{i}"] or 0.0 for i in range(d)]), VARIANCE_FLOOR)
     starts = top_n(
@@ -107,15 +109,16 @@ def fit_mixtures(points: DataFrame, ks: list[int], seed: int = 42, id_col: str =
         if still:
             break
     last = np.full(m, -np.inf)
-    rows = None
+    rows, converged = None, False
     for _ in range(iterations):
         weight, first, second, loglik = _sums(points, mix, hard=False)
         rows = weight.sum(axis=1) if rows is None else rows
-        if np.all(np.abs(loglik - last) / rows < tolerance):
+        converged = bool(np.all(np.abs(loglik - last) / rows < tolerance))
+        if converged:
             break
         last = loglik
         mix = _update(mix, weight, first, second)
-    return mix, loglik
+    return mix, loglik, converged
 
 
 def assign(points: DataFrame, mix: Mixture, keep: list[str], out: str = "cluster") -> DataFrame:
@@ -132,33 +135,37 @@ def cluster_archetypes(deltas: DataFrame, k_grid=(2, 3, 4, 5), bootstrap: int =
     """Mixture by BIC over the grid, stability by bootstrap ARI, and cluster sizes.
 
     Passes with at least three clusters, mean ARI of at least .5 and every cluster
-    of `min_size` subjects or more.
+    of `min_size` subjects or more. `converged` says whether all fits settled.
     """
     base = deltas.select(subject, F.transform(vector, lambda v: v.cast("double")).alias("z"))
     n = base.count()
     ks = [k for k in k_grid if k < n]
     grid = base.withColumn("w", F.array(*[F.lit(1.0) for _ in ks])).persist(StorageLevel.MEMORY_AND_DISK)
-    mix, loglik = fit_mixtures(grid, ks, seed, subject)
+    mix, loglik, settled = fit_mixtures(grid, ks, seed, subject)
     d = mix.mean.shape[2]
     bic = [-2.0 * loglik[i] + (2 * k * d + k - 1) * np.log(n) for i, k in enumerate(ks)]
     best = int(np.argmin(bic))
-    labels = assign(grid, mix, [subject]).select(subject, F.col("cluster")[best].alias("cluster"))
+    labels = materialize(assign(grid, mix, [subject]).select(subject, F.col("cluster")[best].alias("cluster")))
+    grid.unpersist()
 
     copies = bootstrap_counts(base.select(subject), bootstrap, seed, subject)
     weights = copies.groupBy(subject).agg(F.map_from_entries(F.collect_list(F.struct("rep", "copies"))).alias("_c"))
     resampled = base.join(weights, subject, "left").select(
         subject, "z", F.array(*[F.coalesce(F.element_at("_c", F.lit(r + 1)), F.lit(0)).cast("double") for r in range(bootstrap)]).alias("w")
     ).persist(StorageLevel.MEMORY_AND_DISK)
-    boot, _ = fit_mixtures(resampled, [ks[best]] * bootstrap, seed + 1, subject)
+    boot, _, boot_settled = fit_mixtures(resampled, [ks[best]] * bootstrap, seed + 1, subject)
     tagged = assign(resampled, boot, [subject, "w"], "boot").select(
         subject, F.posexplode(F.arrays_zip("boot", "w")).alias("rep", "_bw")).select(
         subject, "rep", F.col("_bw.boot").alias("boot"), F.col("_bw.w").alias("w")).filter(F.col("w") > 0)
+    tagged = materialize(tagged)
+    resampled.unpersist()
     ari = adjusted_rand(tagged.join(labels, subject), "cluster", "boot", ["rep"], "w")
     sizes = labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     smallest = sizes.agg(F.min("size")).scalar()
     summary = ari.agg(F.avg("ari").alias("bootstrap_ari_mean"), F.stddev_pop("ari").alias("bootstrap_ari_sd")).select(
         F.lit(ks[best]).alias("best_k"), "bootstrap_ari_mean", "bootstrap_ari_sd",
         ((F.lit(ks[best]) >= 3) & (F.col("bootstrap_ari_mean") >= 0.5) & (smallest >= min_size)).alias("passed"),
+        F.lit(settled and boot_settled).alias("converged"),
     )
     spark = deltas.sparkSession
     return {"summary": summary, "labels": labels, "sizes": sizes,

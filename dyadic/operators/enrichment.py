@@ -123,8 +123,7 @@ def regulatory_enrichment(
         "cell_type", "set_name").agg(F.sum("_n").alias("observed"))
     sets = targets.select("set_name").distinct().join(sizes, "set_name", "left").na.fill(0, subset=["n_feature"])
     # Every (cell type, set) pair is a result row.
-    listed = sets.agg(F.collect_list(F.struct("set_name", "n_feature"))).scalar()
-    grid = n_sig.select("*", F.inline(listed))
+    grid = n_sig.crossJoin(small_side(sets))
     counts = grid.join(seen, ["cell_type", "set_name"], "left").na.fill(0, subset=["observed"])
     return hypergeom_table(counts.withColumn("n_background", n_background)).select(
         "cell_type", "set_name", "n_sig", "n_background", "n_feature", "observed", "expected", "enrichment", "p_val", "q_val"

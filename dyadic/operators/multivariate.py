@@ -8,9 +8,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,8 +15,9 @@ from pyspark.sql import types as T
 from dyadic.functions import columns as C
 from dyadic.functions.tails import boundary_lrt_udf
 from dyadic.functions.verdicts import icc_class
+from dyadic.operators.moments import covariance, cross_product, vector_mean, vector_width
 from dyadic.operators.ranking import bh_fdr, top_n
-from dyadic.operators.resample import _width, bootstrap_counts, draw, vector_mean
+from dyadic.operators.resample import bootstrap_counts, draw
 from dyadic.operators.selection import loo_topk_variance, zscale
 from dyadic.session import collect_bounded, materialize, small_side
 
@@ -27,21 +25,6 @@ from dyadic.session import collect_bounded, materialize, small_side
 GRAM_SIDE = 4096
 
 
-def cross_product(vectors: DataFrame, vector: str = "z") -> np.ndarray:
-    """Sum of outer products of the row vectors, summed over a tree of executors."""
-    dense = vectors.select(array_to_vector(F.col(vector)).alias("v"))
-    return RowMatrix(MLUtils.convertVectorColumnsFromML(dense, "v")).computeGramianMatrix().toArray()
-
-
-def covariance(vectors: DataFrame, vector: str = "z") -> tuple[int, np.ndarray, np.ndarray]:
-    """Row count, mean and population covariance of the vectors."""
-    d = _width(vectors, vector)
-    row = vector_mean(vectors, [], vector, "m", d).first()
-    mean = np.array(row["m"])
-    centred = vectors.select(F.zip_with(vector, C.literal_vector(mean), lambda a, b: a - b).alias("c"))
-    return row["n"], mean, cross_product(centred, "c") / max(row["n"], 1)
-
-
 def _oriented(vectors: np.ndarray) -> np.ndarray:
     """Fix signs: the entry of largest size is positive in every column."""
     at = np.abs(vectors).argmax(axis=0)
@@ -74,45 +57,49 @@ def _explained(spark, values, total: float) -> DataFrame:
 
 
 def pca_long(features: DataFrame, k: int, sample: str = "subject_id", feature: str = "feature_id",
-             iterations: int = 30) -> dict[str, DataFrame]:
+             iterations: int = 500) -> dict[str, DataFrame]:
     """Components of a long table; absent cells count as the feature's mean.
 
-    The cross-product of the centred data is summed over its longer side and
-    factorised on the shorter one; the other side's coordinates follow from one
-    join. If both sides exceed `GRAM_SIDE`, the leading subspace is found by power
-    iteration on the long table, so neither side of the matrix has to fit anywhere.
+    `k` is at most the smaller of samples - 1 and features. The cross-product of the centred data is summed over its
+    longer side and factorised on the shorter one; the other side's coordinates follow from one join. If both sides
+    exceed `GRAM_SIDE`, the leading subspace is found by power iteration on the long table, so neither side of the matrix
+    has to fit anywhere; it raises an error if it has not settled after `iterations` rounds. Both ways give the same
+    components: the loading of largest size is positive.
     """
     means = features.groupBy(feature).agg(F.avg("value").alias("_m"))
-    centred = materialize(features.join(means, feature).select(sample, feature, (F.col("value") - F.col("_m")).alias("value")))
+    centred = materialize(features.join(small_side(means), feature).select(sample, feature, (F.col("value") - F.col("_m")).alias("value")))
     sizes = centred.agg(F.countDistinct(sample).alias("n"), F.countDistinct(feature).alias("p")).first()
     n, p = sizes["n"], sizes["p"]
-    if min(n, p) > GRAM_SIDE:
-        return _pca_power(centred, k, sample, feature, iterations)
     k = min(k, n - 1, p)
-    spark = features.sparkSession
+    way = _pca_power if min(n, p) > GRAM_SIDE else _pca_gram
+    coords, loads, values, total = way(centred, k, n, p, sample, feature, iterations)
+    top = loads.agg(*[F.max_by(F.signum(F.col("u")[j]), F.struct(F.round(F.abs(F.col("u")[j]), 8), F.hash(feature))).alias(f"s{j}")
+                      for j in range(k)]).first()
+    sign = [top[f"s{j}"] or 1.0 for j in range(k)]
+    size = np.sqrt(values)
+    return {
+        "scores": coords.select(sample, F.array(*[F.col("u")[j] * F.lit(float(size[j] * sign[j])) for j in range(k)]).alias("scores")),
+        "loadings": loads.select(feature, F.posexplode("u").alias("_j", "_l")).select(
+            feature, (F.col("_j") + 1).alias("component"),
+            (F.col("_l") * F.element_at(F.array(*[F.lit(float(v)) for v in sign]), F.col("_j") + 1)).alias("loading")),
+        "explained": _explained(features.sparkSession, values / max(n - 1, 1), total / max(n - 1, 1)),
+    }
+
+
+def _pca_gram(centred: DataFrame, k: int, n: int, p: int, sample: str, feature: str, iterations: int):
+    """Unit coordinates and loadings `u`, squared singular values and their sum, from the shorter side's cross-product."""
     short, long = (feature, sample) if p <= n else (sample, feature)
     values, axes = np.linalg.eigh(_short_gram(centred, short, long))
     values, axes = np.maximum(values[::-1], 0.0), axes[:, ::-1][:, :k]
-    size = np.sqrt(values[:k])
     ids = [r[0] for r in centred.select(short).distinct().orderBy(short).collect()]
-    unit = spark.createDataFrame(
+    unit = centred.sparkSession.createDataFrame(
         [(i, [float(x) for x in row]) for i, row in zip(ids, axes)],
         T.StructType([centred.schema[short], T.StructField("u", T.ArrayType(T.DoubleType()))]))
-    inverse = [float(1.0 / s) if s > 0 else 0.0 for s in size]
+    inverse = [float(1.0 / s) if s > 0 else 0.0 for s in np.sqrt(values[:k])]
     other = materialize(centred.join(F.broadcast(unit), short).groupBy(long).agg(
         F.array(*[F.sum(F.col("value") * F.col("u")[j]) * F.lit(inverse[j]) for j in range(k)]).alias("u")))
     loads, coords = (unit, other) if short == feature else (other, unit)
-    # Sign: the loading of largest size is positive.
-    top = loads.agg(*[F.max_by(F.signum(F.col("u")[j]), F.struct(F.round(F.abs(F.col("u")[j]), 12), F.hash(feature))).alias(f"s{j}")
-                      for j in range(k)]).first()
-    sign = [top[f"s{j}"] or 1.0 for j in range(k)]
-    return {
-        "scores": coords.select(sample, F.array(*[F.col("u")[j] * F.lit(float(size[j] * sign[j])) for j in range(k)]).alias("scores")),
-        "loadings": loads.select(feature, F.posexplode("u").alias("_j", "_l")).select(
-            feature, (F.col("_j") + 1).alias("component"),
-            (F.col("_l") * F.element_at(F.array(*[F.lit(float(v)) for v in sign]), F.col("_j") + 1)).alias("loading")),
-        "explained": _explained(spark, values[:k] / max(n - 1, 1), float(values.sum()) / max(n - 1, 1)),
-    }
+    return coords, loads, values[:k], float(values.sum())
 
 
 def _short_gram(centred: DataFrame, short: str, long: str) -> np.ndarray:
@@ -124,55 +111,53 @@ def _short_gram(centred: DataFrame, short: str, long: str) -> np.ndarray:
     return cross_product(packed.select(F.when(F.size("_p") == F.size("_ids"), whole).otherwise(filled).alias("z")))
 
 
-def _pca_power(centred: DataFrame, k: int, sample: str, feature: str, iterations: int) -> dict[str, DataFrame]:
-    """Block power iteration: two grouped sums per round, a k x k factorisation on the driver."""
-    start = centred.select(sample).distinct().select(
-        sample, *[(F.conv(F.substring(draw(j, F.col(sample)), 1, 8), 16, 10).cast("double") / 4294967296.0 - 0.5).alias(f"u{j}")
-                  for j in range(k)]
-    )
+def _pca_power(centred: DataFrame, k: int, n: int, p: int, sample: str, feature: str, iterations: int):
+    """As `_pca_gram`, by block power iteration with Ritz values: two grouped sums a round, a small factorisation on the
+    driver. A few directions beyond `k` make it settle sooner; it ends when X X'u differs from its multiple of u by less
+    than 1e-9 of the largest value for all `k` directions."""
+    width = min(k + 8, n, p)
+    u = materialize(centred.select(sample).distinct().select(sample, F.array(*[
+        F.conv(F.substring(draw(j, F.col(sample)), 1, 8), 16, 10).cast("double") / 4294967296.0 - 0.5 for j in range(width)]).alias("u")))
 
-    def push(values: DataFrame, key: str, prefix: str, other: str, out: str) -> DataFrame:
-        return centred.join(values, key).groupBy(other).agg(
-            *[F.sum(F.col("value") * F.col(f"{prefix}{j}")).alias(f"{out}{j}") for j in range(k)])
-
-    def moments(df: DataFrame, prefix: str) -> np.ndarray:
-        row = df.agg(*[F.sum(F.col(f"{prefix}{i}") * F.col(f"{prefix}{j}")).alias(f"c{i}_{j}")
-                       for i in range(k) for j in range(i, k)]).first()
-        out = np.zeros((k, k))
-        for i in range(k):
-            for j in range(i, k):
-                out[i, j] = out[j, i] = row[f"c{i}_{j}"]
-        return out
-
-    def turn(df: DataFrame, key: str, prefix: str, matrix: np.ndarray, out: str) -> DataFrame:
-        return df.select(key, *[
-            sum((F.col(f"{prefix}{i}") * F.lit(float(matrix[i, j])) for i in range(k)), F.lit(0.0)).alias(f"{out}{j}")
-            for j in range(k)])
-
-    u, values = start, np.zeros(k)
+    def push(values: DataFrame, key: str, other: str, m: int) -> DataFrame:
+        return materialize(centred.join(values, key).groupBy(other).agg(
+            F.array(*[F.sum(F.col("value") * F.col("u")[j]) for j in range(m)]).alias("u")))
+
+    def turned(df: DataFrame, key: str, matrix: np.ndarray) -> DataFrame:
+        return df.select(key, F.array(*[C.dot(F.col("u"), C.literal_vector(matrix[:, j])) for j in range(matrix.shape[1])]).alias("u"))
+
+    def orthonormal(df: DataFrame, key: str) -> tuple[DataFrame, np.ndarray]:
+        """An orthonormal basis of the columns in order of size, and the squared sizes; null directions go."""
+        size, turn = np.linalg.eigh(cross_product(df, "u"))
+        size, turn = size[::-1], turn[:, ::-1]
+        kept = size > 1e-20 * max(size[0], 1e-300)
+        return turned(df, key, turn[:, kept] / np.sqrt(size[kept])), size[kept]
+
+    u, _ = orthonormal(u, sample)
     for _ in range(iterations):
-        y = materialize(push(push(u, sample, "u", feature, "w"), feature, "w", sample, "y"))
-        gram = moments(y, "y")
-        vals, vecs = np.linalg.eigh(gram)
-        vals, vecs = np.maximum(vals[::-1], 1e-300), vecs[:, ::-1]
-        u = turn(y, sample, "y", vecs / np.sqrt(vals), "u")
-        if np.allclose(np.sqrt(vals), values, rtol=1e-12):
+        u = materialize(u)
+        m = vector_width(u, "u")
+        w = push(u, sample, feature, m)
+        # Ritz step: turn u so that its images are orthogonal, then compare X X'u with its multiple of u.
+        values, turn = np.linalg.eigh(cross_product(w, "u"))
+        values, turn = np.maximum(values[::-1], 0.0), turn[:, ::-1]
+        u, y = turned(u, sample, turn), turned(push(w, feature, sample, m), sample, turn)
+        both = y.withColumnRenamed("u", "y").join(u, sample)
+        gap = both.agg(*[F.sum(F.pow(F.col("y")[j] - F.lit(float(values[j])) * F.col("u")[j], F.lit(2))).alias(f"g{j}")
+                         for j in range(min(k, m))]).first()
+        if all(np.sqrt(g or 0.0) <= 1e-9 * max(values[0], 1e-300) for g in gap):
             break
-        values = np.sqrt(vals)
-    w = materialize(push(u, sample, "u", feature, "w"))
-    small = moments(w, "w")
-    vals, vecs = np.linalg.eigh(small)
-    vals, vecs = np.maximum(vals[::-1], 1e-300), vecs[:, ::-1]
-    loads = turn(w, feature, "w", vecs / np.sqrt(vals), "l")
-    final = turn(u, sample, "u", vecs * np.sqrt(vals), "s")
-    n = final.count()
-    total = centred.agg(F.sum(F.col("value") * F.col("value"))).first()[0]
-    return {
-        "scores": final.select(sample, F.array(*[F.col(f"s{j}") for j in range(k)]).alias("scores")),
-        "loadings": loads.select(feature, F.inline(F.array(*[
-            F.struct(F.lit(j + 1).alias("component"), F.col(f"l{j}").alias("loading")) for j in range(k)]))),
-        "explained": _explained(centred.sparkSession, vals / max(n - 1, 1), total / max(n - 1, 1)),
-    }
+        u, _ = orthonormal(y, sample)
+    else:
+        raise ArithmeticError(f"the components have not settled after {iterations} rounds")
+    w = turned(w, feature, turn)
+    total = centred.agg(F.sum(F.col("value") * F.col("value"))).first()[0] or 0.0
+    values = np.concatenate([values, np.zeros(max(k - m, 0))])[:k]
+    inverse = [float(1.0 / np.sqrt(v)) if v > 0 else 0.0 for v in values]
+    pad = lambda j: F.coalesce(F.get("u", F.lit(j)), F.lit(0.0))
+    coords = materialize(u.select(sample, F.array(*[pad(j) for j in range(k)]).alias("u")))
+    loads = materialize(w.select(feature, F.array(*[pad(j) * F.lit(inverse[j]) for j in range(k)]).alias("u")))
+    return coords, loads, values, float(total)
 
 
 def multiview_factors(views: DataFrame, k: int, sample: str = "obs_id") -> dict[str, DataFrame]:
@@ -261,8 +246,9 @@ def variance_components(scores: DataFrame) -> DataFrame:
 def classify_icc(scores: DataFrame, bootstrap: int = 2000, seed: int = 42) -> DataFrame:
     """ICC, subject-bootstrap interval, likelihood-ratio diagnostic and trait/state/mixed class per factor.
 
-    The likelihood ratio compares a random subject intercept with the pooled mean,
-    in its closed form for balanced designs; it is reported only.
+    The ICC and its class come from the maximum-likelihood components in their closed form for balanced designs; the
+    bootstrap uses the moment estimator. The likelihood ratio compares a random subject intercept with the pooled mean
+    in the same closed form; it is reported only.
     """
     groups = materialize(_subject_groups(scores))
     point = _components(groups, ["factor"])
@@ -277,7 +263,9 @@ def classify_icc(scores: DataFrame, bootstrap: int = 2000, seed: int = 42) -> Da
     inner = F.greatest(F.col("ssw") / F.nullif(n - a, F.lit(0.0)), F.lit(1e-300))
     outer = F.greatest(F.col("ssb") / a, F.lit(1e-300))
     stat = F.when(outer > inner, n * F.log(pooled) - (n - a) * F.log(inner) - a * F.log(outer)).otherwise(F.lit(0.0))
-    tested = point.withColumn("lrt_stat", stat).withColumn("lrt_pval", boundary_lrt_udf("lrt_stat"))
+    between = F.greatest(F.lit(0.0), (outer - inner) * a / n)
+    likely = F.when(a >= 2, F.coalesce(between / F.nullif(between + inner, F.lit(0.0)), F.lit(0.0))).otherwise(F.lit(0.0))
+    tested = point.withColumn("icc", likely).withColumn("lrt_stat", stat).withColumn("lrt_pval", boundary_lrt_udf("lrt_stat"))
     joined = bh_fdr(tested, [], "lrt_pval", "lrt_qval").join(ci, "factor")
     return joined.select(
         "factor", "icc", "icc_ci_low", "icc_ci_high", "lrt_stat", "lrt_pval", "lrt_qval",
@@ -358,23 +346,27 @@ def cca_max(blocks: DataFrame, a: list[str], b: list[str], bootstrap: int = 500,
     def partial(batches):
         total = np.zeros((bootstrap + 1, 1 + k + k * k))
         for pdf in batches:
-            v = np.stack(pdf["x"].to_numpy())
-            weight = np.zeros((bootstrap + 1, len(v)))
-            weight[0] = 1.0
-            for i, (reps, count) in enumerate(zip(pdf["rep"], pdf["copies"])):
-                if reps is not None and len(reps):
-                    weight[np.asarray(reps, dtype=int), i] = count
-            outer = (v[:, :, None] * v[:, None, :]).reshape(len(v), k * k)
-            total += weight @ np.concatenate([np.ones((len(v), 1)), v, outer], axis=1)
-        yield pd.DataFrame({"rep": np.arange(bootstrap + 1, dtype=np.int32), "m": list(total)})
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at:at + 256]
+                v = np.stack(part["x"].to_numpy())
+                weight = np.zeros((bootstrap + 1, len(v)))
+                weight[0] = 1.0
+                for i, (reps, count) in enumerate(zip(part["rep"], part["copies"])):
+                    if reps is not None and len(reps):
+                        weight[np.asarray(reps, dtype=int), i] = count
+                outer = (v[:, :, None] * v[:, None, :]).reshape(len(v), k * k)
+                total += weight @ np.concatenate([np.ones((len(v), 1)), v, outer], axis=1)
+        for rep, row in enumerate(total):
+            yield pd.DataFrame({"rep": np.int32(rep), "slot": np.arange(len(row), dtype=np.int32), "value": row})
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = np.sum(np.stack(pdf["m"].to_numpy()), axis=0)
+        m = pdf.sort_values("slot")["value"].to_numpy()
         mean = m[1 : 1 + k] / m[0]
         cov = m[1 + k :].reshape(k, k) / m[0] - np.outer(mean, mean)
         return pd.DataFrame({"rep": [pdf["rep"].iloc[0]], "rho": [_cca_from(cov, ka)]})
 
-    moments = rows.mapInPandas(partial, "rep int, m array<double>")
+    # Tasks' moments are summed slot by slot; only a replicate's own 1 + k + k * k sums meet in one group.
+    moments = rows.mapInPandas(partial, "rep int, slot int, value double").groupBy("rep", "slot").agg(F.sum("value").alias("value"))
     rho = moments.groupBy("rep").applyInPandas(solve, "rep int, rho double")
     return rho.agg(
         F.max(F.when(F.col("rep") == 0, F.col("rho"))).alias("rho"),
@@ -410,47 +402,73 @@ def loo_probe_with_selection(
 ) -> DataFrame:
     """Leave-one-subject-out probe error with panel, factors and probe refitted without the held-out subject.
 
-    `features(subject_id, visit 0/1, feature_id, value)`, `targets(subject_id, target)`.
-    Panels come from left-out moments; each fold then carries its own small table
-    of panel features, refitted independently. Folds are the parallel unit: a fold
-    holds (subjects x 2) rows of `top` values, which is counted before running.
+    `features(subject_id, visit 0/1, feature_id, value)`, `targets(subject_id, target)`. Panels come from left-out
+    moments. A fold's feature and delta moments are those of all subjects minus the held-out subject's own, restricted to
+    its panel, so no fold reads the table again: per subject one vector a visit over the union of the panels is kept, and
+    the moments of that union (at most `GRAM_SIDE` features) are shared with the tasks. Rows that lack a feature of the
+    union are left out.
     """
     ranked = features.filter(~F.col("feature_id").isin(*always)) if always else features
-    panel = loo_topk_variance(ranked.select(subject, "feature_id", "value"), top, subject).select(
-        F.col(subject).alias("held"), "feature_id")
-    known = targets.filter(F.col("target").isNotNull())
-    panel = panel.join(known.select(F.col(subject).alias("held")), "held", "left_semi")
+    panel = loo_topk_variance(ranked.select(subject, "feature_id", "value"), top, subject)
+    known = materialize(targets.filter(F.col("target").isNotNull()).select(subject, F.col("target").cast("double").alias("target")))
+    panel = materialize(panel.join(small_side(known.select(subject)), subject, "left_semi").select(subject, "feature_id"))
+    union = panel.select("feature_id").distinct()
     if always:
-        fixed = known.select(F.col(subject).alias("held"), F.explode(F.array(*[F.lit(f) for f in always])).alias("feature_id"))
-        panel = panel.unionByName(fixed)
-    cells = features.count()
-    if cells > 50_000_000:
-        raise ValueError("a fold holds the whole cohort; this operator is for factor tables, not raw matrices")
-    folds = features.join(small_side(panel), "feature_id").join(small_side(known), subject, "left")
-
-    def refit(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = pdf["held"].iloc[0]
-        wide = pdf.pivot_table(index=[subject, "visit"], columns="feature_id", values="value").dropna()
-        train = wide[wide.index.get_level_values(0) != held]
-        mean, sd = train.mean(), train.std(ddof=0).replace(0.0, 1.0)
-        z = (train - mean) / sd
-        _, _, vt = np.linalg.svd(z.to_numpy(), full_matrices=False)
-        axes = vt[: min(k, len(z) - 1, z.shape[1])].T
-        score = pd.DataFrame(((wide - mean) / sd).to_numpy() @ axes, index=wide.index)
-        by_visit = score.groupby(level=[0, 1]).mean()
-        pre, post = by_visit.xs(0, level=1), by_visit.xs(1, level=1)
-        delta = (post - pre).dropna()
-        y = pdf.drop_duplicates(subject).set_index(subject)["target"]
-        fit = delta.index[(delta.index != held) & y.reindex(delta.index).notna()]
-        if held not in delta.index or len(fit) < 3:
-            return pd.DataFrame({"held": [held], "error": [np.nan]})
-        x = np.column_stack([np.ones(len(fit)), delta.loc[fit].to_numpy()])
-        beta = np.linalg.lstsq(x, y.loc[fit].to_numpy(dtype=float), rcond=None)[0]
-        guess = float(np.concatenate([[1.0], delta.loc[held].to_numpy()]) @ beta)
-        return pd.DataFrame({"held": [held], "error": [abs(float(y.loc[held]) - guess)]})
-
-    schema = T.StructType([T.StructField("held", features.schema[subject].dataType), T.StructField("error", T.DoubleType())])
-    errors = folds.groupBy("held").applyInPandas(refit, schema)
+        union = union.unionByName(features.select("feature_id").filter(F.col("feature_id").isin(*always)).distinct()).distinct()
+    ids = [r[0] for r in collect_bounded(union, GRAM_SIDE, "features of all panels")]
+    u, at = len(ids), {f: i for i, f in enumerate(sorted(ids))}
+    place = features.sparkSession.createDataFrame(
+        list(at.items()), T.StructType([features.schema["feature_id"], T.StructField("_i", T.IntegerType())]))
+    fixed = [at[f] for f in always or [] if f in at]
+    cells = features.join(F.broadcast(place), "feature_id").filter(F.col("value").isNotNull())
+    rows = cells.groupBy(subject, "visit").agg(F.array_sort(F.collect_list(F.struct("_i", F.col("value").cast("double").alias("v")))).alias("p"))
+    rows = materialize(rows.filter(F.size("p") == u).select(subject, "visit", F.col("p.v").alias("x")))
+    empty = features.sparkSession.range(1).select(F.lit(None).cast("double").alias("loso_mae"), F.lit(0).cast("long").alias("n_subjects"))
+    if u == 0 or rows.isEmpty():
+        return empty
+    centre = np.array(vector_mean(rows, [], "x", "m", u).first()["m"])
+    away = F.zip_with("x", C.literal_vector(centre), lambda a, b: a - b)
+    rows = materialize(rows.select(subject, "visit", away.alias("x")))
+    one = F.array(F.lit(1.0))
+    all_rows = cross_product(rows.select(F.concat("x", one).alias("v")), "v")
+    pairs = rows.groupBy(subject).agg(
+        F.max_by("x", F.when(F.col("visit") == 0, 1)).alias("pre"), F.max_by("x", F.when(F.col("visit") == 1, 1)).alias("post"))
+    pairs = materialize(pairs.join(small_side(known), subject, "left"))
+    fit = pairs.filter("pre is not null and post is not null and target is not null")
+    moved = F.zip_with("post", "pre", lambda a, b: a - b)
+    all_deltas = cross_product(fit.select(F.concat(moved, F.array("target"), one).alias("v")), "v") if not fit.isEmpty() else np.zeros((u + 2, u + 2))
+    shared = features.sparkSession.sparkContext.broadcast((all_rows, all_deltas))
+
+    def refit(batches):
+        total, deltas = shared.value
+        for pdf in batches:
+            errors = []
+            for pre, post, y, own in zip(pdf["pre"], pdf["post"], pdf["target"], pdf["panel"]):
+                use = np.array(sorted({*own, *fixed}), dtype=int)
+                held = np.stack([np.append(x[use], 1.0) for x in (pre, post)])
+                cut = np.append(use, u)
+                m = total[np.ix_(cut, cut)] - held.T @ held
+                n, mean = m[-1, -1], m[-1, :-1] / max(m[-1, -1], 1.0)
+                cov = m[:-1, :-1] / max(n, 1.0) - np.outer(mean, mean)
+                sd = np.sqrt(np.maximum(np.diag(cov), 0.0))
+                sd = np.where(sd > 1e-12 * max(sd.max(initial=0.0), 1e-300), sd, 1.0)
+                axes = np.linalg.eigh(cov / np.outer(sd, sd))[1][:, ::-1][:, : min(k, max(int(round(n)) - 1, 0), len(use))] / sd[:, None]
+                delta = np.concatenate([(post - pre)[use], [y, 1.0]])
+                cut = np.concatenate([use, [u, u + 1]])
+                d = deltas[np.ix_(cut, cut)] - np.outer(delta, delta)
+                count = d[-1, -1]
+                if count < 2.5:
+                    errors.append(np.nan)
+                    continue
+                mx, my = d[-1, :-2] / count, d[-1, -2] / count
+                scatter, cross = d[:-2, :-2] / count - np.outer(mx, mx), d[:-2, -2] / count - mx * my
+                slope = np.linalg.pinv(axes.T @ scatter @ axes, rcond=1e-10) @ (axes.T @ cross)
+                errors.append(abs(y - my - (delta[:-2] - mx) @ axes @ slope))
+            yield pd.DataFrame({"error": np.array(errors, dtype=float)})
+
+    own = panel.join(F.broadcast(place), "feature_id").groupBy(subject).agg(F.collect_list("_i").alias("panel"))
+    folds = fit.join(own, subject, "left").select("pre", "post", "target", F.coalesce("panel", F.array().cast("array<int>")).alias("panel"))
+    errors = folds.mapInPandas(refit, "error double")
     kept = F.when(~F.isnan("error"), F.col("error"))
     return errors.agg(F.avg(kept).alias("loso_mae"), F.count(kept).alias("n_subjects"))
 
@@ -489,7 +507,7 @@ def two_anchor_axis(clouds: DataFrame, toward: str, away: str, min_toward: int =
 
 def axis_projection(termini: DataFrame, axis: DataFrame, vector: str = "z", out: str = "recovery_score") -> DataFrame:
     """Dot product of every row vector with the axis; a width mismatch raises."""
-    if _width(termini, vector) != _width(axis, "axis"):
+    if vector_width(termini, vector) != vector_width(axis, "axis"):
         raise ValueError("termini and axis live in different dimensions")
     placed = termini.withColumn("_axis", axis.select("axis").scalar())
     return placed.withColumn(out, C.dot(F.col(vector), F.col("_axis"))).drop("_axis")

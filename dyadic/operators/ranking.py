@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dyadic.session import TASK_ROWS, materialize
+from dyadic.session import TASK_ROWS, materialize, small_side
 
 _COMBINE = {
     "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0.0)) + b),
@@ -60,7 +60,7 @@ def ordered_prefix(
     ranges = max(2, math.ceil(2 * largest / task_rows))
     cuts = [i / ranges for i in range(1, ranges)]
     bounds = df.groupBy(*by).agg(F.percentile_approx(order, cuts, 100 * ranges).alias("_cuts"))
-    ranged = df.join(bounds, by).withColumn(
+    ranged = df.join(small_side(bounds), by).withColumn(
         "_range", F.size(F.filter("_cuts", lambda c: c < F.col(order))) * F.lit(-1 if descending else 1)
     ).drop("_cuts")
     totals = ranged.groupBy(*by, "_range").agg(
@@ -72,12 +72,12 @@ def ordered_prefix(
     )
     w = W.partitionBy(*by, "_range").orderBy(direction).rowsBetween(W.unboundedPreceding, W.currentRow)
     local = ranged.select("*", *[_COMBINE[k][0](c).over(w).alias(f"_l_{out}") for out, (k, c) in measures.items()])
-    return local.join(offsets, [*by, "_range"]).select(
+    return local.join(small_side(offsets), [*by, "_range"]).select(
         *df.columns, *[_COMBINE[k][1](F.col(f"_o_{o}"), F.col(f"_l_{o}")).alias(o) for o, (k, _) in measures.items()]
     )
 
 
-def _rank_table(stored: DataFrame, keys: list[str], value: str, out: str, descending: bool, task_rows: int) -> DataFrame:
+def rank_table(stored: DataFrame, keys: list[str], value: str, out: str, descending: bool, task_rows: int) -> DataFrame:
     """Mean rank of every distinct value of a group."""
     counts = stored.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = ordered_prefix(counts, keys, value, {"_upto": ("count", "_n")}, descending, task_rows)
@@ -90,7 +90,7 @@ def average_rank(
     """Add the 1-based rank of `value` in its group, ties sharing their mean rank."""
     keyed, keys = _keyed(df, by)
     stored = materialize(keyed)
-    ranks = _rank_table(stored, keys, value, out, descending, task_rows)
+    ranks = rank_table(stored, keys, value, out, descending, task_rows)
     return stored.join(ranks, [*keys, value]).select(*df.columns, out)
 
 
@@ -104,7 +104,7 @@ def bh_fdr(
     largest = largest_group(counts, keys)
     sizes = stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("_m"))
     upto = ordered_prefix(counts, keys, "_p", {"_upto": ("count", "_n")}, task_rows=task_rows, largest=largest)
-    raw = upto.join(sizes, keys).select(*keys, "_p", (F.col("_p") * F.col("_m") / F.col("_upto")).alias("_raw"))
+    raw = upto.join(small_side(sizes), keys).select(*keys, "_p", (F.col("_p") * F.col("_m") / F.col("_upto")).alias("_raw"))
     if largest > task_rows:
         raw = materialize(raw)
     steps = ordered_prefix(
@@ -143,7 +143,7 @@ def weighted_quantile(
     reached = F.col("_upto") / (F.col("_sum") + F.col("_sum") / F.col("_rows")) >= F.lit(1.0 - alpha)
     found = F.coalesce(F.min(F.when(reached, F.col(score))), F.max("_max"))
     return (
-        upto.join(totals, keys)
+        upto.join(small_side(totals), keys)
         .groupBy(*keys)
         .agg(F.when(F.max("_rows") < min_rows, F.lit(math.pi)).otherwise(found).alias(out))
         .select(*by, out)
@@ -189,7 +189,7 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, min_rows: int = 5, ta
     dx, dy, k = F.col("_rx") - (F.col("n") + 1) / 2.0, F.col("_ry") - (F.col("n") + 1) / 2.0, F.col("_k")
     spread = F.sqrt(F.sum(k * dx * dx) * F.sum(k * dy * dy))
     rho = F.sum(k * dx * dy) / F.nullif(spread, F.lit(0.0))
-    return out.join(sizes, keys).groupBy(*keys).agg(
+    return out.join(small_side(sizes), keys).groupBy(*keys).agg(
         F.max("n").alias("n"), F.when(F.max("n") >= min_rows, rho).alias("rho")).select(*by, "n", "rho")
 
 

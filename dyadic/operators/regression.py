@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from dyadic.functions.tails import clean_nan, t_two_sided_udf
 from dyadic.operators.ranking import bh_fdr, pi1, spearman
-from dyadic.session import BROADCAST_ROWS, materialize
+from dyadic.session import BROADCAST_ROWS, materialize, small_side
 
 INTERCEPT = "intercept"
 RANK_TOLERANCE = 1e-10
@@ -500,7 +500,7 @@ def residualise(
     n = x.limit(BROADCAST_ROWS + 1).count()
     return (
         features.join(_sized(x, n), sample)
-        .join(wide, list(by))
+        .join(small_side(wide), list(by))
         .withColumn("value", F.col("value") - fitted)
         .select(*features.columns)
     )

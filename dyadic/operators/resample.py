@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from dyadic.functions import columns as C
 from dyadic.functions.tails import clean_nan, f_upper_udf, t_two_sided_udf
-from dyadic.session import TASK_ROWS, collect_bounded, small_side
+from dyadic.operators.moments import covariance, cross_product, vector_mean, vector_width
+from dyadic.session import TASK_ROWS, collect_bounded, materialize, small_side
 
 # Leading hex digits of a hash used to split one replicate's sort: 16^3 ranges of equal width.
 _RANGE_DIGITS = 3
@@ -116,19 +117,6 @@ def permutation_p(stats: DataFrame, value: str, tail: str = "upper", plus_one: b
     )
 
 
-def _width(df: DataFrame, vector: str) -> int:
-    widths = df.agg(F.min(F.size(vector)).alias("a"), F.max(F.size(vector)).alias("b")).first()
-    if widths["a"] != widths["b"]:
-        raise ValueError(f"vectors of different length: {widths['a']} to {widths['b']}")
-    return widths["a"] or 0
-
-
-def vector_mean(df: DataFrame, by: list[str], vector: str = "z", out: str = "centroid", d: int | None = None) -> DataFrame:
-    """Mean vector per group, one partially aggregated average per component."""
-    d = _width(df, vector) if d is None else d
-    return df.groupBy(*by).agg(C.vector_aggregate("avg", vector, d).alias(out), F.count(F.lit(1)).alias("n"))
-
-
 def permanova(scores: DataFrame, replicates: int = 2000, seed: int = 42, subject: str = "subject_id",
               label: str = "label", vector: str = "z") -> DataFrame:
     """Pseudo-F of two groups and its label-permutation p-value.
@@ -137,7 +125,7 @@ def permanova(scores: DataFrame, replicates: int = 2000, seed: int = 42, subject
     the between-group sum of squares is sum |S_g|^2 / n_g, and the total is fixed.
     """
     labelled = scores.filter(F.col(label).isNotNull())
-    d = _width(labelled, vector)
+    d = vector_width(labelled, vector)
     row = vector_mean(labelled, [], vector, "m", d).first()
     n = row["n"]
     centred = labelled.select(
@@ -205,21 +193,11 @@ def hotelling_t2(scores: DataFrame, label: str = "label", vector: str = "z") ->
 
     Only the group sizes, means and the pooled d x d covariance reach the driver.
     """
-    d = _width(scores, vector)
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    cov = F.expr("array(" + ", ".join(f"covar_pop(`{vector}`[{i}], `{vector}`[{j}])" for i, j in pairs) + ")")
-    rows = collect_bounded(
-        scores.filter(F.col(label).isNotNull()).groupBy(label).agg(
-            F.count(F.lit(1)).alias("n"), C.vector_aggregate("avg", vector, d).alias("m"), cov.alias("c"),
-        ), 2, "groups of a two-sample test",
-    )
-    by = {r[label]: r for r in rows}
-    n1, n0 = by[1]["n"], by[0]["n"]
-    pooled = np.zeros((d, d))
-    for k, (i, j) in enumerate(pairs):
-        pooled[i, j] = pooled[j, i] = (n1 * by[1]["c"][k] + n0 * by[0]["c"][k]) / (n1 + n0 - 2)
-    gap = np.array(by[1]["m"]) - np.array(by[0]["m"])
-    t2 = float(gap @ np.linalg.pinv(pooled) @ gap) * n1 * n0 / (n1 + n0)
+    one, zero = (covariance(scores.filter(F.col(label) == i), vector) for i in (1, 0))
+    (n1, m1, c1), (n0, m0, c0) = one, zero
+    d = len(m1)
+    gap = m1 - m0
+    t2 = float(gap @ np.linalg.pinv((n1 * c1 + n0 * c0) / (n1 + n0 - 2)) @ gap) * n1 * n0 / (n1 + n0)
     df2 = n1 + n0 - d - 1
     f = t2 * df2 / (d * (n1 + n0 - 2))
     out = scores.sparkSession.range(1).select(
@@ -241,7 +219,7 @@ def centroid_permutation(features: DataFrame, subjects: DataFrame, anchor: DataF
     group's squared distance is the sum of its block of the samples x samples
     cross-product over n squared: the features are read once, whatever the number
     of replicates. Tables with missing cells or very many samples take per-feature
-    group means per replicate instead.
+    group means instead, from one vector per feature and blocks of replicates.
     """
     known = subjects.filter(F.col(label).isNotNull()).select(subject, F.col(label).cast("int").alias(label))
     shifted = features.join(anchor.withColumnRenamed("value", "_anchor"), "feature_id").join(
@@ -252,10 +230,7 @@ def centroid_permutation(features: DataFrame, subjects: DataFrame, anchor: DataF
     if sizes["n"] <= _CROSS_SAMPLES and sizes["k"] == sizes["n"] * sizes["p"]:
         distance = _group_norms(shifted, grid, subject, label)
     else:
-        labels = grid.groupBy(subject).agg(F.collect_list(F.struct("rep", label)).alias("_labels"))  # one per replicate
-        per_rep = shifted.join(small_side(labels), subject).select("feature_id", "_v", F.inline("_labels"))
-        means = per_rep.groupBy("rep", "feature_id", label).agg(F.avg("_v").alias("_m"))
-        distance = means.groupBy("rep", label).agg(F.sqrt(F.sum(F.col("_m") * F.col("_m"))).alias("_d"))
+        distance = _block_norms(shifted, known.select(subject), grid, replicates, subject, label)
     gap = distance.groupBy("rep").agg(
         F.max(F.when(F.col(label) == 0, F.col("_d"))).alias("d_zero"),
         F.max(F.when(F.col(label) == 1, F.col("_d"))).alias("d_one"),
@@ -269,8 +244,6 @@ def centroid_permutation(features: DataFrame, subjects: DataFrame, anchor: DataF
 
 def _group_norms(shifted: DataFrame, grid: DataFrame, subject: str, label: str) -> DataFrame:
     """Norm of each group's mean vector per (rep, label), from the cross-product of the samples."""
-    from dyadic.operators.multivariate import cross_product
-
     per_feature = shifted.groupBy("feature_id").agg(F.sort_array(F.collect_list(F.struct(subject, "_v"))).alias("_p"))
     gram = cross_product(per_feature.select(F.transform("_p", lambda p: p["_v"]).alias("z")))
     ids = {r[0]: i for i, r in enumerate(shifted.select(subject).distinct().orderBy(subject).collect())}  # n is bounded above
@@ -283,6 +256,49 @@ def _group_norms(shifted: DataFrame, grid: DataFrame, subject: str, label: str)
     return members.select("rep", label, F.pandas_udf(norm, "double")("_m").alias("_d"))
 
 
+# Cells of the samples x replicates label matrix that a task holds at a time (64 MB).
+_LABEL_CELLS = 8_000_000
+
+
+def _block_norms(shifted: DataFrame, samples: DataFrame, grid: DataFrame, replicates: int, subject: str, label: str) -> DataFrame:
+    """As `_group_norms` for any table: a feature's present values times a block of label columns gives its group sums.
+
+    A feature is one row of at most as many values as there are samples; replicates come in blocks, so that a block's
+    labels fit a task. Tasks return one sum of squares per replicate and group.
+    """
+    order = materialize(hash_position(samples, [], F.md5(F.col(subject).cast("string")), "_i", subject).withColumn("_i", F.col("_i") - 1))
+    n = order.count()
+    place = small_side(order)
+    packed = materialize(shifted.filter(F.col("_v").isNotNull()).join(place, subject).groupBy("feature_id").agg(
+        F.collect_list(F.struct("_i", "_v")).alias("_p")).select(F.col("_p._i").alias("i"), F.col("_p._v").alias("v")))
+    step, out = max(1, _LABEL_CELLS // max(n, 1)), None
+    placed = materialize(grid.filter(F.col(label) == 1).join(place, subject).groupBy("rep").agg(F.collect_list("_i").alias("m")))
+    for lo in range(0, replicates + 1, step):
+        members = {r["rep"]: r["m"] for r in placed.filter(F.col("rep").between(lo, lo + step - 1)).collect()}
+        size = min(step, replicates + 1 - lo)
+        marks = np.zeros((n, size))
+        for rep, m in members.items():
+            marks[np.asarray(m, dtype=int), rep - lo] = 1.0
+        shared = shifted.sparkSession.sparkContext.broadcast(marks)
+
+        def norms(batches, lo=lo, size=size, shared=shared):
+            total, seen = np.zeros((2, size)), np.zeros((2, size), dtype=bool)
+            for pdf in batches:
+                for i, v in zip(pdf["i"], pdf["v"]):
+                    part = shared.value[np.asarray(i, dtype=int)]
+                    ones, sums = part.sum(axis=0), np.asarray(v, dtype=float) @ part
+                    for g, (count, s) in enumerate(((len(i) - ones, np.sum(v) - sums), (ones, sums))):
+                        has = count > 0
+                        total[g] += np.where(has, (s / np.where(has, count, 1.0)) ** 2, 0.0)
+                        seen[g] |= has
+            for g in (0, 1):
+                yield pd.DataFrame({"rep": np.arange(lo, lo + size, dtype=np.int64)[seen[g]], "g": g, "s": total[g][seen[g]]})
+
+        part = materialize(packed.mapInPandas(norms, "rep long, g int, s double").groupBy("rep", "g").agg(F.sum("s").alias("s")))
+        out = part if out is None else out.unionByName(part)
+    return out.select("rep", F.col("g").alias(label), F.sqrt("s").alias("_d"))
+
+
 def proximity_test(termini: DataFrame, reference: DataFrame, bootstrap: int = 2000, permutations: int = 2000,
                    seed: int = 42, subject: str = "subject_id", label: str = "label", vector: str = "z") -> DataFrame:
     """Are label-0 termini closer to the reference centroid? One row with effect, signed d, CIs and p.
@@ -290,8 +306,8 @@ def proximity_test(termini: DataFrame, reference: DataFrame, bootstrap: int = 20
     Effect = mean distance of label 1 - mean distance of label 0. CIs bootstrap
     whole subjects within each group; p permutes labels, counting the observed one.
     """
-    d = _width(termini, vector)
-    if _width(reference, vector) != d:
+    d = vector_width(termini, vector)
+    if vector_width(reference, vector) != d:
         raise ValueError("termini and reference live in different dimensions")
     centre = vector_mean(reference, [], vector, d=d).select("centroid").scalar()
     dist = termini.filter(F.col(label).isNotNull()).withColumn("_centre", centre).select(

@@ -18,7 +18,7 @@ from dyadic.session import materialize, small_side
 def impute_mean(features: DataFrame, by: tuple[str, ...] = ("feature_id",), value: str = "value") -> DataFrame:
     """Fill missing values with their group mean; groups without any value stay as they are."""
     means = features.groupBy(*by).agg(F.avg(value).alias("_mean"))
-    return features.join(means, list(by)).withColumn(value, F.coalesce(value, "_mean")).drop("_mean")
+    return features.join(small_side(means), list(by)).withColumn(value, F.coalesce(value, "_mean")).drop("_mean")
 
 
 def scale_stats(features: DataFrame, by: tuple[str, ...] = ("feature_id",), value: str = "value", ddof: int = 0):
@@ -36,7 +36,7 @@ def zscale(
     """Centre and scale per feature; pass `stats` of the training rows to scale held-out rows."""
     stats = scale_stats(features, by, value, ddof) if stats is None else stats
     return (
-        features.join(stats, list(by))
+        features.join(small_side(stats), list(by))
         .withColumn(value, (F.col(value) - F.col("mean")) / F.col("sd"))
         .drop("mean", "sd")
     )
@@ -158,7 +158,7 @@ def fold_preprocess(
     own = folds.select(sample, F.col("fold").alias("own_fold"))
     return (
         features.join(small_side(own), sample)
-        .join(panel, "feature_id")
+        .join(small_side(panel), "feature_id")
         .select(
             F.col("panel_fold").alias("fold"), sample, "feature_id", value.alias("value"),
             (F.col("own_fold") == F.col("panel_fold")).alias("held_out"),
@@ -174,7 +174,7 @@ def loo_topk_variance(features: DataFrame, top: int, subject: str = "subject_id"
     Expects a row for every (subject, feature) cell, with NULL where missing.
     """
     means = features.groupBy("feature_id").agg(F.avg("value").alias("_mean"))
-    centred = features.join(means, "feature_id").withColumn("_c", F.col("value") - F.col("_mean"))
+    centred = features.join(small_side(means), "feature_id").withColumn("_c", F.col("value") - F.col("_mean"))
     own = centred.groupBy("feature_id", subject).agg(
         F.count("_c").alias("n"), F.coalesce(F.sum("_c"), F.lit(0.0)).alias("s"),
         F.coalesce(F.sum(F.col("_c") * F.col("_c")), F.lit(0.0)).alias("ss"),
@@ -183,7 +183,7 @@ def loo_topk_variance(features: DataFrame, top: int, subject: str = "subject_id"
     n, s, ss = F.col("all_n") - F.col("n"), F.col("all_s") - F.col("s"), F.col("all_ss") - F.col("ss")
     zero = F.lit(0).cast("bigint")
     variance = F.when(n > 1, (ss - s * s / F.nullif(n, zero)) / F.nullif(n - 1, zero))
-    left_out = own.join(total, "feature_id").select(
+    left_out = own.join(small_side(total), "feature_id").select(
         subject, "feature_id", F.coalesce(variance, F.lit(0.0)).alias("variance")
     )
     return top_n(left_out, [subject], [F.desc("variance"), F.col("feature_id")], top)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dyadic.functions import verdicts as V
@@ -117,11 +117,11 @@ def shift_gate(a: DataFrame, b: DataFrame, top: int = 2000, minimum: int = 3000,
 
 
 def direction_gate(a: DataFrame, b: DataFrame, subjects: DataFrame, anchors: DataFrame, top: int = 2000,
-                   replicates: int = 2000, seed: int = 42, minimum: int = 0) -> dict[str, DataFrame]:
+                   replicates: int = 2000, seed: int = 42, minimum: int = 0, plane: bool = True) -> dict[str, DataFrame]:
     """Are non-responders nearer to an external group than responders, in harmonised expression space?
 
     `a`, `b`: features of the own and the external cohort; `anchors(sample_id)` the
-    external group; `subjects(sample_id, label)` the own labels.
+    external group; `subjects(sample_id, label)` the own labels. `plane` adds the first two components of the panel.
     """
     shared = pairing.feature_intersection(a, b, minimum)
     both = pairing.union_tagged({"own": a, "external": b}, "cohort").join(shared, "feature_id", "left_semi")
@@ -132,10 +132,8 @@ def direction_gate(a: DataFrame, b: DataFrame, subjects: DataFrame, anchors: Dat
         "feature_id").agg(F.avg("value").alias("value"))
     test = resample.centroid_permutation(own, subjects, centre, replicates, seed)
     centroids = own.join(subjects, "sample_id").groupBy("label", "feature_id").agg(F.avg("value").alias("value"))
-    return {
-        "test": test.withColumn("verdict", V.direction_gate(F.col("p_value"), F.col("direction_ok"))),
-        "centroids": centroids, "plane": multivariate.pca_long(own, 2, "sample_id")["scores"],
-    }
+    out = {"test": test.withColumn("verdict", V.direction_gate(F.col("p_value"), F.col("direction_ok"))), "centroids": centroids}
+    return out | {"plane": multivariate.pca_long(own, 2, "sample_id")["scores"]} if plane else out
 
 
 def cell_fractions(betas: DataFrame, panel: DataFrame, cell_types: Sequence[str], samples: DataFrame) -> dict[str, DataFrame]:
@@ -324,3 +322,8 @@ def projection(clouds: DataFrame, termini: DataFrame, loadings: DataFrame, towar
         for name, table in out.items():
             tables.write_table(table, f"{path}/{name}")
     return out
+
+
+def load_projection(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables that `projection` wrote to `path`; a missing one raises."""
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("terminus", "clouds", "axis")}

@@ -5,14 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Rows one task may sort in a window before the work is split over range buckets.
 TASK_ROWS = 2_000_000
-# Rows up to which a side is broadcast. Rows on these sides are narrow (a few
-# hundred bytes), so this bounds the broadcast at well under 1 GB.
+# Rows and estimated bytes up to which a side is broadcast.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 256 << 20
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -70,12 +71,28 @@ def fits(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark `df` for broadcast only if it is counted to be within `rows`.
+def _cell_bytes(name: str, kind: T.DataType) -> Column:
+    """Estimated size of one cell; arrays count by their length, strings by theirs."""
+    col = F.col(f"`{name}`")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.length(col), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        inner = kind.elementType
+        each = 8 * (len(inner.fields) + 1) if isinstance(inner, T.StructType) else 32 if isinstance(inner, T.StringType) else 8
+        return F.greatest(F.size(col), F.lit(0)) * each + 16
+    return F.lit(8 * (len(kind.fields) + 1) if isinstance(kind, T.StructType) else 8)
 
-    Beyond the bound the join is left to Spark (sort-merge with AQE skew splitting).
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """`df`, stored, and marked for broadcast only if it is counted to be within `rows` and `size` bytes.
+
+    It is stored first, so what it is made from runs once and both the count and the join read the same values. Beyond
+    the bounds the join is left to Spark (sort-merge with AQE skew splitting).
     """
-    return F.broadcast(df) if fits(df, rows) else df
+    stored = materialize(df)
+    width = sum((_cell_bytes(f.name, f.dataType) for f in stored.schema.fields), F.lit(8))
+    n, wide = stored.agg(F.count(F.lit(1)), F.coalesce(F.sum(width.cast("bigint")), F.lit(0))).first()
+    return F.broadcast(stored) if n <= rows and wide <= size else stored
 
 
 def collect_bounded(df: DataFrame, rows: int, what: str) -> list:
