@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dyadic.catalog import recipes as R
-from dyadic.catalog.models import SQL_ENRICH, SQL_RANKS
+from dyadic.catalog.latent import SQL_COVERED, SQL_METRICS, position, sql_arm, sql_class, sql_icc
+from dyadic.catalog.statistics import calibration
+from dyadic.catalog.models import SQL_ENRICH, SQL_RANKS, sql_grid
 from dyadic.catalog.registry import query, r6, rounded, sql_bh, sql_fit_own, sql_t_tail, sr6, table
 from dyadic.operators import ranking, scoring
 from dyadic.plans import jobs
@@ -119,21 +121,70 @@ def job_shift_gate(spark, d):
     return rounded(out["summary"].withColumn("verdict", out["verdict"].select("verdict").scalar()))
 
 
-@query("job_separation_gate")
-def job_separation_gate(spark, d):
-    out = jobs.separation_gate(
-        _embedding_observations(spark, d, "dnam"), _embedding_observations(spark, d, "rna"), _embedding_subjects(spark, d),
-        top_dnam=24, top_rna=16, k=5, replicates=99)
-    return rounded(out["summary"])
+def _sql_separation(top_dnam: int, top_rna: int, source: str) -> str:
+    """CTEs: scaled panel `z(subject_id, label, feature_id, v)` of the deltas in CTE `source(subject_id, label, feature_id, v)`."""
+    return f"""var AS (SELECT feature_id, var_samp(v) AS s FROM {source} GROUP BY 1),
+ pick AS (SELECT feature_id FROM var QUALIFY row_number() OVER (PARTITION BY feature_id < 32 ORDER BY s DESC, feature_id) <= CASE WHEN feature_id < 32 THEN {top_dnam} ELSE {top_rna} END),
+ z AS (SELECT subject_id, label, feature_id, (v - avg(v) OVER (PARTITION BY feature_id)) / stddev_pop(v) OVER (PARTITION BY feature_id) AS v FROM {source} JOIN pick USING (feature_id)),
+ s AS (SELECT DISTINCT subject_id, label FROM {source}), g AS ({sql_grid('s', 99)}), t AS (SELECT sum(v * v) AS sst FROM z),
+ m AS (SELECT rep, g.label, feature_id, sum(v) AS s, count(*) AS k FROM g JOIN z USING (subject_id) GROUP BY ALL),
+ b AS (SELECT rep, sum(s * s / k) AS ssb, max(n) AS n FROM m, (SELECT count(*) AS n FROM s) GROUP BY rep), f AS (SELECT rep, ssb / ((sst - ssb) / (n - 2)) AS f FROM b, t),
+ test AS (SELECT max(f) FILTER (rep = 0) AS f_statistic, count(*) FILTER (rep > 0 AND f >= (SELECT f FROM f WHERE rep = 0)) / CAST(99 AS DOUBLE) AS p_value, count(*) FILTER (rep > 0) AS n_permutations FROM f)"""
 
 
-@query("job_separation_gate_corrected")
-def job_separation_gate_corrected(spark, d):
+_SQL_RAW = f"raw AS (SELECT subject_id, CAST(responder AS INT) AS label, i - 1 AS feature_id, z AS v FROM ({R.SQL_DELTAS}))"
+# Residuals on two covariates, orthogonalised one after the other.
+_SQL_CLEAN = f"""{_SQL_RAW}, ca AS (SELECT *, sin(subject_id) - avg(sin(subject_id)) OVER p AS q0, cos(subject_id) - avg(cos(subject_id)) OVER p AS b, v - avg(v) OVER p AS y FROM raw WINDOW p AS (PARTITION BY feature_id)),
+ cb AS (SELECT *, b - q0 * (sum(b * q0) OVER p / sum(q0 * q0) OVER p) AS q1 FROM ca WINDOW p AS (PARTITION BY feature_id)),
+ clean AS (SELECT subject_id, label, feature_id, y - q0 * (sum(y * q0) OVER p / sum(q0 * q0) OVER p) - q1 * (sum(y * q1) OVER p / sum(q1 * q1) OVER p) AS v FROM cb WINDOW p AS (PARTITION BY feature_id))"""
+_SQL_TEST = f"SELECT {sr6('f_statistic')} AS f_statistic, {sr6('p_value')} AS p_value, n_permutations FROM test"
+
+
+def _sql_plane(rule: str) -> str:
+    """Everything the gate reports of a panel of two features, whose components have a closed form."""
+    return f"""w AS (SELECT subject_id, any_value(label) AS label, max(v) FILTER (feature_id < 32) AS x, max(v) FILTER (feature_id >= 32) AS y FROM z GROUP BY 1),
+ c AS (SELECT label, (x + o * y) / sqrt(2) AS a, (x - o * y) / sqrt(2) AS b FROM (SELECT *, sign(corr(x, y) OVER ()) AS o FROM w)),
+ h AS (SELECT count(*) FILTER (label = 1) AS n1, count(*) FILTER (label = 0) AS n0, avg(a) FILTER (label = 1) - avg(a) FILTER (label = 0) AS ga, avg(b) FILTER (label = 1) - avg(b) FILTER (label = 0) AS gb,
+  var_pop(a) FILTER (label = 1) AS a1, var_pop(a) FILTER (label = 0) AS a0, var_pop(b) FILTER (label = 1) AS b1, var_pop(b) FILTER (label = 0) AS b0,
+  covar_pop(a, b) FILTER (label = 1) AS c1, covar_pop(a, b) FILTER (label = 0) AS c0 FROM c),
+ k AS (SELECT *, greatest(abs(ga) / sqrt(((n1 - 1) * a1 + (n0 - 1) * a0) / (n1 + n0 - 2)), abs(gb) / sqrt(((n1 - 1) * b1 + (n0 - 1) * b0) / (n1 + n0 - 2))) AS d,
+  (n1 * a1 + n0 * a0) / (n1 + n0 - 2) AS pa, (n1 * b1 + n0 * b0) / (n1 + n0 - 2) AS pb, (n1 * c1 + n0 * c0) / (n1 + n0 - 2) AS pc FROM h),
+ t2 AS (SELECT *, (ga * ga * pb - 2 * ga * gb * pc + gb * gb * pa) / (pa * pb - pc * pc) * n1 * n0 / (n1 + n0) AS t2 FROM k)
+SELECT {sr6('f_statistic')} AS f_statistic, {sr6('p_value')} AS p_value, n_permutations, {sr6('d')} AS max_cohens_d,
+ {sr6('pow(1 + 2 * (t2 * (n1 + n0 - 3) / (2 * (n1 + n0 - 2))) / (n1 + n0 - 3), -(n1 + n0 - 3) / CAST(2 AS DOUBLE))')} AS hotelling_p, {rule} AS verdict FROM t2, test"""
+
+
+_SQL_GATE = "CASE WHEN p_value < 0.05 AND d >= 0.3 THEN 'PASS' WHEN p_value < 0.15 THEN 'MARGINAL' ELSE 'FAIL' END"
+_SQL_RESCUE = "CASE WHEN p_value < 0.05 AND d > 0.3 THEN 'RESCUE_PASS' WHEN p_value < 0.15 THEN 'MARGINAL' ELSE 'FAIL' END"
+
+
+def _separation(spark, d, top_dnam: int, top_rna: int, corrected: bool):
     covariate = R.deltas(spark, d).select("subject_id", F.sin("subject_id").alias("frac_a"), F.cos("subject_id").alias("frac_b"))
-    out = jobs.separation_gate(
+    extra = {"corrected_by": {"dnam": covariate, "rna": covariate}, "columns": ["frac_a", "frac_b"]} if corrected else {}
+    return jobs.separation_gate(
         _embedding_observations(spark, d, "dnam"), _embedding_observations(spark, d, "rna"), _embedding_subjects(spark, d),
-        top_dnam=24, top_rna=16, k=5, replicates=99, corrected_by={"dnam": covariate, "rna": covariate}, columns=["frac_a", "frac_b"])
-    return rounded(out["summary"])
+        top_dnam=top_dnam, top_rna=top_rna, k=top_dnam + top_rna, replicates=99, **extra)["summary"]
+
+
+# With all components the permutation test does not depend on how they are turned; the plane covers what does.
+@query("job_separation_gate", f"WITH {_SQL_RAW}, {_sql_separation(24, 16, 'raw')} {_SQL_TEST}")
+def job_separation_gate(spark, d):
+    return rounded(_separation(spark, d, 24, 16, False).select("f_statistic", "p_value", "n_permutations"))
+
+
+@query("job_separation_gate_corrected", f"WITH {_SQL_CLEAN}, {_sql_separation(24, 16, 'clean')} {_SQL_TEST}")
+def job_separation_gate_corrected(spark, d):
+    return rounded(_separation(spark, d, 24, 16, True).select("f_statistic", "p_value", "n_permutations"))
+
+
+@query("job_separation_gate_plane", f"WITH {_SQL_RAW}, {_sql_separation(1, 1, 'raw')}, {_sql_plane(_SQL_GATE)}")
+def job_separation_gate_plane(spark, d):
+    return rounded(_separation(spark, d, 1, 1, False))
+
+
+@query("job_separation_gate_corrected_plane", f"WITH {_SQL_CLEAN}, {_sql_separation(1, 1, 'clean')}, {_sql_plane(_SQL_RESCUE)}")
+def job_separation_gate_corrected_plane(spark, d):
+    return rounded(_separation(spark, d, 1, 1, True))
 
 
 @query("job_direction_gate")
@@ -146,7 +197,30 @@ def job_direction_gate(spark, d):
     return rounded(out["test"])
 
 
-@query("job_cell_fractions")
+def _sql_three() -> str:
+    """Non-negative least squares of three columns: of all sets of columns, the best fit without a negative weight."""
+    fits = {
+        "a": ("ya / aa", "0", "0"), "b": ("0", "yb / bb", "0"), "c": ("0", "0", "yc / cc"),
+        "ab": ("(bb * ya - ab * yb) / (aa * bb - ab * ab)", "(aa * yb - ab * ya) / (aa * bb - ab * ab)", "0"),
+        "ac": ("(cc * ya - ac * yc) / (aa * cc - ac * ac)", "0", "(aa * yc - ac * ya) / (aa * cc - ac * ac)"),
+        "bc": ("0", "(cc * yb - bc * yc) / (bb * cc - bc * bc)", "(bb * yc - bc * yb) / (bb * cc - bc * bc)"),
+    }
+    det = "(aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac))"
+    fits["abc"] = (
+        f"(ya * (bb * cc - bc * bc) - ab * (yb * cc - bc * yc) + ac * (yb * bc - bb * yc)) / {det}",
+        f"(aa * (yb * cc - bc * yc) - ya * (ab * cc - bc * ac) + ac * (ab * yc - yb * ac)) / {det}",
+        f"(aa * (bb * yc - yb * bc) - ab * (ab * yc - yb * ac) + ya * (ab * bc - bb * ac)) / {det}")
+    rows = " UNION ALL ".join(f"SELECT *, CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y, CAST({z} AS DOUBLE) AS z FROM m" for x, y, z in fits.values())
+    loss = "aa * x * x + bb * y * y + cc * z * z + 2 * (ab * x * y + ac * x * z + bc * y * z) - 2 * (ya * x + yb * y + yc * z)"
+    return f"SELECT sample_id, x / (x + y + z) AS x, y / (x + y + z) AS y, z / (x + y + z) AS z FROM ({rows}) WHERE x >= 0 AND y >= 0 AND z >= 0 QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY {loss}) = 1"
+
+
+@query("job_cell_fractions", f"""
+WITH bt AS (SELECT l_suppkey AS sample_id, l_partkey AS feature_id, avg(l_discount) * 10 AS v FROM lineitem GROUP BY ALL),
+ pn AS (SELECT p_partkey AS feature_id, p_size / CAST(50 AS DOUBLE) AS a, CAST(p_partkey * 13 % 97 AS DOUBLE) / 97 AS b, p_retailprice / CAST(3000 AS DOUBLE) AS c FROM part),
+ m AS (SELECT sample_id, sum(a * a) AS aa, sum(a * b) AS ab, sum(a * c) AS ac, sum(b * b) AS bb, sum(b * c) AS bc, sum(c * c) AS cc, sum(a * v) AS ya, sum(b * v) AS yb, sum(c * v) AS yc FROM bt JOIN pn USING (feature_id) GROUP BY 1),
+ n AS ({_sql_three()})
+SELECT s_suppkey AS sample_id, s_name, {sr6('x')} AS epidish_a, {sr6('y')} AS epidish_b, {sr6('z')} AS epidish_c, sample_id IS NOT NULL AS matched FROM supplier LEFT JOIN n ON s_suppkey = sample_id""")
 def job_cell_fractions(spark, d):
     betas = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("sample_id"), F.col("l_partkey").alias("feature_id")).agg(
         (F.avg("l_discount") * 10).alias("value"))
@@ -261,30 +335,39 @@ def job_feature_tables(spark, d):
     return tables.guarded_read(spark, path + "/dnam").groupBy("feature_id").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("value")).alias("total"))
 
 
-def _factor_inputs(spark, d):
-    rows = R.dense(spark, d).withColumnsRenamed({"sample_id": "obs_id"})
-    views = rows.withColumn("view", F.when(F.col("feature_id") < 40, "dnam").otherwise("rna"))
+@query("job_factor_run", f"""
+WITH v AS (SELECT obs_id, x, y, sin(obs_id) AS c FROM ({R.SQL_VIEWS})),
+ w AS (SELECT obs_id, x - avg(x) OVER () - (c - avg(c) OVER ()) * (covar_pop(x, c) OVER () / var_pop(c) OVER ()) AS x, y - avg(y) OVER () - (c - avg(c) OVER ()) * (covar_pop(y, c) OVER () / var_pop(c) OVER ()) AS y FROM v),
+ {R.sql_pair_factors('w', 'p')}, pf AS (SELECT CAST(floor(obs_id / 2) AS BIGINT) AS subject_id, factor, value FROM p), {sql_icc('pf', 'a')}
+SELECT factor, {sr6('icc')} AS icc, {sql_class('icc')} AS classification FROM a""")
+def job_factor_run(spark, d):
+    # One feature a view; the classes do not depend on a factor's sign.
     obs = table(spark, d, "embeddings").select(
         F.col("vec_id").alias("obs_id"), F.floor(F.col("vec_id") / 2).alias("subject_id"), (F.col("vec_id") % 2).cast("int").alias("visit"),
         F.col("label").cast("double").alias("target"), (F.col("label") < 5).alias("responder"), F.sin("vec_id").alias("sex"))
-    return views, obs
+    return rounded(jobs.factor_run(R.two_views(spark, d), obs, 2, ["sex"], bootstrap=20)["classes"].select("factor", "icc", "classification"))
 
 
-@query("job_factor_run")
-def job_factor_run(spark, d):
-    views, obs = _factor_inputs(spark, d)
-    return rounded(jobs.factor_run(views, obs, 4, ["sex"], bootstrap=20)["classes"])
+def _sql_half(arm: str, condition: str) -> str:
+    plane = f"""SELECT subject_id, responder, target, sum(z) FILTER (i % 2 = 1) AS x, sum(z) FILTER (i % 2 = 0) AS y FROM (SELECT *, max(i) OVER (PARTITION BY subject_id) AS w FROM ({R.SQL_DELTAS})) WHERE {condition} GROUP BY ALL"""
+    rows = f"(SELECT *, feature_id + 1 AS i, max(feature_id + 1) OVER (PARTITION BY sample_id) AS w FROM ({R.SQL_DENSE}))"
+    runs = f"""SELECT CAST(floor(sample_id / 4) AS BIGINT) AS s, sample_id % 4 AS run, feature_id, value / sqrt(sum(value * value) OVER (PARTITION BY sample_id)) AS u FROM {rows} WHERE {condition}"""
+    return f"run{arm} AS ({runs}), pl{arm} AS ({plane}), {sql_arm(f'run{arm}', f'pl{arm}', f'arm{arm}')}"
 
 
-@query("job_leaderboard")
+@query("job_leaderboard", f"""
+WITH {SQL_COVERED}, {_sql_half('A', 'i <= w // 2')}, {_sql_half('B', 'i > w // 2')}
+SELECT metric, a.cell AS "A", b.cell AS "B", 'n/a' AS "C", {position('metric')} AS position FROM armA a JOIN armB b USING (metric)""")
 def job_leaderboard(spark, d):
-    arms = None
+    """The metrics that the data fix, of the first and the second half of the dimensions."""
+    coverage, enriched = ranking.mondrian_conformal(*calibration(spark, d)), R.results(spark, d)
+    half, arms = F.floor(F.size("z") / 2).cast("int"), None
     for arm in ("A", "B"):
-        rows = R.deltas(spark, d).withColumn("z", F.slice("z", 1, 32) if arm == "A" else F.slice("z", 33, 32))
+        part = F.slice("z", 1, half) if arm == "A" else F.slice("z", half + 1, F.size("z") - half)
+        rows = R.deltas(spark, d).withColumn("z", part).withColumn("z", R.plane())
         runs = R.points(spark, d).select(
-            F.floor(F.col("subject_id") / 4).alias("subject_id"), (F.col("subject_id") % 4).alias("run"), F.slice("z", 1 if arm == "A" else 33, 32).alias("z"))
-        scores = R.factor_scores(spark, d).filter(F.col("factor") < 32 if arm == "A" else F.col("factor") >= 32)
-        cells = scoring.score_arm(arm, rows, runs, scores, bootstrap=20, k_grid=(2, 3), archetype_bootstrap=2)
+            F.floor(F.col("subject_id") / 4).alias("subject_id"), (F.col("subject_id") % 4).alias("run"), part.alias("z"))
+        cells = scoring.score_arm(arm, rows, runs, R.factor_scores(spark, d), coverage, enriched, metrics=SQL_METRICS)
         arms = cells if arms is None else arms.unionByName(cells)
     return ranking.leaderboard(arms, ["A", "B", "C"], list(scoring.METRICS))
 

@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from dyadic.catalog import recipes as R
+from dyadic.catalog.statistics import SQL_CAL, SQL_ML_ICC, calibration, sql_quantile
 from dyadic.catalog.registry import big, query, r6, rounded, sql_draw, sql_draw_integer, sr6, table
+from dyadic.functions import columns as C
 from dyadic.operators import clustering, domain, multivariate, ranking, resample, scoring
 from dyadic.sources import tables
 
@@ -24,11 +26,26 @@ def pca_plane(spark, d):
     return out.select("l_orderkey", "l_partkey", r6(F.col("scores")[0]).alias("score"))
 
 
-@query("pca_scores")
+@query("pca_scores", f"""
+WITH c AS (SELECT sample_id, feature_id, value - avg(value) OVER (PARTITION BY feature_id) AS v FROM ({R.SQL_DENSE}))
+SELECT a.sample_id AS subject_id, {sr6('sum(a.v * a.v)')} AS norm2, {sr6('sum(a.v * b.v)')} AS with_next FROM c a LEFT JOIN c b ON b.sample_id = a.sample_id + 1 AND b.feature_id = a.feature_id GROUP BY 1""")
 def pca_scores(spark, d):
+    # All components together keep every inner product of the centred rows, however they are turned.
     rows = R.dense(spark, d).withColumnRenamed("sample_id", "subject_id")
-    out = multivariate.pca_long(rows, 5)["scores"]
-    return rounded(out.select("subject_id", F.posexplode("scores").alias("component", "score")))
+    scores = multivariate.pca_long(rows, 64)["scores"]
+    after = scores.select((F.col("subject_id") - 1).alias("subject_id"), F.col("scores").alias("next"))
+    return scores.join(after, "subject_id", "left").select(
+        "subject_id", r6(C.dot(F.col("scores"), F.col("scores"))).alias("norm2"), r6(C.dot(F.col("scores"), F.col("next"))).alias("with_next"))
+
+
+@query("pca_long_plane", f"""
+WITH v AS (SELECT obs_id, x, y FROM ({R.SQL_VIEWS})), s AS (SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) AS a, covar_pop(x, y) AS b, var_pop(y) AS c FROM v),
+ e AS (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS lam FROM s), u AS (SELECT *, b / sqrt(b * b + (lam - a) * (lam - a)) AS ux, (lam - a) / sqrt(b * b + (lam - a) * (lam - a)) AS uy FROM e),
+ w AS (SELECT *, CASE WHEN (CASE WHEN abs(ux) >= abs(uy) THEN ux ELSE uy END) < 0 THEN -1 ELSE 1 END AS sg FROM u)
+SELECT obs_id AS subject_id, {sr6('sg * ((x - mx) * ux + (y - my) * uy)')} AS score FROM v, w""")
+def pca_long_plane(spark, d):
+    rows = R.two_views(spark, d).select(F.col("obs_id").alias("subject_id"), F.col("view").alias("feature_id"), "value")
+    return multivariate.pca_long(rows, 1)["scores"].select("subject_id", r6(F.col("scores")[0]).alias("score"))
 
 
 @query("pca_explained", f"""
@@ -39,15 +56,17 @@ def pca_explained(spark, d):
     return out.agg(r6(F.sum("ratio")).alias("total_ratio"), r6(F.sum("variance"), 4).alias("total_variance"))
 
 
-def _views(spark, d):
-    rows = R.dense(spark, d).withColumn("view", F.when(F.col("feature_id") < 40, "dnam").otherwise("rna"))
-    return rows.withColumnRenamed("sample_id", "obs_id")
-
-
-@query("multiview_factors")
+@query("multiview_factors", f"""
+WITH v AS ({R.SQL_VIEWS}), r AS (SELECT corr(x, y) AS r FROM v)
+SELECT view, component, {sr6('1 / sqrt(CAST(2 AS DOUBLE))')} AS size, {sr6('(1 + abs(r) * (3 - 2 * component)) / 2')} AS ratio, CAST(sign(r) * (3 - 2 * component) AS BIGINT) AS same_way
+FROM r, (SELECT unnest(['dnam', 'rna']) AS view), (SELECT unnest([1, 2]) AS component)""")
 def multiview_factors(spark, d):
-    out = multivariate.multiview_factors(_views(spark, d), 4)
-    return rounded(out["loadings"].join(out["explained"], "component").select("view", "feature_id", "component", "loading", "ratio"))
+    # One feature a view, so that the factors have a closed form; the two loadings of a factor are equally large.
+    out = multivariate.multiview_factors(R.two_views(spark, d), 2)
+    loads = out["loadings"]
+    way = loads.groupBy("component").agg(F.signum(F.product("loading")).cast("bigint").alias("same_way"))
+    return rounded(loads.join(out["explained"], "component").join(way, "component").select(
+        "view", "component", F.abs("loading").alias("size"), "ratio", "same_way"))
 
 
 @query("encode_hook", """SELECT vec_id AS subject_id, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda v: v * v)), 6) + 0.0 AS energy,
@@ -110,11 +129,20 @@ def loo_linear_probe(spark, d):
     return rounded(multivariate.loo_linear_probe(rows))
 
 
-@query("loo_probe_with_selection")
+_PICKED = """o AS (SELECT subject_id, factor, count(*) AS n, sum(value) AS s, sum(value * value) AS ss FROM f GROUP BY ALL),
+ v AS (SELECT subject_id, factor, ((sum(ss) OVER p - ss) - pow(sum(s) OVER p - s, 2) / (sum(n) OVER p - n)) / (sum(n) OVER p - n - 1) AS v FROM o WINDOW p AS (PARTITION BY factor)),
+ k AS (SELECT subject_id, factor FROM v QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY v DESC, factor) = 1)"""
+
+
+@query("loo_probe_with_selection", f"""
+WITH f AS ({R.SQL_FACTORS}), {_PICKED}, d AS (SELECT subject_id, i - 1 AS factor, z AS d, target AS y FROM ({R.SQL_DELTAS})),
+ t AS (SELECT factor, count(*) AS n, sum(d) AS sd, sum(y) AS sy, sum(d * d) AS sdd, sum(d * y) AS sdy FROM d GROUP BY 1),
+ h AS (SELECT d.y, d.d, t.n - 1 AS n, sd - d.d AS sd, sy - d.y AS sy, sdd - d.d * d.d AS sdd, sdy - d.d * d.y AS sdy FROM d JOIN k USING (subject_id, factor) JOIN t USING (factor))
+SELECT {sr6('avg(abs(y - sy / n - (d - sd / n) * (sdy - sd * sy / n) / (sdd - sd * sd / n)))')} AS loso_mae, count(*) AS n_subjects FROM h""")
 def loo_probe_with_selection(spark, d):
+    # One feature a panel: the probe is then a line, whatever the feature's scale.
     rows = R.factor_scores(spark, d).withColumnRenamed("factor", "feature_id")
-    targets = R.deltas(spark, d).select("subject_id", "target")
-    return rounded(multivariate.loo_probe_with_selection(rows, targets, 10, 3, always=[0, 1]))
+    return rounded(multivariate.loo_probe_with_selection(rows, R.deltas(spark, d).select("subject_id", "target"), 1, 1))
 
 
 @query("gmm_archetypes")
@@ -123,10 +151,16 @@ def gmm_archetypes(spark, d):
     return rounded(clustering.cluster_archetypes(rows, k_grid=(2, 3, 4), bootstrap=5)["summary"])
 
 
-@query("recovery_axis")
+# Axis of the responders' first direction on the plane of fixed loadings, pointing along their mean: u(ux, uy).
+_AXIS = f"""dp AS ({R.SQL_PLANE}), ds AS (SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) AS a, covar_pop(x, y) AS b, var_pop(y) AS c FROM dp WHERE responder),
+ de AS (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS lam FROM ds),
+ dn AS (SELECT mx, my, b / sqrt(b * b + (lam - a) * (lam - a)) AS ux, (lam - a) / sqrt(b * b + (lam - a) * (lam - a)) AS uy FROM de),
+ u AS (SELECT CASE WHEN ux * mx + uy * my < 0 THEN -ux ELSE ux END AS ux, CASE WHEN ux * mx + uy * my < 0 THEN -uy ELSE uy END AS uy FROM dn)"""
+
+
+@query("recovery_axis", f"WITH {_AXIS} SELECT 0 AS component, {sr6('ux')} AS weight FROM u UNION ALL SELECT 1, {sr6('uy')} FROM u")
 def recovery_axis(spark, d):
-    rows = R.deltas(spark, d)
-    axis = multivariate.recovery_axis(rows)
+    axis = multivariate.recovery_axis(R.plane_deltas(spark, d))
     return rounded(axis.select(F.posexplode("axis").alias("component", "weight")))
 
 
@@ -172,16 +206,74 @@ def across_seed_consistency(spark, d):
     return rounded(multivariate.across_seed_consistency(_runs(spark, d)))
 
 
-@query("score_arm")
+SQL_METRICS = ("i_trajectory_consistency", "iii_loso_reconstruction", "iv_conformal_coverage", "v_biological_coherence")
+
+
+def sql_arm(runs: str, plane: str, name: str) -> str:
+    """CTEs ending in `name(metric, cell)`: the metrics that the data fix, from runs (s, run, feature, u) and a plane CTE."""
+    return f"""{name}_c AS (SELECT sum(a.u * b.u) AS c FROM {runs} a JOIN {runs} b ON a.s = b.s AND a.feature_id = b.feature_id AND a.run < b.run GROUP BY a.s, a.run, b.run),
+ {name}_s AS (SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) AS a, covar_pop(x, y) AS b, var_pop(y) AS c FROM {plane} WHERE responder),
+ {name}_e AS (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS lam FROM {name}_s),
+ {name}_u AS (SELECT b / sqrt(b * b + (lam - a) * (lam - a)) * o AS ux, (lam - a) / sqrt(b * b + (lam - a) * (lam - a)) * o AS uy FROM (SELECT *, CASE WHEN b * mx + (lam - a) * my < 0 THEN -1 ELSE 1 END AS o FROM {name}_e)),
+ {name}_t AS (SELECT avg((x * ux + y * uy) / sqrt(x * x + y * y)) FILTER (responder) AS r, avg((x * ux + y * uy) / sqrt(x * x + y * y)) FILTER (NOT responder) AS o FROM {plane}, {name}_u),
+ {name}_g AS (SELECT target, x - avg(x) OVER () AS q0, y, target - avg(target) OVER () AS r FROM {plane}),
+ {name}_h AS (SELECT *, y - avg(y) OVER () - q0 * (sum(y * q0) OVER () / sum(q0 * q0) OVER ()) AS q1 FROM {name}_g),
+ {name}_l AS (SELECT r - q0 * (sum(r * q0) OVER () / sum(q0 * q0) OVER ()) - q1 * (sum(r * q1) OVER () / sum(q1 * q1) OVER ()) AS e,
+  1 / CAST(count(*) OVER () AS DOUBLE) + q0 * q0 / sum(q0 * q0) OVER () + q1 * q1 / sum(q1 * q1) OVER () AS lev FROM {name}_h),
+ {name} AS (SELECT 'i_trajectory_consistency' AS metric, printf('runs agree %.3f, responders %.3f, gap %.3f', m, r, r - o) || CASE WHEN m >= 0.5 THEN ' | PASS' ELSE ' | FAIL' END AS cell
+   FROM (SELECT quantile_cont(c, 0.5) AS m FROM {name}_c), {name}_t
+  UNION ALL SELECT 'iii_loso_reconstruction', printf('left-out error %.3f', avg(abs(e / (1 - lev)))) FROM {name}_l
+  UNION ALL SELECT 'iv_conformal_coverage', printf('covered %.3f', avg(CASE WHEN score <= radius THEN 1.0::DOUBLE ELSE 0 END)) FROM cov
+  UNION ALL SELECT 'v_biological_coherence', printf('%d enriched sets', count(*) FILTER (q_val < 0.1)) || CASE WHEN count(*) FILTER (q_val < 0.1) >= 1 THEN ' | PASS' ELSE ' | FAIL' END FROM enr)"""
+
+
+SQL_COVERED = f"""{SQL_CAL}, rad AS ({sql_quantile('stratum', 0.1, 2)}), cov AS (SELECT score, coalesce(radius, (SELECT max(radius) FROM rad)) AS radius FROM tst t LEFT JOIN rad USING (stratum)),
+ enr AS ({R.sql_results()})"""
+
+
+def sql_runs(name: str, condition: str = "true") -> str:
+    return f"""{name} AS (SELECT CAST(floor(sample_id / 4) AS BIGINT) AS s, sample_id % 4 AS run, feature_id, value / sqrt(sum(value * value) OVER (PARTITION BY sample_id)) AS u FROM ({R.SQL_DENSE}) WHERE {condition})"""
+
+
+def position(metric: str) -> str:
+    return "CASE metric " + " ".join(f"WHEN '{m}' THEN {i + 1}" for i, m in enumerate(scoring.METRICS)) + " END"
+
+
+@query("score_arm", f"""
+WITH {SQL_COVERED}, {sql_runs('rn')}, pl AS ({R.SQL_PLANE}), {sql_arm('rn', 'pl', 'arm')} SELECT metric, cell AS "B", {position('metric')} AS position FROM arm""")
 def score_arm(spark, d):
-    deltas = R.deltas(spark, d)
-    cells = scoring.score_arm("B", deltas, _runs(spark, d), R.factor_scores(spark, d), bootstrap=20, k_grid=(2, 3), archetype_bootstrap=2)
+    coverage = ranking.mondrian_conformal(*calibration(spark, d))
+    cells = scoring.score_arm("B", R.plane_deltas(spark, d), _runs(spark, d), R.factor_scores(spark, d), coverage, R.results(spark, d), metrics=SQL_METRICS)
     return ranking.leaderboard(cells, ["B"], list(scoring.METRICS))
 
 
-@query("sensitivity_refit")
+@query("score_arm_fitted")
+def score_arm_fitted(spark, d):
+    """The two metrics that rest on fitted models; pytest holds them against direct computation."""
+    cells = scoring.score_arm("B", R.deltas(spark, d), _runs(spark, d), R.factor_scores(spark, d), bootstrap=20, k_grid=(2, 3), archetype_bootstrap=2,
+                              metrics=[m for m in scoring.METRICS if m not in SQL_METRICS])
+    return ranking.leaderboard(cells, ["B"], list(scoring.METRICS))
+
+
+def sql_icc(source: str, out: str) -> str:
+    """CTE `out(factor, icc)` of a CTE (subject_id, factor, value), by maximum likelihood."""
+    return f"""{out}_g AS (SELECT factor, subject_id, count(*) AS k, avg(value) AS m, count(*) * var_pop(value) AS w FROM {source} GROUP BY ALL),
+ {out}_u AS (SELECT *, m - sum(k * m) OVER (PARTITION BY factor) / sum(k) OVER (PARTITION BY factor) AS gap FROM {out}_g),
+ {out}_c AS (SELECT factor, count(*) AS a, sum(k) AS n, sum(k * gap * gap) AS ssb, sum(w) AS ssw FROM {out}_u GROUP BY 1),
+ {out} AS (SELECT factor, {SQL_ML_ICC} AS icc FROM {out}_c)"""
+
+
+def sql_class(icc: str) -> str:
+    return f"CASE WHEN {icc} > 0.85 THEN 'trait' WHEN {icc} < 0.65 THEN 'state' ELSE 'mixed' END"
+
+
+@query("sensitivity_refit", f"""
+WITH v AS ({R.SQL_VIEWS}), w AS (SELECT v.* FROM v JOIN embeddings ON vec_id = obs_id WHERE label <> 3), {R.sql_pair_factors('v', 'p')}, {R.sql_pair_factors('w', 'q')},
+ pf AS (SELECT CAST(floor(obs_id / 2) AS BIGINT) AS subject_id, factor, value FROM p), qf AS (SELECT CAST(floor(obs_id / 2) AS BIGINT) AS subject_id, factor, value FROM q),
+ {sql_icc('pf', 'a')}, {sql_icc('qf', 'b')}
+SELECT a.factor, {sr6('a.icc')} AS icc, {sql_class('a.icc')} AS classification, {sr6('b.icc')} AS icc_without, {sql_class('b.icc')} AS classification_without FROM a JOIN b USING (factor)""")
 def sensitivity_refit(spark, d):
     obs = table(spark, d, "embeddings").select(
         F.col("vec_id").alias("obs_id"), F.floor(F.col("vec_id") / 2).alias("subject_id"), (F.col("vec_id") % 2).cast("int").alias("visit"))
     flagged = table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), (F.col("label") == 3).alias("flagged"))
-    return rounded(scoring.sensitivity_refit(_views(spark, d), obs, flagged, 3, bootstrap=20))
+    return rounded(scoring.sensitivity_refit(R.two_views(spark, d), obs, flagged, 2, bootstrap=20))

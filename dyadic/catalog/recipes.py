@@ -6,6 +6,7 @@ The SQL fragments are CTE bodies; each mirrors the function above it.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dyadic.catalog.registry import table
@@ -146,6 +147,39 @@ SQL_DELTAS = """SELECT subject_id, responder, target, CAST(i AS BIGINT) AS i, b[
  FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1 WHERE x.vec_id % 2 = 0)"""
 
 
+def plane(column: str = "z"):
+    """A vector's coordinates under two fixed loadings: the sums of its even and of its odd places."""
+    def total(rest):
+        return F.aggregate(F.filter(column, lambda v, i: i % 2 == rest), F.lit(0.0), lambda a, v: a + v)
+
+    return F.array(total(0), total(1))
+
+
+def plane_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """`deltas` on the two fixed loadings."""
+    return deltas(spark, d).withColumn("z", plane())
+
+
+SQL_PLANE = f"""SELECT subject_id, responder, target, sum(z) FILTER (i % 2 = 1) AS x, sum(z) FILTER (i % 2 = 0) AS y FROM ({SQL_DELTAS}) GROUP BY ALL"""
+
+
+def two_views(spark: SparkSession, d: str) -> DataFrame:
+    """One feature per view: the sums of a vector's first and second half, as (view, obs_id, feature_id, value)."""
+    half = F.max("feature_id").over(W.partitionBy("sample_id")) / 2.0
+    rows = dense(spark, d).withColumn("view", F.when(F.col("feature_id") < half, "dnam").otherwise("rna"))
+    return rows.groupBy("view", F.col("sample_id").alias("obs_id")).agg(F.sum("value").alias("value")).withColumn("feature_id", F.lit(1))
+
+
+SQL_VIEWS = f"""SELECT sample_id AS obs_id, sum(value) FILTER (feature_id < h) AS x, sum(value) FILTER (feature_id >= h) AS y
+ FROM (SELECT *, max(feature_id) OVER (PARTITION BY sample_id) / CAST(2 AS DOUBLE) AS h FROM ({SQL_DENSE})) GROUP BY 1"""
+
+
+def sql_pair_factors(source: str, out: str) -> str:
+    """CTE `out(obs_id, factor, value)`: both components of a CTE (obs_id, x, y) of two columns, up to their signs."""
+    return f"""{out}_z AS (SELECT obs_id, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS zx, (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS zy, sign(corr(x, y) OVER ()) AS s FROM {source}),
+ {out} AS (SELECT obs_id, 0 AS factor, (zx + s * zy) / sqrt(2) AS value FROM {out}_z UNION ALL SELECT obs_id, 1, (zx - s * zy) / sqrt(2) FROM {out}_z)"""
+
+
 def network(spark: SparkSession, d: str) -> DataFrame:
     """Part types as sources, parts as targets, size signed by brand parity as weight."""
     odd = F.substring("p_brand", -1, 1).cast("int") % 2 == 1

@@ -220,7 +220,7 @@ def topn_per_group(spark, d):
     return rounded(ranking.top_n(rows, ["l_suppkey"], [F.abs("v").desc(), F.col("l_partkey")], 50), 4)
 
 
-def _sql_quantile(by: str, alpha: float, minimum: int) -> str:
+def sql_quantile(by: str, alpha: float, minimum: int) -> str:
     part = f"PARTITION BY {by}" if by else ""
     group = f"GROUP BY {by}" if by else ""
     lead = by + "," if by else ""
@@ -232,7 +232,7 @@ SQL_CAL = """cal AS (SELECT l_returnflag AS stratum, l_extendedprice / 40000 AS
  tst AS (SELECT CASE WHEN l_linestatus = 'O' AND l_discount = 0 THEN 'Z' ELSE l_returnflag END AS stratum, l_extendedprice / 40000 AS score FROM lineitem WHERE l_tax >= 0.04)"""
 
 
-def _calibration(spark, d):
+def calibration(spark, d):
     li = table(spark, d, "lineitem").withColumn("score", F.col("l_extendedprice") / 40000)
     cal = li.filter("NOT (l_returnflag = 'R' AND l_linestatus = 'O') AND l_tax < 0.04").select(
         F.col("l_returnflag").alias("stratum"), "score", F.col("l_quantity").alias("weight"))
@@ -240,16 +240,16 @@ def _calibration(spark, d):
     return cal, li.filter("l_tax >= 0.04").select(F.when(unseen, "Z").otherwise(F.col("l_returnflag")).alias("stratum"), "score")
 
 
-@query("weighted_quantile", f"WITH {SQL_CAL} SELECT stratum, {sr6('radius')} AS q_hat FROM ({_sql_quantile('stratum', 0.1, 1)})")
+@query("weighted_quantile", f"WITH {SQL_CAL} SELECT stratum, {sr6('radius')} AS q_hat FROM ({sql_quantile('stratum', 0.1, 1)})")
 def weighted_quantile(spark, d):
-    return rounded(ranking.weighted_quantile(_calibration(spark, d)[0], ["stratum"], task_rows=5_000))
+    return rounded(ranking.weighted_quantile(calibration(spark, d)[0], ["stratum"], task_rows=5_000))
 
 
 @query("mondrian_conformal", f"""
-WITH {SQL_CAL}, r AS ({_sql_quantile('stratum', 0.1, 2)}), s AS (SELECT t.stratum, score, coalesce(radius, (SELECT max(radius) FROM r)) AS radius FROM tst t LEFT JOIN r USING (stratum))
+WITH {SQL_CAL}, r AS ({sql_quantile('stratum', 0.1, 2)}), s AS (SELECT t.stratum, score, coalesce(radius, (SELECT max(radius) FROM r)) AS radius FROM tst t LEFT JOIN r USING (stratum))
 SELECT stratum, count(*) AS n, {sr6('avg(CASE WHEN score <= radius THEN 1 ELSE 0 END)')} AS coverage, {sr6('avg(radius)')} AS mean_radius FROM s GROUP BY GROUPING SETS ((stratum), ())""")
 def mondrian_conformal(spark, d):
-    return rounded(ranking.mondrian_conformal(*_calibration(spark, d)))
+    return rounded(ranking.mondrian_conformal(*calibration(spark, d)))
 
 
 @query("spearman", f"""
