@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from dyadic.catalog import recipes as R
 from dyadic.catalog.latent import SQL_COVERED, SQL_METRICS, position, sql_arm, sql_class, sql_icc
+from dyadic.catalog.shaping import sql_normal_quantile
 from dyadic.catalog.statistics import calibration
-from dyadic.catalog.models import SQL_ENRICH, SQL_RANKS, sql_grid
+from dyadic.catalog.models import SQL_ENRICH, SQL_RANKS, SQL_SETS, SQL_ULM, sql_grid, sql_hyper
 from dyadic.catalog.registry import query, r6, rounded, sql_bh, sql_fit_own, sql_t_tail, sr6, table
 from dyadic.operators import ranking, scoring
 from dyadic.plans import jobs
@@ -187,14 +188,27 @@ def job_separation_gate_corrected_plane(spark, d):
     return rounded(_separation(spark, d, 1, 1, True))
 
 
-@query("job_direction_gate")
+@query("job_direction_gate", f"""
+WITH f AS ({R.SQL_DENSE}), r AS (SELECT *, (rank() OVER (PARTITION BY feature_id ORDER BY value) - 1 +
+ (count(*) OVER (PARTITION BY feature_id, value) - 1) / CAST(2 AS DOUBLE)) / (count(*) OVER (PARTITION BY feature_id) - 1) AS level FROM f),
+ e AS (SELECT *, greatest(1e-7::DOUBLE, least(1 - 1e-7::DOUBLE, level)) AS p FROM r), z AS (SELECT sample_id, feature_id, {sql_normal_quantile('p')} AS z FROM e),
+ l AS (SELECT vec_id AS subject_id, label AS class, CAST(label < 5 AS INT) AS label FROM embeddings),
+ a AS (SELECT feature_id, avg(z) AS a FROM z JOIN l ON subject_id = sample_id WHERE class = 9 GROUP BY 1),
+ c AS (SELECT subject_id, feature_id, z - a AS v FROM z JOIN a USING (feature_id) JOIN l ON subject_id = sample_id WHERE class < 8),
+ s AS (SELECT subject_id, label FROM l WHERE class < 8), g AS ({sql_grid('s', 50)}),
+ m AS (SELECT rep, label, feature_id, avg(v) AS m FROM g JOIN c USING (subject_id) GROUP BY ALL), d AS (SELECT rep, label, sqrt(sum(m * m)) AS e FROM m GROUP BY ALL),
+ k AS (SELECT rep, max(e) FILTER (label = 0) AS d0, max(e) FILTER (label = 1) AS d1 FROM d GROUP BY rep), o AS (SELECT * FROM k WHERE rep = 0),
+ t AS (SELECT max(o.d0) AS d_zero, max(o.d1) AS d_one, max(o.d0 - o.d1) AS gap, count(*) FILTER (k.d0 - k.d1 <= o.d0 - o.d1) / CAST(50 AS DOUBLE) AS p_value, count(*) AS n_permutations FROM k, o WHERE k.rep > 0)
+SELECT {sr6('d_zero', 4)} AS d_zero, {sr6('d_one', 4)} AS d_one, {sr6('gap', 4)} AS gap, {sr6('p_value', 4)} AS p_value, n_permutations, gap < 0 AS direction_ok,
+ CASE WHEN gap >= 0 THEN 'FAIL' WHEN p_value < 0.05 THEN 'PASS' WHEN p_value < 0.15 THEN 'MARGINAL' ELSE 'FAIL' END AS verdict FROM t""")
 def job_direction_gate(spark, d):
     rows = R.dense(spark, d)
     labels = R.points(spark, d).select(F.col("subject_id").alias("sample_id"), "label", "class")
     own = rows.join(labels.filter("class < 8"), "sample_id", "left_semi")
     external = rows.join(labels.filter("class >= 8"), "sample_id", "left_semi")
-    out = jobs.direction_gate(own, external, labels.filter("class < 8").select("sample_id", "label"), labels.filter("class = 9"), 32, 50)
-    return rounded(out["test"])
+    # Without ties all features have the same spread of normal scores, so a smaller panel would be picked by rounding.
+    out = jobs.direction_gate(own, external, labels.filter("class < 8").select("sample_id", "label"), labels.filter("class = 9"), 64, 50, plane=False)
+    return rounded(out["test"], 4)
 
 
 def _sql_three() -> str:
@@ -256,12 +270,24 @@ def _activity(spark, d, method: str):
     return jobs.activity_association(features, pairs, R.network(spark, d), samples, ["age"], method=method)
 
 
-@query("job_set_activity")
+def _sql_association(scores: str) -> str:
+    """CTEs ending in `q`: association of the paired deltas of a CTE body (sample_id, source, score) with response."""
+    return f"""sc AS ({scores}), pr AS (SELECT CAST(floor(s_suppkey / 2) AS BIGINT) AS s, min(s_suppkey) AS a, max(s_suppkey) AS b FROM supplier GROUP BY 1 HAVING min(s_suppkey) < max(s_suppkey)),
+ fa AS (SELECT s AS sample_id, x.source AS feature_id, y.score - x.score AS value FROM pr JOIN sc x ON x.sample_id = a JOIN sc y ON y.sample_id = b AND y.source = x.source WHERE y.score - x.score IS NOT NULL),
+ da AS (SELECT CAST(floor(s_suppkey / 2) AS BIGINT) AS sample_id, CAST(min(s_nationkey) % 2 AS DOUBLE) AS response, avg(s_acctbal) AS age FROM supplier GROUP BY 1),
+ {sql_fit_own('fa', 'da', ['age', 'response'], 'as')}, ap AS (SELECT *, {sql_t_tail('t_stat', 'df')} AS p_val FROM as_fit), q AS ({sql_bh('ap', '')})"""
+
+
+@query("job_set_activity", f"""
+WITH {_sql_association(SQL_SETS)} SELECT feature_id, n, {sr6('coef')} AS coef, {sr6('se')} AS se, {sr6('p_val')} AS p_val, {sr6('q_val')} AS q_val FROM q""")
 def job_set_activity(spark, d):
-    return rounded(_activity(spark, d, "ssgsea")["association"])
+    return rounded(_activity(spark, d, "ssgsea")["association"].select("feature_id", "n", "coef", "se", "p_val", "q_val"))
 
 
-@query("job_regulator_activity")
+@query("job_regulator_activity", f"""
+WITH {_sql_association(SQL_ULM)}, c AS (SELECT min(n) AS n FROM (SELECT count(score) AS n FROM sc GROUP BY sample_id)),
+ h AS (SELECT count(*) FILTER (q_val < 0.5) AS n FROM q WHERE regexp_matches(feature_id, '^(PROMO|SMALL|LARGE)'))
+SELECT h.n AS n_family_hits, c.n AS min_sources, c.n >= 5 AND h.n > 0 AS accepted FROM h, c""")
 def job_regulator_activity(spark, d):
     return jobs.regulator_report(_activity(spark, d, "ulm"), {"NFAT": ("PROMO", "SMALL"), "WNT": ("LARGE",)}, 0.5, 5)
 
@@ -293,7 +319,17 @@ def job_replication(spark, d):
     return rounded(out["summary"])
 
 
-@query("job_set_enrichment")
+@query("job_set_enrichment", f"""
+WITH h AS (SELECT * FROM ({R.sql_results()}) WHERE q_val < 0.02), l0 AS (SELECT DISTINCT cell_type, unnest(string_split(p_name, ' ')) AS gene_id FROM h JOIN part ON p_partkey = feature_id),
+ l AS (SELECT * FROM l0 WHERE gene_id <> '' QUALIFY count(*) OVER (PARTITION BY cell_type) >= 2),
+ g AS (SELECT DISTINCT p_brand || ' ' || p_type AS term, unnest(string_split(p_name, ' ')) AS gene_id FROM part),
+ t AS (SELECT term, count(*) AS n_feature FROM g GROUP BY 1), s AS (SELECT cell_type, count(*) AS n_sig FROM l WHERE gene_id IN (SELECT gene_id FROM g) GROUP BY 1),
+ o AS (SELECT cell_type, term, count(*) AS observed FROM l JOIN g USING (gene_id) GROUP BY ALL),
+ j AS (SELECT o.*, n_sig, n_feature, (SELECT count(DISTINCT gene_id) FROM g) AS n_background FROM o JOIN s USING (cell_type) JOIN t USING (term)),
+ p AS (SELECT *, {sql_hyper('observed', 'n_background', 'n_feature', 'n_sig')} AS p_val FROM j), q AS ({sql_bh('p', 'cell_type', tie='term')}),
+ k AS (SELECT DISTINCT cell_type, theme FROM q JOIN (VALUES ('wnt', 'promo'), ('cd8t', 'small')) w(theme, word) ON contains(lower(term), word)),
+ c AS (SELECT cell_type, count(*) AS n_themes, count(*) >= 2 OR bool_or(theme IN ('monocyte', 'inflammatory', 'wnt')) AS coherent FROM k GROUP BY 1)
+SELECT cell_type, 'brand' AS library, term, observed, {sr6('p_val')} AS p_val, {sr6('q_val')} AS q_val, n_themes, coherent FROM q LEFT JOIN c USING (cell_type)""")
 def job_set_enrichment(spark, d):
     p = table(spark, d, "part")
     notes = p.select(F.col("p_partkey").alias("feature_id"), F.regexp_replace("p_name", " ", ";").alias("gene"), F.lit("").alias("fallback"))

@@ -379,22 +379,26 @@ def ora(spark, d):
     return rounded(out.select("library", "cell_type", "term", "observed", "n_sig", "n_feature", "n_background", "p_val", "q_val"))
 
 
-@query("ulm_activity", f"""
-WITH f AS ({R.SQL_MATRIX}), w AS ({R.SQL_NETWORK}), g AS (SELECT * FROM w WHERE target IN (SELECT feature_id FROM f)), nn AS (SELECT CAST(count(DISTINCT feature_id) AS DOUBLE) AS n FROM f),
+SQL_ULM = f"""WITH f AS ({R.SQL_MATRIX}), w AS ({R.SQL_NETWORK}), g AS (SELECT * FROM w WHERE target IN (SELECT feature_id FROM f)), nn AS (SELECT CAST(count(DISTINCT feature_id) AS DOUBLE) AS n FROM f),
  s AS (SELECT sample_id, sum(value) AS x, sum(value * value) AS xx FROM f GROUP BY 1), v AS (SELECT source, sum(weight) AS w, sum(weight * weight) AS ww FROM g GROUP BY 1),
  c AS (SELECT sample_id, source, sum(value * weight) AS xw FROM f JOIN g ON target = feature_id GROUP BY ALL),
  r AS (SELECT s.sample_id, v.source, n, (coalesce(xw, 0) - x * w / n) / sqrt((xx - x * x / n) * (ww - w * w / n)) AS r FROM s CROSS JOIN v CROSS JOIN nn LEFT JOIN c ON c.sample_id = s.sample_id AND c.source = v.source)
-SELECT sample_id, source, {sr6('r * sqrt((n - 2) / (1 - r * r))')} AS score FROM r""")
+SELECT sample_id, source, r * sqrt((n - 2) / (1 - r * r)) AS score FROM r"""
+
+
+@query("ulm_activity", f"SELECT sample_id, source, {sr6('score')} AS score FROM ({SQL_ULM})")
 def ulm_activity(spark, d):
     return rounded(activity.ulm_activity(R.matrix(spark, d), R.network(spark, d)))
 
 
-@query("ssgsea", f"""
-WITH f AS ({R.SQL_MATRIX}), k AS (SELECT *, rank() OVER (PARTITION BY sample_id ORDER BY value) + (count(*) OVER (PARTITION BY sample_id, value) - 1) / CAST(2 AS DOUBLE) AS r, count(*) OVER (PARTITION BY sample_id) AS n FROM f),
+SQL_SETS = f"""WITH f AS ({R.SQL_MATRIX}), k AS (SELECT *, rank() OVER (PARTITION BY sample_id ORDER BY value) + (count(*) OVER (PARTITION BY sample_id, value) - 1) / CAST(2 AS DOUBLE) AS r, count(*) OVER (PARTITION BY sample_id) AS n FROM f),
  g AS (SELECT p_type AS source, p_partkey AS feature_id FROM part WHERE p_partkey IN (SELECT feature_id FROM f)),
  i AS (SELECT sample_id, source, max(n) AS n, count(*) AS m, sum(pow(r, 0.25) * r) AS wr, sum(pow(r, 0.25)) AS w, sum(r) AS rs FROM k JOIN g USING (feature_id) GROUP BY ALL),
  e AS (SELECT * FROM (SELECT DISTINCT sample_id FROM f), (SELECT DISTINCT source FROM g))
-SELECT e.sample_id, e.source, {sr6('wr / w - (n * (n + 1) / CAST(2 AS DOUBLE) - rs) / (n - m)')} AS score FROM e LEFT JOIN i ON e.sample_id = i.sample_id AND e.source = i.source""")
+SELECT e.sample_id, e.source, wr / w - (n * (n + 1) / CAST(2 AS DOUBLE) - rs) / (n - m) AS score FROM e LEFT JOIN i ON e.sample_id = i.sample_id AND e.source = i.source"""
+
+
+@query("ssgsea", f"SELECT sample_id, source, {sr6('score')} AS score FROM ({SQL_SETS})")
 def ssgsea(spark, d):
     sets = R.network(spark, d).select("source", "target")
     return rounded(activity.ssgsea(R.matrix(spark, d), sets))

@@ -214,7 +214,7 @@ def _sql_horner(x: str, c) -> str:
     return out
 
 
-def _sql_quantile(p: str) -> str:
+def sql_normal_quantile(p: str) -> str:
     q, r = f"({p} - 0.5)", f"(0.180625::DOUBLE - ({p} - 0.5) * ({p} - 0.5))"
     t = f"sqrt(-ln(least({p}, 1 - {p})))"
     c, m, f = C.PPND_CENTRE, C.PPND_MIDDLE, C.PPND_FAR
@@ -228,7 +228,7 @@ def _sql_quantile(p: str) -> str:
 WITH f AS ({R.SQL_DENSE}), r AS (SELECT *, (rank() OVER (PARTITION BY feature_id ORDER BY value) - 1 +
  (count(*) OVER (PARTITION BY feature_id, value) - 1) / CAST(2 AS DOUBLE)) / (count(*) OVER (PARTITION BY feature_id) - 1) AS level FROM f),
  e AS (SELECT *, greatest(1e-7::DOUBLE, least(1 - 1e-7::DOUBLE, level)) AS p FROM r)
-SELECT sample_id, feature_id, {sr6('level')} AS level, {sr6(_sql_quantile('p'), 5)} AS z FROM e""")
+SELECT sample_id, feature_id, {sr6('level')} AS level, {sr6(sql_normal_quantile('p'), 5)} AS z FROM e""")
 def rank_to_normal(spark, d):
     out = ranking.rank_to_normal(R.dense(spark, d))
     return out.select("sample_id", big("feature_id").alias("feature_id"), r6("level").alias("level"), r6("z", 5).alias("z"))
