@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dyadic.catalog import recipes as R
-from dyadic.catalog.latent import SQL_COVERED, SQL_METRICS, position, sql_arm, sql_class, sql_icc
+from dyadic.catalog.latent import SQL_COVERED, SQL_METRICS, position, sql_arm, sql_class, sql_icc, sql_one_feature
 from dyadic.catalog.shaping import sql_normal_quantile
 from dyadic.catalog.statistics import calibration
 from dyadic.catalog.models import SQL_ENRICH, SQL_RANKS, SQL_SETS, SQL_ULM, sql_grid, sql_hyper
@@ -113,8 +113,22 @@ def job_fraction_gate(spark, d):
     return rounded(jobs.fraction_gate(rows, "frac_a", "frac_b", ["frac_a"])["summary"])
 
 
-@query("job_shift_gate")
+@query("job_shift_gate", f"""
+WITH v AS (SELECT CAST(floor(obs_id / 2) AS BIGINT) AS s, obs_id % 2 AS visit, x FROM ({R.SQL_VIEWS})), dl AS (SELECT s, max(x) FILTER (visit = 1) - max(x) FILTER (visit = 0) AS v FROM v GROUP BY 1),
+ r AS (SELECT DISTINCT subject_id, CAST(responder AS INT) AS label FROM ({R.SQL_DELTAS})),
+ x AS (SELECT concat_ws('-', label, s) AS sample_id, label, (v - avg(v) OVER (PARTITION BY label)) / stddev_pop(v) OVER (PARTITION BY label) AS x FROM dl JOIN r ON subject_id = s), {sql_one_feature('x', 100)}""")
 def job_shift_gate(spark, d):
+    flags = _embedding_subjects(spark, d)
+    rows = R.two_views(spark, d).filter("view = 'dnam'").select(
+        F.floor(F.col("obs_id") / 2).alias("subject_id"), F.when(F.col("obs_id") % 2 == 0, "PRE").otherwise("POST").alias("visit"), "feature_id", "value")
+    a, b = (rows.join(flags.filter(F.col("label") == i), "subject_id", "left_semi") for i in (0, 1))
+    out = jobs.shift_gate(a, b, top=1, minimum=1, trees=5, bootstrap=100)
+    return rounded(out["summary"].filter("model = 'lr'"))
+
+
+@query("job_shift_gate_fitted")
+def job_shift_gate_fitted(spark, d):
+    """Both models on the shared panel, with the verdict."""
     flags = _embedding_subjects(spark, d)
     rows = _embedding_observations(spark, d, "dnam").unionByName(_embedding_observations(spark, d, "rna"))
     a, b = (rows.join(flags.filter(F.col("label") == i), "subject_id", "left_semi") for i in (0, 1))

@@ -85,8 +85,29 @@ def auc(spark, d):
     return rounded(domain.auc(rows, ["g"]))
 
 
-@query("domain_classifier")
+def sql_one_feature(source: str, bootstrap: int) -> str:
+    """Logistic AUCs of one feature, from a CTE (sample_id, label, x): a line orders a fold by x, upwards if class 1 lies
+    above class 0 in the training folds."""
+    return f"""fo AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY {sql_draw(42, 'sample_id')}, sample_id) - 1) % 5 AS fold FROM {source}),
+ up AS (SELECT t.fold, avg(x) FILTER (label = 1 AND fo.fold <> t.fold) - avg(x) FILTER (label = 0 AND fo.fold <> t.fold) AS g FROM fo, (SELECT unnest(range(5)) AS fold) t GROUP BY 1),
+ rk AS (SELECT fold, label, rank() OVER (PARTITION BY fold ORDER BY x) + (count(*) OVER (PARTITION BY fold, x) - 1) / CAST(2 AS DOUBLE) AS k FROM fo),
+ au AS (SELECT fold, (sum(k) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2) / (count(*) FILTER (label = 1) * CAST(count(*) FILTER (label = 0) AS DOUBLE)) AS auc FROM rk GROUP BY 1),
+ si AS (SELECT fold, CASE WHEN g > 0 THEN auc ELSE 1 - auc END AS auc FROM au JOIN up USING (fold)),
+ me AS (SELECT rep, avg(auc) AS a FROM (SELECT rep, {sql_draw_integer(42, 'rep', 'slot')} % 5 AS fold FROM (SELECT unnest(range(1, {bootstrap + 1})) AS rep), (SELECT unnest(range(5)) AS slot)) JOIN si USING (fold) GROUP BY 1)
+SELECT 'lr' AS model, (SELECT {sr6('avg(auc)')} FROM si) AS mean_auc, {sr6('quantile_cont(a, 0.025)')} AS ci_low, {sr6('quantile_cont(a, 0.975)')} AS ci_high FROM me"""
+
+
+@query("domain_classifier", f"""
+WITH x AS (SELECT f.sample_id, label, sum(value) FILTER (feature_id % 2 = 0) AS x FROM ({R.SQL_DENSE}) f JOIN ({R.SQL_POINTS}) ON subject_id = sample_id GROUP BY ALL), {sql_one_feature('x', 200)}""")
 def domain_classifier(spark, d):
+    rows = R.points(spark, d).withColumnRenamed("subject_id", "sample_id").withColumn("z", F.slice(R.plane(), 1, 1))
+    out = domain.domain_classifier(rows, trees=5, depth=3, bootstrap=200)
+    return rounded(out["summary"].filter("model = 'lr'"))
+
+
+@query("domain_classifier_fitted")
+def domain_classifier_fitted(spark, d):
+    """Both models on all dimensions; pytest holds them against planted signals."""
     rows = R.points(spark, d).withColumnRenamed("subject_id", "sample_id")
     out = domain.domain_classifier(rows, trees=20, depth=8, bootstrap=200)
     return rounded(out["summary"])
@@ -145,10 +166,21 @@ def loo_probe_with_selection(spark, d):
     return rounded(multivariate.loo_probe_with_selection(rows, R.deltas(spark, d).select("subject_id", "target"), 1, 1))
 
 
-@query("gmm_archetypes")
+@query("gmm_archetypes", f"""
+WITH f AS ({R.SQL_DENSE}), v AS (SELECT feature_id, count(*) AS n, avg(value) AS m, var_pop(value) + 1e-6::DOUBLE AS v, var_pop(value) AS s FROM f GROUP BY 1)
+SELECT 1 AS best_k, CAST(1 AS DOUBLE) AS bootstrap_ari_mean, CAST(0 AS DOUBLE) AS bootstrap_ari_sd, false AS passed, true AS converged,
+ {sr6('sum(n * s / v + n * ln(v) + n * ln(2 * pi())) + 2 * count(*) * ln(max(n))', 3)} AS bic, max(n) AS size FROM v""")
 def gmm_archetypes(spark, d):
-    rows = R.points(spark, d)
-    return rounded(clustering.cluster_archetypes(rows, k_grid=(2, 3, 4), bootstrap=5)["summary"])
+    # One component has a closed form.
+    out = clustering.cluster_archetypes(R.points(spark, d), k_grid=(1,), bootstrap=5)
+    extra = {"bic": out["bic"].select("bic").scalar(), "size": out["sizes"].select("size").scalar()}
+    return rounded(out["summary"].withColumns(extra), 3)
+
+
+@query("gmm_archetypes_fitted")
+def gmm_archetypes_fitted(spark, d):
+    """The choice among several components; pytest holds it against planted clusters."""
+    return rounded(clustering.cluster_archetypes(R.points(spark, d), k_grid=(2, 3, 4), bootstrap=5)["summary"])
 
 
 # Axis of the responders' first direction on the plane of fixed loadings, pointing along their mean: u(ux, uy).
