@@ -21,7 +21,7 @@ def _paired_samples(spark, d):
     c = table(spark, d, "customer").select(
         F.col("c_custkey").alias("subject_id"), F.col("c_mktsegment").isin("BUILDING", "MACHINERY").cast("int").alias("response"),
         (F.col("c_acctbal") / 1000).alias("age"), F.when(F.col("c_nationkey") % 2 == 0, "CPT").otherwise("PE").alias("therapy"))
-    o = table(spark, d, "orders").filter(F.col("o_orderstatus").isin("O", "F")).groupBy(
+    o = table(spark, d, "orders").groupBy(
         F.col("o_custkey").alias("subject_id"), F.when(F.col("o_orderstatus") == "O", "PRE").otherwise("POST").alias("visit")
     ).agg((F.avg(F.col("o_orderkey") % 101) / 101).alias("frac_a"), (F.avg(F.col("o_orderkey") % 37) / 37).alias("frac_b"))
     return o.join(c, "subject_id")
@@ -52,14 +52,14 @@ _SQL_SUBJECTS = """d AS (SELECT c_custkey AS sample_id, CAST(c_mktsegment IN ('B
  FROM customer JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'O' GROUP BY ALL)"""
 
 
-def _sql_side(name: str, status: str) -> str:
+def _sql_side(name: str, visit: str) -> str:
     """Design of one visit: response, covariate, fractions and their products with response."""
     r = "CAST(c_mktsegment IN ('BUILDING', 'MACHINERY') AS DOUBLE)"
     return f"""{name} AS (SELECT *, response * frac_a AS inter_a, response * frac_b AS inter_b FROM (SELECT c_custkey AS sample_id, {r} AS response, c_acctbal / 1000 AS age,
- avg(o_orderkey % 101) / 101 AS frac_a, avg(o_orderkey % 37) / 37 AS frac_b FROM customer JOIN orders ON o_custkey = c_custkey AND o_orderstatus = '{status}' GROUP BY ALL))"""
+ avg(o_orderkey % 101) / 101 AS frac_a, avg(o_orderkey % 37) / 37 AS frac_b FROM customer JOIN orders ON o_custkey = c_custkey AND (o_orderstatus = 'O') = {str(visit == 'PRE').lower()} GROUP BY ALL))"""
 
 
-_SQL_DELTA_DESIGN = f"""{_sql_side('dpre', 'O')}, {_sql_side('dpost', 'F')},
+_SQL_DELTA_DESIGN = f"""{_sql_side('dpre', 'PRE')}, {_sql_side('dpost', 'POST')},
  ddelta AS (SELECT *, response * frac_a AS inter_a, response * frac_b AS inter_b FROM (SELECT sample_id, a.response, a.age, b.frac_a - a.frac_a AS frac_a, b.frac_b - a.frac_b AS frac_b FROM dpre a JOIN dpost b USING (sample_id)))"""
 
 
@@ -103,7 +103,7 @@ def job_load_check(spark, d):
 
 
 @query("job_fraction_gate", f"""
-WITH f AS (SELECT o_custkey AS s, o_orderstatus AS v, avg(o_orderkey % 101) / 101 AS mono, avg(o_orderkey % 37) / 37 AS neu FROM orders WHERE o_orderstatus IN ('O', 'F') GROUP BY ALL),
+WITH f AS (SELECT o_custkey AS s, CASE o_orderstatus WHEN 'O' THEN 'O' ELSE 'F' END AS v, avg(o_orderkey % 101) / 101 AS mono, avg(o_orderkey % 37) / 37 AS neu FROM orders GROUP BY ALL),
  d AS (SELECT b.mono - a.mono AS mono, b.neu - a.neu AS neu, CASE WHEN b.mono > 0 AND a.mono > 0 THEN b.neu / b.mono - a.neu / a.mono END AS ratio FROM f a JOIN f b ON a.s = b.s AND a.v = 'O' AND b.v = 'F'),
  s AS (SELECT count(*) AS n_paired, stddev_samp(mono) AS sm, stddev_samp(neu) AS sn, corr(mono, ratio) FILTER (ratio IS NOT NULL) AS r, count(ratio) AS n_pairs FROM d)
 SELECT n_paired, {sr6('sm')} AS sd_mono, {sr6('sn')} AS sd_neu, {sr6('r')} AS r, n_pairs,
@@ -321,14 +321,14 @@ def job_regulatory_enrichment(spark, d):
 
 @query("job_replication", f"""
 WITH cells AS ({R.sql_cells()}), f AS (SELECT subject_id AS sample_id, feature_id, delta AS value FROM ({R.sql_delta()})), {_SQL_SUBJECTS},
- {sql_fit_own('f', 'd', ['age', 'response'], 'o')}, ref AS (SELECT feature_id, avg(value) AS reference_coef FROM ({R.sql_cells('P', 'F')}) GROUP BY 1),
+ {sql_fit_own('f', 'd', ['age', 'response'], 'o')}, ref AS (SELECT feature_id, avg(value) AS reference_coef FROM ({R.sql_cells('P')}) GROUP BY 1),
  j AS (SELECT coef, reference_coef, {sql_t_tail('t_stat', 'df')} AS p_val, sign(coef) = sign(reference_coef) AS same FROM o_fit JOIN ref USING (feature_id)),
  k AS (SELECT *, {SQL_RANKS.format('coef')} AS x, {SQL_RANKS.format('reference_coef')} AS y FROM j)
 SELECT count(p_val) AS n_tested, count(*) FILTER (same AND p_val < 0.1) AS n_replicated, round(count(*) FILTER (same AND p_val < 0.1) / CAST(count(p_val) AS DOUBLE) * 100, 2) AS pct_replicated,
  CASE WHEN count(*) FILTER (same AND p_val < 0.1) / CAST(count(p_val) AS DOUBLE) * 100 >= 40 THEN 'PASS' ELSE 'FAIL' END AS verdict, {sr6('corr(x, y)')} AS spearman_rho FROM k""")
 def job_replication(spark, d):
     samples = _paired_samples(spark, d).filter("visit = 'PRE'").withColumn("sample_id", F.col("subject_id"))
-    reference = R.cells(spark, d, "P", "F").groupBy("feature_id").agg(F.avg("value").alias("coef"))
+    reference = R.cells(spark, d, "P").groupBy("feature_id").agg(F.avg("value").alias("coef"))
     out = jobs.replication(R.cells(spark, d), samples, reference, "therapy", "CPT", ["age"])
     return rounded(out["summary"])
 
@@ -354,7 +354,7 @@ def job_set_enrichment(spark, d):
 
 
 @query("job_second_cohort", f"""
-WITH cells AS ({R.sql_cells('P', 'F')}), f AS (SELECT subject_id AS sample_id, feature_id, delta AS value FROM ({R.sql_delta()})), {_SQL_SUBJECTS},
+WITH cells AS ({R.sql_cells('P')}), f AS (SELECT subject_id AS sample_id, feature_id, delta AS value FROM ({R.sql_delta()})), {_SQL_SUBJECTS},
  {sql_fit_own('f', 'd', ['response', 'age', 'frac_a', 'inter_a'], 'a')}, {sql_fit_own('f', 'd', ['response', 'age', 'frac_b', 'inter_b'], 'b')},
  u AS (SELECT 'frac_a' AS cell_type, feature_id, coef, t_stat, df FROM a_fit UNION ALL SELECT 'frac_b', feature_id, coef, t_stat, df FROM b_fit),
  p AS (SELECT *, {sql_t_tail('t_stat', 'df')} AS p_val FROM u), q AS ({sql_bh('p', 'cell_type')}), m AS (SELECT *, sin(length(feature_id)) AS c1 FROM q),
@@ -368,7 +368,7 @@ def job_second_cohort(spark, d):
     first = jobs.second_cohort(
         R.cells(spark, d).select("feature_id").distinct().select("feature_id", F.explode(F.array(F.lit("frac_a"), F.lit("frac_b"))).alias("cell_type"))
         .withColumns({"coef": F.sin(F.length("feature_id")), "q_val": F.lit(0.01)}),
-        R.cells(spark, d, "P", "F"), samples, ["frac_a", "frac_b"], ["age"])
+        R.cells(spark, d, "P"), samples, ["frac_a", "frac_b"], ["age"])
     return rounded(first["summary"])
 
 

@@ -71,13 +71,12 @@ def paired_delta_by_id(spark, d):
 
 
 @query("scalar_delta", f"""
-WITH u AS (SELECT user_id AS subject_id, event_type, avg(value) AS v FROM events WHERE event_type IN ('view', 'purchase') GROUP BY ALL)
-SELECT subject_id, {sr6("max(v) FILTER (event_type = 'purchase') - max(v) FILTER (event_type = 'view')")} AS delta FROM u GROUP BY subject_id""")
+WITH u AS (SELECT user_id AS subject_id, event_type IN ('view', 'click') AS pre, avg(value) AS v FROM events GROUP BY ALL)
+SELECT subject_id, {sr6("max(v) FILTER (NOT pre) - max(v) FILTER (pre)")} AS delta FROM u GROUP BY subject_id""")
 def scalar_delta(spark, d):
-    e = table(spark, d, "events").filter(F.col("event_type").isin("view", "purchase"))
-    rows = e.groupBy(F.col("user_id").alias("subject_id"), "event_type").agg(F.avg("value").alias("v")).select(
-        "subject_id", F.when(F.col("event_type") == "view", "PRE").otherwise("POST").alias("visit"), F.col("v").cast("string").alias("score"),
-        F.lit("R").alias("response"), F.col("event_type").alias("sample_id"))
+    visit = F.when(F.col("event_type").isin("view", "click"), "PRE").otherwise("POST")
+    rows = table(spark, d, "events").groupBy(F.col("user_id").alias("subject_id"), visit.alias("visit")).agg(F.avg("value").alias("v")).select(
+        "subject_id", "visit", F.col("v").cast("string").alias("score"), F.lit("R").alias("response"), F.col("visit").alias("sample_id"))
     return rounded(pairing.scalar_delta(rows, "score").select("subject_id", "delta"))
 
 
@@ -88,21 +87,23 @@ def feature_intersection(spark, d):
 
 
 @query("align_views", """
-SELECT s_suppkey AS sample_id, s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_discount > 0.09)
- AND s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_tax > 0.07)""")
+SELECT s_suppkey AS sample_id, s_name FROM supplier WHERE s_suppkey IN (SELECT CASE WHEN l_suppkey % 5 = 2 THEN -l_suppkey ELSE l_suppkey END FROM lineitem)
+ AND s_suppkey IN (SELECT CASE WHEN ps % 7 = 3 THEN -ps ELSE ps END FROM (SELECT CAST(l_partkey % 100 + 1 AS BIGINT) AS ps FROM lineitem))""")
 def align_views(spark, d):
-    li = table(spark, d, "lineitem").withColumnRenamed("l_suppkey", "sample_id")
-    shared = pairing.align_views([li.filter("l_discount > 0.09"), li.filter("l_tax > 0.07")])
+    # Some ids of each view are turned into ids that match nothing.
+    key = lambda c, m, r: F.when(c % m == r, -c).otherwise(c).alias("sample_id")
+    li = table(spark, d, "lineitem")
+    shared = pairing.align_views([li.select(key(F.col("l_suppkey"), 5, 2)), li.select(key(F.col("l_partkey") % 100 + 1, 7, 3))])
     meta = table(spark, d, "supplier").select(F.col("s_suppkey").alias("sample_id"), "s_name")
     return meta.join(shared, "sample_id", "left_semi")
 
 
 @query("join_prefixed", f"""
-SELECT s_suppkey AS sample_id, s_name, {sr6('m')} AS epidish_mean, m IS NOT NULL AS matched FROM supplier
-LEFT JOIN (SELECT l_suppkey, avg(l_tax) AS m FROM lineitem WHERE l_quantity > 45 AND l_discount > 0.05 GROUP BY 1) ON l_suppkey = s_suppkey""")
+SELECT s_suppkey AS sample_id, s_name, m AS epidish_cents, m IS NOT NULL AS matched FROM supplier
+LEFT JOIN (SELECT CASE WHEN l_suppkey % 5 = 2 THEN -l_suppkey ELSE l_suppkey END AS k, CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS BIGINT) AS m FROM lineitem GROUP BY 1) ON k = s_suppkey""")
 def join_prefixed(spark, d):
-    extra = table(spark, d, "lineitem").filter("l_quantity > 45 AND l_discount > 0.05").groupBy(
-        F.col("l_suppkey").alias("sample_id")).agg(F.avg("l_tax").alias("mean"))
+    key = F.when(F.col("l_suppkey") % 5 == 2, -F.col("l_suppkey")).otherwise(F.col("l_suppkey"))  # some match no supplier
+    extra = table(spark, d, "lineitem").groupBy(key.alias("sample_id")).agg(F.sum(F.round(F.col("l_tax") * 100).cast("bigint")).alias("cents"))
     samples = table(spark, d, "supplier").select(F.col("s_suppkey").alias("sample_id"), "s_name")
     return rounded(pairing.join_prefixed(samples, extra, "epidish_"))
 

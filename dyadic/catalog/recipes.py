@@ -15,19 +15,19 @@ from dyadic.catalog.registry import table
 VISIT_TEXT = {"O": " pre_iop", "F": "POST-IOP", "P": "BL"}
 
 
-def cells(spark: SparkSession, d: str, pre: str = "O", post: str = "F") -> DataFrame:
-    """Paired long table: customers, two order statuses as visits, priorities as features."""
-    visit = F.when(F.col("o_orderstatus") == pre, "PRE").when(F.col("o_orderstatus") == post, "POST")
+def cells(spark: SparkSession, d: str, pre: str = "O") -> DataFrame:
+    """Paired long table: customers, order statuses as visits (`pre` and the others), priorities as features."""
+    visit = F.when(F.col("o_orderstatus") == pre, "PRE").otherwise("POST")
     return (
-        table(spark, d, "orders").filter(F.col("o_orderstatus").isin(pre, post))
+        table(spark, d, "orders")
         .groupBy(F.col("o_custkey").alias("subject_id"), visit.alias("visit"), F.col("o_orderpriority").alias("feature_id"))
         .agg(F.avg("o_totalprice").alias("value"))
     )
 
 
-def sql_cells(pre: str = "O", post: str = "F") -> str:
+def sql_cells(pre: str = "O") -> str:
     return f"""SELECT o_custkey AS subject_id, CASE o_orderstatus WHEN '{pre}' THEN 'PRE' ELSE 'POST' END AS visit,
- o_orderpriority AS feature_id, avg(o_totalprice) AS value FROM orders WHERE o_orderstatus IN ('{pre}', '{post}') GROUP BY ALL"""
+ o_orderpriority AS feature_id, avg(o_totalprice) AS value FROM orders GROUP BY ALL"""
 
 
 def sql_delta(source: str = "cells") -> str:

@@ -363,14 +363,14 @@ def family_label(spark, d):
 
 
 @query("stack_views", f"""
-WITH c AS ({R.sql_cells()}), a AS ({R.sql_delta('c')}), c2 AS ({R.sql_cells('P', 'F')}), b AS ({R.sql_delta('c2')}),
+WITH c AS ({R.sql_cells()}), a AS ({R.sql_delta('c')}), c2 AS ({R.sql_cells('P')}), b AS ({R.sql_delta('c2')}),
  u AS (SELECT 'dnam' AS modality, subject_id, feature_id, delta FROM a UNION ALL SELECT 'rna', subject_id, feature_id, delta FROM b),
  k AS (SELECT * FROM u WHERE subject_id IN (SELECT subject_id FROM a) AND subject_id IN (SELECT subject_id FROM b)),
  s AS (SELECT modality, feature_id, avg(delta) AS m, stddev_pop(delta) AS sd FROM k GROUP BY ALL)
 SELECT modality, subject_id, feature_id, {sr6('(delta - m) / sd')} AS value FROM k JOIN s USING (modality, feature_id)""")
 def stack_views(spark, d):
     a = pairing.paired_delta(R.cells(spark, d))
-    b = pairing.paired_delta(R.cells(spark, d, "P", "F"))
+    b = pairing.paired_delta(R.cells(spark, d, "P"))
     joint = pairing.stack_views({"dnam": a, "rna": b}).withColumn("value", F.col("delta"))
     return rounded(selection.zscale(joint, by=("modality", "feature_id")).select("modality", "subject_id", "feature_id", "value"))
 

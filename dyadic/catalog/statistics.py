@@ -144,14 +144,15 @@ def classify_icc(spark, d):
 
 
 @query("delta_sd_corr", f"""
-WITH f AS (SELECT o_custkey AS s, o_orderstatus AS v, avg(o_totalprice) / 100000 AS mono, avg(o_orderkey % 100) / 100 AS neu FROM orders WHERE o_orderstatus IN ('O', 'F') GROUP BY ALL),
+WITH f AS (SELECT o_custkey AS s, CASE o_orderstatus WHEN 'O' THEN 'O' ELSE 'F' END AS v, avg(o_totalprice) / 100000 AS mono, avg(o_orderkey % 100) / 100 AS neu FROM orders GROUP BY ALL),
  d AS (SELECT a.s, b.mono - a.mono AS mono, b.neu - a.neu AS neu, b.neu / (1 + b.mono) - a.neu / (1 + a.mono) AS ratio FROM f a JOIN f b ON a.s = b.s AND a.v = 'O' AND b.v = 'F')
 SELECT count(*) AS n_paired, {sr6('stddev_samp(mono)')} AS sd_mono, {sr6('stddev_samp(neu)')} AS sd_neu, {sr6('corr(mono, ratio)')} AS r, count(*) AS n_pairs FROM d""")
 def delta_sd_corr(spark, d):
-    rows = table(spark, d, "orders").filter(F.col("o_orderstatus").isin("O", "F")).groupBy(F.col("o_custkey").alias("subject_id"), "o_orderstatus").agg(
+    visit = F.when(F.col("o_orderstatus") == "O", "PRE").otherwise("POST")
+    rows = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("subject_id"), visit.alias("visit")).agg(
         (F.avg("o_totalprice") / 100000).alias("mono"), (F.avg(F.col("o_orderkey") % 100) / 100).alias("neu"))
     long = rows.withColumn("ratio", F.col("neu") / (1 + F.col("mono"))).select(
-        "subject_id", F.when(F.col("o_orderstatus") == "O", "PRE").otherwise("POST").alias("visit"),
+        "subject_id", "visit",
         F.inline(F.array(*[F.struct(F.lit(c).alias("feature_id"), F.col(c).alias("value")) for c in ("mono", "neu", "ratio")])))
     wide = tables.to_wide(pairing.paired_delta(long), ["mono", "neu", "ratio"], "subject_id", "feature_id", "delta")
     return rounded(multivariate.delta_sd_corr(wide))
@@ -228,13 +229,13 @@ def sql_quantile(by: str, alpha: float, minimum: int) -> str:
  FROM (SELECT *, sum(weight) OVER ({part} ORDER BY score) AS up, sum(weight) OVER ({part}) AS tot, count(*) OVER ({part}) AS n FROM cal) {group}"""
 
 
-SQL_CAL = """cal AS (SELECT l_returnflag AS stratum, l_extendedprice / 40000 AS score, l_quantity AS weight FROM lineitem WHERE NOT (l_returnflag = 'R' AND l_linestatus = 'O') AND l_tax < 0.04),
+SQL_CAL = """cal AS (SELECT l_returnflag AS stratum, l_extendedprice / 40000 AS score, l_quantity AS weight FROM lineitem WHERE l_tax < 0.04),
  tst AS (SELECT CASE WHEN l_linestatus = 'O' AND l_discount = 0 THEN 'Z' ELSE l_returnflag END AS stratum, l_extendedprice / 40000 AS score FROM lineitem WHERE l_tax >= 0.04)"""
 
 
 def calibration(spark, d):
     li = table(spark, d, "lineitem").withColumn("score", F.col("l_extendedprice") / 40000)
-    cal = li.filter("NOT (l_returnflag = 'R' AND l_linestatus = 'O') AND l_tax < 0.04").select(
+    cal = li.filter("l_tax < 0.04").select(
         F.col("l_returnflag").alias("stratum"), "score", F.col("l_quantity").alias("weight"))
     unseen = (F.col("l_linestatus") == "O") & (F.col("l_discount") == 0)
     return cal, li.filter("l_tax >= 0.04").select(F.when(unseen, "Z").otherwise(F.col("l_returnflag")).alias("stratum"), "score")
@@ -276,12 +277,12 @@ def percentile_ci(spark, d):
 
 
 @query("leaderboard_pivot", """
-WITH c AS (SELECT o_orderpriority AS metric, o_orderstatus AS arm, avg(o_totalprice) / 100000 AS v FROM orders WHERE NOT (o_orderstatus = 'P' AND o_orderpriority = '5-LOW') GROUP BY ALL),
+WITH c AS (SELECT o_orderpriority AS metric, o_orderstatus AS arm, avg(o_totalprice) / 100000 AS v FROM orders GROUP BY ALL),
  t AS (SELECT metric, arm, concat('mean ', printf('%.3f', v), CASE WHEN v > 2.5 THEN ' | PASS' ELSE ' | FAIL' END) AS cell FROM c)
-SELECT metric, coalesce(max(cell) FILTER (arm = 'O'), 'n/a') AS "O", coalesce(max(cell) FILTER (arm = 'F'), 'n/a') AS "F", coalesce(max(cell) FILTER (arm = 'P'), 'n/a') AS "P",
+SELECT metric, coalesce(max(cell) FILTER (arm = 'O'), 'n/a') AS "O", coalesce(max(cell) FILTER (arm = 'F'), 'n/a') AS "F", coalesce(max(cell) FILTER (arm = 'P'), 'n/a') AS "P", 'n/a' AS "X",
  list_position(['5-LOW', '1-URGENT', '3-MEDIUM', '2-HIGH', '4-NOT SPECIFIED'], metric)::BIGINT AS position FROM t GROUP BY metric""")
 def leaderboard_pivot(spark, d):
-    rows = table(spark, d, "orders").filter("NOT (o_orderstatus = 'P' AND o_orderpriority = '5-LOW')").groupBy(
+    rows = table(spark, d, "orders").groupBy(
         F.col("o_orderpriority").alias("metric"), F.col("o_orderstatus").alias("arm")).agg((F.avg("o_totalprice") / 100000).alias("v"))
     cells = rows.select("metric", "arm", ranking.cell_text(F.lit("mean"), F.col("v"), F.col("v") > 2.5).alias("cell"))
-    return ranking.leaderboard(cells, ["O", "F", "P"], ["5-LOW", "1-URGENT", "3-MEDIUM", "2-HIGH", "4-NOT SPECIFIED"])
+    return ranking.leaderboard(cells, ["O", "F", "P", "X"], ["5-LOW", "1-URGENT", "3-MEDIUM", "2-HIGH", "4-NOT SPECIFIED"])

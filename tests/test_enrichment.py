@@ -111,3 +111,12 @@ def test_deconvolution_recovers_fractions(spark, rng):
         A.deconvolve(long_frame(spark, np.full((2, 60), 3.0)), ref, list("abc")).collect()
     checks = A.fraction_checks(A.deconvolve(betas, ref, list("abc")), list("abc")).first()
     assert checks.n == 6 and checks.n_off == 0 and checks.near_constant == []
+
+
+def test_absent_pairs_have_a_row_without_score(spark):
+    rows = [("s1", f"g{i}", float(i)) for i in range(6)] + [("s2", "g5", 1.0), ("s2", "g4", 2.0)]
+    features = spark.createDataFrame(rows, "sample_id string, feature_id string, value double")
+    sets = spark.createDataFrame([("a", f"g{i}") for i in range(3)] + [("b", "g4"), ("b", "g3"), ("b", "g1")], "source string, target string")
+    got = {(r.sample_id, r.source): r.score for r in A.ssgsea(features, sets, minimum=3).collect()}
+    assert set(got) == {(s, t) for s in ("s1", "s2") for t in ("a", "b")}
+    assert got["s2", "a"] is None and got["s2", "b"] is not None and got["s1", "a"] is not None

@@ -25,12 +25,24 @@ def test_components_from_either_side(spark, rng, shape):
 
 
 def test_power_iteration_for_two_long_sides(spark, rng, monkeypatch):
-    x = signal(rng, 14, 12)
+    x = np.hstack([signal(rng, 14, 11), rng.normal(size=(14, 1))])
+    frame = long_frame(spark, x)
+
+    def tables(k):
+        out = M.pca_long(frame, k, "sample_id")
+        scores = np.stack(out["scores"].toPandas().sort_values("sample_id").scores)
+        loads = out["loadings"].toPandas().pivot(index="feature_id", columns="component", values="loading").to_numpy()
+        return scores, loads, out["explained"].toPandas().sort_values("component").variance.to_numpy()
+
+    exact = {k: tables(k) for k in (2, 50)}
     monkeypatch.setattr(M, "GRAM_SIDE", 5)
-    out = M.pca_long(long_frame(spark, x), 2, "sample_id", iterations=15)
-    s = np.linalg.svd(x - x.mean(0), compute_uv=False)
-    scores = np.stack(out["scores"].toPandas().scores)
-    assert np.allclose(np.linalg.norm(scores, axis=0), s[:2], rtol=1e-6)
+    for k, want in exact.items():
+        got = tables(k)
+        assert got[0].shape == want[0].shape == (14, min(k, 12))
+        for a, b in zip(got, want):
+            assert np.allclose(a, b, atol=1e-6)
+    with pytest.raises(ArithmeticError):
+        M.pca_long(long_frame(spark, rng.normal(size=(40, 40))), 2, "sample_id", iterations=1)
 
 
 def test_absent_cells_count_as_the_mean(spark, rng):
@@ -64,7 +76,20 @@ def test_probe_with_selection_never_sees_the_held_out_subject(spark, rng):
     features = spark.createDataFrame(rows, "subject_id string, visit int, feature_id string, value double")
     targets = spark.createDataFrame(target, "subject_id string, target double")
     got = M.loo_probe_with_selection(features, targets, 3, 2, always=["f0"]).first()
-    assert got.n_subjects == 8 and got.loso_mae > 0
+    y, errors = np.array([t for _, t in target]), []
+    for held in range(8):
+        # Everything is fitted on the other subjects' rows only; the held-out rows are touched once, to be predicted.
+        train = np.delete(x, held, axis=0)
+        flat = train.reshape(-1, 6)
+        order = np.lexsort((np.arange(1, 6), -flat[:, 1:].var(axis=0, ddof=1)))
+        use = sorted({0, *(order[:3] + 1)})
+        sd = flat[:, use].std(axis=0)
+        axes = np.linalg.svd((flat[:, use] - flat[:, use].mean(axis=0)) / sd, full_matrices=False)[2][:2].T
+        delta = ((x[:, 1] - x[:, 0])[:, use] / sd) @ axes
+        design = np.column_stack([np.ones(8), delta])
+        keep = np.arange(8) != held
+        errors.append(abs(y[held] - design[held] @ np.linalg.lstsq(design[keep], y[keep], rcond=None)[0]))
+    assert got.n_subjects == 8 and got.loso_mae == pytest.approx(np.mean(errors), rel=1e-6)
 
 
 def test_canonical_correlation(spark, rng):
