@@ -422,13 +422,15 @@ def job_leaderboard(spark, d):
     return ranking.leaderboard(arms, ["A", "B", "C"], list(scoring.METRICS))
 
 
-@query("job_projection", f"""
+_SQL_PROJECTION = f"""
 WITH f AS (SELECT x.*, e.label FROM ({R.SQL_DENSE}) x JOIN embeddings e ON vec_id = sample_id),
  c AS (SELECT sample_id, label, comp, sum(value * cos(feature_id * comp)) AS z FROM f, (SELECT unnest([1, 2, 3, 4]) AS comp) GROUP BY ALL),
  a AS (SELECT comp, avg(z) FILTER (label = 9) - avg(z) FILTER (label = 8) AS g FROM c GROUP BY comp), u AS (SELECT comp, g / sqrt(sum(g * g) OVER ()) AS w FROM a)
 SELECT sample_id AS subject_id, CASE WHEN label < 4 THEN 'R' ELSE 'NR' END AS response, 'first' AS cohort, {sr6('sum(z * w)')} AS recovery_score
-FROM c JOIN u USING (comp) WHERE label < 8 GROUP BY sample_id, label""")
-def job_projection(spark, d):
+FROM c JOIN u USING (comp) WHERE label < 8 GROUP BY sample_id, label"""
+
+
+def _projection_inputs(spark, d):
     labels = R.points(spark, d).select(F.col("subject_id").alias("sample_id"), "class")
     rows = R.dense(spark, d).join(labels, "sample_id")
     clouds = rows.filter("class >= 8").select(
@@ -438,5 +440,25 @@ def job_projection(spark, d):
         "feature_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("component")).withColumn("loading", F.cos(F.col("feature_id") * F.col("component")))
     subjects = labels.filter("class < 8").select(
         F.col("sample_id").alias("subject_id"), F.when(F.col("class") < 4, "R").otherwise("NR").alias("response"), F.lit("first").alias("cohort"))
-    out = jobs.projection(clouds, termini, loadings, "healthy", "disease", subjects, scratch_path(spark, "projection"))
+    return clouds, termini, loadings, subjects
+
+
+@query("job_projection", _SQL_PROJECTION)
+def job_projection(spark, d):
+    """Projected, written and read back."""
+    clouds, termini, loadings, subjects = _projection_inputs(spark, d)
+    path = scratch_path(spark, "projection")
+    jobs.projection(clouds, termini, loadings, "healthy", "disease", subjects, path)
+    return rounded(jobs.load_projection(spark, path)["terminus"].drop("z"))
+
+
+@query("job_projection_centroid", _SQL_PROJECTION)
+def job_projection_centroid(spark, d):
+    """One cloud is only known by its centroid, a row of a wide file; the axis between the centroids is the same."""
+    clouds, termini, loadings, subjects = _projection_inputs(spark, d)
+    path = scratch_path(spark, "centroids")
+    clouds.groupBy("cloud").pivot("feature_id").agg(F.avg("value")).write.parquet(path)
+    single = tables.read_cloud(spark, "disease", centroid_path=path, group="disease").withColumn("feature_id", F.col("feature_id").cast("int"))
+    both = clouds.filter("cloud = 'healthy'").withColumn("sample_id", F.col("sample_id").cast("string")).unionByName(single)
+    out = jobs.projection(both, termini, loadings, "healthy", "disease", subjects, min_away=1)
     return rounded(out["terminus"].drop("z"))

@@ -300,11 +300,12 @@ def factor_run(views: DataFrame, obs: DataFrame, k: int = 20, covariates: Sequen
 
 
 def projection(clouds: DataFrame, termini: DataFrame, loadings: DataFrame, toward: str, away: str, subjects: DataFrame,
-               path: str | None = None, min_subjects: int = 10) -> dict[str, DataFrame]:
+               path: str | None = None, min_subjects: int = 10, min_toward: int = 10, min_away: int = 5) -> dict[str, DataFrame]:
     """Project reference clouds and subject end points onto the loadings and score them on the two-anchor axis.
 
     `clouds(cloud, sample_id, feature_id, value)`, `termini(subject_id, feature_id, value)`,
-    `subjects(subject_id, response, cohort)`. Written to `path` if given.
+    `subjects(subject_id, response, cohort)`. Written to `path` if given. A cloud of one centroid row needs its minimum
+    lowered to 1.
     """
     def latent(table: DataFrame, key: list[str]) -> DataFrame:
         flat = table.withColumn("_row", F.struct(*key))
@@ -315,7 +316,7 @@ def projection(clouds: DataFrame, termini: DataFrame, loadings: DataFrame, towar
     end_z = materialize(latent(termini, ["subject_id"]))
     if end_z.limit(min_subjects).count() < min_subjects:
         raise ValueError(f"fewer than {min_subjects} subjects to project")
-    axis = materialize(multivariate.two_anchor_axis(cloud_z, toward, away))
+    axis = materialize(multivariate.two_anchor_axis(cloud_z, toward, away, min_toward, min_away))
     scored = multivariate.axis_projection(end_z, axis).join(subjects, "subject_id")
     out = {"terminus": scored.select("subject_id", "response", "cohort", "recovery_score", "z"), "clouds": cloud_z, "axis": axis}
     if path is not None:

@@ -75,6 +75,21 @@ def read_optional(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def read_cloud(spark: SparkSession, cloud: str, samples_path: str | None = None, centroid_path: str | None = None,
+               group: str | None = None) -> DataFrame:
+    """A reference cloud (cloud, sample_id, feature_id, value) from a wide file of samples, or, where there are no samples,
+    from the row `group` of a wide file of group centroids, which then stands in as the cloud's only row."""
+    if samples_path is not None:
+        long = read_matrix_long(spark, samples_path, "samples")
+    elif centroid_path is not None:
+        long = read_matrix_long(spark, centroid_path, "samples").filter(F.col("sample_id") == group)
+        if long.isEmpty():
+            raise ValueError(f"no centroid of group {group}")
+    else:
+        raise ValueError("a cloud needs its samples or its centroid")
+    return long.select(F.lit(cloud).alias("cloud"), "sample_id", "feature_id", "value")
+
+
 def to_wide(features: DataFrame, columns: list[str], row: str = "sample_id", column: str = "feature_id",
             value: str = "value") -> DataFrame:
     """One column per named id. Meant for small panels; use `to_vectors` for large ones."""

@@ -80,3 +80,17 @@ def test_small_side_counts_bytes_and_runs_once(spark):
 def test_vectors_of_different_width_raise(spark):
     with pytest.raises(ValueError):
         moments.vector_width(spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "z array<double>"), "z")
+
+
+def test_a_centroid_stands_in_for_a_cloud(spark, tmp_path):
+    from dyadic.sources import tables
+
+    path = str(tmp_path / "c")
+    spark.createDataFrame([("a", 1.0, 2.0), ("b", 3.0, 4.0)], "id string, g1 double, g2 double").write.parquet(path)
+    got = sorted(map(tuple, tables.read_cloud(spark, "ill", centroid_path=path, group="b").collect()))
+    assert got == [("ill", "b", "g1", 3.0), ("ill", "b", "g2", 4.0)]
+    assert tables.read_cloud(spark, "ill", samples_path=path).count() == 4
+    with pytest.raises(ValueError):
+        tables.read_cloud(spark, "ill", centroid_path=path, group="z")
+    with pytest.raises(ValueError):
+        tables.read_cloud(spark, "ill")
