@@ -29,6 +29,12 @@ _CLASSES = {
 FEATURES = ("words", "word_length", *_CLASSES, "distinct", "repeats", "line_words", "marked", "short")
 
 
+# What a text is taken to hold besides its own: prose of PRIOR_WORDS words with these shares of its characters. A text of a
+# few words then looks like short prose rather than like an extreme of every statistic.
+PRIOR_WORDS, PRIOR_CHARS = 6, 30
+_PRIOR = {"upper": 0.02, "lower": 0.9, "stop": 0.02, "wide": 0.02}
+
+
 def statistics(text: str | None) -> np.ndarray:
     """Transformed statistics of a whole text; shares become log odds, counts become logs. A null text is an empty one."""
     raw = (text or "").encode("utf-8", "surrogatepass")
@@ -37,16 +43,18 @@ def statistics(text: str | None) -> np.ndarray:
     chars = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     filled = int(chars[~_BLANK].sum())
 
-    def odds(part: float, whole: float) -> float:
-        return float(np.log((part + 0.5) / (whole - part + 0.5 + 0.01 * whole)))
+    def odds(part: float, whole: float, more: float, prior: float = 0.0) -> float:
+        return float(np.log((part + 0.5 + more * prior) / (whole - part + 0.5 + more * (1 - prior) + 0.01 * whole)))
 
     repeats = sum(map(bytes.__eq__, words, words[1:]))
     marked = sum(w[-1:] in b"!#$%&*" for w in words)
     short = sum(len(w) <= 3 for w in words)
     return np.array([
-        np.log1p(n), np.log1p(filled / n if n else 0.0), *[odds(int(chars[c].sum()), filled) for c in _CLASSES.values()],
-        # Fewer words are new the longer a text is; the root of the count keeps the share comparable.
-        np.log((len(set(words)) + 1) / (n + 1) ** 0.8), odds(repeats, n), np.log1p(n / lines), odds(marked, n), odds(short, n),
+        np.log(n + PRIOR_WORDS), np.log((filled + PRIOR_CHARS) / (n + PRIOR_WORDS)),
+        *[odds(int(chars[c].sum()), filled, PRIOR_CHARS, _PRIOR.get(name, 0.0)) for name, c in _CLASSES.items()],
+        # Fewer words are new the longer a text is; the power of the count keeps the share comparable.
+        np.log((len(set(words)) + PRIOR_WORDS) / (n + PRIOR_WORDS) ** 0.8), odds(repeats, n, PRIOR_WORDS),
+        np.log((n + PRIOR_WORDS) / lines), odds(marked, n, PRIOR_WORDS), odds(short, n, PRIOR_WORDS, 0.5),
     ])
 
 
