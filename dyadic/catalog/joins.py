@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dyadic.catalog import recipes as R
-from dyadic.catalog.registry import big, query, r6, rounded, sr6, table
+from dyadic.catalog.registry import query, rounded, sr6, table
 from dyadic.operators import enrichment, multivariate, pairing, selection
 from dyadic.sources import tables
 

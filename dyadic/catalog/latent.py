@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from dyadic.catalog import recipes as R
 from dyadic.catalog.statistics import SQL_CAL, SQL_ML_ICC, calibration, sql_quantile
-from dyadic.catalog.registry import big, query, r6, rounded, sql_draw, sql_draw_integer, sr6, table
+from dyadic.catalog.registry import query, r6, rounded, sql_draw, sql_draw_integer, sr6, table
 from dyadic.functions import columns as C
-from dyadic.operators import clustering, domain, multivariate, ranking, resample, scoring
-from dyadic.sources import tables
+from dyadic.operators import clustering, domain, multivariate, ranking, scoring
 
 
 @query("pca_plane", f"""

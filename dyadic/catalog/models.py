@@ -8,9 +8,7 @@ from dyadic.catalog import recipes as R
 from dyadic.catalog.registry import (
     big, query, r6, rounded, sql_bh, sql_draw, sql_draw_integer, sql_fit, sql_fit_own, sql_t_tail, sr6, table,
 )
-from dyadic.functions.tails import f_upper_udf
-from dyadic.operators import activity, domain, enrichment, multivariate, regression, resample
-from dyadic.sources import tables
+from dyadic.operators import activity, enrichment, regression, resample
 
 CELL_TYPES = ["frac_a", "frac_b"]
 BASE = f"f AS ({R.SQL_MATRIX}), d0 AS ({R.SQL_DESIGN}), d AS (SELECT *, response * frac_a AS inter_a, response * frac_b AS inter_b FROM d0)"

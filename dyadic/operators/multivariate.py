@@ -16,7 +16,7 @@ from dyadic.functions import columns as C
 from dyadic.functions.tails import boundary_lrt_udf
 from dyadic.functions.verdicts import icc_class
 from dyadic.operators.moments import covariance, cross_product, vector_mean, vector_width
-from dyadic.operators.ranking import bh_fdr, top_n
+from dyadic.operators.ranking import bh_fdr
 from dyadic.operators.resample import bootstrap_counts, draw
 from dyadic.operators.selection import loo_topk_variance, zscale
 from dyadic.session import collect_bounded, materialize, small_side
