@@ -79,15 +79,15 @@ def search_group(queries: pd.DataFrame, vectors: pd.DataFrame, k: int = K) -> pd
             if need[i] > COORDINATE_COSINE:
                 if need[i] > 1:
                     continue
-                # |c_f - t q_f| <= sqrt((1 - t^2)(1 - q_f^2)) for unit vectors with cosine t or more; the region of a
-                # higher cosine lies in that of `need` once its upper end is left open towards q_f.
+                # Unit vectors at an angle of at most acos(t) differ by at most that angle against any axis, so along a
+                # component of size x of the query they reach cos(acos(x) + acos(t)).
                 direction = q[i] / q_length[i]
                 keep = length * q_length[i] >= least[i] * (1 - 1e-9)
                 for f in np.argsort(-np.abs(direction))[:FOCUS]:
                     side, t = np.sign(direction[f]), min(need[i], 1.0)
                     x = abs(direction[f])
                     slack = np.sqrt(max(0.0, (1 - t * t) * (1 - x * x)))
-                    keep &= side * unit[:, f] >= t * x - slack - 1e-9 if t * x >= 0 else True
+                    keep &= side * unit[:, f] >= t * x - slack - 1e-9
                 rows = np.flatnonzero(keep)
                 if len(rows):
                     _best(out, qid[i:i + 1], _exact(q[i:i + 1], c[rows]), ids[rows], least[i:i + 1], k)

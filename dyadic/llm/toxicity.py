@@ -238,12 +238,13 @@ def witness(texts: Sequence[str | None], side: Landmarks) -> np.ndarray:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """(text, label) of the training folds, drawn to about `rows` labels by the hash of the id."""
+    """(text, label) of the training folds, drawn to about `rows` labels by the hash of the id, one text an id."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).filter("doc_id is not null and label in (0, 1)").distinct()
     known = known.filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
     share = min(1.0, rows / max(known.count(), 1))
     drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return materialize(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "label"))
+    found = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    return materialize(found.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "label"))
 
 
 def choose_landmarks(sample: DataFrame, toxic: int, clean_rows: int, count: int = LANDMARKS) -> list[str]:
@@ -298,7 +299,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of `docs` (doc_id, text), from its whole text.
 
     Labels are learned only from ids outside the held-out fold. An id with several labels counts with each, repeated
-    label rows once; null ids and labels other than 0 and 1 teach nothing. Null and empty texts are scored as one empty
+    label rows once; of several texts of an id one teaches; null ids and labels other than 0 and 1 teach nothing. Null and empty texts are scored as one empty
     sentence. Repeated rows stay. An empty table gives an empty result. Other columns are not read.
     """
     model = fit(docs, labels, **options)
