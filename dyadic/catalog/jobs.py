@@ -10,7 +10,7 @@ from dyadic.catalog.shaping import sql_normal_quantile
 from dyadic.catalog.statistics import calibration
 from dyadic.catalog.models import SQL_ENRICH, SQL_RANKS, SQL_SETS, SQL_ULM, sql_grid, sql_hyper
 from dyadic.catalog.registry import query, r6, rounded, sql_bh, sql_fit_own, sql_t_tail, sr6, table
-from dyadic.operators import ranking, scoring
+from dyadic.operators import moments, ranking, scoring
 from dyadic.plans import jobs
 from dyadic.session import scratch_path
 from dyadic.sources import tables
@@ -385,6 +385,13 @@ def job_feature_tables(spark, d):
     return tables.guarded_read(spark, path + "/dnam").groupBy("feature_id").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("value")).alias("total"))
 
 
+def _factor_run(spark, d, views, k: int):
+    obs = table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("obs_id"), F.floor(F.col("vec_id") / 2).alias("subject_id"), (F.col("vec_id") % 2).cast("int").alias("visit"),
+        F.col("label").cast("double").alias("target"), (F.col("label") < 5).alias("responder"), F.sin("vec_id").alias("sex"))
+    return jobs.factor_run(views, obs, k, ["sex"], bootstrap=20)
+
+
 @query("job_factor_run", f"""
 WITH v AS (SELECT obs_id, x, y, sin(obs_id) AS c FROM ({R.SQL_VIEWS})),
  w AS (SELECT obs_id, x - avg(x) OVER () - (c - avg(c) OVER ()) * (covar_pop(x, c) OVER () / var_pop(c) OVER ()) AS x, y - avg(y) OVER () - (c - avg(c) OVER ()) * (covar_pop(y, c) OVER () / var_pop(c) OVER ()) AS y FROM v),
@@ -392,10 +399,13 @@ WITH v AS (SELECT obs_id, x, y, sin(obs_id) AS c FROM ({R.SQL_VIEWS})),
 SELECT factor, {sr6('icc')} AS icc, {sql_class('icc')} AS classification FROM a""")
 def job_factor_run(spark, d):
     # One feature a view; the classes do not depend on a factor's sign.
-    obs = table(spark, d, "embeddings").select(
-        F.col("vec_id").alias("obs_id"), F.floor(F.col("vec_id") / 2).alias("subject_id"), (F.col("vec_id") % 2).cast("int").alias("visit"),
-        F.col("label").cast("double").alias("target"), (F.col("label") < 5).alias("responder"), F.sin("vec_id").alias("sex"))
-    return rounded(jobs.factor_run(R.two_views(spark, d), obs, 2, ["sex"], bootstrap=20)["classes"].select("factor", "icc", "classification"))
+    return rounded(_factor_run(spark, d, R.two_views(spark, d), 2)["classes"].select("factor", "icc", "classification"))
+
+
+@query("job_factor_run_fitted")
+def job_factor_run_fitted(spark, d):
+    """Four factors of the full views; pytest holds their classes against numpy."""
+    return rounded(_factor_run(spark, d, R.wide_views(spark, d), 4)["classes"])
 
 
 def _sql_half(arm: str, condition: str) -> str:
@@ -422,6 +432,21 @@ def job_leaderboard(spark, d):
     return ranking.leaderboard(arms, ["A", "B", "C"], list(scoring.METRICS))
 
 
+@query("job_leaderboard_fitted")
+def job_leaderboard_fitted(spark, d):
+    """All six metrics on every dimension of each half; pytest holds them against direct computation."""
+    coverage, enriched = ranking.mondrian_conformal(*calibration(spark, d)), R.results(spark, d)
+    width, arms = moments.vector_width(R.points(spark, d), "z"), None
+    for arm, start, size in (("A", 0, width // 2), ("B", width // 2, width - width // 2)):
+        part = F.slice("z", start + 1, size).alias("z")
+        rows = R.deltas(spark, d).withColumn("z", part)
+        runs = R.points(spark, d).select(F.floor(F.col("subject_id") / 4).alias("subject_id"), (F.col("subject_id") % 4).alias("run"), part)
+        scores = R.factor_scores(spark, d).filter(F.col("factor").between(start, start + size - 1))
+        cells = scoring.score_arm(arm, rows, runs, scores, coverage, enriched, bootstrap=20, k_grid=(2, 3), archetype_bootstrap=2)
+        arms = cells if arms is None else arms.unionByName(cells)
+    return ranking.leaderboard(arms, ["A", "B", "C"], list(scoring.METRICS))
+
+
 _SQL_PROJECTION = f"""
 WITH f AS (SELECT x.*, e.label FROM ({R.SQL_DENSE}) x JOIN embeddings e ON vec_id = sample_id),
  c AS (SELECT sample_id, label, comp, sum(value * cos(feature_id * comp)) AS z FROM f, (SELECT unnest([1, 2, 3, 4]) AS comp) GROUP BY ALL),

@@ -68,6 +68,13 @@ def multiview_factors(spark, d):
         "view", "component", F.abs("loading").alias("size"), "ratio", "same_way"))
 
 
+@query("multiview_factors_fitted")
+def multiview_factors_fitted(spark, d):
+    """Four factors of the full views; pytest holds them against numpy."""
+    out = multivariate.multiview_factors(R.wide_views(spark, d), 4)
+    return rounded(out["loadings"].join(out["explained"], "component").select("view", "feature_id", "component", "loading", "ratio"))
+
+
 @query("encode_hook", """SELECT vec_id AS subject_id, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda v: v * v)), 6) + 0.0 AS energy,
  round(list_max(CAST(embedding AS DOUBLE[])), 6) + 0.0 AS peak FROM embeddings""")
 def encode_hook(spark, d):
@@ -165,6 +172,14 @@ def loo_probe_with_selection(spark, d):
     return rounded(multivariate.loo_probe_with_selection(rows, R.deltas(spark, d).select("subject_id", "target"), 1, 1))
 
 
+@query("loo_probe_with_selection_fitted")
+def loo_probe_with_selection_fitted(spark, d):
+    """Panels of ten features and two fixed ones, three factors; pytest holds it against refits in numpy."""
+    rows = R.factor_scores(spark, d).withColumnRenamed("factor", "feature_id")
+    targets = R.deltas(spark, d).select("subject_id", "target")
+    return rounded(multivariate.loo_probe_with_selection(rows, targets, 10, 3, always=[0, 1]))
+
+
 @query("gmm_archetypes", f"""
 WITH f AS ({R.SQL_DENSE}), v AS (SELECT feature_id, count(*) AS n, avg(value) AS m, var_pop(value) + 1e-6::DOUBLE AS v, var_pop(value) AS s FROM f GROUP BY 1)
 SELECT 1 AS best_k, CAST(1 AS DOUBLE) AS bootstrap_ari_mean, CAST(0 AS DOUBLE) AS bootstrap_ari_sd, false AS passed, true AS converged,
@@ -195,6 +210,13 @@ def recovery_axis(spark, d):
     return rounded(axis.select(F.posexplode("axis").alias("component", "weight")))
 
 
+@query("recovery_axis_fitted")
+def recovery_axis_fitted(spark, d):
+    """The axis in all dimensions; pytest holds it against numpy."""
+    axis = multivariate.recovery_axis(R.deltas(spark, d))
+    return rounded(axis.select(F.posexplode("axis").alias("component", "weight")))
+
+
 _TWO = f"""x AS (SELECT f.feature_id, f.value, f.sample_id, label FROM ({R.SQL_DENSE}) f JOIN ({R.SQL_POINTS}) ON subject_id = sample_id),
  c AS (SELECT feature_id, avg(value) FILTER (label = 1) - avg(value) FILTER (label = 0) AS g FROM x GROUP BY 1), a AS (SELECT feature_id, g / sqrt(sum(g * g) OVER ()) AS w FROM c)"""
 
@@ -298,13 +320,23 @@ def sql_class(icc: str) -> str:
     return f"CASE WHEN {icc} > 0.85 THEN 'trait' WHEN {icc} < 0.65 THEN 'state' ELSE 'mixed' END"
 
 
+def _sensitivity(spark, d, views, k: int):
+    obs = table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("obs_id"), F.floor(F.col("vec_id") / 2).alias("subject_id"), (F.col("vec_id") % 2).cast("int").alias("visit"))
+    flagged = table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), (F.col("label") == 3).alias("flagged"))
+    return rounded(scoring.sensitivity_refit(views, obs, flagged, k, bootstrap=20))
+
+
 @query("sensitivity_refit", f"""
 WITH v AS ({R.SQL_VIEWS}), w AS (SELECT v.* FROM v JOIN embeddings ON vec_id = obs_id WHERE label <> 3), {R.sql_pair_factors('v', 'p')}, {R.sql_pair_factors('w', 'q')},
  pf AS (SELECT CAST(floor(obs_id / 2) AS BIGINT) AS subject_id, factor, value FROM p), qf AS (SELECT CAST(floor(obs_id / 2) AS BIGINT) AS subject_id, factor, value FROM q),
  {sql_icc('pf', 'a')}, {sql_icc('qf', 'b')}
 SELECT a.factor, {sr6('a.icc')} AS icc, {sql_class('a.icc')} AS classification, {sr6('b.icc')} AS icc_without, {sql_class('b.icc')} AS classification_without FROM a JOIN b USING (factor)""")
 def sensitivity_refit(spark, d):
-    obs = table(spark, d, "embeddings").select(
-        F.col("vec_id").alias("obs_id"), F.floor(F.col("vec_id") / 2).alias("subject_id"), (F.col("vec_id") % 2).cast("int").alias("visit"))
-    flagged = table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), (F.col("label") == 3).alias("flagged"))
-    return rounded(scoring.sensitivity_refit(R.two_views(spark, d), obs, flagged, 2, bootstrap=20))
+    return _sensitivity(spark, d, R.two_views(spark, d), 2)
+
+
+@query("sensitivity_refit_fitted")
+def sensitivity_refit_fitted(spark, d):
+    """Three factors of the full views; pytest holds it against numpy."""
+    return _sensitivity(spark, d, R.wide_views(spark, d), 3)

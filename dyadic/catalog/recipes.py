@@ -170,6 +170,12 @@ def two_views(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("view", F.col("sample_id").alias("obs_id")).agg(F.sum("value").alias("value")).withColumn("feature_id", F.lit(1))
 
 
+def wide_views(spark: SparkSession, d: str) -> DataFrame:
+    """All features of two views: the first 40 dimensions and the others, as (view, obs_id, feature_id, value)."""
+    view = F.when(F.col("feature_id") < 40, "dnam").otherwise("rna")
+    return dense(spark, d).withColumn("view", view).withColumnRenamed("sample_id", "obs_id")
+
+
 SQL_VIEWS = f"""SELECT sample_id AS obs_id, sum(value) FILTER (feature_id < h) AS x, sum(value) FILTER (feature_id >= h) AS y
  FROM (SELECT *, max(feature_id) OVER (PARTITION BY sample_id) / CAST(2 AS DOUBLE) AS h FROM ({SQL_DENSE})) GROUP BY 1"""
 
