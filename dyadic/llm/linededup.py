@@ -8,21 +8,25 @@ from pyspark.sql import functions as F
 from dyadic.llm.common import fresh, word_count
 from dyadic.session import BROADCAST_ROWS, materialize
 
-# A run is deleted from RUN_LINES lines or RUN_WORDS words on.
+# A run is deleted from RUN_LINES lines on; of fewer lines from SHORT_WORDS words on, of one line from LINE_WORDS words on.
 RUN_LINES = 3
+SHORT_WORDS = 8
+LINE_WORDS = 6
+# The rule of OP2_SQL: below RUN_LINES lines, a run is deleted from RUN_WORDS words on.
 RUN_WORDS = 50
 BLANKS = " \t\r\x0b\x0c"
 KEY = ["doc_id", "text_hash"]
 
 
-def _windows(run_lines: int, run_words: int) -> Column:
+def _windows(run_lines: int, run_words: int, line_words: int) -> Column:
     """Every window of the column `seq` that makes a run by itself: its start, length, fingerprint, that one's place, and content hash."""
     def at(s: Column, m: int) -> Column:
         part = F.slice("seq", s + 1, m)
         hashes = F.transform(part, lambda x: x.hash)
         words = F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x.words)
         whole = s + m <= F.size("seq")
-        return F.when(whole if m == run_lines else whole & (words >= run_words), F.struct(
+        least = min(run_words, line_words) if m == 1 else run_words
+        return F.when(whole if m == run_lines else whole & (words >= least), F.struct(
             s.alias("s"), F.lit(m).alias("m"), F.array_min(hashes).alias("mark"),
             (s + F.array_position(hashes, F.array_min(hashes)).cast("int") - 1).alias("place"), F.xxhash64(hashes).alias("content")))
 
@@ -31,11 +35,11 @@ def _windows(run_lines: int, run_words: int) -> Column:
     return F.filter(F.flatten(each), lambda x: x.isNotNull())
 
 
-def repeated_runs(docs: DataFrame, run_lines: int = RUN_LINES, run_words: int = RUN_WORDS) -> DataFrame:
+def repeated_runs(docs: DataFrame, run_lines: int = RUN_LINES, run_words: int = SHORT_WORDS, line_words: int = LINE_WORDS) -> DataFrame:
     """(doc_id, text_hash, start, lines): runs of lines of `docs` (doc_id, text) that occur earlier.
 
     Lines are compared without blanks at their ends; blank lines are passed over. A window is `run_lines` lines, or fewer
-    with `run_words` words or more. Its fingerprint is its least line hash, so a run of a window or more, wherever it
+    with `run_words` words or more, or one line with `line_words` words or more. Its fingerprint is its least line hash, so a run of a window or more, wherever it
     recurs, brings the same fingerprints: they are guaranteed, and windows whose fingerprint stands at one place only are
     left out unseen. Around the others the match is extended to both ends of each window the fingerprint stands for: the
     window is compared, by its hash, with the first place of the same content in the order (doc_id, text, line), never
@@ -46,7 +50,7 @@ def repeated_runs(docs: DataFrame, run_lines: int = RUN_LINES, run_words: int =
     lines = F.filter(lines, lambda x: x.t != "")
     seq = F.transform(lines, lambda x: F.struct(x.line.alias("line"), F.xxhash64(x.t).alias("hash"), word_count(x.t).alias("words")))
     base = docs.filter(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("text_hash"), seq.alias("seq"))
-    wins = base.select(*KEY, F.col("seq.line").alias("line"), F.explode(_windows(run_lines, run_words)).alias("w"))
+    wins = base.select(*KEY, F.col("seq.line").alias("line"), F.explode(_windows(run_lines, run_words, line_words)).alias("w"))
     wins = materialize(wins.select(*KEY, "w.s", "w.m", "w.mark", "w.place", "w.content", F.slice("line", F.col("w.s") + 1, F.col("w.m")).alias("line")))
     place = F.struct(*KEY, "place")
     marks = wins.groupBy("mark").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo <> hi").select("mark")
@@ -61,14 +65,15 @@ def repeated_runs(docs: DataFrame, run_lines: int = RUN_LINES, run_words: int =
         F.min("line").alias("start"), F.count("*").cast("int").alias("lines")).drop("_run")
 
 
-def drop_repeated_lines(docs: DataFrame, run_lines: int = RUN_LINES, run_words: int = RUN_WORDS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, run_lines: int = RUN_LINES, run_words: int = SHORT_WORDS,
+                        line_words: int = LINE_WORDS) -> DataFrame:
     """`docs` with `text` rid of repeated runs, and the columns `n_lines` (not blank, before) and `n_removed`.
 
     The first occurrence of a run in the order (doc_id, text, line) stays, a null doc_id being last. Null texts stay null
     and empty ones empty, with no lines. Rows equal in doc_id and text are one document: they get the same result. Other
     columns pass through unchanged, but for ones named like the two new columns, which are replaced. An empty table gives an empty result.
     """
-    runs = repeated_runs(docs, run_lines, run_words)
+    runs = repeated_runs(docs, run_lines, run_words, line_words)
     runs = materialize(runs.groupBy(*KEY).agg(
         F.sort_array(F.collect_list(F.struct("start", "lines"))).alias("_runs"), F.sum("lines").alias("_removed")))
     size = runs.agg(F.coalesce(F.sum(F.size("_runs")), F.lit(0))).first()[0]

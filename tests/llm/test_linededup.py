@@ -51,3 +51,22 @@ def test_long_runs_and_clean_documents(spark, documents):
     assert got[1].n_removed == 0 and got[2].text == "mine\nmine too" and got[2].n_removed == 40
     assert got[3].text == got[4].text == "two\nlines"
     assert linededup.drop_repeated_lines(documents([])).collect() == []
+
+
+def test_short_runs_are_deleted(spark, documents, rnd):
+    pool = ["one two", "a line of five words", "this one line has six words", "x", "four words are here", "an end of more"]
+    rows = [(i, "\n".join(rnd.choice([*pool, f"own {i} {j}"]) for j in range(rnd.randint(1, 6)))) for i in range(60)]
+    seen, want = set(), {}
+    for i, text in rows:
+        seq, gone = text.split("\n"), set()
+        for s in range(len(seq)):
+            for m in range(1, 4):
+                part = tuple(seq[s:s + m])
+                if len(part) == m and (m == 3 or sum(len(x.split()) for x in part) >= (6 if m == 1 else 8)):
+                    if part in seen:
+                        gone |= set(range(s, s + m))
+                    seen.add(part)
+        want[i] = ("\n".join(x for k, x in enumerate(seq) if k not in gone), len(gone))
+    got = {r.doc_id: (r.text, r.n_removed) for r in linededup.drop_repeated_lines(documents(rows)).collect()}
+    assert got == want
+    assert sum("this one line has six words" in t for t, _ in got.values()) == 1
