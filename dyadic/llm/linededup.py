@@ -1,4 +1,4 @@
-"""Delete repeated runs of lines, found by winnowing over line hashes."""
+"""Delete repeated runs of lines, found by exact windows of line hashes."""
 
 from __future__ import annotations
 
@@ -39,11 +39,11 @@ def repeated_runs(docs: DataFrame, run_lines: int = RUN_LINES, run_words: int =
     """(doc_id, text_hash, start, lines): runs of lines of `docs` (doc_id, text) that occur earlier.
 
     Lines are compared without blanks at their ends; blank lines are passed over. A window is `run_lines` lines, or fewer
-    with `run_words` words or more, or one line with `line_words` words or more. Its fingerprint is its least line hash, so a run of a window or more, wherever it
-    recurs, brings the same fingerprints: they are guaranteed, and windows whose fingerprint stands at one place only are
-    left out unseen. Around the others the match is extended to both ends of each window the fingerprint stands for: the
-    window is compared, by its hash, with the first place of the same content in the order (doc_id, text, line), never
-    with every other place. Later places are deleted; windows that touch make one run, so runs of any length are whole.
+    with `run_words` words or more, or one line with `line_words` words or more. Every window
+    is compared, by its hash, with the first place of the same content in the order (doc_id, text, line), never with every
+    other place. Its fingerprint is its least line hash; windows whose fingerprint stands at one place only are left out
+    before that, which changes no result.
+    Later places are deleted; windows that touch make one run, so runs of any length are whole.
     """
     split = F.split("text", "\n")
     lines = F.transform(split, lambda x, i: F.struct(i.alias("line"), F.btrim(x, F.lit(BLANKS)).alias("t")))
