@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dyadic.session import small_side
+from dyadic.session import materialize, small_side
 
 # A word is a run of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -57,3 +57,19 @@ def running_total(df: DataFrame, by: Sequence[str], bucket: str, order: Sequence
     offsets = totals.select(*keys, F.coalesce(F.sum("_total").over(outer), F.lit(0)).alias("_offset"))
     rows = df.withColumn("_within", F.coalesce(F.sum(value).over(inner), F.lit(0)))
     return rows.join(offsets, keys).withColumn(name, F.col("_within") + F.col("_offset")).drop("_within", "_offset")
+
+
+def hot_join(rows: DataFrame, side: DataFrame, key: str, parts: int = 1024) -> DataFrame:
+    """Left join of `rows` with `side`, which has one row per `key`, however the keys of `rows` are spread.
+
+    Keys with more than one row in `parts` are at most `parts` many, so their rows of `side` are broadcast and the rows
+    that hold them stay where they are; all others are shuffled. `rows` should be a stored table, as it is read twice.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = rows.count()
+    hot = materialize(counts.filter(F.col("_n") * parts > total).filter(F.col(key).isNotNull()).select(key))
+    if hot.isEmpty():
+        return rows.join(side, key, "left")
+    few = materialize(side.join(F.broadcast(hot), key, "left_semi"))
+    return rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(few), key, "left").unionByName(
+        rows.join(F.broadcast(hot), key, "left_anti").join(side, key, "left"))
