@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dyadic.llm import decontaminate, licenses, linededup, mixing, quality, simhash, tokenalign, topk, toxicity, tries, urls, warc
+from dyadic.llm import decontaminate, licenses, linededup, lmscore, mixing, quality, simhash, tokenalign, topk, toxicity, tries, urls, warc
 from dyadic.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op10_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).drop("group")
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -83,6 +87,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
     "op10_url_verdicts": op10_url_verdicts,
+    "op11_lm_scores": op11_lm_scores,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_token_alignment": op13_token_alignment,
 }
