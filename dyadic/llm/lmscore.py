@@ -32,7 +32,7 @@ FILTER_BYTES = 128 << 20
 # Words with more than one token in so many are broadcast with their exact counts, at most as many; none longer than that.
 HEAVY_WORDS, HEAVY_CHARS = 1 << 18, 256
 # Bytes of text that a task works on at a time.
-SLICE = 16 << 20
+SLICE = 4 << 20
 
 _GOLD, _M1, _M2 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
