@@ -184,7 +184,7 @@ def filter_parts(docs: DataFrame, words: DataFrame, parts: int, order: int) -> D
     # As `part_of`, for a hash that Spark holds as a signed number.
     single = single.select((F.shiftrightunsigned("h", 40) % parts).alias("part"), "h", "n")
     longer = docs.filter("learn").select("text").mapInArrow(run, "part long, h long, n long")
-    counted = longer.unionByName(single).repartition("part").groupBy("part", "h").agg(F.sum("n").alias("n"))
+    counted = longer.unionByName(single).repartition(parts, "part").groupBy("part", "h").agg(F.sum("n").alias("n"))
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
         bits = fill_part(group["h"].to_numpy().view(np.uint64), group["n"].to_numpy())
