@@ -9,7 +9,7 @@ from dyadic.catalog import recipes as R
 from dyadic.catalog.statistics import SQL_CAL, SQL_ML_ICC, calibration, sql_quantile
 from dyadic.catalog.registry import query, r6, rounded, sql_draw, sql_draw_integer, sr6, table
 from dyadic.functions import columns as C
-from dyadic.operators import clustering, domain, multivariate, ranking, scoring
+from dyadic.operators import clustering, domain, factors, multivariate, ranking, scoring
 
 
 @query("pca_plane", f"""
@@ -75,6 +75,34 @@ def multiview_factors_fitted(spark, d):
     return rounded(out["loadings"].join(out["explained"], "component").select("view", "feature_id", "component", "loading", "ratio"))
 
 
+@query("factor_model", f"""
+WITH RECURSIVE v AS ({R.SQL_VIEWS}), s AS (SELECT CAST(count(*) AS DOUBLE) AS n, corr(x, y) AS r, CAST(0.001 AS DOUBLE) AS b FROM v),
+ f AS (SELECT 0 AS i, n, r, b, CAST(1 AS DOUBLE) AS p1, CAST(0 AS DOUBLE) AS p2, CAST(0 AS DOUBLE) AS s, CAST(1 AS DOUBLE) AS t1, CAST(1 AS DOUBLE) AS t2,
+   CAST(1 AS DOUBLE) AS a1, CAST(1 AS DOUBLE) AS a2, CAST(0 AS DOUBLE) AS u1, CAST(0 AS DOUBLE) AS u2 FROM s UNION ALL
+  SELECT i + 1, n, r, b, s2 * h1 * v1, s2 * h2 * v2, s2, h1, h2, (b + 0.5) / (b + w1 / 2), (b + 0.5) / (b + w2 / 2), v1, v2
+  FROM (SELECT *, n * (p1 * p1 + 2 * p1 * p2 * r + p2 * p2 + s) AS zz, n * (p1 + p2 * r) AS y1, n * (p1 * r + p2) AS y2,
+    1 / (a1 + t1 * zz) AS c1, 1 / (a2 + t2 * zz) AS c2, c1 * t1 * y1 AS v1, c2 * t2 * y2 AS v2, v1 * v1 + c1 AS w1, v2 * v2 + c2 AS w2,
+    (b + n / 2) / (b + (n - 2 * v1 * y1 + w1 * zz) / 2) AS h1, (b + n / 2) / (b + (n - 2 * v2 * y2 + w2 * zz) / 2) AS h2,
+    1 / (1 + h1 * w1 + h2 * w2) AS s2 FROM f WHERE i < 6))
+SELECT 'dnam' AS view, {sr6('u1')} AS loading, {sr6('1 / sqrt(t1)')} AS noise, {sr6('a1')} AS precision, {sr6('2 * u1 * (p1 + p2 * r) - u1 * u1 * (p1 * p1 + 2 * p1 * p2 * r + p2 * p2)')} AS r2 FROM f WHERE i = 6
+UNION ALL
+SELECT 'rna', {sr6('u2')}, {sr6('1 / sqrt(t2)')}, {sr6('a2')}, {sr6('2 * u2 * (p1 * r + p2) - u2 * u2 * (p1 * p1 + 2 * p1 * p2 * r + p2 * p2)')} FROM f WHERE i = 6""")
+def factor_model(spark, d):
+    """Six rounds of one factor over two features, so that SQL can follow them."""
+    views = R.two_views(spark, d)
+    first = views.filter("view = 'dnam'")
+    stats = first.agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+    start = first.crossJoin(F.broadcast(stats)).select("obs_id", F.array((F.col("value") - F.col("m")) / F.col("s")).alias("z"))
+    out = factors.factor_model(views, 1, rounds=6, tolerance=-1.0, start=start, turn=False)
+    return rounded(out["loadings"].join(out["activity"], ["view", "factor"]).select("view", "loading", "noise", "precision", "r2"))
+
+
+@query("factor_model_fitted")
+def factor_model_fitted(spark, d):
+    """Four factors of the full views; pytest holds the same updates against numpy and planted factors."""
+    return rounded(factors.factor_model(R.wide_views(spark, d), 4, rounds=8)["activity"])
+
+
 @query("encode_hook", """SELECT vec_id AS subject_id, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda v: v * v)), 6) + 0.0 AS energy,
  round(list_max(CAST(embedding AS DOUBLE[])), 6) + 0.0 AS peak FROM embeddings""")
 def encode_hook(spark, d):

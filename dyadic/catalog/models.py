@@ -417,6 +417,57 @@ def deconvolve(spark, d):
     return rounded(activity.deconvolve(betas, panel, ["first", "second"]))
 
 
+def sql_robust(rounds: int) -> str:
+    """CTEs from `d(sample_id, y, a, c)` to `c<rounds>(sample_id, b0, b1, b2)`: M-estimates of a line in two columns."""
+    steps, rows = [], "(SELECT *, CAST(1 AS DOUBLE) AS w FROM d)"
+    for i in range(rounds + 1):
+        steps.append(f"""m{i} AS (SELECT sample_id, sum(w * a) / sum(w) AS ma, sum(w * c) / sum(w) AS mc, sum(w * y) / sum(w) AS my, sum(w * a * a) / sum(w) - ma * ma AS aa,
+  sum(w * a * c) / sum(w) - ma * mc AS ac, sum(w * c * c) / sum(w) - mc * mc AS cc, sum(w * a * y) / sum(w) - ma * my AS ay, sum(w * c * y) / sum(w) - mc * my AS cy FROM {rows} GROUP BY 1),
+ c{i} AS (SELECT sample_id, (cc * ay - ac * cy) / (aa * cc - ac * ac) AS b1, (aa * cy - ac * ay) / (aa * cc - ac * ac) AS b2, my - b1 * ma - b2 * mc AS b0 FROM m{i}),
+ r{i} AS (SELECT d.*, abs(y - b0 - b1 * a - b2 * c) AS r FROM d JOIN c{i} USING (sample_id)),
+ w{i} AS (SELECT *, least(1.0::DOUBLE, 1.345 * median(r) OVER (PARTITION BY sample_id) / 0.6745 / nullif(r, 0)) AS w FROM r{i})""")
+        rows = f"w{i}"
+    return ", ".join(steps)
+
+
+@query("deconvolve_robust", f"""
+WITH b AS (SELECT l_suppkey AS sample_id, l_partkey AS feature_id, avg(l_discount) * 10 AS y FROM lineitem GROUP BY ALL),
+ p AS (SELECT p_partkey AS feature_id, p_size / CAST(50 AS DOUBLE) AS a, CAST(p_partkey * 13 % 97 AS DOUBLE) / 97 AS c FROM part),
+ d AS (SELECT sample_id, y + a / 2 + c / 4 AS y, a, c FROM b JOIN p USING (feature_id)), {sql_robust(3)}
+SELECT sample_id, {sr6('greatest(b1, 0) / nullif(greatest(b1, 0) + greatest(b2, 0), 0)')} AS first, {sr6('greatest(b2, 0) / nullif(greatest(b1, 0) + greatest(b2, 0), 0)')} AS second FROM c3""")
+def deconvolve_robust(spark, d):
+    """Three rounds, so that SQL can follow them; the values follow the panel in part."""
+    panel = table(spark, d, "part").select(
+        F.col("p_partkey").alias("feature_id"), (F.col("p_size") / 50.0).alias("first"), (F.col("p_partkey") * 13 % 97 / 97.0).alias("second"))
+    betas = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("sample_id"), F.col("l_partkey").alias("feature_id")).agg(
+        (F.avg("l_discount") * 10).alias("value"))
+    betas = betas.join(panel, "feature_id").select(
+        "sample_id", "feature_id", (F.col("value") + F.col("first") / 2 + F.col("second") / 4).alias("value"))
+    return rounded(activity.deconvolve_robust(betas, panel, ["first", "second"], rounds=3, tolerance=0.0, check=False))
+
+
+# The normal distribution function by its series of positive terms.
+SQL_NORMAL = """CASE WHEN abs(t) > 8 THEN (t > 0)::DOUBLE WHEN t = 0 THEN 0.5 ELSE 0.5 + sign(t) * exp(-t * t / 2) / sqrt(2 * pi()) * list_sum(list_transform(
+  range(0, 120), lambda i: exp((2 * i + 1) * ln(abs(t)) - lgamma(i + CAST(1.5 AS DOUBLE)) - (i + 1) * ln(CAST(2 AS DOUBLE)) + ln(pi()) / 2))) END"""
+
+
+@query("set_variation", f"""
+WITH x AS (SELECT l_suppkey AS sample_id, p_brand AS feature_id, avg(l_extendedprice) / 1000 AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+ h AS (SELECT feature_id, stddev_samp(v) / 4 AS h FROM x GROUP BY 1),
+ k AS (SELECT a.sample_id, a.feature_id, (a.v - b.v) / h AS t FROM x a JOIN x b USING (feature_id) JOIN h USING (feature_id)),
+ l AS (SELECT sample_id, feature_id, round(avg({SQL_NORMAL}), 12) AS level FROM k GROUP BY ALL),
+ o AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY level DESC, feature_id) AS place, count(*) OVER (PARTITION BY sample_id) AS p FROM l),
+ g AS (SELECT sample_id, source, place, p, left(feature_id, 7) = source AS hit, abs(p / CAST(2 AS DOUBLE) - place + 1) AS step FROM o, (SELECT DISTINCT left(p_brand, 7) AS source FROM part)),
+ u AS (SELECT *, sum(step) FILTER (hit) OVER (PARTITION BY sample_id, source) AS whole, count(*) FILTER (hit) OVER (PARTITION BY sample_id, source) AS m FROM g),
+ w AS (SELECT sample_id, source, whole, m, p, sum(CASE WHEN hit THEN step / whole ELSE CAST(-1 AS DOUBLE) / (p - m) END) OVER (PARTITION BY sample_id, source ORDER BY place) AS walk FROM u)
+SELECT sample_id, source, {sr6('CASE WHEN max(m) > 0 THEN greatest(0, max(walk)) + least(0, min(walk)) END')} AS score FROM w GROUP BY ALL""")
+def set_variation(spark, d):
+    features = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).groupBy(
+        F.col("l_suppkey").alias("sample_id"), F.col("p_brand").alias("feature_id")).agg((F.avg("l_extendedprice") / 1000).alias("value"))
+    sets = table(spark, d, "part").select(F.substring("p_brand", 1, 7).alias("source"), F.col("p_brand").alias("target")).distinct()
+    return rounded(activity.set_variation(features, sets, 1))
+
+
 @query("fraction_checks", f"""
 WITH f AS (SELECT l_suppkey AS sample_id, avg(l_discount) * 5 AS a, avg(l_tax) * 10 AS b, CAST(0.5 AS DOUBLE) AS c FROM lineitem GROUP BY 1)
 SELECT count(*) AS n, {sr6('min(a + b + c)')} AS min_sum, {sr6('max(a + b + c)')} AS max_sum, count(*) FILTER (abs(a + b + c - 1) > 0.16) AS n_off, 'c' AS near_constant FROM f""")

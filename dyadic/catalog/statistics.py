@@ -142,6 +142,33 @@ def classify_icc(spark, d):
     return rounded(out.drop("lrt_pval", "lrt_qval"))
 
 
+# Slope of the profile likelihood in the ratio `lam` of the variances, from lists of sums per subject size.
+SQL_PROFILE = """list_sum(list_transform(st, lambda x: x.k / (1 + x.k * lam) * x.s1)) / list_sum(list_transform(st, lambda x: x.k / (1 + x.k * lam) * x.a)) AS mu,
+  ssw + list_sum(list_transform(st, lambda x: x.k / (1 + x.k * lam) * (x.s2 - 2 * mu * x.s1 + mu * mu * x.a))) AS q,
+  list_sum(list_transform(st, lambda x: x.k / (1 + x.k * lam) * x.a)) - n * list_sum(list_transform(st, lambda x: pow(x.k / (1 + x.k * lam), 2) * (x.s2 - 2 * mu * x.s1 + mu * mu * x.a))) / q AS slope"""
+
+
+@query("mixed_model", f"""
+WITH RECURSIVE f AS (SELECT o_custkey AS subject_id, o_orderpriority AS factor, o_totalprice / 100000 + CAST(o_custkey % 7 AS DOUBLE) / 5 AS value FROM orders),
+ g AS (SELECT factor, subject_id, count(*) AS k, avg(value) AS m, count(*) * var_pop(value) AS w FROM f GROUP BY ALL),
+ e AS (SELECT factor, sum(k * m) / sum(k) AS grand FROM g GROUP BY 1),
+ z AS (SELECT factor, grand, k, count(*) AS a, sum(m - grand) AS s1, sum((m - grand) * (m - grand)) AS s2, sum(w) AS w FROM g JOIN e USING (factor) GROUP BY ALL),
+ l AS (SELECT factor, grand, list({{'k': CAST(k AS DOUBLE), 'a': CAST(a AS DOUBLE), 's1': s1, 's2': s2}}) AS st, sum(w) AS ssw, CAST(sum(k * a) AS DOUBLE) AS n FROM z GROUP BY ALL),
+ b AS (SELECT 0 AS i, factor, grand, st, ssw, n, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi FROM l UNION ALL
+  SELECT i + 1, factor, grand, st, ssw, n, CASE WHEN slope < 0 THEN share ELSE lo END, CASE WHEN slope < 0 THEN hi ELSE share END
+  FROM (SELECT *, (lo + hi) / 2 AS share, share / (1 - share) AS lam, {SQL_PROFILE} FROM b WHERE i < 50)),
+ o AS (SELECT *, lo / (1 - lo) AS lam, {SQL_PROFILE} FROM b WHERE i = 50)
+SELECT factor, {sr6('grand + mu')} AS mean, {sr6('lam * q / n')} AS s_between, {sr6('q / n')} AS s_within, {sr6('lo')} AS icc,
+ {sr6('-(n * ln(2 * pi() * q / n) + list_sum(list_transform(st, lambda x: x.a * ln(1 + x.k * lam))) + n) / 2', 4)} AS loglik FROM o""")
+def mixed_model(spark, d):
+    """Customers as subjects with one row to dozens each."""
+    rows = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("subject_id"), F.col("o_orderpriority").alias("factor"),
+        (F.col("o_totalprice") / 100000 + F.col("o_custkey") % 7 / 5.0).alias("value"))
+    out = multivariate.mixed_model(rows).drop("loglik_pooled")
+    return rounded(out.drop("loglik")).join(out.select("factor", r6("loglik", 4).alias("loglik")), "factor")
+
+
 @query("delta_sd_corr", f"""
 WITH f AS (SELECT o_custkey AS s, CASE o_orderstatus WHEN 'O' THEN 'O' ELSE 'F' END AS v, avg(o_totalprice) / 100000 AS mono, avg(o_orderkey % 100) / 100 AS neu FROM orders GROUP BY ALL),
  d AS (SELECT a.s, b.mono - a.mono AS mono, b.neu - a.neu AS neu, b.neu / (1 + b.mono) - a.neu / (1 + a.mono) AS ratio FROM f a JOIN f b ON a.s = b.s AND a.v = 'O' AND b.v = 'F')

@@ -123,3 +123,15 @@ def hypergeom_upper_udf(k: pd.Series, total: pd.Series, marked: pd.Series, drawn
 def clean_nan(col):
     """NaN to NULL, as the long tables hold missing values."""
     return F.when(F.isnan(col), F.lit(None).cast("double")).otherwise(col)
+
+
+def digamma(x: np.ndarray) -> np.ndarray:
+    """Derivative of the log-gamma function for positive arguments: recurrence up to 10, then its asymptotic series."""
+    x = np.array(x, dtype=float)
+    out = np.zeros_like(x)
+    while (small := x < 10).any():
+        out[small] -= 1 / x[small]
+        x[small] += 1
+    inverse = 1 / (x * x)
+    series = inverse * (1 / 12 - inverse * (1 / 120 - inverse * (1 / 252 - inverse * (1 / 240 - inverse / 132))))
+    return out + np.log(x) - 0.5 / x - series

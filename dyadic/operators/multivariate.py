@@ -243,29 +243,93 @@ def variance_components(scores: DataFrame) -> DataFrame:
     return _components(_subject_groups(scores), ["factor"]).select("factor", "s_between", "s_within", "icc")
 
 
+def profile_ratio(k, a, s1, s2, ssw: float) -> tuple[float, float, float, float, float]:
+    """Maximum likelihood of a random subject intercept from sums per subject size: (ratio, mean, within, loglik, loglik at 0).
+
+    `k` rows in each of `a` subjects, whose means add to `s1` and their squares to `s2`; `ssw` is the sum of squares inside
+    subjects. Given the ratio of both variances, mean and within-variance have closed forms, so only the ratio is searched:
+    the best of a grid of shares brackets it, then Newton steps on the slope, or halving where a step leaves the bracket.
+    """
+    n = float((k * a).sum())
+
+    def parts(ratio):
+        w = k / (1.0 + k * ratio)
+        mean = (w * s1).sum() / (w * a).sum()
+        rest = np.maximum(s2 - 2.0 * mean * s1 + mean * mean * a, 0.0)
+        return w, mean, rest, max(ssw + (w * rest).sum(), 1e-300)
+
+    def loss(ratio):
+        q = parts(ratio)[3]
+        return n * np.log(q / n) + (a * np.log1p(k * ratio)).sum()
+
+    def slope(ratio):
+        w, _, rest, q = parts(ratio)
+        first, second = (w * w * rest).sum(), (w**3 * rest).sum()
+        return (a * w).sum() - n * first / q, n * (2.0 * second / q - (first / q) ** 2) - (a * w * w).sum()
+
+    ratio = 0.0
+    if a.sum() >= 2 and n > a.sum():
+        shares = np.concatenate([[0.0], 1.0 / (1.0 + np.exp(-np.linspace(-18.0, 27.0, 361)))])
+        grid = shares / (1.0 - shares)
+        best = int(np.argmin([loss(g) for g in grid]))
+        low, high = grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)]
+        if best or slope(0.0)[0] < 0:
+            ratio = grid[best] or high / 2
+            for _ in range(200):
+                g, curve = slope(ratio)
+                low, high = (ratio, high) if g < 0 else (low, ratio)
+                step = ratio - g / curve if curve > 0 else -1.0
+                new = step if low < step < high else (low + high) / 2
+                if abs(new - ratio) <= 1e-14 * max(ratio, 1e-300):
+                    break
+                ratio = new
+    _, mean, _, q = parts(ratio)
+    logliks = [-(loss(r) + n * (np.log(2.0 * np.pi) + 1.0)) / 2.0 for r in (ratio, 0.0)]
+    return float(ratio), float(mean), q / n, max(logliks), logliks[1]
+
+
+def mixed_model(scores: DataFrame) -> DataFrame:
+    """Random subject intercept per factor by maximum likelihood, also if subjects have unequal numbers of rows.
+
+    `scores(subject_id, factor, value)` gives (factor, mean, s_between, s_within, icc, loglik, loglik_pooled). Subjects are
+    reduced to sums per factor and number of rows, so what is searched has as many entries as there are different numbers.
+    Null values are left out. With fewer than two subjects, or one row in each, the variance between them is zero.
+    """
+    groups = _subject_groups(scores).filter("k > 0")
+    grand = groups.groupBy("factor").agg((F.sum(F.col("k") * F.col("m")) / F.sum("k")).alias("grand"))
+    gap = F.col("m") - F.col("grand")
+    sizes = groups.join(grand, "factor").groupBy("factor", "grand", "k").agg(
+        F.count(F.lit(1)).alias("a"), F.sum(gap).alias("s1"), F.sum(gap * gap).alias("s2"), F.sum("ssw").alias("ssw"))
+    lists = sizes.groupBy("factor", "grand").agg(
+        F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in ("k", "a", "s1", "s2", "ssw")]))).alias("sizes"))
+
+    @F.pandas_udf("ratio double, mean double, within double, loglik double, pooled double")
+    def fit(k: pd.Series, a: pd.Series, s1: pd.Series, s2: pd.Series, ssw: pd.Series) -> pd.DataFrame:
+        found = [profile_ratio(*map(np.asarray, row[:4]), float(np.sum(row[4]))) for row in zip(k, a, s1, s2, ssw)]
+        return pd.DataFrame(found, columns=["ratio", "mean", "within", "loglik", "pooled"])
+
+    out = lists.withColumn("f", fit(*[F.col(f"sizes.{c}") for c in ("k", "a", "s1", "s2", "ssw")]))
+    return out.select(
+        "factor", (F.col("grand") + F.col("f.mean")).alias("mean"), (F.col("f.ratio") * F.col("f.within")).alias("s_between"),
+        F.col("f.within").alias("s_within"), (F.col("f.ratio") / (1.0 + F.col("f.ratio"))).alias("icc"), F.col("f.loglik").alias("loglik"),
+        F.col("f.pooled").alias("loglik_pooled"))
+
+
 def classify_icc(scores: DataFrame, bootstrap: int = 2000, seed: int = 42) -> DataFrame:
     """ICC, subject-bootstrap interval, likelihood-ratio diagnostic and trait/state/mixed class per factor.
 
-    The ICC and its class come from the maximum-likelihood components in their closed form for balanced designs; the
-    bootstrap uses the moment estimator. The likelihood ratio compares a random subject intercept with the pooled mean
-    in the same closed form; it is reported only.
+    The ICC and its class come from the maximum-likelihood fit of a random subject intercept (`mixed_model`), for subjects
+    with any numbers of rows; the bootstrap uses the moment estimator. The likelihood ratio compares that fit with the
+    pooled mean; it is reported only.
     """
     groups = materialize(_subject_groups(scores))
-    point = _components(groups, ["factor"])
     copies = bootstrap_counts(groups.select("subject_id").distinct(), bootstrap, seed)
     boots = _components(copies.join(groups, "subject_id"), ["rep", "factor"], "copies")
     ci = boots.groupBy("factor").agg(
         F.percentile("icc", 0.025).alias("icc_ci_low"), F.percentile("icc", 0.975).alias("icc_ci_high")
     )
-    # Maximum likelihood with k rows per subject: sigma2 = SSW/(n-a), lambda = SSB/a, at the boundary both pool.
-    n, a = F.col("n"), F.col("a")
-    pooled = F.greatest((F.col("ssb") + F.col("ssw")) / n, F.lit(1e-300))
-    inner = F.greatest(F.col("ssw") / F.nullif(n - a, F.lit(0.0)), F.lit(1e-300))
-    outer = F.greatest(F.col("ssb") / a, F.lit(1e-300))
-    stat = F.when(outer > inner, n * F.log(pooled) - (n - a) * F.log(inner) - a * F.log(outer)).otherwise(F.lit(0.0))
-    between = F.greatest(F.lit(0.0), (outer - inner) * a / n)
-    likely = F.when(a >= 2, F.coalesce(between / F.nullif(between + inner, F.lit(0.0)), F.lit(0.0))).otherwise(F.lit(0.0))
-    tested = point.withColumn("icc", likely).withColumn("lrt_stat", stat).withColumn("lrt_pval", boundary_lrt_udf("lrt_stat"))
+    likely = mixed_model(scores).select("factor", "icc", (2.0 * (F.col("loglik") - F.col("loglik_pooled"))).alias("lrt_stat"))
+    tested = likely.withColumn("lrt_pval", boundary_lrt_udf("lrt_stat"))
     joined = bh_fdr(tested, [], "lrt_pval", "lrt_qval").join(ci, "factor")
     return joined.select(
         "factor", "icc", "icc_ci_low", "icc_ci_high", "lrt_stat", "lrt_pval", "lrt_qval",
