@@ -256,11 +256,25 @@ def hotelling_t2(spark, d):
     return rounded(resample.hotelling_t2(rows))
 
 
+def sql_keyed_place(x: str, n: str, seed: int, rep: str) -> str:
+    """`keyed_place` of a place `x` in 0..n-1, `sa` and `sb` being columns with the sides of its grid."""
+    hashed = lambda v: (f"list_reduce([({v}) % {resample.MODULUS}, {', '.join(map(str, resample.MULTIPLIERS))}], "
+                        f"lambda h, m: xor((h * m + 12345) % {resample.MODULUS}, ((h * m + 12345) % {resample.MODULUS}) >> 15))")
+    keys = ", ".join(f"{{'k0': {sql_draw_integer(seed, rep, str(i))} % {resample.MODULUS}, 'k1': {sql_draw_integer(seed, rep, str(i + 1))} % {resample.MODULUS}}}"
+                     for i in range(0, resample.ROUNDS, 2))
+    left = f"((p.x // sb + {hashed('p.x % sb + k.k0')}) % sa)"
+    once = lambda v: (f"list_reduce(list_prepend({{'x': CAST({v} AS BIGINT), 'k0': CAST(0 AS BIGINT), 'k1': CAST(0 AS BIGINT)}}, "
+                      f"list_transform([{keys}], lambda q: {{'x': CAST(0 AS BIGINT), 'k0': q.k0, 'k1': q.k1}})), "
+                      f"lambda p, k: {{'x': {left} * sb + (p.x % sb + {hashed(left + ' + k.k1')}) % sb, 'k0': CAST(0 AS BIGINT), 'k1': CAST(0 AS BIGINT)}}).x")
+    return f"list_reduce(list_prepend({once(x)}, range({resample.WALK})), lambda y, i: CASE WHEN y < {n} THEN y ELSE {once('y')} END)"
+
+
 def sql_grid(subjects: str, reps: int, seed: int = 42) -> str:
     """CTE body (rep, subject_id, label) of `permutation_grid` over a CTE (subject_id, label)."""
     return f"""SELECT 0 AS rep, subject_id, label FROM {subjects} UNION ALL
- SELECT rep, subject_id, CASE WHEN row_number() OVER (PARTITION BY rep ORDER BY {sql_draw(seed, 'rep', 'subject_id')}, subject_id) <= (SELECT sum(label) FROM {subjects}) THEN 1 ELSE 0 END
- FROM {subjects}, (SELECT unnest(range(1, {reps + 1})) AS rep)"""
+ SELECT rep, subject_id, CASE WHEN {sql_keyed_place('place', 'nn', seed, 'rep')} < ones THEN 1 ELSE 0 END
+ FROM (SELECT *, CAST(ceil(nn / CAST(sa AS DOUBLE)) AS BIGINT) AS sb FROM (SELECT subject_id, row_number() OVER (ORDER BY {sql_draw(seed, 'subject_id')}, subject_id) - 1 AS place,
+  count(*) OVER () AS nn, sum(label) OVER () AS ones, CAST(greatest(1, floor(sqrt(count(*) OVER ()))) AS BIGINT) AS sa FROM {subjects})), (SELECT unnest(range(1, {reps + 1})) AS rep)"""
 
 
 @query("subject_folds", f"""

@@ -1,12 +1,16 @@
 """Reproducible resampling and the tests built on it.
 
 All draws come from md5 of (seed, replicate, id), so they do not depend on row
-order, partitioning or retries, and any SQL engine can repeat them. Replicates
-are rows; a statistic over B replicates is one grouped aggregate.
+order, partitioning or retries, and any SQL engine can repeat them. A permuted
+label is computed where it is needed from the subject's place and the
+replicate's keys, so permutation tests make no row per replicate and subject.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -74,18 +78,136 @@ def calibration_split(subjects: DataFrame, fraction: float = 0.2, seed: int = 42
     return placed.select(subject, (F.col("_at") <= size).alias("calibration"))
 
 
+# Rounds of a keyed permutation; its multipliers and modulus, under which no product exceeds 63 bits.
+ROUNDS = 6
+MULTIPLIERS, MODULUS = (1540483477, 1103515245, 1664525), 1 << 31
+# Steps that the column form takes at most to come back into range: a place needs more with a chance below 1e-40 if the
+# places out of range are more than these, and never otherwise.
+WALK = 30
+
+
+def _sides(n: int) -> tuple[int, int]:
+    """Two sides whose product is at least `n`, and less than `n` plus the first."""
+    a = max(1, math.isqrt(n))
+    return a, max(1, -(-n // a))
+
+
+def permutation_keys(replicates: int, seed: int) -> np.ndarray:
+    """(replicates + 1) x ROUNDS keys; replicate 0, the observed labelling, has none that count."""
+    def key(rep: int, i: int) -> int:
+        return int(hashlib.md5(f"{seed}:{rep}:{i}".encode()).hexdigest()[:8], 16) % MODULUS
+
+    return np.array([[key(rep, i) for i in range(ROUNDS)] for rep in range(replicates + 1)], np.int64)
+
+
+def keyed_places(places: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+    """Permuted place (0 to n - 1) of each place, per replicate: `keys` (replicates x ROUNDS) gives replicates x places.
+
+    A place is split into two numbers below the sides of a grid; in turn each is shifted by a keyed hash of the other, which
+    can be undone and so is a permutation of the grid. Places that fall outside 0..n-1 go on until they are inside.
+    """
+    a, b = _sides(n)
+    out = np.repeat(np.asarray(places, np.int64)[None, :], len(keys), axis=0)
+    todo = np.ones(out.shape, bool)
+    while todo.any():
+        rep = np.nonzero(todo)[0]
+        left, right = np.divmod(out[todo], b)
+        for i in range(ROUNDS):
+            key = keys[rep, i]
+            if i % 2 == 0:
+                left = (left + _hashed(right + key)) % a
+            else:
+                right = (right + _hashed(left + key)) % b
+        out[todo] = left * b + right
+        todo = out >= n
+    return out
+
+
+def _hashed(x: np.ndarray) -> np.ndarray:
+    for m in MULTIPLIERS:
+        x = (x * m + 12345) % MODULUS
+        x = x ^ (x >> 15)
+    return x
+
+
+def _hashed_column(x: Column) -> Column:
+    steps = F.array(*[F.lit(m).cast("bigint") for m in MULTIPLIERS])
+
+    def one(h, m):
+        value = (h * m + 12345) % MODULUS
+        return value.bitwiseXOR(F.floor(value / F.lit(float(1 << 15))).cast("bigint"))
+
+    return F.aggregate(steps, (x % MODULUS).cast("bigint"), one)
+
+
+def keyed_place(place: Column, rep: Column, n: int, seed: int) -> Column:
+    """As `keyed_places`, as a column expression over a place and a replicate."""
+    a, b = (F.lit(v).cast("bigint") for v in _sides(n))
+    keys = F.array(*[F.struct(*[(draw_integer(seed, rep, F.lit(i + j)) % MODULUS).alias(f"k{j}") for j in (0, 1)]) for i in range(0, ROUNDS, 2)])
+
+    def pair(x, k):
+        right = x % b
+        left = (F.floor(x / b) + _hashed_column(right + k["k0"])) % a
+        return left * b + (right + _hashed_column(left + k["k1"])) % b
+
+    def once(x):
+        return F.aggregate(keys, x.cast("bigint"), pair)
+
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(place), lambda x, _: F.when(x < n, x).otherwise(once(x)))
+    return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("a permuted place stayed out of range")).cast("bigint"))
+
+
+def _placed(subjects: DataFrame, seed: int, subject: str, n: int) -> DataFrame:
+    """Rows with `_at`, their place from 0 in the order of the hash of their subject."""
+    return hash_position(subjects, [], draw(seed, F.col(subject)), "_at", subject, rows=n).withColumn("_at", F.col("_at").cast("bigint") - 1)
+
+
 def permutation_grid(subjects: DataFrame, replicates: int, seed: int = 42, subject: str = "subject_id",
                      label: str = "label") -> DataFrame:
-    """(rep, subject, label) with a 0/1 label shuffled over the subjects; rep 0 is the observed labelling."""
+    """(rep, subject, label) with a 0/1 label shuffled over the subjects; rep 0 is the observed labelling.
+
+    Subjects are numbered once. A label follows from the permuted number, so the rows of the grid are neither sorted nor
+    shuffled; tests that only need sums take `label_sums`, which makes no such rows.
+    """
     counts = subjects.agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("ones")).first()
-    shuffled = hash_position(
-        subjects.select(subject, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")),
-        ["rep"], draw(seed, F.col("rep"), F.col(subject)), "_at", subject, rows=counts["n"],
-    ).select("rep", subject, (F.col("_at") <= int(counts["ones"] or 0)).cast("int").alias(label))
+    n = counts["n"]
+    placed = materialize(_placed(subjects.select(subject), seed, subject, n))
+    rows = placed.select(subject, "_at", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
+    permuted = keyed_place(F.col("_at"), F.col("rep"), max(n, 1), seed)
+    shuffled = rows.select("rep", subject, (permuted < int(counts["ones"] or 0)).cast("int").alias(label))
     observed = subjects.select(F.lit(0).alias("rep"), subject, F.col(label).cast("int").alias(label))
     return observed.unionByName(shuffled)
 
 
+def label_sums(rows: DataFrame, replicates: int, seed: int = 42, subject: str = "subject_id", label: str = "label",
+               vector: str = "z") -> DataFrame:
+    """(rep, ones, zeros, one_sum, zero_sum): sizes and summed vectors of both label groups in each permuted labelling.
+
+    Rep 0 is the observed one. A task multiplies the labels of a block of replicates, computed in place, with its rows'
+    vectors and returns one row per replicate, so memory and shuffle follow the replicates, not replicates x subjects.
+    """
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("ones"), F.max(F.size(vector)).alias("d")).first()
+    n, ones, d = counts["n"], int(counts["ones"] or 0), counts["d"] or 0
+    placed = _placed(rows.select(subject, F.col(label).cast("int").alias(label), F.col(vector).alias(vector)), seed, subject, n)
+    keys = permutation_keys(replicates, seed)
+
+    def run(batches):
+        total, whole = np.zeros((replicates + 1, d)), np.zeros(d)
+        for pdf in batches:
+            x, at = np.stack(pdf[vector].to_numpy()), pdf["_at"].to_numpy()
+            whole += x.sum(axis=0)
+            total[0] += pdf[label].to_numpy(dtype=float) @ x
+            step = max(1, _LABEL_CELLS // max(len(at), 1))
+            for lo in range(1, replicates + 1, step):
+                total[lo:lo + step] += (keyed_places(at, keys[lo:lo + step], n) < ones).astype(float) @ x
+        yield pd.DataFrame({"rep": range(replicates + 1), "one": list(total), "all": [whole] * (replicates + 1)})
+
+    parts = placed.select("_at", label, vector).mapInPandas(run, "rep int, one array<double>, all array<double>")
+    sums = parts.groupBy("rep").agg(C.vector_aggregate("sum", "one", d).alias("one_sum"), C.vector_aggregate("sum", "all", d).alias("all_sum"))
+    return sums.select("rep", F.lit(ones).alias("ones"), F.lit(n - ones).alias("zeros"), "one_sum",
+                       F.zip_with("all_sum", "one_sum", lambda a, b: a - b).alias("zero_sum"))
+
+
 def bootstrap_counts(subjects: DataFrame, replicates: int, seed: int = 42, subject: str = "subject_id",
                      by: list[str] | None = None) -> DataFrame:
     """(rep, *by, subject, copies): with-replacement draws of whole subjects, per group if `by` is given."""
@@ -121,7 +243,7 @@ def permanova(scores: DataFrame, replicates: int = 2000, seed: int = 42, subject
               label: str = "label", vector: str = "z") -> DataFrame:
     """Pseudo-F of two groups and its label-permutation p-value.
 
-    Per replicate only group sums are needed: with data centred on the grand mean
+    Per replicate only group sums are needed (`label_sums`): with data centred on the grand mean
     the between-group sum of squares is sum |S_g|^2 / n_g, and the total is fixed.
     """
     labelled = scores.filter(F.col(label).isNotNull())
@@ -131,11 +253,9 @@ def permanova(scores: DataFrame, replicates: int = 2000, seed: int = 42, subject
     centred = labelled.select(
         subject, label, F.zip_with(vector, C.literal_vector(row["m"]), lambda a, b: a - b).alias("_c"))
     total = centred.agg(F.sum(C.dot(F.col("_c"), F.col("_c")))).scalar()
-    grid = permutation_grid(labelled.select(subject, label), replicates, seed, subject, label)
-    groups = grid.join(small_side(centred.drop(label)), subject).groupBy("rep", label).agg(
-        F.count(F.lit(1)).alias("k"), C.vector_aggregate("sum", "_c", d).alias("_s"))
-    between = groups.groupBy("rep").agg(
-        F.sum(C.dot(F.col("_s"), F.col("_s")) / F.col("k")).alias("ssb"), F.count(F.lit(1)).alias("g"))
+    groups = label_sums(centred.filter(F.lit(d > 0)), replicates, seed, subject, label, "_c")
+    part = [F.when(F.col(k) > 0, C.dot(F.col(v), F.col(v)) / F.col(k)).otherwise(0.0) for k, v in (("ones", "one_sum"), ("zeros", "zero_sum"))]
+    between = groups.select("rep", (part[0] + part[1]).alias("ssb"), ((F.col("ones") > 0).cast("int") + (F.col("zeros") > 0).cast("int")).alias("g"))
     within = F.col("sst") - F.col("ssb")
     df1, df2 = F.col("g") - 1, F.lit(n) - F.col("g")
     f = F.when((within <= 1e-12) | (df2 == 0) | (df1 == 0), F.lit(0.0)).otherwise(
@@ -225,12 +345,12 @@ def centroid_permutation(features: DataFrame, subjects: DataFrame, anchor: DataF
     shifted = features.join(anchor.withColumnRenamed("value", "_anchor"), "feature_id").join(
         small_side(known.select(subject)), subject, "left_semi").select(
         subject, "feature_id", (F.col("value") - F.col("_anchor")).alias("_v"))
-    grid = permutation_grid(known, replicates, seed, subject, label)
+    placed = materialize(_placed(known, seed, subject, known.count()))
     sizes = shifted.agg(F.countDistinct(subject).alias("n"), F.countDistinct("feature_id").alias("p"), F.count("_v").alias("k")).first()
     if sizes["n"] <= _CROSS_SAMPLES and sizes["k"] == sizes["n"] * sizes["p"]:
-        distance = _group_norms(shifted, grid, subject, label)
+        distance = _group_norms(shifted, placed, replicates, seed, subject, label)
     else:
-        distance = _block_norms(shifted, known.select(subject), grid, replicates, subject, label)
+        distance = _block_norms(shifted, placed, replicates, seed, subject, label)
     gap = distance.groupBy("rep").agg(
         F.max(F.when(F.col(label) == 0, F.col("_d"))).alias("d_zero"),
         F.max(F.when(F.col(label) == 1, F.col("_d"))).alias("d_one"),
@@ -242,43 +362,50 @@ def centroid_permutation(features: DataFrame, subjects: DataFrame, anchor: DataF
     )
 
 
-def _group_norms(shifted: DataFrame, grid: DataFrame, subject: str, label: str) -> DataFrame:
+def _group_norms(shifted: DataFrame, placed: DataFrame, replicates: int, seed: int, subject: str, label: str) -> DataFrame:
     """Norm of each group's mean vector per (rep, label), from the cross-product of the samples."""
     per_feature = shifted.groupBy("feature_id").agg(F.sort_array(F.collect_list(F.struct(subject, "_v"))).alias("_p"))
     gram = cross_product(per_feature.select(F.transform("_p", lambda p: p["_v"]).alias("z")))
-    ids = {r[0]: i for i, r in enumerate(shifted.select(subject).distinct().orderBy(subject).collect())}  # n is bounded above
-    order = shifted.sparkSession.createDataFrame(list(ids.items()), f"{subject} {shifted.schema[subject].dataType.simpleString()}, _i int")
-    members = grid.join(F.broadcast(order), subject).groupBy("rep", label).agg(F.collect_list("_i").alias("_m"))
+    # The samples are bounded by the caller; only those with features stand in the cross-product.
+    known = {r[0]: (r["_at"], r[label]) for r in placed.join(F.broadcast(shifted.select(subject).distinct()), subject, "left_semi").collect()}
+    at, seen = (np.array([known[s][i] for s in sorted(known)]) for i in (0, 1))
+    keys, n, ones = permutation_keys(replicates, seed), placed.count(), int(placed.agg(F.sum(label)).first()[0] or 0)
 
-    def norm(groups: pd.Series) -> pd.Series:
-        return pd.Series([np.sqrt(max(gram[np.ix_(m, m)].sum(), 0.0)) / len(m) for m in map(np.asarray, groups)])
+    def norms(batches):
+        for pdf in batches:
+            rep = pdf["id"].to_numpy()
+            marks = np.where(rep[:, None] == 0, seen == 1, keyed_places(at, keys[rep], n) < ones).astype(float)
+            for g, m in ((0, 1.0 - marks), (1, marks)):
+                k = m.sum(axis=1)
+                size = np.sqrt(np.maximum(np.einsum("ri,ij,rj->r", m, gram, m, optimize=True), 0.0))
+                yield pd.DataFrame({"rep": rep, "g": g, "_d": size / np.maximum(k, 1.0)})[k > 0]
 
-    return members.select("rep", label, F.pandas_udf(norm, "double")("_m").alias("_d"))
+    reps = shifted.sparkSession.range(replicates + 1)
+    return reps.mapInPandas(norms, "rep long, g int, _d double").withColumnRenamed("g", label)
 
 
 # Cells of the samples x replicates label matrix that a task holds at a time (64 MB).
 _LABEL_CELLS = 8_000_000
 
 
-def _block_norms(shifted: DataFrame, samples: DataFrame, grid: DataFrame, replicates: int, subject: str, label: str) -> DataFrame:
+def _block_norms(shifted: DataFrame, placed: DataFrame, replicates: int, seed: int, subject: str, label: str) -> DataFrame:
     """As `_group_norms` for any table: a feature's present values times a block of label columns gives its group sums.
 
     A feature is one row of at most as many values as there are samples; replicates come in blocks, so that a block's
-    labels fit a task. Tasks return one sum of squares per replicate and group.
+    labels fit a task, which computes them from the samples' places. Tasks return one sum of squares per replicate and group.
     """
-    order = materialize(hash_position(samples, [], F.md5(F.col(subject).cast("string")), "_i", subject).withColumn("_i", F.col("_i") - 1))
-    n = order.count()
-    place = small_side(order)
-    packed = materialize(shifted.filter(F.col("_v").isNotNull()).join(place, subject).groupBy("feature_id").agg(
-        F.collect_list(F.struct("_i", "_v")).alias("_p")).select(F.col("_p._i").alias("i"), F.col("_p._v").alias("v")))
+    n = placed.count()
+    packed = materialize(shifted.filter(F.col("_v").isNotNull()).join(small_side(placed.select(subject, "_at")), subject).groupBy("feature_id").agg(
+        F.collect_list(F.struct(F.col("_at").alias("_i"), "_v")).alias("_p")).select(F.col("_p._i").alias("i"), F.col("_p._v").alias("v")))
+    observed = np.zeros(n, dtype=bool)
+    observed[[r["_at"] for r in placed.filter(F.col(label) == 1).select("_at").toLocalIterator()]] = True
+    ones, keys = int(observed.sum()), permutation_keys(replicates, seed)
     step, out = max(1, _LABEL_CELLS // max(n, 1)), None
-    placed = materialize(grid.filter(F.col(label) == 1).join(place, subject).groupBy("rep").agg(F.collect_list("_i").alias("m")))
     for lo in range(0, replicates + 1, step):
-        members = {r["rep"]: r["m"] for r in placed.filter(F.col("rep").between(lo, lo + step - 1)).collect()}
         size = min(step, replicates + 1 - lo)
-        marks = np.zeros((n, size))
-        for rep, m in members.items():
-            marks[np.asarray(m, dtype=int), rep - lo] = 1.0
+        marks = (keyed_places(np.arange(n), keys[lo:lo + size], n) < ones).T.astype(float)
+        if lo == 0:
+            marks[:, 0] = observed
         shared = shifted.sparkSession.sparkContext.broadcast(marks)
 
         def norms(batches, lo=lo, size=size, shared=shared):
@@ -323,10 +450,8 @@ def proximity_test(termini: DataFrame, reference: DataFrame, bootstrap: int = 20
         F.percentile("effect", 0.025).alias("effect_low"), F.percentile("effect", 0.975).alias("effect_high"),
         F.percentile("d", 0.025).alias("d_low"), F.percentile("d", 0.975).alias("d_high"),
     )
-    grid = permutation_grid(dist.select(subject, label), permutations, seed + 1, subject, label)
-    gaps = grid.join(small_side(dist.select(subject, "value")), subject).groupBy("rep").agg(
-        (F.avg(F.when(F.col(label) == 1, F.col("value"))) - F.avg(F.when(F.col(label) == 0, F.col("value")))).alias("gap")
-    )
+    sums = label_sums(dist.withColumn("_one", F.array("value")), permutations, seed + 1, subject, label, "_one")
+    gaps = sums.select("rep", (F.col("one_sum")[0] / F.col("ones") - F.col("zero_sum")[0] / F.col("zeros")).alias("gap"))
     p = permutation_p(gaps, "gap", plus_one=True).select("p_value").scalar()
     row = base.select(
         F.col("n1").alias("n_label1"), F.col("n0").alias("n_label0"), F.col("m1").alias("mean_label1"),

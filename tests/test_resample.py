@@ -17,6 +17,44 @@ def test_permutations_keep_group_sizes_and_differ(spark):
     assert ordered.groupby("rep").label.apply(tuple).nunique() > 25
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 10, 50, 97, 100, 1000])
+def test_keyed_places_are_permutations(spark, n):
+    """Every replicate permutes all places, and the column form gives the same."""
+    keys = R.permutation_keys(20, 5)
+    places = R.keyed_places(np.arange(n), keys, n)
+    assert (np.sort(places, axis=1) == np.arange(n)).all()
+    if n in (1, 3, 97):
+        rows = spark.range(n).crossJoin(spark.range(1, 21).withColumnRenamed("id", "rep"))
+        out = rows.select("rep", "id", R.keyed_place(F.col("id"), F.col("rep"), n, 5).alias("to")).collect()
+        assert all(r.to == places[r.rep, r.id] for r in out)
+
+
+def test_keyed_places_are_even():
+    """Each subject comes to each place, and each pair to the same side, as often as chance has it."""
+    n, b = 12, 6000
+    places = R.keyed_places(np.arange(n), R.permutation_keys(b, 9)[1:], n)
+    counts = np.array([[np.sum(places[:, i] == j) for j in range(n)] for i in range(n)])
+    expected = b / n
+    assert ((counts - expected) ** 2 / expected).sum() < 121 + 5 * np.sqrt(2 * 121)
+    ones = places < 6
+    together = np.array([(ones[:, i] & ones[:, j]).mean() for i in range(n) for j in range(i)])
+    assert np.abs(together - 6 * 5 / (12 * 11)).max() < 5 * np.sqrt(0.25 / b)
+
+
+def test_label_sums_equal_the_grid(spark, rng, monkeypatch):
+    """With the labels of a few replicates at a time, against the rows of the grid."""
+    monkeypatch.setattr(R, "_LABEL_CELLS", 100)
+    x, g = rng.normal(size=(30, 4)), np.arange(30) % 3 == 0
+    frame = vectors(spark, x, label=g.astype(int))
+    grid = R.permutation_grid(frame.select("subject_id", "label"), 25).toPandas()
+    sums = {r.rep: r for r in R.label_sums(frame, 25).collect()}
+    assert len(sums) == 26
+    for rep, rows in grid.groupby("rep"):
+        ones = rows[rows.label == 1].subject_id.to_numpy()
+        assert sums[rep].ones == len(ones) == 10 and sums[rep].zeros == 20
+        assert np.allclose(sums[rep].one_sum, x[ones].sum(0)) and np.allclose(sums[rep].zero_sum, x.sum(0) - x[ones].sum(0))
+
+
 def test_draws_do_not_depend_on_partitioning(spark):
     s = spark.createDataFrame([(i, i % 2) for i in range(40)], "subject_id int, label int")
     a = R.bootstrap_counts(s, 10).toPandas().sort_values(["rep", "subject_id"]).reset_index(drop=True)
