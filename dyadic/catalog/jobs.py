@@ -316,7 +316,7 @@ def job_regulatory_enrichment(spark, d):
     targets = R.regions(spark, d).withColumn("chrom", F.concat(F.lit("chr"), "chrom"))
     results = e.select(F.col("event_id").alias("feature_id"), (F.col("user_id") % 4).alias("cell_type"),
                        R.hashed_p(F.lit("sig"), F.col("event_id")).alias("q_val"))
-    return rounded(enrichment.regulatory_enrichment(results, sites, sites, targets, fdr=0.3, bin_width=3600))
+    return rounded(enrichment.regulatory_enrichment(results, sites, sites, targets, fdr=0.3))
 
 
 @query("job_replication", f"""

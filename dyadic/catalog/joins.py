@@ -122,14 +122,14 @@ def cross_contrast_class(spark, d):
 WITH q AS ({R.SQL_SPOTS}), t AS ({R.SQL_REGIONS})
 SELECT DISTINCT feature_id, set_name FROM q JOIN t ON q.chrom = t.chrom AND t.start < q."end" AND t."end" > q.start""")
 def interval_semi_join(spark, d):
-    return enrichment.overlap_members(R.spots(spark, d), R.regions(spark, d), bin_width=3600)
+    return enrichment.overlap_members(R.spots(spark, d), R.regions(spark, d))
 
 
 @query("interval_semi_join_closed", f"""
 WITH q AS ({R.SQL_SPOTS}), t AS ({R.SQL_REGIONS})
 SELECT set_name, count(DISTINCT feature_id) AS n FROM q JOIN t ON q.chrom = t.chrom AND t.start <= q."end" AND t."end" >= q.start GROUP BY set_name""")
 def interval_semi_join_closed(spark, d):
-    hit = enrichment.overlap_members(R.spots(spark, d), R.regions(spark, d), closed=True, bin_width=600)
+    hit = enrichment.overlap_members(R.spots(spark, d), R.regions(spark, d), closed=True)
     return hit.groupBy("set_name").agg(F.count(F.lit(1)).alias("n"))
 
 

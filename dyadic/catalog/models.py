@@ -370,7 +370,7 @@ def hypergeom_enrichment(spark, d):
     results = table(spark, d, "events").select(
         F.col("event_id").alias("feature_id"), (F.col("user_id") % 4).alias("cell_type"), R.hashed_p(F.lit("sig"), F.col("event_id")).alias("q_val"))
     sites = R.spots(spark, d)
-    return rounded(enrichment.regulatory_enrichment(results, sites, sites, R.regions(spark, d), fdr=0.3, bin_width=3600))
+    return rounded(enrichment.regulatory_enrichment(results, sites, sites, R.regions(spark, d), fdr=0.3))
 
 
 @query("ora", f"""

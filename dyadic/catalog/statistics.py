@@ -302,6 +302,17 @@ def percentile_ci(spark, d):
     return rounded(ranking.percentile_ci(rows, ["g"], "l_extendedprice", {"p025": 0.025, "p05": 0.05, "p50": 0.5, "p975": 0.975, "p99": 0.99}))
 
 
+PERCENTILES = {"p0": 0.0, "p01": 0.01, "p33": 0.333, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+
+
+@query("percentile_bracket", f"""
+SELECT l_returnflag AS g, l_linestatus AS h, {', '.join(f"{sr6(f'quantile_cont(l_extendedprice, {v})')} AS {n}" for n, v in PERCENTILES.items())} FROM lineitem GROUP BY ALL""")
+def percentile_bracket(spark, d):
+    """By the way of groups too large for a task: sketched brackets, then the values inside them."""
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_linestatus").alias("h"), "l_extendedprice")
+    return rounded(ranking.percentile_ci(rows, ["g", "h"], "l_extendedprice", PERCENTILES, task_rows=0, sketch=500))
+
+
 @query("leaderboard_pivot", """
 WITH c AS (SELECT o_orderpriority AS metric, o_orderstatus AS arm, avg(o_totalprice) / 100000 AS v FROM orders GROUP BY ALL),
  t AS (SELECT metric, arm, concat('mean ', printf('%.3f', v), CASE WHEN v > 2.5 THEN ' | PASS' ELSE ' | FAIL' END) AS cell FROM c)

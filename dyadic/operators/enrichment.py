@@ -53,37 +53,74 @@ def merge_intervals(intervals: DataFrame, task_rows: int = TASK_ROWS) -> DataFra
     return islands.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
-def overlap_spots(
-    queries: DataFrame, targets: DataFrame, closed: bool = False, bin_width: int = 10_000, task_rows: int = TASK_ROWS
-) -> DataFrame:
-    """(chrom, start, end, set_name) of every distinct query place that meets a target interval of the set.
+def _nodes_of_interval(low: str, high: str, bits: int) -> Column:
+    """The fewest dyadic blocks (level, node) that make up the whole numbers from `low` up to, without, `high`.
 
-    Both sides are cut to fixed-width bins and joined on (chrom, bin). Equal query
-    places are joined once and targets are merged first, so the work per bin is
-    bounded by the bin width however many copies a place holds. `closed` counts
-    shared end points as overlap; the default is half-open.
+    A block of level k is `node * 2^k` to `(node + 1) * 2^k - 1`. At each level an interval has at most a block at either
+    end that is no half of a larger one inside it, so it has at most two per level, however long it is.
     """
-    spots = queries.select("chrom", "start", "end").distinct()
-    cover = merge_intervals(targets.select("set_name", "chrom", "start", "end"), task_rows)
+    first, last = f"shiftright({low} + shiftleft(1L, k) - 1L, k)", f"shiftright({high}, k)"
+    block = "if({first} < {last} and {node} % 2 = {odd}, struct(k as level, {node} as node), null)"
+    ends = ", ".join(block.format(first=first, last=last, node=node, odd=odd) for node, odd in ((first, 1), (f"({last} - 1L)", 0)))
+    return F.expr(f"filter(flatten(transform(sequence(0, {bits}), k -> array({ends}))), b -> b is not null)")
+
+
+def _nodes_of_point(at: str, levels: list[int]) -> Column:
+    """The blocks of the given levels that hold the whole number `at`."""
+    return F.array(*[F.struct(F.lit(k).alias("level"), F.expr(f"shiftright({at}, {k})").alias("node")) for k in levels])
 
-    def binned(df: DataFrame, last: Column) -> DataFrame:
-        low, high = F.floor(F.col("start") / bin_width), F.floor(last / bin_width)
-        return df.withColumn("_bin", F.explode(F.sequence(low, F.greatest(low, high))))
 
-    reach = F.col("end") if closed else F.col("end") - 1
-    q = binned(spots, reach)
-    t = binned(cover, reach).select("set_name", "chrom", F.col("start").alias("_ts"), F.col("end").alias("_te"), "_bin")
-    meets = ((F.col("_ts") <= F.col("end")) & (F.col("_te") >= F.col("start"))) if closed else (
-        (F.col("_ts") < F.col("end")) & (F.col("_te") > F.col("start")))
-    return q.join(t, ["chrom", "_bin"]).filter(meets).select("chrom", "start", "end", "set_name").distinct()
+def overlap_spots(queries: DataFrame, targets: DataFrame, closed: bool = False, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(chrom, start, end, set_name) of every distinct query place that meets a target interval of the set.
+
+    Two intervals meet if one holds the start of the other. Starts are looked up in intervals cut to dyadic blocks, by
+    equality of chromosome and block: an interval is at most two rows per level of a binary tree over the coordinates, a
+    start one row per level in use, so no row count depends on an interval's length and there is no width to choose. Equal
+    query places are joined once. Targets are merged to a disjoint cover first, so a start lies in one of a set at most, and
+    starts of a set in the same block count as one. `closed` counts shared end points as overlap; the default is half-open.
+    Coordinates are whole numbers; intervals that end before they start, and null coordinates, meet nothing.
+    """
+    whole = [F.col("start").cast("bigint").alias("_s"), F.col("end").cast("bigint").alias("_e")]
+    spots = materialize(queries.select("chrom", "start", "end").distinct().select("chrom", "start", "end", *whole).filter("_e >= _s"))
+    cover = materialize(merge_intervals(targets.select("set_name", "chrom", "start", "end"), task_rows).select("set_name", "chrom", *whole))
+    span = spots.select("_s", "_e").unionByName(cover.select("_s", "_e")).agg(F.min("_s"), F.max("_e")).first()
+    if span[0] is None:
+        return spots.select("chrom", "start", "end", F.lit(None).cast(targets.schema["set_name"].dataType).alias("set_name")).limit(0)
+    zero, extra = span[0], int(closed)
+    bits = max(1, (span[1] - zero + 2).bit_length())
+    spots = spots.withColumns({"_s": F.col("_s") - F.lit(zero), "_e": F.col("_e") - F.lit(zero) + extra})
+    cover = cover.withColumns({"_s": F.col("_s") - F.lit(zero), "_e": F.col("_e") - F.lit(zero) + extra})
+
+    def blocks(df: DataFrame) -> tuple[DataFrame, list[int]]:
+        cut = materialize(df.withColumn("_b", F.explode(_nodes_of_interval("_s", "_e", bits))).select(
+            *df.columns, F.col("_b.level").alias("_k"), F.col("_b.node").alias("_node")))
+        return cut, sorted(r[0] for r in cut.select("_k").distinct().collect())  # at most 64 levels
+
+    def starts(df: DataFrame, levels: list[int]) -> DataFrame:
+        return df.withColumn("_b", F.explode(_nodes_of_point("_s", levels))).select(
+            *df.columns, F.col("_b.level").alias("_k"), F.col("_b.node").alias("_node"))
+
+    out = []
+    cut, levels = blocks(cover)
+    if levels:
+        held = cut.select("set_name", "chrom", "_k", "_node", F.col("_s").alias("_ts"), F.col("_e").alias("_te"))
+        out.append(starts(spots, levels).join(held, ["chrom", "_k", "_node"]).filter("_ts < _e and _te > _s"))
+    cut, levels = blocks(spots)
+    if levels:
+        # The furthest end among a set's starts in a block says whether one of its targets reaches past the query's start.
+        far = starts(cover, levels).groupBy("set_name", "chrom", "_k", "_node").agg(F.max("_e").alias("_te"))
+        out.append(cut.join(far, ["chrom", "_k", "_node"]).filter("_te > _s"))
+    if not out:
+        return spots.join(cover.select("set_name").limit(0)).select("chrom", "start", "end", "set_name")
+    found = [df.select("chrom", "start", "end", "set_name") for df in out]
+    return (found[0] if len(found) == 1 else found[0].unionByName(found[1])).distinct()
 
 
 def overlap_members(
-    queries: DataFrame, targets: DataFrame, query_id: str = "feature_id", closed: bool = False, bin_width: int = 10_000,
-    task_rows: int = TASK_ROWS,
+    queries: DataFrame, targets: DataFrame, query_id: str = "feature_id", closed: bool = False, task_rows: int = TASK_ROWS,
 ) -> DataFrame:
     """(query_id, set_name) for every query interval that meets a target interval of the set."""
-    hit = overlap_spots(queries, targets, closed, bin_width, task_rows)
+    hit = overlap_spots(queries, targets, closed, task_rows)
     return queries.select(query_id, "chrom", "start", "end").join(hit, ["chrom", "start", "end"]).select(query_id, "set_name")
 
 
@@ -104,7 +141,7 @@ def hypergeom_table(counts: DataFrame, by: list[str] | None = None) -> DataFrame
 
 def regulatory_enrichment(
     results: DataFrame, positions: DataFrame, background: DataFrame, targets: DataFrame, fdr: float = 0.05,
-    closed: bool = False, bin_width: int = 10_000,
+    closed: bool = False,
 ) -> DataFrame:
     """Hypergeometric enrichment of each cell type's significant features in each interval set.
 
@@ -112,7 +149,7 @@ def regulatory_enrichment(
     """
     place = ["chrom", "start", "end"]
     places = positions.select(*place).unionByName(background.select(*place))
-    spots = materialize(overlap_spots(places, targets, closed, bin_width))
+    spots = materialize(overlap_spots(places, targets, closed))
     n_background = background.agg(F.count(F.lit(1))).scalar()
     sizes = background.groupBy(*place).agg(F.count(F.lit(1)).alias("_n")).join(spots, place).groupBy("set_name").agg(
         F.sum("_n").alias("n_feature"))

@@ -202,14 +202,50 @@ def pi1(df: DataFrame, by: list[str], p: str = "p_val", cut: float = 0.5) -> Dat
     )
 
 
-def percentile_ci(df: DataFrame, by: list[str], value: str, points: dict[str, float]) -> DataFrame:
-    """Exact interpolated percentiles; `points` maps an output name to a fraction."""
-    return df.groupBy(*by).agg(*[F.percentile(value, f).alias(name) for name, f in points.items()])
+# Inverse of the share of a group's rows by which a sketched rank may be off.
+SKETCH = 10_000
 
 
-def capped_weights(df: DataFrame, weight: str = "weight", fraction: float = 0.99) -> DataFrame:
-    """Cap weights at their interpolated percentile."""
-    cap = df.agg(F.percentile(weight, fraction)).scalar()
+def percentile_ci(df: DataFrame, by: list[str], value: str, points: dict[str, float], task_rows: int = TASK_ROWS,
+                  sketch: int = SKETCH) -> DataFrame:
+    """Exact interpolated percentiles; `points` maps an output name to a fraction.
+
+    Groups of up to `task_rows` rows are taken as they are. For larger ones a mergeable quantile sketch brackets each answer
+    first; a second pass counts what lies below a bracket and keeps only the distinct values inside it, some 4 in `sketch`
+    of the rows, so no task ever holds a group. Both ways give the same. Nulls are left out; a group of nulls has NULLs.
+    """
+    if largest_group(df, by) <= task_rows if by else df.count() <= task_rows:
+        return df.groupBy(*by).agg(*[F.percentile(value, f).alias(name) for name, f in points.items()])
+    rows, keys = _keyed(df.select(*by, F.col(value).cast("double").alias("_v")), by)
+    slack = 2.0 / sketch
+    edges = [edge for f in points.values() for edge in (max(f - slack, 0.0), min(f + slack, 1.0))]
+    ends = F.percentile_approx("_v", edges, sketch)
+    sizes = rows.groupBy(*keys).agg(F.count("_v").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), ends.alias("_e"))
+    brackets = materialize(sizes.select(*keys, "_n", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("point"), F.lit(float(f)).alias("f"),
+                 (F.col("_min") if f - slack <= 0 else F.col("_e")[2 * i]).alias("low"),
+                 (F.col("_max") if f + slack >= 1 else F.col("_e")[2 * i + 1]).alias("high"))
+        for i, f in enumerate(points.values())])).alias("_b")).select(*keys, "_n", "_b.*"))
+    inside = rows.filter("_v is not null").join(small_side(brackets), keys)
+    below = inside.filter("_v < low").groupBy(*keys, "point").agg(F.count(F.lit(1)).alias("_below"))
+    kept = materialize(inside.filter("_v between low and high").groupBy(*keys, "point", "_v").agg(F.count(F.lit(1)).alias("_k")))
+    order = ordered_prefix(kept, [*keys, "point"], "_v", {"_seen": ("count", "_k")}, task_rows=max(task_rows, 2))
+    ranked = order.join(small_side(brackets.join(below, [*keys, "point"], "left")), [*keys, "point"])
+    seen = F.col("_seen") + F.coalesce("_below", F.lit(0))
+    place = F.col("f") * (F.col("_n") - 1)
+    # The values that stand at the whole places on both sides of the fraction's place.
+    at = [F.min(F.when(seen > p, F.col("_v"))) for p in (F.floor(place), F.ceil(place))]
+    found = ranked.groupBy(*keys, "point").agg(at[0].alias("_a"), at[1].alias("_b"), F.first(place - F.floor(place)).alias("_w"))
+    exact = F.when(F.col("_b").isNull(), F.raise_error(F.lit("a percentile left its bracket")).cast("double")).otherwise(
+        F.col("_a") * (1 - F.col("_w")) + F.col("_b") * F.col("_w"))
+    wide = found.select(*keys, "point", exact.alias("_x")).groupBy(*keys).agg(
+        *[F.max(F.when(F.col("point") == i, F.col("_x"))).alias(name) for i, name in enumerate(points)])
+    return sizes.select(*keys).join(wide, keys, "left").select(*by, *points)
+
+
+def capped_weights(df: DataFrame, weight: str = "weight", fraction: float = 0.99, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Cap weights at their interpolated percentile, found as in `percentile_ci`."""
+    cap = percentile_ci(df.select(weight), [], weight, {"cap": fraction}, task_rows).scalar()
     return df.withColumn(weight, F.least(F.col(weight), cap))
 
 

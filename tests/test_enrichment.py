@@ -19,7 +19,7 @@ def test_overlap_against_brute_force(spark, rng, closed, task_rows):
     q.loc[60:, ["chrom", "start", "end"]] = ["x", 1500, 1501]  # half of the queries share one place
     t = boxes(rng, 60, 200).assign(set_name=rng.choice(["u", "v"], 60))
     got = {(r.feature_id, r.set_name) for r in E.overlap_members(
-        spark.createDataFrame(q), spark.createDataFrame(t), closed=closed, bin_width=100, task_rows=task_rows).collect()}
+        spark.createDataFrame(q), spark.createDataFrame(t), closed=closed, task_rows=task_rows).collect()}
     want = set()
     for a in q.itertuples():
         for b in t.itertuples():
@@ -29,6 +29,43 @@ def test_overlap_against_brute_force(spark, rng, closed, task_rows):
     assert got == want
 
 
+@pytest.mark.parametrize("closed", [False, True])
+def test_overlap_of_very_long_and_odd_intervals(spark, rng, closed):
+    """Whole chromosomes on either side, negative coordinates, intervals that are empty, reversed or null."""
+    low, high = -(10**9), 2 * 10**12
+    q = [(0, "x", low, high), (1, "x", 5, 5), (2, "x", 7, 3), (3, "x", None, 4), (4, "y", 10**6, 10**6 + 1), (5, None, 1, 2), (6, "x", high - 1, high)]
+    q += [(i, "x", int(s), int(s) + int(n)) for i, (s, n) in enumerate(zip(rng.integers(-500, 500, 40), rng.integers(1, 300, 40)), 10)]
+    t = [("u", "x", low, high), ("v", "y", low, high), ("w", "x", 40, 90), ("w", "x", 200, 201), ("z", "x", 100, 100), ("z", "x", 9, 2), ("n", "x", None, 7)]
+    t += [("m", "x", int(s), int(s) + 3) for s in rng.integers(-500, 500, 30)]
+    got = {(r.feature_id, r.set_name) for r in E.overlap_members(
+        spark.createDataFrame(q, "feature_id int, chrom string, start long, end long"),
+        spark.createDataFrame(t, "set_name string, chrom string, start long, end long"), closed=closed).collect()}
+    want = set()
+    for i, c, s, e in q:
+        for name, chrom, a, b in t:
+            if None not in (c, s, e, a, b) and c == chrom and s <= e and a <= b and ((a <= e and b >= s) if closed else (a < e and b > s)):
+                want.add((i, name))
+    assert got == want
+
+
+def test_an_interval_is_few_blocks(spark, rng):
+    """Blocks tile the interval, at most two a level, whatever its length."""
+    ends = [(0, 1), (0, 2**40), (1, 2**40 - 1), (5, 5)] + [tuple(sorted(map(int, rng.integers(0, 4000, 2)))) for _ in range(60)]
+    rows = spark.createDataFrame(ends, "a long, b long").select("a", "b", E._nodes_of_interval("a", "b", 41).alias("n")).collect()
+    for r in rows:
+        assert len(r.n) <= 2 * 41 and sum(2**b.level for b in r.n) == r.b - r.a
+        if r.b < 5000:
+            assert sorted(x for b in r.n for x in range(b.node << b.level, (b.node + 1) << b.level)) == list(range(r.a, r.b))
+    assert max(len(r.n) for r in rows if r.b >= 2**39) <= 80
+
+
+def test_no_overlap_of_nothing(spark):
+    q = spark.createDataFrame([(1, "x", 1, 9)], "feature_id int, chrom string, start long, end long")
+    t = spark.createDataFrame([("u", "x", 2, 3)], "set_name string, chrom string, start long, end long")
+    for a, b in ((q, t.limit(0)), (q.limit(0), t), (q.limit(0), t.limit(0))):
+        assert E.overlap_members(a, b).collect() == []
+
+
 def test_merged_intervals_are_disjoint(spark, rng):
     t = boxes(rng, 80, 150).assign(set_name="u")
     merged = E.merge_intervals(spark.createDataFrame(t), task_rows=12).toPandas().sort_values(["chrom", "start"])
@@ -46,7 +83,7 @@ def test_regulatory_enrichment_counts(spark):
     sites = spark.createDataFrame(places)
     targets = spark.createDataFrame([("hit", "chr1", 0, 450), ("none", "chr2", 0, 9)], "set_name string, chrom string, start long, end long")
     results = spark.createDataFrame([("Mono", i, 0.01 if i < 4 else 0.9) for i in range(20)], "cell_type string, feature_id long, q_val double")
-    got = {r.set_name: r for r in E.regulatory_enrichment(results, sites, sites, targets, bin_width=64).collect()}
+    got = {r.set_name: r for r in E.regulatory_enrichment(results, sites, sites, targets).collect()}
     assert (got["hit"].n_sig, got["hit"].n_feature, got["hit"].observed, got["hit"].n_background) == (4, 5, 4, 20)
     assert got["hit"].p_val == pytest.approx(5 / 4845) and got["hit"].enrichment == pytest.approx(4.0)
     assert got["none"].p_val is None and got["none"].q_val == 1.0

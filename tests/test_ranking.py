@@ -99,3 +99,30 @@ def test_leaderboard_shape(spark):
     cells = spark.createDataFrame([("m2", "B", "x"), ("m1", "A", "y")], "metric string, arm string, cell string")
     got = K.leaderboard(cells, ["A", "B"], ["m1", "m2"]).orderBy("position").toPandas()
     assert list(got.metric) == ["m1", "m2"] and list(got.A) == ["y", "n/a"]
+
+
+@pytest.mark.parametrize("shape", ["normal", "tied", "one", "heavy"])
+def test_bracketed_percentiles_are_exact(spark, rng, shape):
+    """Sketch, bracket and count against numpy, for distinct, tied and single values; nulls are left out."""
+
+    n = {"one": 1}.get(shape, 4000)
+    x = {"normal": rng.normal(size=n), "tied": np.round(rng.normal(size=n)), "one": np.array([3.5]),
+         "heavy": np.where(rng.random(n) < 0.9, 7.0, rng.normal(size=n) * 100)}[shape]
+    frame = pd.DataFrame({"g": np.arange(n) % 2, "v": x})
+    rows = spark.createDataFrame(frame).unionByName(spark.sql("select 0L as g, cast(null as double) as v union all select 9L, null")).repartition(5)
+    points = {"a": 0.0, "b": 0.025, "c": 0.5, "d": 0.777, "e": 1.0}
+    for by in (["g"], []):
+        out = K.percentile_ci(rows, by, "v", points, task_rows=0, sketch=100).collect()
+        for r in out:
+            own = frame.v if not by else frame.v[frame.g == r.g]
+            if len(own) == 0:
+                assert all(r[k] is None for k in points)
+            else:
+                assert [r[k] for k in points] == pytest.approx(list(np.quantile(own, list(points.values()))), abs=1e-12)
+        assert len(out) == (1 if not by else len(set(frame.g) | {0, 9}))
+
+
+def test_weights_capped_either_way(spark, rng):
+    rows = spark.createDataFrame([(float(v),) for v in rng.exponential(size=500)], "weight double")
+    a, b = (sorted(r.weight for r in K.capped_weights(rows, task_rows=t).collect()) for t in (10**6, 0))
+    assert a == pytest.approx(b, abs=1e-12)
