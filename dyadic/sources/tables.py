@@ -123,10 +123,30 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
         raise ValueError(f"unknown table format {fmt}")
 
 
+def table_digest(df: DataFrame) -> DataFrame:
+    """Digest of a table's rows and columns as one row (n_rows, low, high, columns), whatever the order of either.
+
+    A row's values, in the order of their column names and each with its length, are hashed by md5; the digest sums two
+    48-bit pieces of it, so repeated and missing rows show and any SQL engine can repeat it. One partially aggregated pass.
+    """
+    names = sorted(df.columns)
+    cells = [F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("")) for n in names]
+    sizes = [F.when(F.col(f"`{n}`").isNull(), F.lit("-")).otherwise(F.length(c).cast("string")) for n, c in zip(names, cells)]
+    row = F.md5(F.concat(*[x for size, cell in zip(sizes, cells) for x in (size, F.lit(":"), cell, F.lit(";"))]))
+    part = [F.coalesce(F.sum(F.conv(F.substring(row, at, 12), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string") for at in (1, 13)]
+    kinds = ",".join(f"{n} {t}" for n, t in sorted(df.dtypes))
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), part[0].alias("low"), part[1].alias("high")).withColumn("columns", F.lit(kinds))
+
+
+def _digest_text(df: DataFrame) -> str:
+    return "|".join(str(v) for v in table_digest(df).first())
+
+
 def stamp_provenance(spark: SparkSession, path: str, cv_loop_safe: bool, selection_stage: str) -> None:
-    """Write the one-row provenance table beside a feature table."""
+    """Write the one-row provenance table beside a feature table that is there already; it holds the table's digest."""
     spark.range(1).select(
-        F.lit(cv_loop_safe).alias("cv_loop_safe"), F.lit(selection_stage).alias("selection_stage")
+        F.lit(cv_loop_safe).alias("cv_loop_safe"), F.lit(selection_stage).alias("selection_stage"),
+        F.lit(_digest_text(spark.read.parquet(path))).alias("digest"),
     ).coalesce(1).write.mode("overwrite").json(path.rstrip("/") + PROVENANCE_SUFFIX)
 
 
@@ -150,9 +170,16 @@ def check_provenance(spark: SparkSession, path: str) -> dict:
 
 
 def guarded_read(spark: SparkSession, path: str) -> DataFrame:
-    """Read a feature table for modelling; refuses unsafe, unstamped or empty ones."""
-    check_provenance(spark, path)
-    return _non_empty(spark.read.parquet(path), path)
+    """Read a feature table for modelling; refuses unsafe, unstamped, changed or empty ones.
+
+    The stamp belongs to the table only if its digest is that of the rows read, so a changed, cut or swapped table is
+    refused, and so is a stamp without a digest.
+    """
+    stamp = check_provenance(spark, path)
+    rows = _non_empty(spark.read.parquet(path), path)
+    if stamp.get("digest") != _digest_text(rows):
+        raise PermissionError(f"{path} is not the table that its provenance was written for")
+    return rows
 
 
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:

@@ -139,3 +139,26 @@ def test_finite_and_balance_guards(spark):
 def test_sample_table_needs_its_columns(spark):
     with pytest.raises(ValueError, match="Visit"):
         tables.canonical_samples(spark.createDataFrame([("a",)], "Subcode string"))
+
+
+def test_stamp_belongs_to_its_table(spark, tmp_path):
+    """A changed value, a missing, a repeated and an added row, another column name or type and a swapped table are refused."""
+    path = str(tmp_path / "t")
+    base = [(1, "a", 0.5), (2, None, 1.5), (3, "", None)]
+    schema = "i int, s string, v double"
+    spark.createDataFrame(base, schema).write.parquet(path)
+    tables.stamp_provenance(spark, path, True, "training folds")
+    assert tables.guarded_read(spark, path).count() == 3
+    spark.createDataFrame(base[::-1], schema).repartition(3).select("v", "i", "s").write.mode("overwrite").parquet(path)
+    assert tables.guarded_read(spark, path).count() == 3
+    others = [base[:2], base + base[:1], base + [(4, "d", 2.0)], [(1, "a", 0.5), (2, None, 1.25), (3, "", None)],
+              [(1, "a", 0.5), (2, "", 1.5), (3, None, None)], [(1, "a", 0.5), (2, "", None), (3, None, 1.5)]]
+    frames = [spark.createDataFrame(rows, schema) for rows in others]
+    frames += [spark.createDataFrame(base, schema.replace("v ", "w ")), spark.createDataFrame(base, schema.replace("int", "long"))]
+    for frame in frames:
+        frame.write.mode("overwrite").parquet(path)
+        with pytest.raises(PermissionError, match="not the table"):
+            tables.guarded_read(spark, path)
+    spark.range(1).selectExpr("true as cv_loop_safe", "'x' as selection_stage").write.mode("overwrite").json(path + tables.PROVENANCE_SUFFIX)
+    with pytest.raises(PermissionError, match="not the table"):
+        tables.guarded_read(spark, path)
