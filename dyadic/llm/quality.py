@@ -14,9 +14,11 @@ from pyspark.sql import types as T
 from dyadic.llm.common import matches
 from dyadic.session import materialize
 
-# Share of the pooled covariance, and of its mean variance on the diagonal, in each class covariance.
-POOLED = 0.1
-RIDGE = 0.05
+# Candidates for the share of the pooled covariance, and of its mean variance on the diagonal, in each class covariance; one
+# pair is chosen by cross-validation over so many parts of the rows that teach.
+POOLED = (0.02, 0.1, 0.3)
+RIDGE = (0.01, 0.05, 0.2)
+PARTS = 4
 FOLDS = 3
 HELD_OUT = 1
 _BLANK = np.zeros(256, bool)
@@ -86,28 +88,33 @@ class Discriminant:
         return 1.0 / (1.0 + np.exp(np.clip(log[0] - log[1], -700, 700)))
 
 
-def fit(labelled: DataFrame, pooled: float = POOLED, ridge: float = RIDGE) -> Discriminant:
-    """Discriminant of `labelled` (x, label 0/1) from one aggregate: counts, sums and products per class.
+def _moments(labelled: DataFrame) -> dict[tuple[int, int], tuple[int, np.ndarray, np.ndarray]]:
+    """Count, sum and sum of products of `x` per (part, label), from one aggregate of `labelled` (x, label, part)."""
+    p = len(FEATURES)
+    lower = np.tril_indices(p)
+    sums = [F.count("*").alias("n")] + [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(p)]
+    sums += [F.sum(F.col("x")[int(i)] * F.col("x")[int(j)]).alias(f"c{i}_{j}") for i, j in zip(*lower)]
+    out = {}
+    for r in labelled.groupBy("part", "label").agg(*sums).collect():
+        c = np.zeros((p, p))
+        c[lower] = [r[f"c{i}_{j}"] for i, j in zip(*lower)]
+        out[int(r["part"]), int(r["label"])] = (r["n"], np.array([r[f"s{i}"] for i in range(p)]), c + np.tril(c, -1).T)
+    return out
+
+
+def _discriminant(moments: dict, left_out: int | None, pooled: float, ridge: float) -> Discriminant:
+    """Discriminant of all parts but one.
 
     A class covariance S becomes (1 - pooled) S + pooled P, P being the pooled covariance, plus `ridge` times its mean
     variance on the diagonal. If a class has no rows, every score is the share of class 1 (one half without any rows).
     """
     p = len(FEATURES)
-    lower = np.tril_indices(p)
-    sums = [F.count("*").alias("n")] + [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(p)]
-    sums += [F.sum(F.col("x")[int(i)] * F.col("x")[int(j)]).alias(f"c{i}_{j}") for i, j in zip(*lower)]
-    got = {int(r["label"]): r for r in labelled.groupBy("label").agg(*sums).collect()}
-    counts = [got[k]["n"] if k in got else 0 for k in (0, 1)]
+    own = {k: [m for (part, label), m in moments.items() if label == k and part != left_out] for k in (0, 1)}
+    counts = [sum(m[0] for m in own[k]) for k in (0, 1)]
     if min(counts) == 0:
-        return Discriminant((counts[1] + 0.5) / (sum(counts) + 1) if sum(counts) == 0 else counts[1] / sum(counts))
-    means, scatter = [], []
-    for k in (0, 1):
-        m = np.array([got[k][f"s{i}"] for i in range(p)]) / counts[k]
-        c = np.zeros((p, p))
-        c[lower] = [got[k][f"c{i}_{j}"] / counts[k] for i, j in zip(*lower)]
-        c = c + np.tril(c, -1).T - np.outer(m, m)
-        means.append(m)
-        scatter.append(c)
+        return Discriminant(0.5 if sum(counts) == 0 else counts[1] / sum(counts))
+    means = [sum(m[1] for m in own[k]) / counts[k] for k in (0, 1)]
+    scatter = [sum(m[2] for m in own[k]) / counts[k] - np.outer(means[k], means[k]) for k in (0, 1)]
     common = (counts[0] * scatter[0] + counts[1] * scatter[1]) / sum(counts)
     roots, constants = [], []
     for k in (0, 1):
@@ -119,18 +126,47 @@ def fit(labelled: DataFrame, pooled: float = POOLED, ridge: float = RIDGE) -> Di
     return Discriminant(counts[1] / sum(counts), tuple(means), tuple(roots), tuple(constants))
 
 
+def fit(labelled: DataFrame, pooled: tuple[float, ...] = POOLED, ridge: tuple[float, ...] = RIDGE) -> tuple[Discriminant, tuple[float, float]]:
+    """Discriminant of `labelled` (doc_id, x, label 0/1), and its settings (pooled, ridge).
+
+    The rows are dealt into parts by the hash of their id. Counts, sums and products per part and class come from one
+    aggregate, and the discriminant of all parts but one from their differences. Each pair of settings is judged by the
+    errors of these on the parts left out, then by their log loss; nothing but the rows given decides.
+    """
+    rows = materialize(labelled.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")).select("x", "label", "part"))
+    moments = _moments(rows)
+    settings = [(a, b) for a in pooled for b in ridge]
+    models = [[_discriminant(moments, part, *pair) for part in range(PARTS)] for pair in settings]
+
+    @F.pandas_udf("array<double>")
+    def losses(x: pd.Series, label: pd.Series, part: pd.Series) -> pd.Series:
+        out = np.zeros((len(x), 2 * len(settings)))
+        if len(x):
+            rows_, y, at = np.stack(x.to_numpy()), label.to_numpy(), part.to_numpy()
+            for i, own in enumerate(models):
+                for k in np.unique(at):
+                    score = own[k].score(rows_[at == k])
+                    out[at == k, i] = (score >= 0.5) != (y[at == k] == 1)
+                    out[at == k, len(settings) + i] = -np.log(np.clip(np.where(y[at == k] == 1, score, 1 - score), 1e-12, 1))
+        return pd.Series(list(out))
+
+    judged = rows.select(losses("x", "label", "part").alias("l")).agg(*[F.sum(F.col("l")[i]) for i in range(2 * len(settings))]).first()
+    best = min(range(len(settings)), key=lambda i: (judged[i] or 0, round(judged[len(settings) + i] or 0, 6), i))
+    return _discriminant(moments, None, *settings[best]), settings[best]
+
+
 def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text_hash, held_out, score, predicted) of every row of `docs` (doc_id, text).
 
     The discriminant learns from all rows with a `quality` label (labels: doc_id, quality) whose id falls in no held-out
-    fold; nothing but statistics of the text enters a score. An id with several labels counts with each of them, repeated
+    fold, and its settings are chosen among these rows too; nothing but statistics of the text enters a score. An id with several labels counts with each of them, repeated
     label rows once. Null ids and labels other than 0 and 1 teach nothing. Null and empty texts are scored as empty.
     Repeated rows stay. An empty table gives an empty result. Other columns are not read.
     """
     stats = materialize(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _statistics("text").alias("x")))
     known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter("label in (0, 1)").distinct()
     known = known.filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    model = fit(stats.join(known, "doc_id").select("x", "label"))
+    model, _ = fit(stats.join(known, "doc_id").select("doc_id", "x", "label"))
 
     @F.pandas_udf(T.DoubleType())
     def score(x: pd.Series) -> pd.Series:

@@ -64,6 +64,48 @@ def test_held_out_accuracy(spark, documents, words, rnd):
     assert by_id[9002] == 1 and by_id[9000] == by_id[9001] == by_id[9003] == by_id[None] == 0
 
 
+def test_machine_is_at_its_optimum(rnd):
+    """The gradient of the penalised squared hinge loss is zero."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 6))
+    y = (x @ rng.normal(size=6) + rng.normal(size=300) > 1).astype(int)
+    for cost in toxicity.COSTS:
+        w, b = toxicity.fit_svm(x, y, cost)
+        s = np.where(y > 0, 1.0, -1.0)
+        c = cost * np.where(y > 0, 0.5 / (y > 0).mean(), 0.5 / (y <= 0).mean())
+        slack = np.maximum(1 - s * (x @ w + b), 0)
+        assert np.abs(w - x.T @ (c * s * slack)).max() < 1e-8 * len(y)
+        assert abs(1e-6 * b - (c * s * slack).sum()) < 1e-8 * len(y)
+
+
+def test_features_give_the_kernel_back():
+    """Products of the landmarks' features are their similarities; the floor of small eigenvalues is not reached here."""
+    side = toxicity.Landmarks(["snargle", "blockhead", "worthless", "dimwit"])
+    r, c, k = side.similarities(side.words)
+    gram = np.zeros((4, 4))
+    gram[r, c] = k
+    made = gram @ toxicity.nystroem(side)
+    assert np.allclose(made @ made.T, (gram + gram.T) / 2, atol=1e-6)
+
+
+def test_cost_is_chosen_on_parts_left_out():
+    """Of two costs the one with fewer errors on rows not fitted, whatever the held-out fold holds; ties take the first."""
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.normal(size=200), rng.normal(size=(200, 60))])
+    y, part = (x[:, 0] + 0.3 * rng.normal(size=200) > 0).astype(int), np.arange(200) % 3
+
+    def errors(cost):
+        wrong = np.zeros(200, bool)
+        for k in range(3):
+            w, b = toxicity.fit_svm(x[part != k], y[part != k], cost)
+            wrong[part == k] = (x[part == k] @ w + b > 0) != y[part == k]
+        return wrong[y == 0].mean() + wrong[y == 1].mean()
+
+    costs = (10.0, 1e-3, 0.05)
+    assert toxicity.choose_cost(x, y, part, costs) == min(costs, key=errors)
+    assert toxicity.choose_cost(x, y, part, (0.1, 0.1)) == 0.1
+
+
 def test_one_class_none_and_held_out_labels(spark, documents, words, rnd):
     rows, labels = corpus(rnd, words, 120)
     none = spark.createDataFrame([], SCHEMA)
