@@ -53,19 +53,19 @@ def merge_intervals(intervals: DataFrame, task_rows: int = TASK_ROWS) -> DataFra
     return islands.groupBy(*keys, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
-def _nodes_of_interval(low: str, high: str, bits: int) -> Column:
+def _nodes_of_interval(low: str, high: str, top: int) -> Column:
     """The fewest dyadic blocks (level, node) that make up the whole numbers from `low` up to, without, `high`.
 
-    A block of level k is `node * 2^k` to `(node + 1) * 2^k - 1`. At each level an interval has at most a block at either
+    A block of level k, up to `top`, is `node * 2^k` to `(node + 1) * 2^k - 1`. At each level an interval has at most a block at either
     end that is no half of a larger one inside it, so it has at most two per level, however long it is.
     """
     first, last = f"shiftright({low} + shiftleft(1L, k) - 1L, k)", f"shiftright({high}, k)"
     block = "if({first} < {last} and {node} % 2 = {odd}, struct(k as level, {node} as node), null)"
     ends = ", ".join(block.format(first=first, last=last, node=node, odd=odd) for node, odd in ((first, 1), (f"({last} - 1L)", 0)))
-    return F.expr(f"filter(flatten(transform(sequence(0, {bits}), k -> array({ends}))), b -> b is not null)")
+    return F.expr(f"filter(flatten(transform(sequence(0, {top}), k -> array({ends}))), b -> b is not null)")
 
 
-def _nodes_of_point(at: str, levels: list[int]) -> Column:
+def _nodes_of_point(at: str, levels: range) -> Column:
     """The blocks of the given levels that hold the whole number `at`."""
     return F.array(*[F.struct(F.lit(k).alias("level"), F.expr(f"shiftright({at}, {k})").alias("node")) for k in levels])
 
@@ -83,37 +83,30 @@ def overlap_spots(queries: DataFrame, targets: DataFrame, closed: bool = False,
     whole = [F.col("start").cast("bigint").alias("_s"), F.col("end").cast("bigint").alias("_e")]
     spots = materialize(queries.select("chrom", "start", "end").distinct().select("chrom", "start", "end", *whole).filter("_e >= _s"))
     cover = materialize(merge_intervals(targets.select("set_name", "chrom", "start", "end"), task_rows).select("set_name", "chrom", *whole))
-    span = spots.select("_s", "_e").unionByName(cover.select("_s", "_e")).agg(F.min("_s"), F.max("_e")).first()
-    if span[0] is None:
+    length = F.max(F.col("_e") - F.col("_s"))
+    (first, wide), (low, broad) = (df.agg(F.min("_s"), length).first() for df in (spots, cover))
+    if first is None or low is None:
         return spots.select("chrom", "start", "end", F.lit(None).cast(targets.schema["set_name"].dataType).alias("set_name")).limit(0)
-    zero, extra = span[0], int(closed)
-    bits = max(1, (span[1] - zero + 2).bit_length())
-    spots = spots.withColumns({"_s": F.col("_s") - F.lit(zero), "_e": F.col("_e") - F.lit(zero) + extra})
-    cover = cover.withColumns({"_s": F.col("_s") - F.lit(zero), "_e": F.col("_e") - F.lit(zero) + extra})
-
-    def blocks(df: DataFrame) -> tuple[DataFrame, list[int]]:
-        cut = materialize(df.withColumn("_b", F.explode(_nodes_of_interval("_s", "_e", bits))).select(
-            *df.columns, F.col("_b.level").alias("_k"), F.col("_b.node").alias("_node")))
-        return cut, sorted(r[0] for r in cut.select("_k").distinct().collect())  # at most 64 levels
-
-    def starts(df: DataFrame, levels: list[int]) -> DataFrame:
-        return df.withColumn("_b", F.explode(_nodes_of_point("_s", levels))).select(
+    zero, extra = min(first, low), int(closed)
+    spots, cover = (df.withColumns({"_s": F.col("_s") - F.lit(zero), "_e": F.col("_e") - F.lit(zero) + extra}) for df in (spots, cover))
+
+    def blocks(df: DataFrame, top: int) -> DataFrame:
+        return df.withColumn("_b", F.explode(_nodes_of_interval("_s", "_e", top))).select(
+            *df.columns, F.col("_b.level").alias("_k"), F.col("_b.node").alias("_node"))
+
+    def starts(df: DataFrame, top: int) -> DataFrame:
+        return df.withColumn("_b", F.explode(_nodes_of_point("_s", range(top + 1)))).select(
             *df.columns, F.col("_b.level").alias("_k"), F.col("_b.node").alias("_node"))
 
-    out = []
-    cut, levels = blocks(cover)
-    if levels:
-        held = cut.select("set_name", "chrom", "_k", "_node", F.col("_s").alias("_ts"), F.col("_e").alias("_te"))
-        out.append(starts(spots, levels).join(held, ["chrom", "_k", "_node"]).filter("_ts < _e and _te > _s"))
-    cut, levels = blocks(spots)
-    if levels:
-        # The furthest end among a set's starts in a block says whether one of its targets reaches past the query's start.
-        far = starts(cover, levels).groupBy("set_name", "chrom", "_k", "_node").agg(F.max("_e").alias("_te"))
-        out.append(cut.join(far, ["chrom", "_k", "_node"]).filter("_te > _s"))
-    if not out:
-        return spots.join(cover.select("set_name").limit(0)).select("chrom", "start", "end", "set_name")
-    found = [df.select("chrom", "start", "end", "set_name") for df in out]
-    return (found[0] if len(found) == 1 else found[0].unionByName(found[1])).distinct()
+    # No block is longer than the longest interval, so a start has a row for each level up to that.
+    broad, wide = (max(n + extra, 1).bit_length() - 1 for n in (broad, wide))
+    held = blocks(cover, broad).select("set_name", "chrom", "_k", "_node", F.col("_s").alias("_ts"), F.col("_e").alias("_te"))
+    inside = starts(spots, broad).join(small_side(held), ["chrom", "_k", "_node"]).filter("_ts < _e and _te > _s")
+    # The furthest end among a set's starts in a block says whether one of its targets reaches past the query's start.
+    far = starts(cover, wide).groupBy("set_name", "chrom", "_k", "_node").agg(F.max("_e").alias("_te"))
+    around = blocks(spots, wide).join(small_side(far), ["chrom", "_k", "_node"]).filter("_te > _s")
+    where = ["chrom", "start", "end", "set_name"]
+    return inside.select(*where).unionByName(around.select(*where)).distinct()
 
 
 def overlap_members(
