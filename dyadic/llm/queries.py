@@ -14,14 +14,6 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By the rule of its SQL twin, which leaves runs of one or two lines below 50 words."""
-    words = linededup.RUN_WORDS
-    made = linededup.drop_repeated_lines(table(spark, sf_dir, "documents"), run_words=words, line_words=words)
-    return made.select("doc_id", "text", "n_lines", "n_removed")
-
-
-def op2_line_dedup_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With short runs, as the pipeline's stage; pytest holds it against brute force."""
     return linededup.drop_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
@@ -78,7 +70,6 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_line_dedup": op2_line_dedup,
-    "op2_line_dedup_short": op2_line_dedup_short,
     "op3_warc_derivatives": op3_warc_derivatives,
     "op4_top_k": op4_top_k,
     "op5_simhash": op5_simhash,
