@@ -2,7 +2,7 @@ import itertools
 import re
 
 from dyadic.llm import decontaminate
-from dyadic.llm.decontaminate import EDITS, MASKS, OVERLAP
+from dyadic.llm.decontaminate import EDITS, LOOSE, MASKS, OVERLAP, SHORT
 
 
 def tokens(text):
@@ -15,13 +15,15 @@ def brute(docs, items):
         t, hit = tokens(text), {}
         for item, passage in items:
             b = tokens(passage)
-            for i in range(len(t) - OVERLAP + 1):
-                for j in range(len(b) - OVERLAP + 1):
-                    if sum(t[i + k] == b[j + k] for k in range(OVERLAP)) >= OVERLAP - EDITS:
-                        hit[i] = min(hit.get(i, item), item)
+            size = min(len(b), OVERLAP)
+            edits = EDITS if size == OVERLAP else 1 if size >= LOOSE else 0
+            for i in range(len(t) - size + 1) if size >= SHORT else ():
+                for j in range(len(b) - size + 1):
+                    if sum(t[i + k] == b[j + k] for k in range(size)) >= size - edits:
+                        hit[i, i + size] = min(hit.get((i, i + size), item), item)
         if hit:
-            covered = {p for i in hit for p in range(i, i + OVERLAP)}
-            out[d, text] = (min(hit.values()), min(hit), max(hit) + OVERLAP - 1, len(covered))
+            covered = {p for i, e in hit for p in range(i, e)}
+            out[d, text] = (min(hit.values()), min(hit)[0], max(e for _, e in hit) - 1, len(covered))
     return out
 
 
@@ -33,6 +35,7 @@ def test_masks_survive_any_edits():
 def test_equals_brute_force(spark, documents, words, rnd, monkeypatch):
     few = words[:12]
     items = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(14, 40)))) for i in range(20)]
+    items += [(30 + n, " ".join(words[20 + n + k] for k in range(n))) for n in range(4, OVERLAP)]
     items += [(20, items[3][1]), (21, "too short to count"), (22, None), (23, ""), (24, " ".join(rnd.choice(few) for _ in range(30)))]
     docs = []
     for i in range(120):
@@ -47,6 +50,11 @@ def test_equals_brute_force(spark, documents, words, rnd, monkeypatch):
     docs += [(500, None), (501, ""), (None, items[0][1]), docs[1], (1, docs[3][1]), (502, " ".join(tokens(items[5][1])[:OVERLAP]))]
     long = [rnd.choice(words) for _ in range(9000)]
     docs.append((503, " ".join(long[:4090] + tokens(items[6][1]) + long[4090:])))
+    for i in range(60):
+        part = tokens(items[20 + i % (OVERLAP - 4)][1])
+        for _ in range(i % 3):
+            part[rnd.randrange(len(part))] = "changed"
+        docs.append((600 + i, " ".join([*(rnd.choice(few) for _ in range(rnd.randint(0, 3))), *part, rnd.choice(few)])))
     want = brute(docs, [(i, t) for i, t in items if t])
     bench = spark.createDataFrame([(i, t, "k", 1) for i, t in items], "item_id long, text string, key string, toks int")
 
@@ -61,6 +69,24 @@ def test_equals_brute_force(spark, documents, words, rnd, monkeypatch):
     before = run()
     monkeypatch.setattr(decontaminate, "SEED_ROWS", 0)
     assert run() == before
+    seeds = decontaminate.benchmark_seeds(bench)
+    assert sum(r.len < OVERLAP for r in seeds.collect()) >= 7
+
+
+def test_no_tokens_in_the_exchange(spark, documents, monkeypatch, capsys):
+    """On the shuffled way the join by key sees positions only; tokens come back for stretches that were hit."""
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o p")], "item_id long, text string")
+    joined = []
+    monkeypatch.setattr(decontaminate, "materialize", lambda df: (joined.append(df), df)[1])
+    parts = decontaminate.stretches(documents([(1, "a b c d e f g h i j k l m n o p"), (2, "x y z " * 9)]), OVERLAP)
+    got = decontaminate.shuffled_hits(parts, decontaminate.benchmark_seeds(bench), MASKS)
+    assert {r.doc_id for r in got.collect()} == {1}
+    assert "toks" not in joined[0].columns
+    capsys.readouterr()
+    joined[0].explain("formatted")
+    plan = capsys.readouterr().out
+    shuffles = [b for b in plan.split("\n\n") if "Exchange" in b.split("\n")[0] and "key#" in b and "salt#" in b]
+    assert shuffles and all("toks" not in b for b in shuffles)
 
 
 def test_empty_tables(spark, documents):
