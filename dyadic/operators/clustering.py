@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dyadic.operators.moments import vector_width
 from dyadic.operators.multivariate import adjusted_rand
-from dyadic.operators.resample import bootstrap_counts, draw
+from dyadic.operators.resample import bootstrap_counts
 from dyadic.operators.ranking import top_n
 from dyadic.session import collect_bounded, materialize
 
@@ -27,6 +28,13 @@ class Mixture:
     mean: np.ndarray  # M x K x d
     var: np.ndarray  # M x K x d
 
+    def gaps(self, x: np.ndarray) -> np.ndarray:
+        """Squared distances to the means, rows x M x K; infinite for unused components."""
+        m, k, d = self.mean.shape
+        mu = self.mean.reshape(m * k, d)
+        square = (x**2).sum(axis=1)[:, None] - 2.0 * x @ mu.T + (mu**2).sum(axis=1)
+        return np.maximum(square, 0.0).reshape(len(x), m, k) + np.where(np.isinf(self.log_share), np.inf, 0.0)
+
     def log_joint(self, x: np.ndarray) -> np.ndarray:
         """log share + log density, rows x M x K."""
         m, k, d = self.mean.shape
@@ -37,8 +45,11 @@ class Mixture:
         return (-0.5 * (square + const)).reshape(len(x), m, k) + self.log_share
 
 
-def _sums(points: DataFrame, mix: Mixture, hard: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One pass for all models: component weights, first and second moments, log-likelihoods."""
+def _sums(points: DataFrame, mix: Mixture, hard: bool, weights: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One pass for all models: component weights, first and second moments, log-likelihoods.
+
+    `w` of `points` has `weights` entries; each is used by as many consecutive models of `mix` as that takes.
+    """
     m, k, d = mix.mean.shape
 
     def per_batch(batches):
@@ -46,13 +57,12 @@ def _sums(points: DataFrame, mix: Mixture, hard: bool) -> tuple[np.ndarray, np.n
         for pdf in batches:
             if not len(pdf):
                 continue
-            x, w = np.stack(pdf["z"].to_numpy()).astype(float), np.stack(pdf["w"].to_numpy()).astype(float)
+            x, w = np.stack(pdf["z"].to_numpy()).astype(float), np.repeat(np.stack(pdf["w"].to_numpy()).astype(float), m // weights, axis=1)
             joint = mix.log_joint(x)
             peak = joint.max(axis=2, keepdims=True)
             norm = peak[:, :, 0] + np.log(np.exp(joint - peak).sum(axis=2))
             if hard:
-                gap = ((x[:, None, None, :] - mix.mean[None]) ** 2).sum(axis=3) + np.where(np.isinf(mix.log_share), np.inf, 0.0)
-                resp = np.eye(k)[gap.argmin(axis=2)]
+                resp = np.eye(k)[mix.gaps(x).argmin(axis=2)]
             else:
                 resp = np.exp(joint - norm[:, :, None])
             resp = resp * w[:, :, None]
@@ -80,45 +90,120 @@ def _update(mix: Mixture, weight: np.ndarray, first: np.ndarray, second: np.ndar
     return Mixture(np.where(unused, -np.inf, share), mean, var)
 
 
+def _farthest(points: DataFrame, mix: Mixture, take: np.ndarray, seed: int, step: int, weights: int, id_col: str) -> dict[int, list]:
+    """`take[i]` rows for model i, drawn without replacement by weight times squared distance to the nearest mean.
+
+    A row's key is an exponential draw over its rate, and the least keys win: every task hands on its own least ones only.
+    Draws are hashes of (seed, step, model, id). Before the first mean the rate is the weight alone.
+    """
+    m, k, d = mix.mean.shape
+    first = np.isinf(mix.log_share).all()
+    id_type = points.schema[id_col].dataType
+    draws = [(F.pmod(F.xxhash64(F.lit(seed), F.lit(step), F.lit(i), F.col(id_col)), F.lit(1 << 52)) + 0.5) / float(1 << 52) for i in range(m)]
+
+    def per_batch(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, w = np.stack(pdf["z"].to_numpy()).astype(float), np.repeat(np.stack(pdf["w"].to_numpy()).astype(float), m // weights, axis=1)
+            rate = w if first else w * mix.gaps(x).min(axis=2)
+            with np.errstate(divide="ignore"):
+                key = np.where(rate > 0, -np.log(np.stack(pdf["u"].to_numpy())) / rate, np.inf)
+            for i in range(m):
+                for at in np.argsort(key[:, i], kind="stable")[: take[i]]:
+                    if np.isfinite(key[at, i]):
+                        yield pd.DataFrame({"model": np.array([i], dtype=np.int32), "key": key[at, i], "id": [pdf["id"].iloc[at]], "z": [x[at]]})
+
+    schema = T.StructType([T.StructField("model", T.IntegerType()), T.StructField("key", T.DoubleType()),
+                           T.StructField("id", id_type), T.StructField("z", T.ArrayType(T.DoubleType()))])
+    drawn = points.select(F.col(id_col).alias("id"), "z", "w", F.array(*draws).alias("u")).mapInPandas(per_batch, schema)
+    found: dict[int, list] = {}
+    for row in collect_bounded(top_n(drawn, ["model"], [F.col("key"), F.col("id")], int(take.max()), "_at"), m * int(take.max()), "mixture seeds"):
+        if row["_at"] <= take[row["model"]]:
+            found.setdefault(row["model"], []).append(np.array(row["z"]))
+    return found
+
+
+def _thinned(x: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -> np.ndarray:
+    """k of the few weighted candidates by distance-weighted draws, moved to their centres of weight."""
+    chosen = [x[rng.choice(len(x), p=weight / weight.sum())]]
+    while len(chosen) < k:
+        rate = weight * ((x[:, None, :] - np.array(chosen)[None]) ** 2).sum(axis=2).min(axis=1)
+        chosen.append(x[rng.choice(len(x), p=rate / rate.sum())] if rate.sum() > 0 else chosen[0])
+    centre = np.array(chosen)
+    for _ in range(rounds):
+        near = ((x[:, None, :] - centre[None]) ** 2).sum(axis=2).argmin(axis=1)
+        for j in range(k):
+            mine = weight * (near == j)
+            if mine.sum() > 0:
+                centre[j] = mine @ x / mine.sum()
+    return centre
+
+
+def seed_means(points: DataFrame, ks: list[int], seed: int, weights: int, id_col: str, passes: int = 3) -> np.ndarray:
+    """Starting means of every model (models x largest k x d) by oversampled distance-weighted seeding.
+
+    A row drawn by weight, then `passes` rounds of 2k rows each drawn by squared distance to those at hand; the candidates
+    are weighed by the rows next to them and thinned to k.
+    """
+    m, k, d = len(ks), max(ks), vector_width(points, "z")
+    held: list[list] = [[] for _ in range(m)]
+
+    def mixture() -> Mixture:
+        width = max(1, max(map(len, held)))
+        mean, share = np.zeros((m, width, d)), np.full((m, width), -np.inf)
+        for i, rows in enumerate(held):
+            if rows:
+                mean[i, : len(rows)], share[i, : len(rows)] = rows, 0.0
+        return Mixture(share, mean, np.ones((m, width, d)))
+
+    for step in range(passes + 1):
+        take = np.array([1 if step == 0 else 2 * each for each in ks])
+        for i, rows in _farthest(points, mixture(), take, seed, step, weights, id_col).items():
+            held[i] += rows
+    near = _sums(points, mixture(), True, weights)[0]
+    rng, mean = np.random.default_rng(seed), np.zeros((m, k, d))
+    for i, rows in enumerate(held):
+        if rows:
+            weight = near[i, : len(rows)]
+            mean[i, : ks[i]] = _thinned(np.array(rows), weight if weight.sum() > 0 else np.ones(len(rows)), ks[i], rng)
+    return mean
+
+
 def fit_mixtures(points: DataFrame, ks: list[int], seed: int = 42, id_col: str = "subject_id", lloyd: int = 8,
-                 iterations: int = 100, tolerance: float = 1e-3) -> tuple[Mixture, np.ndarray, bool]:
+                 iterations: int = 100, tolerance: float = 1e-3, starts: int = 4) -> tuple[Mixture, np.ndarray, bool]:
     """EM for model i with ks[i] components on rows weighted by w[i]; returns parameters, log-likelihoods and whether
     every model's gain per row fell below `tolerance` within `iterations` rounds.
 
-    All models advance in the same pass over the data. Starts are rows picked by
-    hash, refined by hard assignments.
+    All models advance in the same pass over the data, each from `starts` seedings refined by hard assignments; the start
+    of the best likelihood is returned.
     """
-    m, k, d = len(ks), max(ks), vector_width(points, "z")
+    models, d = len(ks), vector_width(points, "z")
+    ks = [each for each in ks for _ in range(starts)]
+    m, k = len(ks), max(ks)
     stats = points.agg(*[F.var_pop(F.col("z")[i]).alias(f"v{i}") for i in range(d)]).first()
     spread = np.maximum(np.array([stats[f"v{i}"] or 0.0 for i in range(d)]), VARIANCE_FLOOR)
-    starts = top_n(
-        points.select(id_col, "z", F.posexplode("w").alias("model", "weight")).filter(F.col("weight") > 0)
-        .withColumn("_h", draw(seed, F.col("model"), F.col(id_col))),
-        ["model"], [F.col("_h"), F.col(id_col)], k, "_at",
-    ).select("model", "_at", "z")
-    mean = np.zeros((m, k, d))
-    for row in collect_bounded(starts, m * k, "mixture starts"):
-        mean[row["model"], row["_at"] - 1] = row["z"]
     share = np.where(np.arange(k)[None, :] < np.array(ks)[:, None], -np.log(np.array(ks, dtype=float))[:, None], -np.inf)
-    mix = Mixture(share, mean, np.tile(spread, (m, k, 1)))
+    mix = Mixture(share, seed_means(points, ks, seed, models, id_col), np.tile(spread, (m, k, 1)))
     for _ in range(lloyd):
-        weight, first, second, _ = _sums(points, mix, hard=True)
+        weight, first, second, _ = _sums(points, mix, True, models)
         moved = _update(mix, weight, first, second)
         still = np.allclose(moved.mean, mix.mean)
         mix = moved
         if still:
             break
     last = np.full(m, -np.inf)
-    rows, converged = None, False
+    rows, converged = None, np.zeros(m, dtype=bool)
     for _ in range(iterations):
-        weight, first, second, loglik = _sums(points, mix, hard=False)
+        weight, first, second, loglik = _sums(points, mix, False, models)
         rows = weight.sum(axis=1) if rows is None else rows
-        converged = bool(np.all(np.abs(loglik - last) / rows < tolerance))
-        if converged:
+        converged = np.abs(loglik - last) / rows < tolerance
+        if converged.all():
             break
         last = loglik
         mix = _update(mix, weight, first, second)
-    return mix, loglik, converged
+    best = loglik.reshape(models, starts).argmax(axis=1) + np.arange(models) * starts
+    return Mixture(mix.log_share[best], mix.mean[best], mix.var[best]), loglik[best], bool(converged[best].all())
 
 
 def assign(points: DataFrame, mix: Mixture, keep: list[str], out: str = "cluster") -> DataFrame:

@@ -184,3 +184,33 @@ def test_coherence_waits_for_its_table(spark):
     assert scoring.biological_coherence(None) is None
     table = spark.createDataFrame([(0.05,), (None,)], "q_val double")
     assert scoring.biological_coherence(table).first().n_coherent_axes == 1
+
+
+def test_mixture_seeding_finds_unequal_clusters(spark, rng):
+    """Planted clusters of 400 down to 12 rows, found from any seed; the likelihood is that of a direct fit from the truth."""
+    sizes, centres = [400, 150, 40, 12], 8.0 * np.eye(4)
+    x = np.vstack([rng.normal(c, 0.6, (n, 4)) for n, c in zip(sizes, centres)])
+    label = np.repeat(np.arange(4), sizes)
+    points = spark.createDataFrame([(i, row.tolist(), [1.0]) for i, row in enumerate(x)], "subject_id int, z array<double>, w array<double>").cache()
+    mean = np.stack([x[label == j].mean(axis=0) for j in range(4)])
+    var = np.stack([x[label == j].var(axis=0) for j in range(4)]) + clustering.VARIANCE_FLOOR
+    truth = clustering.Mixture(np.log(np.array(sizes) / len(x))[None], mean[None], var[None])
+    want = np.log(np.exp(truth.log_joint(x)).sum(axis=2)).sum()
+    good = 0
+    for seed in range(8):
+        mix, loglik, settled = clustering.fit_mixtures(points, [4], seed=seed)
+        assert settled and loglik[0] <= want + 1.0
+        good += bool(loglik[0] > want - 1.0 and np.allclose(np.sort(np.exp(mix.log_share[0]) * len(x)), np.sort(sizes), atol=0.5))
+    assert good == 8
+    one = clustering.seed_means(points, [4], 1, 1, "subject_id")
+    assert np.array_equal(one, clustering.seed_means(points.repartition(5), [4], 1, 1, "subject_id")) or np.allclose(
+        np.sort(one[0], axis=0), np.sort(clustering.seed_means(points.repartition(5), [4], 1, 1, "subject_id")[0], axis=0), atol=1e-6)
+
+
+def test_mixture_seeding_of_few_distinct_rows(spark):
+    """Fewer distinct rows than components: repeated means, no crash, finite likelihood; rows of weight zero start nothing."""
+    rows = [(i, [float(i % 2), 0.0], [1.0 if i < 6 else 0.0]) for i in range(8)]
+    points = spark.createDataFrame([*rows, (9, [99.0, 99.0], [0.0])], "subject_id int, z array<double>, w array<double>")
+    mean = clustering.seed_means(points, [3], 5, 1, "subject_id")
+    assert mean.shape == (1, 3, 2) and np.isfinite(mean).all() and mean.max() <= 1.0
+    assert np.isfinite(clustering.fit_mixtures(points, [3])[1]).all()
