@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dyadic.llm.common import running_total, word_count
-from dyadic.session import BROADCAST_ROWS, materialize
+from dyadic.session import materialize, small_side
 
 PHI = 0.6180339887498949
 BLOCK_WORDS = 1024
@@ -25,6 +25,8 @@ SEED = 17
 # Documents that one task sorts at a time, and slots that one task ranks at a time.
 STRETCH = 4096
 SLOT_STRETCH = 65536
+# Rows that are alike and that one piece of a sequence stands for.
+COPIES = 4096
 
 
 def document_sizes(docs: DataFrame) -> DataFrame:
@@ -91,7 +93,7 @@ def slot_schedule(sources: DataFrame) -> DataFrame:
     got = ranked.groupBy("s").agg(F.count("*").alias("_got"))
     short = sources.join(got, "s", "left").withColumn("_got", F.coalesce("_got", F.lit(0))).filter("_got < slots")
     closing = short.select(F.lit(total).cast("long").alias("slot"), "s", F.explode(F.sequence("_got", F.col("slots") - 1)).alias("rank"))
-    ranks = ranked.unionByName(closing).join(_narrow(sources.select("s", "blocks", "slots"), count), "s").filter("rank < slots")
+    ranks = ranked.unionByName(closing).join(small_side(sources.select("s", "blocks", "slots")), "s").filter("rank < slots")
     return ranks.select("slot", "s", F.floor(F.col("rank") / F.col("blocks")).alias("pass"), (F.col("rank") % F.col("blocks")).alias("block"))
 
 
@@ -103,17 +105,21 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = SHAR
     of the document of source `s` that starts at word `start` of its source's stream.
 
     Null texts and texts without words have size 0 and are in no piece. A null source is a source of its own. Rows with
-    equal ids are separate documents; rows equal in id, source and size are interchangeable. An empty table gives empty
-    results. Other columns are not read.
+    equal ids are separate documents; rows equal in id, source and size are interchangeable, so they are counted first and
+    laid out from their count, and no task sorts them. An empty table gives empty results. Other columns are not read.
     """
     sizes = materialize(document_sizes(docs))
     sources = materialize(source_targets(sizes, weights, share, repeats))
-    lookup = _narrow(sources.select(F.col("source").alias("_source"), "s", "n", "source_size", "target", "width"), sources.count())
-    placed = sizes.join(lookup, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    lookup = small_side(sources.select(F.col("source").alias("_source"), "s", "n", "source_size", "target", "width"))
+    alike = sizes.groupBy("source", "doc_id", "size", "draw").agg(F.count("*").alias("copies"))
+    placed = alike.join(lookup, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     # The hash prefix cuts a source into even stretches in the order of the hash itself.
     prefix = F.conv(F.substring("draw", 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
     placed = placed.withColumn("_stretch", F.floor(prefix * F.ceil(F.col("n") / STRETCH)))
-    laid = running_total(placed, ["s"], "_stretch", ["draw", "doc_id", "size"], F.col("size"), "start")
+    laid = running_total(placed, ["s"], "_stretch", ["draw", "doc_id", "size"], F.col("size") * F.col("copies"), "start")
+    run = laid.withColumn("_run", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / COPIES))))
+    copy = F.explode(F.sequence(F.col("_run") * COPIES, F.least(F.col("copies"), (F.col("_run") + 1) * COPIES) - 1))
+    laid = run.withColumn("_copy", copy).withColumn("start", F.col("start") + F.col("_copy") * F.col("size"))
     laid = materialize(laid.select("doc_id", "source", "size", "source_size", "target", "s", "start", "width"))
     end = F.col("start") + F.col("size")
     pieces = laid.filter("size > 0").select(
@@ -138,11 +144,6 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def _narrow(lookup: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a table of one narrow row per source while the sources are counted to be few."""
-    return F.broadcast(lookup) if rows <= BROADCAST_ROWS else lookup
-
-
 OP1_SQL = f"""
 WITH sizes AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
   md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS draw FROM documents),

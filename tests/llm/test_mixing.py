@@ -33,6 +33,14 @@ def corpus():
     return rows + [(900, None, "a"), (901, "x \t\n y", "b"), (None, "no id", "c"), (5, "again here", "b"), (5, "again here", "b"), (950, "z " * 60_000, "a")]
 
 
+def test_copies_are_laid_end_to_end(spark, documents, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    rows = [(None, "a b c", "x")] * 100 + [(None, "a b", "x")] * 20 + [(1, "", "x"), (1, "", "x"), (2, "d", "x")]
+    laid = [r for r in mixing.mix(documents(rows))[0].collect() if r["size"]]
+    spans = sorted((r.start, r.start + r["size"]) for r in laid)
+    assert len(laid) == 121 and spans[0][0] == 0 and spans[-1][1] == 341 and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_targets_and_totals(spark, documents, corpus):
     out = mixing.taken_words(documents(corpus)).collect()
     assert len(out) == len(corpus)
