@@ -13,53 +13,64 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dyadic.session import materialize
+from dyadic.session import materialize, small_side
 
 K = 5
 # Lengths in a bucket differ by at most this factor.
 STEP = 1.1
 # Vectors of a bucket, and queries, that one task holds at a time.
 GROUP = 8192
-# Longest vectors that give every query its first threshold.
+# Longest vectors of each number of components that give every query its first threshold.
 SEEDS = 2048
 # Cosine from which coordinates prune better than lengths.
 COORDINATE_COSINE = 0.5
 FOCUS = 4
 _FOUND = "query_id long, vec_id long, score long"
+_LEAST, _MOST = -(2**63), 2**63 - 1
 
 
 def quantised(embeddings: DataFrame) -> DataFrame:
     """(vec_id, v, norm2): floor(256 * x) of every component x as a double.
 
-    Rows without an id, with a null vector or with a null or non-finite component take no part; a component beyond the
-    range of a long is not finite in that sense. Rows that are equal in id and vector are one; as queries, rows of one id
-    that differ are answered together.
+    Rows without an id, with a null vector or with a null or non-finite component take no part; nor do components so large
+    that 256 times them is no finite double. Rows that are equal in id and vector are one; as queries, rows of one id that
+    differ are answered together.
     """
     x = F.col("embedding").cast("array<double>")
-    fine = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < 2.0**52))
+    fine = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < 2.0**1015))
     rows = embeddings.filter(F.col("vec_id").isNotNull() & fine)
-    v = F.transform(x, lambda e: F.floor(e * 256.0).cast("long"))
+    # A double from 2^52 on is whole already, and its floor as a long would not hold it. Adding zero turns -0.0 to 0.0.
+    v = F.transform(x, lambda e: F.when(F.abs(e) < 2.0**44, F.floor(e * 256.0).cast("double")).otherwise(e * 256.0) + 0.0)
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e)
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).distinct().withColumn("norm2", norm2)
 
 
 def _bucket(norm2: Column) -> Column:
-    """Of a squared length: 0 for the zero vector, then one for every factor of STEP; at most a few hundred in all."""
-    return F.when(norm2 <= 0, 0).otherwise(1 + F.floor(F.log(norm2) / float(2 * np.log(STEP)))).cast("int")
+    """Of a squared length: 0 for the zero vector, then one for every factor of STEP; at most a few thousand in all."""
+    return F.when(norm2 <= 0, 0).otherwise(1 + F.floor(F.log(F.least(norm2, F.lit(1e300))) / float(2 * np.log(STEP)))).cast("int")
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
-    return np.array(list(vectors), dtype=np.int64).reshape(len(vectors), -1)
+    return np.array(list(vectors), dtype=float).reshape(len(vectors), -1)
 
 
 def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Integer products of the rows; floating point only where every partial sum is exact in it."""
+    """Integer products of the rows, in floating point only where every partial sum is exact in it.
+
+    A product beyond the range of a 64-bit integer is the nearest such integer.
+    """
     most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(q.shape[1], 1)
     if most < 2.0**53:
-        return np.rint(q.astype(float) @ c.T.astype(float)).astype(np.int64)
-    if most < 2.0**63:
-        return q @ c.T
-    raise OverflowError("an inner product does not fit a 64-bit integer")
+        return np.rint(q @ c.T).astype(np.int64)
+    if most < 2.0**62:
+        return q.astype(np.int64) @ c.T.astype(np.int64)
+    whole = [[int(e) for e in row] for row in c.tolist()]
+    out = np.empty((len(q), len(c)), np.int64)
+    for i, row in enumerate(q.tolist()):
+        own = [int(e) for e in row]
+        for j, other in enumerate(whole):
+            out[i, j] = min(max(sum(a * b for a, b in zip(own, other)), _LEAST), _MOST)
+    return out
 
 
 def search_group(queries: pd.DataFrame, vectors: pd.DataFrame, k: int = K) -> pd.DataFrame:
@@ -122,7 +133,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     Both sides are (vec_id, v, norm2) as `quantised` gives them. A vector never meets the rows of its own id, nor those
     with another number of components. Queries and vectors meet in groups of bounded size: a group of vectors is a part of
-    a norm bucket, and a query goes to the groups its threshold does not rule out. Empty sides give an empty result.
+    a norm bucket, and a query goes to the groups its threshold does not rule out. Vectors go where some query goes.
+    Scores beyond the range of a long are its ends. Empty sides give an empty result.
     """
     vectors = materialize(vectors.withColumns({"dim": F.size("v"), "bucket": _bucket(F.col("norm2"))}))
     # New names for the query side, which may be a part of the vectors.
@@ -133,11 +145,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     search = _search(k)
     keys = ["dim", "bucket", "part", "block"]
 
-    # First thresholds: the k-th score among the longest vectors, a list of fixed length.
-    seeds = vectors.orderBy(F.desc("norm2"), "vec_id").limit(SEEDS).withColumns({"bucket": F.lit(0), "part": F.lit(0)}).withColumn("block", all_blocks)
+    # First thresholds: the k-th score among the longest vectors of a width, a list of fixed length.
+    longest = Window.partitionBy("dim").orderBy(F.desc("norm2"), "vec_id")
+    seeds = vectors.withColumn("place", F.row_number().over(longest)).filter(F.col("place") <= SEEDS).drop("place")
+    seeds = seeds.withColumns({"bucket": F.lit(0), "part": F.lit(0)}).withColumn("block", all_blocks)
     asked = queries.withColumns({"bucket": F.lit(0), "part": F.lit(0), "least": F.lit(float("-inf"))})
     first = _ranked(asked.groupBy(*keys).cogroup(seeds.groupBy(*keys)).applyInPandas(search, _FOUND), k)
-    least = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("least"))
+    # As a double a long score may be rounded up, by less than this part of it.
+    kth = F.col("score").cast("double")
+    least = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), (kth - F.abs(kth) * 1e-15).alias("least"))
     queries = materialize(queries.join(least, "vec_id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")))))
 
     # Norm buckets are few whatever the number of vectors; each is split into parts of bounded size.
@@ -148,6 +164,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     reach = F.sqrt("norm2") * F.sqrt("longest") * (1 + 1e-9) >= F.col("least")
     met = sizes.select("dim", "bucket", "parts", "longest").toDF("dim", "bucket", "parts", "longest")
     asked = queries.join(F.broadcast(met), "dim").filter(reach)
+    reached = small_side(asked.select("dim", "bucket", "block").distinct())
+    placed = placed.join(reached, ["dim", "bucket", "block"], "left_semi")
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     found = asked.groupBy(*keys).cogroup(placed.select("vec_id", "v", "norm2", *keys).groupBy(*keys)).applyInPandas(search, _FOUND)
     return _ranked(found, k).select("query_id", "rank", "vec_id", "score")

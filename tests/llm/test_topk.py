@@ -51,6 +51,18 @@ def test_groups_and_seeds_do_not_change_results(spark, monkeypatch):
     assert sorted(tuple(r) for r in topk.nearest(table(spark, rows), every=7, k=3).collect()) == want
 
 
+def test_large_components_and_several_widths(spark):
+    big = [(50, [1e9, -3.0]), (51, [6e15, 1.0]), (52, [-2.0**60, 2.0]), (53, [1.0, 1.0]), (100, [2.5, 1.0]), (101, [3e38, 1.0]), (102, [1.0]), (150, [2.0]),
+           (103, [0.5, 2.0**50 / 3])]
+    cut = [(q, r, c, min(max(s, -(2**63)), 2**63 - 1)) for q, r, c, s in brute(big, 50, len(big))]
+    want = []
+    for q in {c[0] for c in cut}:
+        own = sorted((-s, c) for a, _, c, s in cut if a == q)
+        want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(own)]
+    got = [tuple(r) for r in topk.nearest(table(spark, big), k=len(big)).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_few_and_none(spark):
     assert topk.nearest(table(spark, [])).collect() == []
     assert [tuple(r) for r in topk.nearest(table(spark, [(50, [1.0]), (51, [2.0])])).collect()] == [(50, 1, 51, 256 * 512)]
