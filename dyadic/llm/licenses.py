@@ -21,19 +21,20 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-# Short notices: (words that must stand as they are, words in which edits are borne, edits at most, label).
+# Short notices: (words that must stand as they are, words in which edits are borne, edits at most, label). Only first
+# words of three letters must stand, since one edit makes another word of them.
 NOTICES = (
     ("gnu ", "general public license", 2, "gpl"),
     ("gnu ", "lesser general public license", 3, "lgpl"),
     ("gnu ", "affero general public license", 3, "agpl"),
-    ("apache ", "license", 1, "apache"),
-    ("licensed under the ", "apache license version", 2, "apache"),
+    ("", "apache license", 2, "apache"),
+    ("", "licensed under the apache license version", 3, "apache"),
     ("mit ", "license", 1, "mit"),
     ("", "permission is hereby granted free of charge to any person", 5, "mit"),
     ("", "redistribution and use in source and binary forms", 4, "bsd"),
     ("bsd ", "license", 1, "bsd"),
-    ("mozilla ", "public license", 1, "mpl"),
-    ("creative ", "commons attribution", 2, "cc-by"),
+    ("", "mozilla public license", 2, "mpl"),
+    ("", "creative commons attribution", 3, "cc-by"),
     ("", "free and unencumbered software released into the public domain", 5, "unlicense"),
 )
 # What is no word character here: ASCII but for digits and letters. A-Z are lower-cased.

@@ -33,6 +33,8 @@ def test_base_columns_equal_brute_force(spark, documents, rnd):
     ("Permission is herby granted, free of charge, to any persn", "mit", 2),
     ("Creative Comons Attribution", "cc-by", 1),
     ("mozilla publik license", "mpl", 1),
+    ("the Apahce License", "apache", 2), ("the Apach License", "apache", 1), ("Mozila Public License", "mpl", 1),
+    ("Cretive Commons Atribution", "cc-by", 2),
 ])
 def test_edits_are_borne(text, label, edits):
     _, found = licenses.scan(f"words before {text} words after")
