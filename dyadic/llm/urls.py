@@ -47,11 +47,22 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return found
 
 
+def without_dots(path: Column) -> Column:
+    """A path that begins with a slash, its `.` and `..` steps taken; none goes above the root."""
+    steps = F.split(F.regexp_replace(path, r"/(\.\.?)$", "/$1/"), "/")
+    taken = F.aggregate(
+        F.slice(steps, 2, F.greatest(F.size(steps) - 1, F.lit(0))), F.lit(""),
+        lambda done, step: F.when(step == ".", done).when(step == "..", F.regexp_replace(done, "/[^/]*$", ""))
+        .otherwise(F.concat(done, F.lit("/"), step)))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), taken).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
-    """The page a URL names: host, path and query, without scheme and fragment; null for what is no absolute URL."""
-    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1)
+    """The page a URL names: host, path without dot steps, and query; no scheme or fragment. Null for no absolute URL."""
+    path, query = path_of(url), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*[^?#]*([^#]*)", 1)
     host = host_of(url)
-    return F.when(host != "", F.concat(host, F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))))
+    rooted = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+    return F.when(host != "", F.concat(host, without_dots(rooted), query))
 
 
 def _absolute(link: Column, base: Column) -> Column:
@@ -109,6 +120,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redir
     blocked = groups.groupBy("root").agg(F.max(own["verdict"] == "block").alias("blocked"))
     aliases = groups.join(blocked, "root").select("node", F.col("root").alias("group"), F.coalesce("blocked", F.lit(False)).alias("blocked"))
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("node"))
+    # A page without a node has no group; a key of its own, which no node has, keeps such rows from meeting in one task.
+    rows = rows.withColumn("node", F.coalesce("node", F.concat(F.lit("#"), F.col("page_id").cast("string"))))
     rows = rows.withColumn("own", rule_for(F.col("host"), F.col("path"), rules)).join(aliases, "node", "left")
     verdict = F.coalesce(F.col("own.verdict"), F.when(F.col("blocked"), "block").otherwise("allow"))
     return rows.select("page_id", "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"), "group")
@@ -121,17 +134,22 @@ def _sql_rules(host: str, path: str, what: str) -> str:
     return f"CASE{cases} END"
 
 
-# Links are resolved as far as they are whole or begin with a slash; components come from a recursive closure.
+# Links take all forms; components come from a recursive closure.
 _HOST = r"translate(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_NODE = _HOST + r" || CASE WHEN starts_with(regexp_extract({u}, '(?s)^.*?://[^/?#]*([^#]*)', 1), '/') THEN '' ELSE '/' END || regexp_extract({u}, '(?s)^.*?://[^/?#]*([^#]*)', 1)"
+_PATH = r"regexp_replace('/' || regexp_extract({u}, '(?s)^.*?://[^/?#]*/?([^?#]*)', 1), '/(\.\.?)$', '/\1/')"
+_STEPS = rf"list_reduce(string_split({_PATH}, '/'), lambda done, step: CASE WHEN step = '.' THEN done WHEN step = '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || step END)"
+_NODE = rf"nullif({_HOST}, '') || {_STEPS} || regexp_extract({{u}}, '(?s)^.*?://[^/?#]*[^?#]*([^#]*)', 1)"
 _ATTRIBUTE = r"""regexp_replace(regexp_extract(tag, '(?is)\s{name}\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '^["'']|["'']$', '', 'g')"""
 OP10_SQL = rf"""
 WITH RECURSIVE tags AS (SELECT url, unnest(regexp_extract_all(html, '{_TAG}')) AS tag FROM pages WHERE url LIKE '%://%'),
 links AS (SELECT url, trim(replace(CASE WHEN regexp_matches(lower({_ATTRIBUTE.format(name='rel')}), '(^|\s)canonical(\s|$)') THEN {_ATTRIBUTE.format(name='href')}
   WHEN lower({_ATTRIBUTE.format(name='http-equiv')}) = 'refresh' THEN regexp_extract({_ATTRIBUTE.format(name='content')}, '(?is)^\s*[\d.]*\s*[;,]?\s*url\s*=\s*[''"]?([^''"]*)', 1) END, '&amp;', '&')) AS l FROM tags),
-whole AS (SELECT url, CASE WHEN l LIKE '%://%' THEN l WHEN starts_with(l, '//') THEN 'http:' || l
-  WHEN starts_with(l, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || l END AS target FROM links WHERE l <> ''),
-edges AS (SELECT {_NODE.format(u='url')} AS a, {_NODE.format(u='target')} AS b FROM whole WHERE target IS NOT NULL),
+whole AS (SELECT url, CASE WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN l WHEN starts_with(l, '//') THEN 'http:' || l
+  WHEN starts_with(l, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || l
+  WHEN starts_with(l, '?') THEN regexp_extract(url, '(?s)^(.*?://[^?#]*)', 1) || l WHEN starts_with(l, '#') THEN url
+  ELSE regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || coalesce(nullif(regexp_extract(url, '(?s)^.*?://[^/?#]*(/(?:[^?#]*/)?)', 1), ''), '/') || l
+  END AS target FROM links WHERE l <> ''),
+edges AS (SELECT * FROM (SELECT {_NODE.format(u='url')} AS a, {_NODE.format(u='target')} AS b FROM whole) WHERE a IS NOT NULL AND b IS NOT NULL),
 sym AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach AS (SELECT a, a AS b FROM sym UNION SELECT r.a, e.b FROM reach r JOIN sym e ON r.b = e.a),
 nodes AS (SELECT DISTINCT b AS node, regexp_extract(b, '^([^/]*)', 1) AS h, regexp_extract(b, '^[^/]*([^?]*)', 1) AS p FROM reach),

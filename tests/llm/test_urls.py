@@ -49,6 +49,29 @@ def test_blocks_reach_aliases(spark):
     assert sorted(r.page_id for r in more if r.verdict == "block") == [1, 2, 6, 7, 8, 9, 9, 12]
 
 
+def test_dot_steps_and_sql_of_all_link_forms(spark, tmp_path):
+    import duckdb
+
+    rows = [
+        (1, "http://a.net/d/e/1", link("../c")), (2, "http://a.net/d/c", link("http://x.com/de/2")),              # up one folder
+        (3, "http://a.net/d/3", link("./../../..//4")), (4, "http://a.net//4", link("https://x.com/fr/../de/./4?q=../1")),
+        (5, "http://a.net/d/5", link("..")), (6, "http://a.net/", link("//x.com/de/")), (7, "http://b.net/7", link("?de")),
+        (8, "http://b.net/7?de", link("#top")), (9, "http://b.net", link("9")), (10, "http://b.net/9", link("/../de/../10/.")),
+        (11, "http://b.net/10/", link("mailto:x@y.z")), (12, "http://c.com/fr/12", link("../de/12")), (13, "http://c.com/13", link("de/12")),
+        (14, None, None), (15, "no scheme", link("x")), (16, "http://d.net/a/..b/c", link("../.../e")), (17, "http://d.net/a/.../e", None),
+    ]
+    df = pages(spark, rows)
+    got = {r.page_id: r for r in urls.judge(df).collect()}
+    assert sorted(i for i, r in got.items() if r.verdict == "block") == [1, 2, 3, 4, 5, 6, 13]
+    # Names that only begin with dots are no steps.
+    assert got[10].group == got[9].group == got[11].group and got[17].group == got[16].group is not None
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(urls.OP10_SQL).fetchall()
+    assert sorted(want) == sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got.values())
+
+
 def test_hub_and_empty(spark):
     rows = [(i, f"http://s{i}.net/", link("http://hub.com/de/" if i < 150 else "http://hub.com/en/")) for i in range(300)]
     got = urls.judge(pages(spark, rows)).collect()
