@@ -1,4 +1,10 @@
-"""The corpus pipeline: good documents, without repeated lines, near-duplicates and benchmark passages, mixed to weights."""
+"""The corpus pipeline: good documents, without repeated lines, near-duplicates and benchmark passages, mixed to weights.
+
+Every stage reads doc_id, text, lang, source and n_chars of its predecessor's table and drops other columns, whatever their
+names. Null and empty texts are documents like any other: the classifier scores them, they hold no line, no passage and no
+word, and their fingerprint is zero, so one of them stays. Rows with a null id and repeated rows are rows of their own until
+the near-dedup, where one of each group stays. An empty table passes every stage.
+"""
 
 from __future__ import annotations
 
