@@ -23,6 +23,8 @@ from dyadic.session import collect_bounded, materialize, small_side
 
 # Largest side of a cross-product matrix that is brought to the driver (4096^2 doubles = 128 MB).
 GRAM_SIDE = 4096
+# Numbers of a block of vectors, or of a block of panels' moments, that one task holds.
+BLOCK_CELLS = 1 << 22
 
 
 def _oriented(vectors: np.ndarray) -> np.ndarray:
@@ -461,6 +463,43 @@ def loo_linear_probe(points: DataFrame, target: str = "target", vector: str = "z
     return errors.agg(F.avg("e").alias("loso_mae"), F.count(F.lit(1)).alias("n_subjects"))
 
 
+def _partial_moments(panels: DataFrame, rows: DataFrame, name: str) -> DataFrame:
+    """(panel, `name`): per distinct `panel` array, the flat cross-product of the `rows` (v) that have all its places.
+
+    Places of `v` beyond the panels' features, the last ones, are always kept. An absent cell is null. Blocks of rows
+    meet blocks of panels, both of bounded size, and what each pair of blocks yields is summed place by place, so neither
+    side is gathered. Panels that no row covers have no row.
+    """
+    n, p = rows.count(), panels.count()
+    if not n or not p:
+        return panels.select("panel", F.lit(None).cast("array<double>").alias(name)).limit(0)
+    width = len(rows.first()["v"])
+    side = panels.agg(F.max(F.size("panel"))).first()[0] + 2
+    row_blocks, panel_blocks = -(-n * width // BLOCK_CELLS), -(-p * side * side // BLOCK_CELLS)
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = panels.withColumn("_p", F.pmod(F.xxhash64("panel"), F.lit(panel_blocks)).cast("int")).withColumn("_r", each(row_blocks))
+    right = rows.withColumn("_r", F.pmod(F.xxhash64("v"), F.lit(row_blocks)).cast("int")).withColumn("_p", each(panel_blocks))
+    tail = 2 if name == "more_moves" else 1
+
+    def sums(asked: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"panel": pd.Series(dtype=object), "slot": np.empty(0, np.int32), "value": np.empty(0)})]
+        if len(asked) and len(given):
+            v = np.stack(given["v"].to_numpy())
+            for places in asked["panel"]:
+                part = v[:, np.append(np.asarray(places, dtype=int), np.arange(width - tail, width))]
+                part = part[~np.isnan(part).any(axis=1)]
+                if len(part):
+                    flat = (part.T @ part).ravel()
+                    out.append(pd.DataFrame({"panel": [places] * len(flat), "slot": np.arange(len(flat), dtype=np.int32), "value": flat}))
+        return pd.concat(out[1:] or out)
+
+    keys = ["_p", "_r"]
+    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(sums, "panel array<int>, slot int, value double")
+    summed = parts.groupBy("panel", "slot").agg(F.sum("value").alias("value"))
+    made = summed.groupBy("panel").agg(F.array_sort(F.collect_list(F.struct("slot", "value"))).alias("_m"))
+    return materialize(made.select("panel", F.col("_m.value").alias(name)))
+
+
 def loo_probe_with_selection(
     features: DataFrame, targets: DataFrame, top: int, k: int, always: list | None = None, subject: str = "subject_id"
 ) -> DataFrame:
@@ -469,8 +508,10 @@ def loo_probe_with_selection(
     `features(subject_id, visit 0/1, feature_id, value)`, `targets(subject_id, target)`. Panels come from left-out
     moments. A fold's feature and delta moments are those of all subjects minus the held-out subject's own, restricted to
     its panel, so no fold reads the table again: per subject one vector a visit over the union of the panels is kept, and
-    the moments of that union (at most `GRAM_SIDE` features) are shared with the tasks. Rows that lack a feature of the
-    union are left out.
+    the moments of that union (at most `GRAM_SIDE` features) are shared with the tasks. A fold takes every row that has
+    its own panel's features: rows that lack a feature of the union add their moments once per distinct panel they cover
+    (`_partial_moments`). A subject is predicted if it has a target and both visits with its panel; of cells given twice
+    the greater value counts. Without such subjects the error is NULL and the count 0.
     """
     ranked = features.filter(~F.col("feature_id").isin(*always)) if always else features
     panel = loo_topk_variance(ranked.select(subject, "feature_id", "value"), top, subject)
@@ -486,32 +527,58 @@ def loo_probe_with_selection(
     fixed = [at[f] for f in always or [] if f in at]
     cells = features.join(F.broadcast(place), "feature_id").filter(F.col("value").isNotNull())
     rows = cells.groupBy(subject, "visit").agg(F.array_sort(F.collect_list(F.struct("_i", F.col("value").cast("double").alias("v")))).alias("p"))
-    rows = materialize(rows.filter(F.size("p") == u).select(subject, "visit", F.col("p.v").alias("x")))
+
+    @F.pandas_udf("array<double>")
+    def spread(places: pd.Series, values: pd.Series) -> pd.Series:
+        out = np.full((len(places), u), np.nan)
+        for i, (at_, v) in enumerate(zip(places, values)):
+            out[i, np.asarray(at_, dtype=int)] = v
+        return pd.Series(list(out))
+
+    rows = materialize(rows.select(subject, "visit", F.transform(spread("p._i", "p.v"), lambda v: F.nanvl(v, F.lit(None))).alias("x")))
     empty = features.sparkSession.range(1).select(F.lit(None).cast("double").alias("loso_mae"), F.lit(0).cast("long").alias("n_subjects"))
     if u == 0 or rows.isEmpty():
         return empty
-    centre = np.array(vector_mean(rows, [], "x", "m", u).first()["m"])
+    # A centre near the means keeps the sums exact; cells that are absent do not count.
+    means = rows.select(F.posexplode("x").alias("i", "v")).filter("v is not null").groupBy("i").agg(F.avg("v").alias("m")).collect()
+    centre = np.zeros(u)
+    centre[[r["i"] for r in means]] = [r["m"] for r in means]
     away = F.zip_with("x", C.literal_vector(centre), lambda a, b: a - b)
     rows = materialize(rows.select(subject, "visit", away.alias("x")))
-    one = F.array(F.lit(1.0))
-    all_rows = cross_product(rows.select(F.concat("x", one).alias("v")), "v")
+    one, full = F.array(F.lit(1.0)), lambda x: ~F.exists(x, F.isnull)
+    whole = rows.filter(full("x"))
+    all_rows = cross_product(whole.select(F.concat("x", one).alias("v")), "v") if not whole.isEmpty() else np.zeros((u + 1, u + 1))
     pairs = rows.groupBy(subject).agg(
         F.max_by("x", F.when(F.col("visit") == 0, 1)).alias("pre"), F.max_by("x", F.when(F.col("visit") == 1, 1)).alias("post"))
     pairs = materialize(pairs.join(small_side(known), subject, "left"))
     fit = pairs.filter("pre is not null and post is not null and target is not null")
     moved = F.zip_with("post", "pre", lambda a, b: a - b)
-    all_deltas = cross_product(fit.select(F.concat(moved, F.array("target"), one).alias("v")), "v") if not fit.isEmpty() else np.zeros((u + 2, u + 2))
+    moves = materialize(fit.select(F.concat(moved, F.array("target"), one).alias("v")))
+    whole_moves = moves.filter(full("v"))
+    all_deltas = cross_product(whole_moves, "v") if not whole_moves.isEmpty() else np.zeros((u + 2, u + 2))
     shared = features.sparkSession.sparkContext.broadcast((all_rows, all_deltas))
+    own = panel.join(F.broadcast(place), "feature_id").groupBy(subject).agg(F.collect_set("_i").alias("panel"))
+    use = F.array_sort(F.array_union(F.coalesce("panel", F.array().cast("array<int>")), F.array(*map(F.lit, fixed)).cast("array<int>")))
+    folds = materialize(fit.join(own, subject, "left").select("pre", "post", "target", use.alias("panel")))
+    panels = materialize(folds.select("panel").distinct())
+    more = _partial_moments(panels, rows.filter(~full("x")).select(F.concat("x", one).alias("v")), "more_rows").join(
+        _partial_moments(panels, moves.filter(~full("v")), "more_moves"), "panel", "full")
+    folds = folds.join(more, "panel", "left")
 
     def refit(batches):
         total, deltas = shared.value
         for pdf in batches:
             errors = []
-            for pre, post, y, own in zip(pdf["pre"], pdf["post"], pdf["target"], pdf["panel"]):
-                use = np.array(sorted({*own, *fixed}), dtype=int)
+            for pre, post, y, own, rest, moved in zip(pdf["pre"], pdf["post"], pdf["target"], pdf["panel"], pdf["more_rows"], pdf["more_moves"]):
+                use = np.asarray(own, dtype=int)
                 held = np.stack([np.append(x[use], 1.0) for x in (pre, post)])
+                if np.isnan(held).any():
+                    errors.append(np.nan)
+                    continue
                 cut = np.append(use, u)
                 m = total[np.ix_(cut, cut)] - held.T @ held
+                if rest is not None:
+                    m += np.asarray(rest, dtype=float).reshape(m.shape)
                 n, mean = m[-1, -1], m[-1, :-1] / max(m[-1, -1], 1.0)
                 cov = m[:-1, :-1] / max(n, 1.0) - np.outer(mean, mean)
                 sd = np.sqrt(np.maximum(np.diag(cov), 0.0))
@@ -520,6 +587,8 @@ def loo_probe_with_selection(
                 delta = np.concatenate([(post - pre)[use], [y, 1.0]])
                 cut = np.concatenate([use, [u, u + 1]])
                 d = deltas[np.ix_(cut, cut)] - np.outer(delta, delta)
+                if moved is not None:
+                    d += np.asarray(moved, dtype=float).reshape(d.shape)
                 count = d[-1, -1]
                 if count < 2.5:
                     errors.append(np.nan)
@@ -530,8 +599,6 @@ def loo_probe_with_selection(
                 errors.append(abs(y - my - (delta[:-2] - mx) @ axes @ slope))
             yield pd.DataFrame({"error": np.array(errors, dtype=float)})
 
-    own = panel.join(F.broadcast(place), "feature_id").groupBy(subject).agg(F.collect_list("_i").alias("panel"))
-    folds = fit.join(own, subject, "left").select("pre", "post", "target", F.coalesce("panel", F.array().cast("array<int>")).alias("panel"))
     errors = folds.mapInPandas(refit, "error double")
     kept = F.when(~F.isnan("error"), F.col("error"))
     return errors.agg(F.avg(kept).alias("loso_mae"), F.count(kept).alias("n_subjects"))

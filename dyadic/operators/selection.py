@@ -44,17 +44,19 @@ def zscale(
 
 def topk_variance(
     features: DataFrame, n: int, ddof: int = 1, value: str = "value", feature: str = "feature_id",
-    always: list[str] | None = None,
+    always: list[str] | None = None, digits: int | None = None,
 ) -> DataFrame:
     """The n features of highest variance (ties by id; no variance counts as 0) with their variance.
 
-    Ids in `always` are kept whatever their variance and do not use up the n.
+    Ids in `always` are kept whatever their variance and do not use up the n. With `digits`, variances that agree when
+    rounded are ties, so that the order of summation does not pick the panel.
     """
     var = F.var_pop(value) if ddof == 0 else F.var_samp(value)
     ranked = features.groupBy(feature).agg(F.coalesce(var, F.lit(0.0)).alias("variance"))
+    height = F.col("variance") if digits is None else F.round("variance", digits)
     if not always:
-        return ranked.orderBy(F.desc("variance"), feature).limit(n)
-    free = ranked.filter(~F.col(feature).isin(*always)).orderBy(F.desc("variance"), feature).limit(n)
+        return ranked.orderBy(height.desc(), feature).limit(n)
+    free = ranked.filter(~F.col(feature).isin(*always)).orderBy(height.desc(), feature).limit(n)
     return ranked.filter(F.col(feature).isin(*always)).unionByName(free)
 
 

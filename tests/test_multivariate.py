@@ -92,6 +92,43 @@ def test_probe_with_selection_never_sees_the_held_out_subject(spark, rng):
     assert got.n_subjects == 8 and got.loso_mae == pytest.approx(np.mean(errors), rel=1e-6)
 
 
+@pytest.mark.parametrize("cells", [1 << 22, 60])
+def test_probe_with_selection_keeps_rows_that_lack_cells(spark, rng, monkeypatch, cells):
+    monkeypatch.setattr(M, "BLOCK_CELLS", cells)
+    n, p = 24, 7
+    x = rng.normal(size=(n, 2, p)) * np.array([1, 3, 2.98, 2.96, 2.94, 0.5, 2.0])
+    x[rng.random((n, 2, p)) < 0.06] = np.nan
+    x[3, 1, 0], x[5, 0] = np.nan, np.nan
+    rows = [(f"s{s}", v, f"f{j}", float(x[s, v, j])) for s in range(n) for v in range(2) for j in range(p) if not np.isnan(x[s, v, j])]
+    y = np.nan_to_num(x[:, 1, 0] - x[:, 0, 0]) + rng.normal(size=n)
+    y[7] = np.nan
+    features = spark.createDataFrame(rows, "subject_id string, visit int, feature_id string, value double")
+    targets = spark.createDataFrame([(f"s{s}", float(t)) for s, t in enumerate(y) if not np.isnan(t)], "subject_id string, target double")
+    errors, panels, kept = [], set(), np.zeros((n, 2), dtype=bool)
+    for held in range(n):
+        others = np.arange(n) != held
+        flat = x[others].reshape(-1, p)
+        order = np.lexsort((np.arange(1, p), -np.nanvar(flat[:, 1:], axis=0, ddof=1)))
+        use = sorted({0, *(order[:3] + 1)})
+        panels.add(tuple(use))
+        whole = ~np.isnan(x[:, :, use]).any(axis=2)
+        kept |= whole
+        if np.isnan(y[held]) or not whole[held].all():
+            continue
+        train = x[others][:, :, use][whole[others]]
+        sd = train.std(axis=0)
+        axes = np.linalg.svd((train - train.mean(axis=0)) / sd, full_matrices=False)[2][:2].T
+        both = whole.all(axis=1) & ~np.isnan(y)
+        fit = both & others
+        delta = ((x[:, 1] - x[:, 0])[:, use] / sd) @ axes
+        design = np.column_stack([np.ones(n), delta])
+        errors.append(abs(y[held] - design[held] @ np.linalg.lstsq(design[fit], y[fit], rcond=None)[0]))
+    got = M.loo_probe_with_selection(features, targets, 3, 2, always=["f0"]).first()
+    # Several panels, and rows that only some of them allow.
+    assert len(panels) > 1 and len(errors) > 5 and (kept & np.isnan(x).any(axis=2)).any()
+    assert got.n_subjects == len(errors) and got.loso_mae == pytest.approx(np.mean(errors), rel=1e-6)
+
+
 def test_canonical_correlation(spark, rng):
     a, b = rng.normal(size=(60, 2)), rng.normal(size=(60, 3))
     b[:, 0] += 2 * a[:, 1]
