@@ -173,12 +173,12 @@ _SQL_GATE = "CASE WHEN p_value < 0.05 AND d >= 0.3 THEN 'PASS' WHEN p_value < 0.
 _SQL_RESCUE = "CASE WHEN p_value < 0.05 AND d > 0.3 THEN 'RESCUE_PASS' WHEN p_value < 0.15 THEN 'MARGINAL' ELSE 'FAIL' END"
 
 
-def _separation(spark, d, top_dnam: int, top_rna: int, corrected: bool):
+def _separation(spark, d, top_dnam: int, top_rna: int, corrected: bool, k: int | None = None):
     covariate = R.deltas(spark, d).select("subject_id", F.sin("subject_id").alias("frac_a"), F.cos("subject_id").alias("frac_b"))
     extra = {"corrected_by": {"dnam": covariate, "rna": covariate}, "columns": ["frac_a", "frac_b"]} if corrected else {}
     return jobs.separation_gate(
         _embedding_observations(spark, d, "dnam"), _embedding_observations(spark, d, "rna"), _embedding_subjects(spark, d),
-        top_dnam=top_dnam, top_rna=top_rna, k=top_dnam + top_rna, replicates=99, **extra)["summary"]
+        top_dnam=top_dnam, top_rna=top_rna, k=k or top_dnam + top_rna, replicates=99, **extra)["summary"]
 
 
 # With all components the permutation test does not depend on how they are turned; the plane covers what does.
@@ -202,6 +202,18 @@ def job_separation_gate_corrected_plane(spark, d):
     return rounded(_separation(spark, d, 1, 1, True))
 
 
+@query("job_separation_gate_fitted")
+def job_separation_gate_fitted(spark, d):
+    """Five components of the panel, with effect sizes and verdict."""
+    return rounded(_separation(spark, d, 24, 16, False, 5))
+
+
+@query("job_separation_gate_corrected_fitted")
+def job_separation_gate_corrected_fitted(spark, d):
+    """As `job_separation_gate_fitted`, of deltas cleaned of two covariates."""
+    return rounded(_separation(spark, d, 24, 16, True, 5))
+
+
 @query("job_direction_gate", f"""
 WITH f AS ({R.SQL_DENSE}), r AS (SELECT *, (rank() OVER (PARTITION BY feature_id ORDER BY value) - 1 +
  (count(*) OVER (PARTITION BY feature_id, value) - 1) / CAST(2 AS DOUBLE)) / (count(*) OVER (PARTITION BY feature_id) - 1) AS level FROM f),
@@ -216,13 +228,22 @@ WITH f AS ({R.SQL_DENSE}), r AS (SELECT *, (rank() OVER (PARTITION BY feature_id
 SELECT {sr6('d_zero', 4)} AS d_zero, {sr6('d_one', 4)} AS d_one, {sr6('gap', 4)} AS gap, {sr6('p_value', 4)} AS p_value, n_permutations, gap < 0 AS direction_ok,
  CASE WHEN gap >= 0 THEN 'FAIL' WHEN p_value < 0.05 THEN 'PASS' WHEN p_value < 0.15 THEN 'MARGINAL' ELSE 'FAIL' END AS verdict FROM t""")
 def job_direction_gate(spark, d):
+    return rounded(_direction(spark, d, 64, plane=False)["test"], 4)
+
+
+@query("job_direction_gate_fitted")
+def job_direction_gate_fitted(spark, d):
+    """The gate on a panel of 32 features: its plane, with the test and the verdict beside every score."""
+    out = _direction(spark, d, 32, plane=True)
+    return rounded(out["plane"].crossJoin(F.broadcast(out["test"])), 4)
+
+
+def _direction(spark, d, top: int, plane: bool):
     rows = R.dense(spark, d)
     labels = R.points(spark, d).select(F.col("subject_id").alias("sample_id"), "label", "class")
     own = rows.join(labels.filter("class < 8"), "sample_id", "left_semi")
     external = rows.join(labels.filter("class >= 8"), "sample_id", "left_semi")
-    # Without ties all features have the same spread of normal scores, so a smaller panel would be picked by rounding.
-    out = jobs.direction_gate(own, external, labels.filter("class < 8").select("sample_id", "label"), labels.filter("class = 9"), 64, 50, plane=False)
-    return rounded(out["test"], 4)
+    return jobs.direction_gate(own, external, labels.filter("class < 8").select("sample_id", "label"), labels.filter("class = 9"), top, 50, plane=plane)
 
 
 def _sql_three() -> str:

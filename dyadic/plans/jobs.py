@@ -122,11 +122,12 @@ def direction_gate(a: DataFrame, b: DataFrame, subjects: DataFrame, anchors: Dat
 
     `a`, `b`: features of the own and the external cohort; `anchors(sample_id)` the
     external group; `subjects(sample_id, label)` the own labels. `plane` adds the first two components of the panel.
+    Normal scores of features without ties have the same variance, so the panel takes rounded variances, ties by id.
     """
     shared = pairing.feature_intersection(a, b, minimum)
     both = pairing.union_tagged({"own": a, "external": b}, "cohort").join(shared, "feature_id", "left_semi")
     level = materialize(ranking.rank_to_normal(both).select("cohort", "sample_id", "feature_id", F.col("z").alias("value")))
-    panel = selection.keep_features(level, selection.topk_variance(level, top))
+    panel = selection.keep_features(level, selection.topk_variance(level, top, digits=9))
     own = panel.filter("cohort = 'own'").drop("cohort")
     centre = panel.filter("cohort = 'external'").join(anchors.select("sample_id"), "sample_id", "left_semi").groupBy(
         "feature_id").agg(F.avg("value").alias("value"))

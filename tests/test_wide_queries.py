@@ -103,6 +103,70 @@ def axis_of(z, flag):
     return axis * np.sign(axis @ z[flag].mean(0))
 
 
+def f_tail(f, d1, d2):
+    """Upper tail of the F distribution by quadrature of the beta density."""
+    from math import lgamma
+
+    b = np.linspace(0, 1, 400_002)[1:-1] * d2 / (d2 + d1 * f)
+    norm = lgamma((d1 + d2) / 2) - lgamma(d1 / 2) - lgamma(d2 / 2)
+    return float(np.trapezoid(np.exp(norm + (d2 / 2 - 1) * np.log(b) + (d1 / 2 - 1) * np.log1p(-b)), b))
+
+
+@pytest.mark.parametrize("name", ["job_separation_gate_fitted", "job_separation_gate_corrected_fitted"])
+def test_separation_of_five_components(spark, wide, name):
+    d, x, label = wide
+    v = x[1::2] - x[::2]
+    if "corrected" in name:
+        # Subjects are numbered by their first vector.
+        ids = np.array(sorted({r.subject_id for r in entry_deltas(spark, d)}))
+        design = np.column_stack([np.ones(N), np.sin(ids), np.cos(ids)])
+        v = v - design @ np.linalg.lstsq(design, v, rcond=None)[0]
+    spread = v.var(0, ddof=1)
+    use = [*np.argsort(-spread[:32], kind="stable")[:24], *(32 + np.argsort(-spread[32:], kind="stable")[:16])]
+    z = (v[:, use] - v[:, use].mean(0)) / v[:, use].std(0)
+    u, s, _ = np.linalg.svd(z, full_matrices=False)
+    p, flag = (u * s)[:, :5], label < 5
+    a, b = p[flag], p[~flag]
+    between = len(a) * (a.mean(0) ** 2).sum() + len(b) * (b.mean(0) ** 2).sum()
+    got = run(spark, name, d)[0]
+    assert got.f_statistic == pytest.approx(between / (((p**2).sum() - between) / (N - 2)), rel=1e-4)
+    gap = a.mean(0) - b.mean(0)
+    scatter = lambda q: (q - q.mean(0)).T @ (q - q.mean(0))
+    # The effect's spread takes the groups' population variances.
+    pooled = np.sqrt(((len(a) - 1) * a.var(0) + (len(b) - 1) * b.var(0)) / (N - 2))
+    assert got.max_cohens_d == pytest.approx(np.abs(gap / pooled).max(), rel=1e-4)
+    t2 = len(a) * len(b) / N * gap @ np.linalg.solve((scatter(a) + scatter(b)) / (N - 2), gap)
+    assert got.hotelling_p == pytest.approx(f_tail(t2 * (N - 6) / (5 * (N - 2)), 5, N - 6), abs=2e-6)
+    assert got.n_permutations == 99 and got.p_value <= 0.02 and got.verdict == ("RESCUE_PASS" if "corrected" in name else "PASS")
+
+
+def entry_deltas(spark, d):
+    from dyadic.catalog import recipes
+
+    return recipes.deltas(spark, d).select("subject_id").distinct().collect()
+
+
+def test_direction_on_a_panel_with_its_plane(spark, wide):
+    from statistics import NormalDist
+
+    d, x, label = wide
+    rank = x.argsort(0).argsort(0) / (len(x) - 1)
+    z = np.vectorize(NormalDist().inv_cdf)(np.clip(rank, 1e-7, 1 - 1e-7))[:, :32]
+    kind = np.repeat(label, 2)
+    own, flag = kind < 8, kind < 5
+    away = z - z[kind == 9].mean(0)
+    rows = run(spark, "job_direction_gate_fitted", d)
+    first = rows[0]
+    one, zero = (np.linalg.norm(away[own & (flag == f)].mean(0)) for f in (True, False))
+    assert (first.d_one, first.d_zero) == pytest.approx((one, zero), abs=2e-4) and first.direction_ok == (zero < one)
+    assert {(r.verdict, r.p_value, r.n_permutations) for r in rows} == {(first.verdict, first.p_value, 50)}
+    u, s, _ = np.linalg.svd(z[own] - z[own].mean(0), full_matrices=False)
+    got = {r.sample_id: r.scores for r in rows}
+    want = u[:, :2] * s[:2]
+    have = np.array([got[i] for i in np.flatnonzero(own)])
+    assert len(got) == own.sum() and np.abs((have * want).sum(0) / (want**2).sum(0)) == pytest.approx(np.ones(2), abs=1e-3)
+
+
 def test_axis(spark, wide):
     d, x, label = wide
     got = {r.component: r.weight for r in run(spark, "recovery_axis_fitted", d)}
