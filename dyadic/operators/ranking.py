@@ -2,8 +2,9 @@
 
 Anything ordered inside a group goes through `ordered_prefix`. It first reduces
 the group to its distinct order values, so copies of one value never pile up in
-a task, and splits groups larger than `task_rows` into value ranges that are
-sorted separately and stitched together from one total per range.
+a task, and splits tables with groups larger than `task_rows` by Spark's range
+partitioning into value ranges that are sorted separately and stitched together
+from one total per range.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 
 from dyadic.session import TASK_ROWS, materialize, small_side
 
+# Value ranges that a table is split into at most, unless ranges of `TASK_ROWS` / 2 rows take more: beyond them smaller
+# tasks cost more than they save.
+RANGES = 512
+
 _COMBINE = {
     "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0.0)) + b),
     "count": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + b),
@@ -48,7 +53,7 @@ def ordered_prefix(
     count (a sum of whole numbers), min, max. `order` must be numeric, not null,
     and unique within the group. `df` should come from stored data (see
     `session.materialize`): it is read once to size the groups, unless `largest`
-    is given, and once to run.
+    is given, and once to run; to be split it is counted, sampled and stored.
     """
     if largest is None:
         largest = largest_group(df, by)
@@ -57,12 +62,10 @@ def ordered_prefix(
         w = W.partitionBy(*by).orderBy(direction).rowsBetween(W.unboundedPreceding, W.currentRow)
         return df.select("*", *[_COMBINE[k][0](c).over(w).alias(out) for out, (k, c) in measures.items()])
 
-    ranges = max(2, math.ceil(2 * largest / task_rows))
-    cuts = [i / ranges for i in range(1, ranges)]
-    bounds = df.groupBy(*by).agg(F.percentile_approx(order, cuts, 100 * ranges).alias("_cuts"))
-    ranged = df.join(small_side(bounds), by).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c < F.col(order))) * F.lit(-1 if descending else 1)
-    ).drop("_cuts")
+    total = df.count()
+    ranges = max(2, min(math.ceil(2 * total / task_rows), max(RANGES, math.ceil(2 * total / TASK_ROWS))))
+    # Ranges of (group, value) of like sizes; stored, as another run might draw other bounds.
+    ranged = materialize(df.repartitionByRange(ranges, *by, direction).withColumn("_range", F.spark_partition_id()))
     totals = ranged.groupBy(*by, "_range").agg(
         *[_COMBINE[k][0](c).alias(f"_t_{out}") for out, (k, c) in measures.items()]
     )
@@ -229,7 +232,7 @@ def percentile_ci(df: DataFrame, by: list[str], value: str, points: dict[str, fl
     inside = rows.filter("_v is not null").join(small_side(brackets), keys)
     below = inside.filter("_v < low").groupBy(*keys, "point").agg(F.count(F.lit(1)).alias("_below"))
     kept = materialize(inside.filter("_v between low and high").groupBy(*keys, "point", "_v").agg(F.count(F.lit(1)).alias("_k")))
-    order = ordered_prefix(kept, [*keys, "point"], "_v", {"_seen": ("count", "_k")}, task_rows=max(task_rows, 2))
+    order = ordered_prefix(kept, [*keys, "point"], "_v", {"_seen": ("count", "_k")})
     ranked = order.join(small_side(brackets.join(below, [*keys, "point"], "left")), [*keys, "point"])
     seen = F.col("_seen") + F.coalesce("_below", F.lit(0))
     place = F.col("f") * (F.col("_n") - 1)

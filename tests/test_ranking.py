@@ -126,3 +126,14 @@ def test_weights_capped_either_way(spark, rng):
     rows = spark.createDataFrame([(float(v),) for v in rng.exponential(size=500)], "weight double")
     a, b = (sorted(r.weight for r in K.capped_weights(rows, task_rows=t).collect()) for t in (10**6, 0))
     assert a == pytest.approx(b, abs=1e-12)
+
+
+def test_split_is_bounded_and_needs_no_cuts(spark, rng, monkeypatch):
+    """Wishes for tiny tasks end in at most `RANGES` ranges of any group; no row looks through a list of cuts."""
+    monkeypatch.setattr(K, "RANGES", 16)
+    pdf = pd.DataFrame({"g": np.repeat(["a", "b", "c"], [3000, 5, 300]), "x": rng.permutation(3305).astype(float), "one": 1})
+    split = K.ordered_prefix(spark.createDataFrame(pdf), ["g"], "x", {"n": ("count", "one")}, task_rows=4)
+    plan = split._jdf.queryExecution().toString()
+    assert "percentile_approx" not in plan and "_cuts" not in plan
+    want = pdf.assign(n=pdf.groupby("g").x.rank().astype(int))
+    assert sorted(map(tuple, split.select("g", "x", "n").collect())) == sorted(map(tuple, want[["g", "x", "n"]].to_numpy()))
