@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dyadic.functions import columns as C
 from dyadic.functions.tails import clean_nan, f_upper_udf, t_two_sided_udf
@@ -157,9 +158,17 @@ def keyed_place(place: Column, rep: Column, n: int, seed: int) -> Column:
     return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("a permuted place stayed out of range")).cast("bigint"))
 
 
+def _spread(numbered: DataFrame, *keys: str) -> DataFrame:
+    """Numbered rows over all tasks again: up to `TASK_ROWS` of them leave `hash_position` in one task."""
+    spark = numbered.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return numbered.repartition(tasks, *keys)
+
+
 def _placed(subjects: DataFrame, seed: int, subject: str, n: int) -> DataFrame:
     """Rows with `_at`, their place from 0 in the order of the hash of their subject."""
-    return hash_position(subjects, [], draw(seed, F.col(subject)), "_at", subject, rows=n).withColumn("_at", F.col("_at").cast("bigint") - 1)
+    placed = hash_position(subjects, [], draw(seed, F.col(subject)), "_at", subject, rows=n)
+    return _spread(placed.withColumn("_at", F.col("_at").cast("bigint") - 1), "_at")
 
 
 def permutation_grid(subjects: DataFrame, replicates: int, seed: int = 42, subject: str = "subject_id",
@@ -167,14 +176,24 @@ def permutation_grid(subjects: DataFrame, replicates: int, seed: int = 42, subje
     """(rep, subject, label) with a 0/1 label shuffled over the subjects; rep 0 is the observed labelling.
 
     Subjects are numbered once. A label follows from the permuted number, so the rows of the grid are neither sorted nor
-    shuffled; tests that only need sums take `label_sums`, which makes no such rows.
+    shuffled; tasks compute them in blocks of replicates from their subjects' places. Tests that only need sums take
+    `label_sums`, which makes no such rows.
     """
     counts = subjects.agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("ones")).first()
     n = counts["n"]
-    placed = materialize(_placed(subjects.select(subject), seed, subject, n))
-    rows = placed.select(subject, "_at", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep"))
-    permuted = keyed_place(F.col("_at"), F.col("rep"), max(n, 1), seed)
-    shuffled = rows.select("rep", subject, (permuted < int(counts["ones"] or 0)).cast("int").alias(label))
+    ones, keys = int(counts["ones"] or 0), permutation_keys(replicates, seed)
+
+    def run(batches):
+        for pdf in batches:
+            at = pdf["_at"].to_numpy()
+            step = max(1, _LABEL_CELLS // max(len(at), 1))
+            for lo in range(1, replicates + 1, step):
+                labels = keyed_places(at, keys[lo:lo + step], n) < ones
+                yield pd.DataFrame({"rep": np.repeat(np.arange(lo, lo + len(labels), dtype=np.int32), len(at)),
+                                    subject: np.tile(pdf[subject].to_numpy(), len(labels)), label: labels.ravel().astype(np.int32)})
+
+    schema = T.StructType([T.StructField("rep", T.IntegerType()), subjects.schema[subject], T.StructField(label, T.IntegerType())])
+    shuffled = _placed(subjects.select(subject), seed, subject, n).mapInPandas(run, schema)
     observed = subjects.select(F.lit(0).alias("rep"), subject, F.col(label).cast("int").alias(label))
     return observed.unionByName(shuffled)
 
@@ -212,7 +231,7 @@ def bootstrap_counts(subjects: DataFrame, replicates: int, seed: int = 42, subje
                      by: list[str] | None = None) -> DataFrame:
     """(rep, *by, subject, copies): with-replacement draws of whole subjects, per group if `by` is given."""
     by = by or []
-    numbered = hash_position(subjects.select(*by, subject), by, draw(seed, F.col(subject)), "_at", subject)
+    numbered = _spread(hash_position(subjects.select(*by, subject), by, draw(seed, F.col(subject)), "_at", subject), *by, "_at")
     sizes = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")) if by else None
     if by:
         slots = numbered.join(F.broadcast(sizes), by)  # one row per group label

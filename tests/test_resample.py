@@ -154,3 +154,16 @@ def test_ttest_and_hotelling(spark, rng):
     assert t.t_stat == pytest.approx((a.mean() - b.mean()) / np.sqrt(pooled * (1 / len(a) + 1 / len(b))))
     one = vectors(spark, x[:, :1], label=g)
     assert R.hotelling_t2(one).first().p_val == pytest.approx(t.p_val)
+
+
+def test_numbered_subjects_leave_one_task(spark):
+    """Replicates are laid out by several tasks, with the labels of the column form."""
+    s = spark.range(400).select(F.col("id").alias("subject_id"), (F.col("id") % 3 == 0).cast("int").alias("label"))
+    tasks = lambda df: df.filter("rep > 0").select(F.spark_partition_id().alias("p")).distinct().count()
+    grid = R.permutation_grid(s, 5)
+    assert tasks(grid) > 1
+    placed = R._placed(s.select("subject_id"), 42, "subject_id", 400)
+    assert placed.select(F.spark_partition_id()).distinct().count() > 1
+    want = placed.crossJoin(spark.range(1, 6).withColumnRenamed("id", "rep")).select(
+        "rep", "subject_id", (R.keyed_place(F.col("_at"), F.col("rep"), 400, 42) < 134).cast("int"))
+    assert sorted(map(tuple, grid.filter("rep > 0").collect())) == sorted(map(tuple, want.collect()))
