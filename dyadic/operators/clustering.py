@@ -15,7 +15,7 @@ from dyadic.operators.moments import vector_width
 from dyadic.operators.multivariate import adjusted_rand
 from dyadic.operators.resample import bootstrap_counts
 from dyadic.operators.ranking import top_n
-from dyadic.session import collect_bounded, materialize
+from dyadic.session import collect_bounded, materialize, spread
 
 VARIANCE_FLOOR = 1e-6
 
@@ -48,6 +48,8 @@ class Mixture:
 def _sums(points: DataFrame, mix: Mixture, hard: bool, weights: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """One pass for all models: component weights, first and second moments, log-likelihoods.
 
+    A task returns one row of m k (2 d + 1) + m sums, whatever its rows; they are added on the driver.
+
     `w` of `points` has `weights` entries; each is used by as many consecutive models of `mix` as that takes.
     """
     m, k, d = mix.mean.shape
@@ -69,13 +71,11 @@ def _sums(points: DataFrame, mix: Mixture, hard: bool, weights: int) -> tuple[np
             flat = resp.reshape(len(x), m * k)
             total += np.concatenate(
                 [flat.sum(axis=0), (flat.T @ x).ravel(), (flat.T @ x**2).ravel(), (norm * w).sum(axis=0)])
-        yield pd.DataFrame({"slot": np.arange(len(total), dtype=np.int32), "value": total})
+        yield pd.DataFrame({"sums": [total.tobytes()]})
 
-    parts = points.select("z", "w").mapInPandas(per_batch, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("v"))
-    size = m * k * (1 + 2 * d) + m
-    out = np.zeros(size)
-    for row in collect_bounded(parts, size, "mixture sums"):
-        out[row["slot"]] = row["v"]
+    # One row of sums per task, added up here: a round is one short job without a shuffle.
+    parts = points.select("z", "w").mapInPandas(per_batch, "sums binary").collect()
+    out = np.sum([np.frombuffer(row["sums"]) for row in parts], axis=0)
     cut = m * k
     return (out[:cut].reshape(m, k), out[cut : cut + cut * d].reshape(m, k, d),
             out[cut + cut * d : cut + 2 * cut * d].reshape(m, k, d), out[-m:])
@@ -109,10 +109,13 @@ def _farthest(points: DataFrame, mix: Mixture, take: np.ndarray, seed: int, step
             rate = w if first else w * mix.gaps(x).min(axis=2)
             with np.errstate(divide="ignore"):
                 key = np.where(rate > 0, -np.log(np.stack(pdf["u"].to_numpy())) / rate, np.inf)
-            for i in range(m):
-                for at in np.argsort(key[:, i], kind="stable")[: take[i]]:
-                    if np.isfinite(key[at, i]):
-                        yield pd.DataFrame({"model": np.array([i], dtype=np.int32), "key": key[at, i], "id": [pdf["id"].iloc[at]], "z": [x[at]]})
+            least = [np.argsort(key[:, i], kind="stable")[: take[i]] for i in range(m)]
+            model = np.repeat(np.arange(m, dtype=np.int32), [len(at) for at in least])
+            at = np.concatenate(least)
+            kept = np.isfinite(key[at, model])
+            model, at = model[kept], at[kept]
+            if len(at):
+                yield pd.DataFrame({"model": model, "key": key[at, model], "id": pdf["id"].iloc[at].to_numpy(), "z": list(x[at])})
 
     schema = T.StructType([T.StructField("model", T.IntegerType()), T.StructField("key", T.DoubleType()),
                            T.StructField("id", id_type), T.StructField("z", T.ArrayType(T.DoubleType()))])
@@ -222,7 +225,8 @@ def cluster_archetypes(deltas: DataFrame, k_grid=(2, 3, 4, 5), bootstrap: int =
     Passes with at least three clusters, mean ARI of at least .5 and every cluster
     of `min_size` subjects or more. `converged` says whether all fits settled.
     """
-    base = deltas.select(subject, F.transform(vector, lambda v: v.cast("double")).alias("z"))
+    # Stored once, over all tasks: every pass reads the rows again, and a small table or a coalesced join is one task's.
+    base = materialize(spread(deltas.select(subject, F.transform(vector, lambda v: v.cast("double")).alias("z")), subject))
     n = base.count()
     ks = [k for k in k_grid if k < n]
     grid = base.withColumn("w", F.array(*[F.lit(1.0) for _ in ks])).persist(StorageLevel.MEMORY_AND_DISK)
@@ -235,9 +239,9 @@ def cluster_archetypes(deltas: DataFrame, k_grid=(2, 3, 4, 5), bootstrap: int =
 
     copies = bootstrap_counts(base.select(subject), bootstrap, seed, subject)
     weights = copies.groupBy(subject).agg(F.map_from_entries(F.collect_list(F.struct("rep", "copies"))).alias("_c"))
-    resampled = base.join(weights, subject, "left").select(
+    resampled = spread(base.join(weights, subject, "left").select(
         subject, "z", F.array(*[F.coalesce(F.element_at("_c", F.lit(r + 1)), F.lit(0)).cast("double") for r in range(bootstrap)]).alias("w")
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    ), subject).persist(StorageLevel.MEMORY_AND_DISK)
     boot, _, boot_settled = fit_mixtures(resampled, [ks[best]] * bootstrap, seed + 1, subject)
     tagged = assign(resampled, boot, [subject, "w"], "boot").select(
         subject, F.posexplode(F.arrays_zip("boot", "w")).alias("rep", "_bw")).select(

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from dyadic.functions import columns as C
 from dyadic.functions.tails import clean_nan, f_upper_udf, t_two_sided_udf
 from dyadic.operators.moments import covariance, cross_product, vector_mean, vector_width
-from dyadic.session import TASK_ROWS, materialize, small_side
+from dyadic.session import TASK_ROWS, materialize, small_side, spread
 
 # Leading hex digits of a hash used to split one replicate's sort: 16^3 ranges of equal width.
 _RANGE_DIGITS = 3
@@ -158,17 +158,10 @@ def keyed_place(place: Column, rep: Column, n: int, seed: int) -> Column:
     return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("a permuted place stayed out of range")).cast("bigint"))
 
 
-def _spread(numbered: DataFrame, *keys: str) -> DataFrame:
-    """Numbered rows over all tasks again: up to `TASK_ROWS` of them leave `hash_position` in one task."""
-    spark = numbered.sparkSession
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return numbered.repartition(tasks, *keys)
-
-
 def _placed(subjects: DataFrame, seed: int, subject: str, n: int) -> DataFrame:
     """Rows with `_at`, their place from 0 in the order of the hash of their subject."""
     placed = hash_position(subjects, [], draw(seed, F.col(subject)), "_at", subject, rows=n)
-    return _spread(placed.withColumn("_at", F.col("_at").cast("bigint") - 1), "_at")
+    return spread(placed.withColumn("_at", F.col("_at").cast("bigint") - 1), "_at")
 
 
 def permutation_grid(subjects: DataFrame, replicates: int, seed: int = 42, subject: str = "subject_id",
@@ -231,7 +224,7 @@ def bootstrap_counts(subjects: DataFrame, replicates: int, seed: int = 42, subje
                      by: list[str] | None = None) -> DataFrame:
     """(rep, *by, subject, copies): with-replacement draws of whole subjects, per group if `by` is given."""
     by = by or []
-    numbered = _spread(hash_position(subjects.select(*by, subject), by, draw(seed, F.col(subject)), "_at", subject), *by, "_at")
+    numbered = spread(hash_position(subjects.select(*by, subject), by, draw(seed, F.col(subject)), "_at", subject), *by, "_at")
     sizes = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")) if by else None
     if by:
         slots = numbered.join(F.broadcast(sizes), by)  # one row per group label

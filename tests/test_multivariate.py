@@ -251,3 +251,28 @@ def test_mixture_seeding_of_few_distinct_rows(spark):
     mean = clustering.seed_means(points, [3], 5, 1, "subject_id")
     assert mean.shape == (1, 3, 2) and np.isfinite(mean).all() and mean.max() <= 1.0
     assert np.isfinite(clustering.fit_mixtures(points, [3])[1]).all()
+
+
+def test_mixture_rounds_use_all_tasks_and_no_shuffle(spark, rng):
+    """The sums of one round equal numpy's, however the rows are spread, and come without a shuffle."""
+    from dyadic.operators import clustering as C
+    from dyadic.session import spread
+
+    x = rng.normal(size=(90, 3))
+    points = vectors(spark, x).coalesce(1).withColumn("w", F.array(F.lit(1.0)))
+    assert spread(points, "subject_id").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    mix = C.Mixture(np.log(np.full((1, 2), 0.5)), x[None, :2].copy(), np.ones((1, 2, 3)))
+    whole, wide = C._sums(points, mix, False, 1), C._sums(spread(points, "subject_id"), mix, False, 1)
+    joint = mix.log_joint(x)[:, 0]
+    resp = np.exp(joint - np.log(np.exp(joint).sum(axis=1, keepdims=True)))
+    for got in (whole, wide):
+        assert np.allclose(got[0][0], resp.sum(axis=0)) and np.allclose(got[1][0], resp.T @ x)
+        assert np.allclose(got[2][0], resp.T @ x**2) and np.allclose(got[3][0], np.log(np.exp(joint).sum(axis=1)).sum())
+    seen = []
+    run = type(points).mapInPandas
+    try:
+        type(points).mapInPandas = lambda self, *a, **k: seen.append(run(self, *a, **k)) or seen[-1]
+        C._sums(points, mix, True, 1)
+    finally:
+        type(points).mapInPandas = run
+    assert seen[0].dtypes == [("sums", "binary")]
