@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -12,6 +14,9 @@ from dyadic.operators.ranking import average_rank, capped_weights
 from dyadic.operators.resample import draw, draw_integer, hash_position
 from dyadic.session import materialize
 
+# Training rows worth a task of their own.
+_FIT_ROWS = 4096
+
 
 def auc(scored: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
     """Area under the ROC curve per group from average ranks."""
@@ -37,6 +42,16 @@ def _balanced(rows: DataFrame, label: str = "label") -> DataFrame:
     return rows.withColumn("_weight", weight)
 
 
+def _laid_out(rows: DataFrame, n: int, id_col: str) -> DataFrame:
+    """The n rows over all cores, in tasks and an order that reruns on as many cores repeat.
+
+    Every task of a forest's level passes on the sums of all its nodes, however few rows it has, so more tasks than cores
+    cost more than they save. Bags are drawn by task and row, so the layout decides which forest is grown.
+    """
+    tasks = min(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(n / _FIT_ROWS))
+    return rows.repartition(max(tasks, 1), id_col).sortWithinPartitions(id_col)
+
+
 def domain_classifier(rows: DataFrame, k: int = 5, seed: int = 42, trees: int = 500, depth: int = 20,
                       bootstrap: int = 2000, id_col: str = "sample_id", vector: str = "z") -> dict[str, DataFrame]:
     """Balanced logistic regression and random forest telling cohort 1 from cohort 0.
@@ -45,10 +60,10 @@ def domain_classifier(rows: DataFrame, k: int = 5, seed: int = 42, trees: int =
     interval with the larger mean AUC, coefficients and importances by position,
     and the final logistic probabilities.
     """
-    prepared = materialize(
-        stratified_folds(rows, k, seed, id_col).withColumn(
-            "features", array_to_vector(F.transform(vector, lambda v: v.cast("double"))))
-    )
+    stored = materialize(rows)
+    placed = stratified_folds(stored, k, seed, id_col).withColumn(
+        "features", array_to_vector(F.transform(vector, lambda v: v.cast("double"))))
+    prepared = materialize(_laid_out(placed, stored.count(), id_col))
 
     def logistic(n: int):
         # One penalty unit over the summed loss, as weights add up to n.
@@ -59,15 +74,16 @@ def domain_classifier(rows: DataFrame, k: int = 5, seed: int = 42, trees: int =
     def forest(_n: int):
         return RandomForestClassifier(
             featuresCol="features", labelCol="label", weightCol="_weight", numTrees=trees, maxDepth=depth, seed=seed,
-            featureSubsetStrategy="sqrt", maxMemoryInMB=512)
+            featureSubsetStrategy="sqrt", maxMemoryInMB=512, cacheNodeIds=True)
 
     scored = None
     for name, build in (("lr", logistic), ("rf", forest)):
         for fold in range(k):
             train = _balanced(prepared.filter(F.col("fold") != fold))
             model = build(train.count()).fit(train)
-            part = model.transform(prepared.filter(F.col("fold") == fold)).select(
-                id_col, "label", "fold", F.lit(name).alias("model"), vector_to_array("probability")[1].alias("score"))
+            # Stored model by model: in one plan of all parts every task would load all models.
+            part = materialize(model.transform(prepared.filter(F.col("fold") == fold)).select(
+                id_col, "label", "fold", F.lit(name).alias("model"), vector_to_array("probability")[1].alias("score")))
             scored = part if scored is None else scored.unionByName(part)
     folds = materialize(auc(scored, ["model", "fold"]))
     everything = _balanced(prepared)

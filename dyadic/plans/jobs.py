@@ -98,13 +98,12 @@ def shift_gate(a: DataFrame, b: DataFrame, top: int = 2000, minimum: int = 3000,
     `a`, `b`: paired observations. Features are ranked per cohort, intersected, and
     subjects with a complete row are used.
     """
-    deltas = []
-    for obs in (a, b):
-        delta = pairing.paired_delta(obs).select("subject_id", "feature_id", F.col("delta").alias("value"))
-        deltas.append(materialize(selection.keep_features(delta, selection.topk_variance(delta, top))))
-    shared = materialize(pairing.feature_intersection(deltas[0], deltas[1], minimum))
+    deltas = [materialize(pairing.paired_delta(obs).select("subject_id", "feature_id", F.col("delta").alias("value")))
+              for obs in (a, b)]
+    panels = [materialize(selection.topk_variance(d, top)) for d in deltas]
+    shared = materialize(pairing.feature_intersection(panels[0], panels[1], minimum))
     p = shared.count()
-    stacked = pairing.union_tagged({i: selection.zscale(d.join(shared, "feature_id", "left_semi")) for i, d in enumerate(deltas)}, "label")
+    stacked = pairing.union_tagged({i: selection.zscale(selection.keep_features(d, shared)) for i, d in enumerate(deltas)}, "label")
     rows = tables.to_vectors(stacked.withColumn("sample_id", F.concat_ws("-", "label", "subject_id")))
     rows = rows.filter(F.size("z") == p).withColumn("label", F.substring_index("sample_id", "-", 1).cast("int"))
     out = domain.domain_classifier(rows, seed=seed, trees=trees, bootstrap=bootstrap)
