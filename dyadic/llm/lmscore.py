@@ -7,14 +7,13 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dyadic.session import collect_bounded, materialize
+from dyadic.session import materialize
 
 ORDER = 2
 # Weight of the shorter context in a smoothed probability: the best of 1, 4, 16, 64 and 256, fitted and measured inside the
@@ -23,16 +22,17 @@ PRIOR = 256.0
 # The end of a text as a token; no word holds a line break.
 END = "\n"
 SEED = 42
-# A part of the filter: words of 64 bits, 1 MB in all.
-PART_WORDS = 1 << 17
-# Bits of the filter for each insertion that the corpus can need at most, and bits that an insertion sets.
+# A part of the filter: words of 64 bits, 1 MB in all, or more if its insertions need it; and bytes of text for each part.
+PART_WORDS, PART_TEXT = 1 << 17, 8 << 20
+# Least bits of the filter for each insertion, and bits that an insertion sets.
 BITS, SET = 6, 3
-# The filter is broadcast up to this size; beyond it the probes are shuffled to the parts.
-FILTER_BYTES = 128 << 20
-# Words with more than one token in so many are broadcast with their exact counts, at most as many; none longer than that.
-HEAVY_WORDS, HEAVY_CHARS = 1 << 18, 256
-# Bytes of text that a task works on at a time.
-SLICE = 4 << 20
+# Bits of the hash that tell the n-grams of a part apart: one equals another of a million with a chance of 1 in 4,000, far
+# below the filter's chance hits. Words keep all 64 bits.
+LOW = 32
+# Counts from here on take eight bytes instead of one.
+MANY = 255
+# Bytes of text that a task works on at a time, and how hard they are compressed to travel.
+SLICE, ZSTD = 8 << 20, 9
 
 _GOLD, _M1, _M2 = (np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -86,36 +86,38 @@ def gram_hashes(tokens: Tokens, hashes: np.ndarray, order: int) -> list[np.ndarr
 
 
 def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return ((hashes >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+    return ((hashes >> np.uint64(LOW)) % np.uint64(parts)).astype(np.int64)
 
 
-def _cells(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word within the part and its bits that the event (n-gram, level) sets."""
+def _cells(hashes: np.ndarray, level: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word within a part of `size` words and its bits that the event (n-gram, level) sets."""
     event = _mix(hashes + np.full(1, level, np.uint64) * _GOLD)
     mask = np.zeros(len(event), np.uint64)
     for i in range(SET):
         mask |= np.uint64(1) << ((event >> np.uint64(20 + 6 * i)) & np.uint64(63))
-    return (event & np.uint64(PART_WORDS - 1)).astype(np.int64), mask
+    return ((event >> np.uint64(38)) % np.uint64(size)).astype(np.int64), mask
 
 
 def fill_part(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """One part of the filter: an n-gram of count c is there at levels 1 to q = the binary digits of c."""
-    bits = np.zeros(PART_WORDS, np.uint64)
     levels = np.frexp(counts.astype(np.float64))[1]
+    bits = np.zeros(max(PART_WORDS, math.ceil(int(levels.sum()) * BITS / 64)), np.uint64)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        at, mask = _cells(hashes[levels >= level], level)
+        at, mask = _cells(hashes[levels >= level], level, len(bits))
         np.bitwise_or.at(bits, at, mask)
     return bits
 
 
-def probe(bits: np.ndarray, offset: np.ndarray | int, hashes: np.ndarray) -> np.ndarray:
-    """Level of each n-gram: probes go up from level 1 until one misses. Never too low; too high only by chance hits."""
+def probe(bits: np.ndarray, offset: int, hashes: np.ndarray) -> np.ndarray:
+    """Level of each n-gram: probes go up from level 1 until one misses. Never too low; too high only by chance hits.
+
+    The part begins at `offset` of `bits` and reaches to the end.
+    """
     found = np.zeros(len(hashes), np.int64)
     left, level = np.arange(len(hashes)), 1
-    offset = np.broadcast_to(np.asarray(offset), len(hashes))
     while len(left):
-        at, mask = _cells(hashes[left], level)
-        left = left[(bits[offset[left] + at] & mask) == mask]
+        at, mask = _cells(hashes[left], level, len(bits) - offset)
+        left = left[(bits[offset + at] & mask) == mask]
         found[left] = level
         level += 1
     return found
@@ -151,218 +153,229 @@ def learns(doc_id: Column, fold: int = 2, folds: int = 7) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds != fold, F.lit(True))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n_all, n): tokens of each word in all rows of `docs` (text, learn) and in those that teach."""
-
-    def run(batches):
-        for batch in _slices(batches):
-            tokens = tokens_of(batch.column("text"))
-            learn = batch.column("learn").to_numpy(zero_copy_only=False)[tokens.doc]
-            n = [np.bincount(c, minlength=len(tokens.words)) for c in (tokens.codes, tokens.codes[learn])]
-            yield pa.RecordBatch.from_arrays([tokens.words.cast(pa.string()), *map(pa.array, n)], names=["word", "n_all", "n"])
+class Grams(NamedTuple):
+    """The different words and longer n-grams of a slice, part by part.
 
-    partial = docs.select("text", "learn").mapInArrow(run, "word string, n_all long, n long")
-    return partial.groupBy("word").agg(F.sum("n_all").alias("n_all"), F.sum("n").alias("n"))
+    `words` orders the codes of `tokens` by part; `keys` holds part and low hash bits of the longer n-grams, ascending; the
+    bounds say where each part begins. For each longer length, `at` has the tokens that end an n-gram and its place in `keys`.
+    """
 
+    tokens: Tokens
+    hashes: np.ndarray
+    words: np.ndarray
+    word_bounds: np.ndarray
+    keys: np.ndarray
+    key_bounds: np.ndarray
+    at: list[tuple[np.ndarray, np.ndarray]]
 
-def filter_parts(docs: DataFrame, words: DataFrame, parts: int, order: int) -> DataFrame:
-    """(part, bits) of the filter over the rows of `docs` that teach and the counts of their single words.
 
-    An n-gram belongs to the part that its hash names, so a part is filled from one bounded group of counts.
+def grams_of(texts: pa.Array, order: int, parts: int) -> Grams:
+    tokens = tokens_of(texts)
+    hashes = word_hashes(tokens.words)
+    part = part_of(hashes, parts)
+    words = np.argsort(part, kind="stable")
+    keys, ends = [np.zeros(0, np.uint64)], []
+    for k, h in enumerate(gram_hashes(tokens, hashes, order)):
+        if k:
+            ends.append(np.flatnonzero(tokens.place >= k))
+            h = h[ends[-1]]
+            keys.append(part_of(h, parts).astype(np.uint64) << np.uint64(LOW) | h & np.uint64((1 << LOW) - 1))
+    own, index = np.unique(np.concatenate(keys), return_inverse=True)
+    index = np.split(index, np.cumsum([len(e) for e in ends])[:-1]) if ends else []
+    return Grams(tokens, hashes, words, np.searchsorted(part[words], np.arange(parts + 1)), own,
+                 np.searchsorted(own, np.arange(parts + 1, dtype=np.uint64) << np.uint64(LOW)), list(zip(ends, index)))
+
+
+def _cut(values: np.ndarray, bounds: np.ndarray, width: int) -> pa.Array:
+    """Pieces of an array as binary cells, an entry taking `width` bytes."""
+    offsets = (bounds * width).astype(np.int64)
+    data = np.ascontiguousarray(values).view(np.uint8)
+    cells = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    return cells.cast(pa.binary())
+
+
+def _joined(cells: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all cells and where each begins; none is null."""
+    cells = cells.combine_chunks() if isinstance(cells, pa.ChunkedArray) else cells
+    cells = cells.cast(pa.large_binary())
+    if not len(cells):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    at = np.frombuffer(cells.buffers()[1], np.int64)[cells.offset:cells.offset + len(cells) + 1]
+    data = cells.buffers()[2]
+    data = np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)[at[0]:at[-1]]
+    return data, at - at[0]
+
+
+def slice_name(batch: pa.RecordBatch) -> bytes:
+    """128 bits of what the rows of a slice hold and of their order, so that a slice is known again when read again."""
+    name = xxhash.xxh3_128()
+    for cells, blank in ((batch.column("doc_id").cast(pa.string()), ""), (batch.column("text"), "")):
+        name.update(np.packbits(cells.is_null().to_numpy(zero_copy_only=False)).tobytes())
+        data, at = _joined(pc.fill_null(cells, blank))
+        name.update(at.tobytes())
+        name.update(data.tobytes())
+    return name.digest()
+
+
+_COUNTED = "slice binary, part long, words binary, word_counts binary, grams binary, gram_counts binary"
+
+
+def gram_counts(docs: DataFrame, parts: int, order: int) -> DataFrame:
+    """For each slice of `docs` (doc_id, text, learn) and part: the hashes of its n-grams and how often each occurs in rows that teach.
+
+    A count takes a byte. What goes beyond MANY follows in rows without a slice, with eight bytes for each count.
     """
 
     def run(batches):
         for batch in _slices(batches):
-            tokens = tokens_of(batch.column("text"))
-            grams = gram_hashes(tokens, word_hashes(tokens.words), order)
-            made = [np.unique(g[tokens.place >= k], return_counts=True) for k, g in enumerate(grams) if k]
-            for h, n in made:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part_of(h, parts)), pa.array(h.view(np.int64)), pa.array(n)], names=["part", "h", "n"])
-
-    single = words.filter("n > 0").select(F.xxhash64("word").alias("h"), "n")
-    # As `part_of`, for a hash that Spark holds as a signed number.
-    single = single.select((F.shiftrightunsigned("h", 40) % parts).alias("part"), "h", "n")
-    longer = docs.filter("learn").select("text").mapInArrow(run, "part long, h long, n long")
-    counted = longer.unionByName(single).repartition(parts, "part").groupBy("part", "h").agg(F.sum("n").alias("n"))
-
-    def fill(group: pd.DataFrame) -> pd.DataFrame:
-        bits = fill_part(group["h"].to_numpy().view(np.uint64), group["n"].to_numpy())
-        return pd.DataFrame({"part": group["part"].iloc[:1], "bits": [bits.tobytes()]})
-
-    return counted.groupBy("part").applyInPandas(fill, "part long, bits binary")
-
-
-def _score_slice(texts: pa.Array, bits: np.ndarray, parts: int, order: int, prior: float, n: int, v: int):
-    """(tokens, score of each text) with the whole filter at hand."""
-    tokens = tokens_of(texts)
-    hashes = word_hashes(tokens.words)
-    grams = gram_hashes(tokens, hashes, order)
-    known = probe(bits, part_of(hashes, parts) * PART_WORDS, hashes)[tokens.codes]
+            grams = grams_of(batch.column("text"), order, parts)
+            learn = batch.column("learn").to_numpy(zero_copy_only=False)[grams.tokens.doc]
+            words = np.bincount(grams.tokens.codes[learn], minlength=len(grams.words))[grams.words]
+            longer = np.zeros(len(grams.keys), np.int64)
+            for end, index in grams.at:
+                longer += np.bincount(index[learn[end]], minlength=len(longer))
+            hashes = grams.hashes[grams.words]
+            w, k = grams.word_bounds, grams.key_bounds
+            for name, kind in ((slice_name(batch), np.uint8), (None, np.int64)):
+                if name is None:
+                    words, longer = np.maximum(words - MANY, 0), np.maximum(longer - MANY, 0)
+                    more = [np.append(0, np.cumsum(c > 0)) for c in (words, longer)]
+                    w, k = more[0][w], more[1][k]
+                    hashes, keys = hashes[words > 0], grams.keys[longer > 0]
+                    words, longer = words[words > 0], longer[longer > 0]
+                    cells = (words, longer)
+                else:
+                    keys, cells = grams.keys, (np.minimum(words, MANY), np.minimum(longer, MANY))
+                used = np.flatnonzero((np.diff(w) > 0) | (np.diff(k) > 0))
+                if len(used):
+                    size = np.dtype(kind).itemsize
+                    columns = [pa.array([name] * parts, pa.binary()), pa.array(np.arange(parts)), _cut(hashes, w, 8),
+                               _cut(cells[0].astype(kind), w, size), _cut(keys.astype("<u4"), k, 4), _cut(cells[1].astype(kind), k, size)]
+                    yield pa.RecordBatch.from_arrays(
+                        [c.take(pa.array(used)) for c in columns], names=["slice", "part", "words", "word_counts", "grams", "gram_counts"])
+
+    return docs.select("doc_id", "text", "learn").mapInArrow(run, _COUNTED)
+
+
+_LEVELS = "slice binary, part long, word_counts binary, many_counts binary, word_levels binary, gram_levels binary, n long, v long"
+
+
+def fill_and_probe(rows: pa.Table) -> pa.Table:
+    """One part of the filter, filled from all counts of its n-grams and probed for each slice: a row per slice and one of totals.
+
+    Levels and exact counts of words take a byte each, in the order of the slice's hashes; counts of MANY or more are MANY
+    there and stand in `many_counts`. The totals are the tokens and the different words of the rows that teach.
+    """
+    asked, rest = rows.filter(pc.is_valid(rows["slice"])), rows.filter(pc.is_null(rows["slice"]))
+    found, filled, out = [], [], [asked["slice"].combine_chunks(), asked["part"].combine_chunks()]
+    for hashes, counts in (("words", "word_counts"), ("grams", "gram_counts")):
+        kind = "<u8" if hashes == "words" else "<u4"
+        h, at = zip(*(_joined(t[hashes]) for t in (asked, rest)))
+        n, bounds = zip(*(_joined(t[counts]) for t in (asked, rest)))
+        own, index = np.unique(np.concatenate([x.view(kind) for x in h]).astype(np.uint64), return_inverse=True)
+        total = np.bincount(index, np.concatenate([n[0].astype(np.float64), n[1].view(np.int64)]), len(own))
+        found.append((own, index[:len(n[0])], total, bounds[0]))
+    known = [np.concatenate([f[i][f[2] > 0] for f in found]) for i in (0, 2)]
+    bits = fill_part(*known)
+    for i, (own, index, total, bounds) in enumerate(found):
+        if i == 0:
+            each = total.astype(np.int64)[index]
+            out += [_cut(np.minimum(each, MANY).astype(np.uint8), bounds, 1), _cut(each[each >= MANY], np.append(0, np.cumsum(each >= MANY))[bounds], 8)]
+            tokens, distinct = int(total.sum()), int((total > 0).sum())
+        out.append(_cut(probe(bits, 0, own).astype(np.uint8)[index], bounds, 1))
+    names = ["slice", "part", "word_counts", "many_counts", "word_levels", "gram_levels", "n", "v"]
+    none = pa.nulls(len(out[0]), pa.int64())
+    total = [pa.nulls(1, c.type) for c in out] + [pa.array([tokens]), pa.array([distinct])]
+    return pa.concat_tables([pa.table([*out, none, none], names), pa.table(total, names)])
+
+
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each slice as one row: its name and its rows, compressed."""
+    for batch in _slices(batches):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=ZSTD))) as stream:
+            stream.write_batch(batch)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([slice_name(batch)], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["slice", "rows"])
+
+
+def _log_probs(grams: Grams, word_levels: np.ndarray, gram_levels: np.ndarray, prior: float, n: int, v: int) -> np.ndarray:
+    """log10 of the smoothed probability of each token."""
+    known = word_levels[grams.tokens.codes]
     p = unigram(known, n, v)
-    for k in range(1, order):
-        at = np.flatnonzero(tokens.place >= k)
-        h = grams[k][at]
+    for at, index in grams.at:
         level = np.zeros_like(known)
         # An n-gram is never more frequent than what it is made of.
-        level[at] = np.minimum(probe(bits, part_of(h, parts) * PART_WORDS, h), np.minimum(known[at], known[at - 1]))
+        level[at] = np.minimum(gram_levels[index], np.minimum(known[at], known[at - 1]))
         p[at] = step(p[at], level[at], known[at - 1], prior)
         known = level
-    return tokens, np.bincount(tokens.doc, weights=np.log10(p), minlength=len(texts))
-
-
-def _rows(heavy: pd.DataFrame, score):
-    """Rows of a text: one with its own numbers, and one for each word whose exact count is not at hand."""
-    names = pa.array(heavy["word"], pa.large_string())
-    logs = np.append(np.log10(heavy["n"].to_numpy(np.float64) + 1), 0.0)
-    seen = np.append(heavy["n"].to_numpy() > 0, False)
-
-    def run(batches):
-        for batch in _slices(batches):
-            size = batch.num_rows
-            tokens, scores = score(batch.column("text"))
-            at = pc.fill_null(pc.index_in(tokens.words, names), len(names)).to_numpy(zero_copy_only=False)[tokens.codes]
-            own = np.stack([
-                np.bincount(tokens.doc, minlength=size), np.bincount(tokens.doc, seen[at], size), np.bincount(tokens.doc, logs[at], size),
-                scores]).T
-            rare = at == len(names)
-            pair, n = np.unique(tokens.doc[rare] * len(tokens.words) + tokens.codes[rare], return_counts=True)
-            doc, code = np.divmod(pair, len(tokens.words))
-            ids, text = batch.column("doc_id"), batch.column("text_hash")
-            # A blank begins no word, so these keys meet no count and spread the rows.
-            keys = pa.array([f" {i} {t}" for i, t in zip(ids.to_pylist(), text.to_pylist())], pa.large_string())
-            whole = pa.concat_arrays([pa.array(np.arange(size)), pa.array(doc)])
-            lists = pa.ListArray.from_arrays(np.arange(0, 4 * size + 1, 4, dtype=np.int32), pa.array(own.ravel()))
-            yield pa.RecordBatch.from_arrays([
-                ids.take(whole), text.take(whole), pa.concat_arrays([keys, tokens.words.take(pa.array(code))]).cast(pa.string()),
-                pa.array(np.concatenate((np.zeros(size, np.int64), n))),
-                pa.concat_arrays([lists, pa.nulls(len(doc), lists.type)])], names=["doc_id", "text_hash", "word", "times", "own"])
-
-    return run, "doc_id long, text_hash long, word string, times long, own array<double>"
-
-
-def _window(order: int) -> list[tuple[int, int]]:
-    """(tokens back from the last, length) of every n-gram inside the longest one, as the shuffled path orders them."""
-    return [(back, size) for size in range(1, order + 1) for back in range(order - size + 1)]
-
-
-def _shuffled_scores(docs: DataFrame, parts_of_filter: DataFrame, parts: int, order: int, prior: float, n: int, v: int) -> DataFrame:
-    """(doc_id, text_hash, score, rows) with the probes sent to the parts of the filter, for a filter of any size.
-
-    Each distinct window of tokens is probed once for the whole corpus; its parts' groups are bounded like the filter's.
-    """
-
-    def windows(batches):
-        for batch in _slices(batches):
-            tokens = tokens_of(batch.column("text"))
-            grams = gram_hashes(tokens, word_hashes(tokens.words), order)
-            reach = np.minimum(tokens.place, order - 1)
-            for k in range(order):
-                at = np.flatnonzero(reach == k)
-                top = grams[k][at]
-                pair = np.rec.fromarrays([tokens.doc[at], top])
-                _, first, times = np.unique(pair, return_index=True, return_counts=True)
-                at = at[first]
-                held = np.stack([grams[size - 1][at - back] for back, size in _window(k + 1)]).T.astype(np.uint64)
-                of = pa.array(tokens.doc[at])
-                lists = pa.ListArray.from_arrays(
-                    np.arange(0, held.size + 1, held.shape[1], dtype=np.int32), pa.array(held.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(of), batch.column("text_hash").take(of), pa.array(top[first].view(np.int64)),
-                     pa.array(times), lists], names=["doc_id", "text_hash", "top", "times", "held"])
-
-    def look_up(keys: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        if part.empty:
-            return pd.DataFrame({"h": keys["h"], "level": 0})
-        h = keys["h"].to_numpy().view(np.uint64)
-        return pd.DataFrame({"h": keys["h"], "level": probe(np.frombuffer(part["bits"].iloc[0], np.uint64), 0, h)})
-
-    @F.pandas_udf("double")
-    def log_prob(levels: pd.Series) -> pd.Series:
-        out = np.zeros(len(levels))
-        length = levels.map(len).to_numpy()
-        for k in range(1, order + 1):
-            at = np.flatnonzero(length == k * (k + 1) // 2)
-            if len(at):
-                raw = np.stack(levels.iloc[at].to_list()).T
-                level = {}
-                for (back, size), r in zip(_window(k), raw):
-                    level[back, size] = r if size == 1 else np.minimum(r, np.minimum(level[back, size - 1], level[back + 1, size - 1]))
-                p = unigram(level[0, 1], n, v)
-                for size in range(2, k + 1):
-                    p = step(p, level[0, size], level[1, size - 1], prior)
-                out[at] = np.log10(p)
-        return pd.Series(out)
-
-    schema = "doc_id long, text_hash long, top long, times long, held array<long>"
-    found = materialize(docs.select("doc_id", "text_hash", "text").mapInArrow(windows, schema))
-    distinct = found.groupBy("top").agg(F.first("held").alias("held"))
-    probes = distinct.select("top", F.posexplode("held").alias("i", "h"))
-    keys = probes.select("h").distinct().withColumn("part", F.shiftrightunsigned("h", 40) % parts)
-    levels = keys.groupBy("part").cogroup(parts_of_filter.groupBy("part")).applyInPandas(look_up, "h long, level long")
-    whole = probes.join(levels, "h").groupBy("top").agg(F.sort_array(F.collect_list(F.struct("i", "level"))).alias("l"))
-    logs = whole.select("top", log_prob(F.col("l.level")).alias("log_p"))
-    return found.join(logs, "top").groupBy("doc_id", "text_hash").agg(F.sum(F.col("times") * F.col("log_p")).alias("score"))
+    return np.log10(p)
+
+
+_SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def _scorer(parts: int, order: int, prior: float, n: int, v: int):
+    """Rows of a slice with their sums, from the slice and what its parts of the filter answered."""
+
+    def score(slices: pa.Table, answers: pa.Table) -> pa.Table:
+        batch = pa.ipc.open_stream(slices["rows"][0].as_buffer()).read_next_batch()
+        grams = grams_of(batch.column("text"), order, parts)
+        # Equal slices have equal answers.
+        first = np.unique(answers["part"].to_numpy(), return_index=True)[1]
+        answers = answers.take(pa.array(first))
+        counts, many, word_levels, gram_levels = (
+            _joined(answers[c])[0] for c in ("word_counts", "many_counts", "word_levels", "gram_levels"))
+        if len(word_levels) != len(grams.words) or len(gram_levels) != len(grams.keys):
+            raise RuntimeError("the table gave other rows, or another order of rows, when it was read again: checkpoint it first")
+        place = np.empty(len(grams.words), np.int64)
+        place[grams.words] = np.arange(len(place))
+        counts = counts.astype(np.int64)
+        counts[counts == MANY] = many.view(np.int64)
+        counts, word_levels = counts[place], word_levels[place].astype(np.int64)
+        tokens, size = grams.tokens, batch.num_rows
+        logs = _log_probs(grams, word_levels, gram_levels.astype(np.int64), prior, n, v)
+        own = np.bincount(tokens.doc, minlength=size)
+        base = np.bincount(tokens.doc, np.log10(counts + 1.0)[tokens.codes], size) - own * math.log10(n + v + 1)
+        out = pa.table({
+            "doc_id": batch.column("doc_id"), "n_tokens": own,
+            "n_known": np.bincount(tokens.doc, (counts > 0)[tokens.codes], size).astype(np.int64), "base_score": base,
+            "score": np.bincount(tokens.doc, logs, size)})
+        return pa.concat_tables([out] * slices.num_rows)
+
+    return score
 
 
 def score_texts(
-    docs: DataFrame, order: int = ORDER, prior: float = PRIOR, filter_bytes: int = FILTER_BYTES, heavy_words: int = HEAVY_WORDS,
+    docs: DataFrame, order: int = ORDER, prior: float = PRIOR, filter_bytes: int | None = None, heavy_words: int | None = None,
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of `docs` (doc_id, text).
 
     Tokens are the lower-cased (A-Z) words between ASCII blanks and one end; rows outside the held-out fold teach.
-    `base_score` sums log10((c + 1) / (N + V + 1)) with the exact count c of each token, N of all and V of distinct ones.
-    `score` is the model's log10 probability: the counts of n-grams up to `order` are read from the filter by probes at
-    rising levels, and a longer context is smoothed with `prior` parts of the shorter one, down to single words.
+    `base_score` sums log10((c + 1) / (N + V + 1)) with the exact count c of each token, N of all and V of distinct ones
+    (words are told apart by 64 bits of hash). `score` is the model's log10 probability: the counts of n-grams up to `order`
+    are read from the filter by probes at rising levels, and a longer context is smoothed with `prior` parts of the shorter
+    one, down to single words.
 
-    The filter grows with the corpus (its size follows the tokens). Up to `filter_bytes` it is broadcast; a larger one
-    stays where it was made and the distinct probes are shuffled to its parts, with equal scores. Exact counts of frequent
-    words, at most `heavy_words`, are broadcast; those of the others are joined by shuffle, none of which is then frequent.
+    Neither filter nor texts are broadcast or whole anywhere. A slice of rows (about SLICE bytes of text) sends the hashes of
+    its different n-grams to the parts of the filter; a part is filled from all counts, probed for all slices, and answers a
+    byte for each n-gram; the answers meet the compressed slice. The table is read twice and must give the same rows in the
+    same order in each task, as files do; else an error says so. `filter_bytes` and `heavy_words` bounded what an earlier
+    form broadcast; they change nothing now.
 
     Null texts are empty: one token, the end. Rows without an id teach and are not held out. Repeated rows keep a row each
     and all teach. If no row teaches, N and V are zero and every token has probability 1. An empty table gives an empty
     result. Other columns are not read.
     """
-    spark = docs.sparkSession
-    docs = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"), learns(F.col("doc_id")).alias("learn"))
-    words = materialize(word_counts(docs))
-    total, n, v, single = words.agg(
-        F.coalesce(F.sum("n_all"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0),
-        F.coalesce(F.sum(F.when(F.col("n") > 0, F.length(F.bin("n")))), F.lit(0))).first()
-    # An n-gram of count c is inserted at most c times, so the tokens bound the insertions of each longer length.
-    parts = max(1, math.ceil((single + (order - 1) * n) * BITS / (64 * PART_WORDS)))
-    bits = materialize(filter_parts(docs, words, parts, order))
-    frequent = (F.col("n_all") * heavy_words > total) & (F.length("word") <= HEAVY_CHARS)
-    heavy = words.filter(frequent).select("word", "n")
-    heavy = pd.DataFrame([tuple(r) for r in collect_bounded(heavy, heavy_words, "frequent words")], columns=["word", "n"])
-    if parts * PART_WORDS * 8 <= filter_bytes:
-        whole = np.zeros((parts, PART_WORDS), np.uint64)
-        for row in bits.toLocalIterator():
-            whole[row.part] = np.frombuffer(row.bits, np.uint64)
-        held = spark.sparkContext.broadcast(whole.ravel())
-
-        def score(texts):
-            return _score_slice(texts, held.value, parts, order, prior, n, v)
-    else:
-        def score(texts):
-            return tokens_of(texts), np.zeros(len(texts))
-
-    run, schema = _rows(heavy, score)
-    rows = docs.select("doc_id", "text_hash", "text").mapInArrow(run, schema)
-    light = words.filter(~frequent & (F.col("n") > 0)).select("word", "n")
-    own, times = F.col("own"), F.col("times")
-    # Equal rows of an id are summed together and told apart again by their number.
-    sums = rows.join(light, "word", "left").groupBy("doc_id", "text_hash").agg(
-        F.count("own").alias("rows"), F.max(own[0]).cast("long").alias("n_tokens"), F.max(own[3]).alias("score"),
-        (F.sum(F.coalesce(own[1], F.lit(0.0))) + F.sum(F.when(F.col("n").isNotNull(), times).otherwise(0))).alias("known"),
-        (F.sum(F.coalesce(own[2], F.lit(0.0))) + F.sum(F.coalesce(times * F.log10(F.col("n") + 1), F.lit(0.0)))).alias("logs"))
-    if parts * PART_WORDS * 8 > filter_bytes:
-        scores = _shuffled_scores(docs, bits, parts, order, prior, n, v).withColumnsRenamed({"doc_id": "id", "text_hash": "hash", "score": "sum"})
-        sums = sums.join(scores, F.col("doc_id").eqNullSafe(F.col("id")) & F.col("text_hash").eqNullSafe(F.col("hash")), "left")
-        sums = sums.withColumn("score", F.col("sum") / F.col("rows"))
-    each = sums.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, math.ceil(size / PART_TEXT))
+    counts = gram_counts(docs.withColumn("learn", learns(F.col("doc_id"))), parts, order)
+    answers = materialize(counts.repartition(parts, "part").groupBy("part").applyInArrow(fill_and_probe, _LEVELS))
+    n, v = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    slices = docs.mapInArrow(pack, "slice binary, rows binary").repartition(parts, "slice").groupBy("slice")
+    asked = answers.filter("slice IS NOT NULL").drop("n", "v")
+    each = slices.cogroup(asked.repartition(parts, "slice").groupBy("slice")).applyInArrow(_scorer(parts, order, prior, n, v), _SCORED)
     return each.select(
-        "doc_id", (~learns(F.col("doc_id"))).alias("held_out"), "n_tokens", F.round(F.col("known") / F.col("rows")).cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("logs") / F.col("rows") - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"), "score")
+        "doc_id", (~learns(F.col("doc_id"))).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
+        "base_score", "score")

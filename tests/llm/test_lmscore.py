@@ -137,3 +137,26 @@ def test_slices(monkeypatch, rnd):
     assert [t for c in cut for t in c.to_pylist()] == texts and len(cut) > 20
     words = Counter(w for c in cut for t in [tokens_of(c)] for w in np.array(t.words.to_pylist(), object)[t.codes])
     assert words == Counter(w for t in texts for w in split(t))
+
+
+def test_stored_tables_follow_the_ngrams_not_the_tokens(spark, documents, rnd, words, monkeypatch):
+    """What is stored between the passes takes a few bytes for each token, also if no filter may be broadcast."""
+    stored, real = [], lmscore.materialize
+
+    def spy(df):
+        out = real(df)
+        stored.append(out.toArrow().nbytes)
+        return out
+
+    monkeypatch.setattr(lmscore, "materialize", spy)
+    docs = documents([(i, " ".join(rnd.choice(words) for _ in range(200))) for i in range(400)])
+    tokens = sum(r[2] for r in got(score_texts(docs, filter_bytes=0)))
+    assert stored and sum(stored) < 8 * tokens
+
+
+def test_parts_do_not_change_exact_counts(spark, documents, rows, monkeypatch):
+    monkeypatch.setattr(lmscore, "BITS", 400)
+    monkeypatch.setattr(lmscore, "PART_TEXT", 3000)
+    monkeypatch.setattr(lmscore, "SLICE", 5000)
+    same(got(score_texts(documents(rows + [(300 + i, "Hot some") for i in range(400)]), 3, 5.0)),
+         plain(rows + [(300 + i, "Hot some") for i in range(400)], 3, 5.0))
