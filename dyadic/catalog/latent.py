@@ -330,9 +330,9 @@ def score_arm(spark, d):
 
 @query("score_arm_fitted")
 def score_arm_fitted(spark, d):
-    """The two metrics that rest on fitted models; pytest holds them against direct computation."""
-    cells = scoring.score_arm("B", R.deltas(spark, d), _runs(spark, d), R.factor_scores(spark, d), bootstrap=20, k_grid=(2, 3), archetype_bootstrap=2,
-                              metrics=[m for m in scoring.METRICS if m not in SQL_METRICS])
+    """All six metrics on every dimension, with the operator's own replicates and grid; pytest holds them against direct computation."""
+    coverage = ranking.mondrian_conformal(*calibration(spark, d))
+    cells = scoring.score_arm("B", R.deltas(spark, d), _runs(spark, d), R.factor_scores(spark, d), coverage, R.results(spark, d))
     return ranking.leaderboard(cells, ["B"], list(scoring.METRICS))
 
 

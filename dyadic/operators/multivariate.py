@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -208,32 +209,86 @@ def subject_factor_means(scores: DataFrame, missing: float | None = None) -> Dat
     )
 
 
-def _components(groups: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
-    """One-way variance components per key from per-subject (n, mean, within sum of squares) rows.
-
-    With `weight`, each subject counts as that many separate subjects.
-    """
-    w = F.col(weight) if weight else F.lit(1)
+def _components(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """One-way variance components per key from per-subject (n, mean, within sum of squares) rows."""
     # Centre on the key's overall mean first, so the between-subject sum does not cancel.
-    grand = groups.groupBy(*keys).agg((F.sum(w * F.col("k") * F.col("m")) / F.sum(w * F.col("k"))).alias("_grand"))
+    grand = groups.groupBy(*keys).agg((F.sum(F.col("k") * F.col("m")) / F.sum("k")).alias("_grand"))
     gap = F.col("m") - F.col("_grand")
-    sums = groups.join(grand, keys).groupBy(*keys).agg(
-        F.sum(w).cast("double").alias("a"), F.sum(w * F.col("k")).cast("double").alias("n"),
-        F.sum(w * F.col("k") * F.col("k")).cast("double").alias("kk"),
-        F.sum(w * F.col("k") * gap * gap).alias("ssb"), F.sum(w * F.col("ssw")).alias("ssw"),
-    )
+    return _ratios(groups.join(grand, keys).groupBy(*keys).agg(
+        F.count(F.lit(1)).cast("double").alias("a"), F.sum("k").cast("double").alias("n"),
+        F.sum(F.col("k") * F.col("k")).cast("double").alias("kk"),
+        F.sum(F.col("k") * gap * gap).alias("ssb"), F.sum("ssw").alias("ssw"),
+    ), keys)
+
+
+def _ratios(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Variance components and their ratio per key from its subjects `a`, rows `n`, squared sizes `kk` and sums of squares."""
     ok = (F.col("a") >= 2) & (F.col("n") > F.col("a"))
     msb = F.col("ssb") / F.nullif(F.col("a") - 1.0, F.lit(0.0))
     msw = F.col("ssw") / F.nullif(F.col("n") - F.col("a"), F.lit(0.0))
-    n0 = (F.col("n") - F.col("kk") / F.col("n")) / F.nullif(F.col("a") - 1.0, F.lit(0.0))
+    n0 = (F.col("n") - F.col("kk") / F.nullif(F.col("n"), F.lit(0.0))) / F.nullif(F.col("a") - 1.0, F.lit(0.0))
     n0 = F.when(n0 <= 0, F.lit(1.0)).otherwise(n0)
     between = F.when(ok, F.greatest(F.lit(0.0), (msb - msw) / n0)).otherwise(F.lit(0.0))
-    within = F.when(ok, F.greatest(msw, F.lit(1e-12))).otherwise((F.col("ssb") + F.col("ssw")) / F.col("n"))
+    within = F.when(ok, F.greatest(msw, F.lit(1e-12))).otherwise((F.col("ssb") + F.col("ssw")) / F.nullif(F.col("n"), F.lit(0.0)))
     parts = sums.select(*keys, "a", "n", "ssb", "ssw", between.alias("s_between"), within.alias("s_within"))
     share = F.col("s_between") / F.nullif(F.col("s_between") + F.col("s_within"), F.lit(0.0))
     return parts.withColumn("icc", F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)), F.lit(0.0)))
 
 
+# Factors whose sums a task holds together, subjects in a task's group, and replicates added up in one group.
+_BLOCK, _CHUNK, _REPS = 64, 2048, 64
+
+
+def _resampled_components(groups: DataFrame, bootstrap: int, seed: int) -> DataFrame:
+    """`_components` of every (rep, factor), each subject counting as often as the replicate drew it.
+
+    There is no row per replicate, subject and factor: a group of subjects turns its copies (replicates x subjects) and
+    values (subjects x a block of factors) into one product, and only the products are shuffled.
+    """
+    named = materialize(groups.groupBy("factor").agg((F.sum(F.col("k") * F.col("m")) / F.nullif(F.sum("k"), F.lit(0))).alias("_grand"))
+                        .withColumn("_slot", F.row_number().over(W.orderBy("factor")) - 1))
+    subjects = groups.select("subject_id").distinct()
+    chunks = subjects.count() // _CHUNK + 1
+    copies = bootstrap_counts(subjects, bootstrap, seed).groupBy("subject_id").agg(F.collect_list(F.struct("rep", "copies")).alias("c"))
+    zero = F.lit(0.0)
+    value = F.struct((F.col("_slot") % _BLOCK).alias("at"), F.col("k").cast("double").alias("k"),
+                     F.coalesce(F.col("m") - F.col("_grand"), zero).alias("g"), F.coalesce("ssw", zero).alias("ssw"))
+    wide = groups.join(named, "factor").groupBy(F.floor(F.col("_slot") / _BLOCK).alias("block"), "subject_id").agg(
+        F.collect_list(value).alias("v"))
+    rows = wide.join(copies, "subject_id").select(
+        "block", F.pmod(F.xxhash64("subject_id"), F.lit(chunks)).alias("chunk"), *[f"v.{c}" for c in ("at", "k", "g", "ssw")], "c.rep", "c.copies")
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros((bootstrap, _BLOCK * 6))
+        for start in range(0, len(pdf), 512):
+            part = pdf.iloc[start:start + 512]
+            flat = lambda c: (np.repeat(np.arange(len(part)), part[c].map(len)), np.concatenate(part[c].to_numpy()))
+            weight = np.zeros((bootstrap, len(part)))
+            row, drawn = flat("rep")
+            weight[drawn.astype(int) - 1, row] = flat("copies")[1]
+            row, at = flat("at")
+            k, g, ssw = (flat(c)[1] for c in ("k", "g", "ssw"))
+            x = np.zeros((len(part), _BLOCK, 6))
+            x[row, at.astype(int)] = np.stack([np.ones(len(k)), k, k * k, k * g, k * g * g, ssw], axis=1)
+            total += weight @ x.reshape(len(part), -1)
+        return pd.DataFrame({"block": pdf["block"].iloc[0], "rep": np.arange(1, bootstrap + 1), "sums": [row.tobytes() for row in total]})
+
+    def added(pdf: pd.DataFrame) -> pd.DataFrame:
+        reps, index = np.unique(pdf["rep"].to_numpy(), return_inverse=True)
+        total = np.zeros((len(reps), _BLOCK * 6))
+        np.add.at(total, index, np.stack([np.frombuffer(row) for row in pdf["sums"]]))
+        out = pd.DataFrame(total.reshape(-1, 6), columns=["a", "n", "kk", "kg", "kgg", "ssw"])
+        out.insert(0, "_slot", np.tile(np.arange(_BLOCK), len(reps)) + int(pdf["block"].iloc[0]) * _BLOCK)
+        out.insert(0, "rep", np.repeat(reps, _BLOCK))
+        return out[out["a"] > 0]
+
+    made = rows.groupBy("block", "chunk").applyInPandas(products, "block long, rep int, sums binary")
+    sums = made.groupBy("block", F.floor(F.col("rep") / _REPS).alias("_reps")).applyInPandas(
+        added, "rep int, _slot int, a double, n double, kk double, kg double, kgg double, ssw double")
+    ssb = F.greatest(zero, F.col("kgg") - F.col("kg") * F.col("kg") / F.nullif(F.col("n"), zero))
+    return _ratios(sums.join(named, "_slot").withColumn("ssb", ssb), ["rep", "factor"])
+
+
 def _subject_groups(scores: DataFrame) -> DataFrame:
     return scores.groupBy("factor", "subject_id").agg(
         F.count("value").alias("k"), F.avg("value").alias("m"), (F.count("value") * F.var_pop("value")).alias("ssw")
@@ -325,8 +380,7 @@ def classify_icc(scores: DataFrame, bootstrap: int = 2000, seed: int = 42) -> Da
     pooled mean; it is reported only.
     """
     groups = materialize(_subject_groups(scores))
-    copies = bootstrap_counts(groups.select("subject_id").distinct(), bootstrap, seed)
-    boots = _components(copies.join(groups, "subject_id"), ["rep", "factor"], "copies")
+    boots = _resampled_components(groups, bootstrap, seed)
     ci = boots.groupBy("factor").agg(
         F.percentile("icc", 0.025).alias("icc_ci_low"), F.percentile("icc", 0.975).alias("icc_ci_high")
     )

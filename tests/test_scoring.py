@@ -94,3 +94,55 @@ def test_a_centroid_stands_in_for_a_cloud(spark, tmp_path):
         tables.read_cloud(spark, "ill", centroid_path=path, group="z")
     with pytest.raises(ValueError):
         tables.read_cloud(spark, "ill")
+
+
+@pytest.mark.parametrize("name", ["score_arm_fitted", "job_leaderboard_fitted"])
+def test_fitted_queries_take_the_whole_work(spark, monkeypatch, name):
+    """All metrics with the operator's own replicates and grid, none set lower by the query."""
+    import inspect
+
+    import __spark_entry__ as entry
+    from dyadic.catalog import latent
+
+    real, seen = inspect.signature(scoring.score_arm), []
+
+    def spy(*args, **kwargs):
+        bound = real.bind(*args, **kwargs)
+        bound.apply_defaults()
+        seen.append(bound.arguments)
+        return spark.createDataFrame([(m, args[0], "x") for m in scoring.METRICS], "metric string, arm string, cell string")
+
+    monkeypatch.setattr(latent.scoring, "score_arm", spy)
+    assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() == 6
+    for got in seen:
+        assert got["metrics"] is None and got["coverage"] is not None and got["enrichment"] is not None
+        assert (got["bootstrap"], tuple(got["k_grid"]), got["archetype_bootstrap"]) == (2000, (2, 3, 4, 5), 10)
+    assert seen
+
+
+def test_resampled_components_make_no_row_per_draw(spark, rng, monkeypatch):
+    """Ratios of every replicate as from copied subjects, over more factors than a block and with subjects that lack some."""
+    rows = [(s, f, float(v)) for s in range(40) for f in range(70) if (s * f) % 7 or s < 3
+            for v in rng.normal(loc=s * (f % 3), size=1 + (s + f) % 3)]
+    rows += [(s, 70, None) for s in range(3)] + [(5, 70, 1.0), (6, 70, 2.0), (6, 70, 2.5)]
+    scores = spark.createDataFrame(rows, "subject_id long, factor int, value double")
+    monkeypatch.setattr(M, "_CHUNK", 15)
+    groups = M._subject_groups(scores)
+    got = {(r.rep, r.factor): r for r in M._resampled_components(groups, 70, 3).collect()}
+    copies = M.bootstrap_counts(groups.select("subject_id").distinct(), 70, 3).toPandas()
+    frame = pd.DataFrame([r for r in rows if r[2] is not None], columns=["subject_id", "factor", "value"])
+    own = frame.groupby(["factor", "subject_id"])["value"].agg(["count", "mean", lambda v: ((v - v.mean()) ** 2).sum()]).reset_index()
+    own.columns = ["factor", "subject_id", "k", "m", "w"]
+    checked = 0
+    for (rep, f), part in copies.merge(own, on="subject_id").query("factor < 70").groupby(["rep", "factor"]):
+        c, k, m = part["copies"], part["k"], part["m"]
+        a, n = c.sum(), (c * k).sum()
+        assert (got[rep, f].a, got[rep, f].n) == (a, n)
+        if a < 2 or n == a:
+            continue
+        grand = (c * k * m).sum() / n
+        msb, msw = (c * k * (m - grand) ** 2).sum() / (a - 1), (c * part["w"]).sum() / (n - a)
+        between, within = max(0.0, (msb - msw) / ((n - (c * k * k).sum() / n) / (a - 1))), max(msw, 1e-12)
+        assert got[rep, f].icc == pytest.approx(between / (between + within), abs=1e-9)
+        checked += 1
+    assert checked > 4500
